@@ -1,13 +1,678 @@
-"""The registered queries of the sequence-graph operators."""
+"""The registered queries of the sequence-graph operators, each with the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries() -> dict[str, Callable]:
-    return {}
+from . import model, motifs
+from .functions import alignment
+from .functions.strand import rc_node, rc_sequence
+from .operators import bulge, contract, coverage, decouple, degree, intervals, paths, tips, walk, whirl
+from .operators.compact import compact
+from .plans import simplify
+from .plans.tables import once, written
+from .sinks import export
+from .sources import fixtures, text
+
+K = fixtures.K
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def put(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+# ---- the graphs, as tables for Spark and as common table expressions for SQL
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The (k+1)-mer graph; written once, as many queries start from it."""
+    return once(spark, ("raw", sf_dir), lambda: fixtures.raw_edges(spark, sf_dir))
+
+
+def unitigs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, ("unitigs", sf_dir), lambda: model.labelled(compact(raw(spark, sf_dir), K).drop("n_merged"), K))
+
+
+def collapsed_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, ("collapsed", sf_dir), lambda: model.labelled(bulge.collapse(unitigs_of(spark, sf_dir)), K))
+
+
+def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unitigs with references: the documents whose reads hold the first (k+1)-mer of an edge."""
+    reads = fixtures.reads(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    held = reads.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - K), lambda i: F.substr("s", i, F.lit(K + 1)))).alias("first")).distinct()
+    refs = held.groupBy("first").agg(F.sort_array(F.collect_set(F.col("doc_id").cast("string"))).alias("ref_ids"))
+    return unitigs_of(spark, sf_dir).withColumn("first", F.substr("sequence", F.lit(1), F.lit(K + 1))).join(refs, "first").drop("first")
+
+
+def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.walk(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def motif(spark: SparkSession, name: str) -> DataFrame:
+    return model.labelled(motifs.edges(spark, name), motifs.K).withColumn("ref_ids", F.array().cast("array<string>"))
+
+
+_RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
+_NM = f"CASE WHEN {{0}} <= {_RC} THEN {{0}} ELSE '-' || {_RC} END"
+_RN = "CASE WHEN {0} LIKE '-%' THEN substr({0}, 2) ELSE '-' || {0} END"
+RC, NM, RN = _RC.format, _NM.format, _RN.format
+
+READS = f"""b AS (SELECT doc_id, translate(md5(text) || md5(text || 'x'), '0123456789abcdef', 'ACGTACGTACGTACGT') AS s FROM documents),
+one AS (SELECT doc_id, 'base' AS kind, s FROM b
+  UNION ALL SELECT doc_id, 'substituted', substr(s, 1, 31) || translate(substr(s, 32, 1), 'ACGT', 'CGTA') || substr(s, 33) FROM b WHERE doc_id % 2 = 0
+  UNION ALL SELECT doc_id, 'deleted', substr(s, 1, 19) || substr(s, 21) FROM b WHERE doc_id % 5 = 0),
+reads AS (SELECT doc_id, kind, s FROM one UNION ALL SELECT doc_id, kind, {RC('s')} FROM one)"""
+RAW = f"""{READS},
+kmers AS (SELECT substr(s, i, {K + 1}) AS sequence FROM (SELECT s, unnest(range(1, length(s) - {K} + 1)) AS i FROM reads)),
+raw AS (SELECT {NM(f'substr(sequence, 1, {K})')} AS src, {NM(f'substr(sequence, 2, {K})')} AS dst, sequence, CAST(1 AS BIGINT) AS length, CAST(count(*) AS DOUBLE) AS multiplicity FROM kmers GROUP BY sequence)"""
+
+
+def deg(name: str, of: str) -> str:
+    """Degrees of a relation of edges."""
+    return f"""{name} AS (SELECT id, count(DISTINCT CASE WHEN o = 0 THEN nbr END) AS n_in, count(DISTINCT CASE WHEN o = 1 THEN nbr END) AS n_out, count(*) FILTER (WHERE o = 0) AS legs_in, count(*) FILTER (WHERE o = 1) AS legs_out,
+  coalesce(sum(m) FILTER (WHERE o = 0), 0) AS cov_in, coalesce(sum(m) FILTER (WHERE o = 1), 0) AS cov_out, count(*) FILTER (WHERE o = 1 AND nbr = id) AS self_loops
+  FROM (SELECT src AS id, 1 AS o, dst AS nbr, multiplicity AS m FROM {of} UNION ALL SELECT dst, 0, src, multiplicity FROM {of}) GROUP BY id)"""
+
+
+_UNARY = "legs_in = 1 AND legs_out = 1 AND self_loops = 0"
+UNITIGS = f"""{RAW}, {deg('rd', 'raw')}, un AS MATERIALIZED (SELECT id FROM rd WHERE {_UNARY}),
+base AS MATERIALIZED (SELECT *, src IN (SELECT id FROM un) AS cont, dst IN (SELECT id FROM un) AS goes FROM raw),
+chain AS (SELECT sequence AS head, src, dst, sequence, length, multiplicity AS w, 1 AS n, goes FROM base WHERE NOT cont
+  UNION ALL SELECT c.head, c.src, e.dst, c.sequence || substr(e.sequence, {K + 1}), c.length + e.length, c.w + e.multiplicity * e.length, c.n + 1, e.goes FROM chain c JOIN base e ON c.dst = e.src WHERE c.goes),
+whole AS (SELECT src, dst, sequence, length, w / length AS multiplicity, CAST(n AS BIGINT) AS n_merged FROM chain WHERE NOT goes),
+ug AS MATERIALIZED (SELECT src, dst, sequence, length, multiplicity, src || '.' || row_number() OVER (PARTITION BY src ORDER BY dst, sequence) AS label FROM whole)"""
+COLLAPSED = f"""{UNITIGS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY src, dst, CASE WHEN dst = {RN('src')} THEN sequence ELSE '' END ORDER BY length DESC, multiplicity DESC, sequence) AS nth,
+  sum(multiplicity) OVER (PARTITION BY src, dst, CASE WHEN dst = {RN('src')} THEN sequence ELSE '' END) AS total FROM ug),
+cg AS MATERIALIZED (SELECT src, dst, sequence, length, total AS multiplicity, src || '.' || row_number() OVER (PARTITION BY src ORDER BY dst, sequence) AS label FROM ranked WHERE nth = 1)"""
+
+
+def rec(ctes: str, select: str) -> str:
+    return f"WITH RECURSIVE {ctes} {select}"
+
+
+# ---- sequence functions and the raw graph
+
+
+@query(f"WITH {READS} SELECT doc_id, kind, s, {RC('s')} AS rc FROM reads")
+def rc_sequences(spark, sf_dir):
+    reads = fixtures.reads(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return reads.select("doc_id", "kind", "s", rc_sequence("s").alias("rc"))
+
+
+@query(f"WITH {RAW} SELECT DISTINCT id, {RN('id')} AS rc FROM (SELECT src AS id FROM raw UNION ALL SELECT dst FROM raw)")
+def rc_nodes(spark, sf_dir):
+    return model.Graph(raw(spark, sf_dir), K).nodes().select("id", rc_node("id").alias("rc"))
+
+
+@query(f"WITH {RAW} SELECT * FROM raw")
+def dbg_edges(spark, sf_dir):
+    return fixtures.raw_edges(spark, sf_dir)
+
+
+@query(f"WITH {RAW} SELECT min(length(sequence) - length) AS k_min, max(length(sequence) - length) AS k_max, count(*) AS n_edges FROM raw")
+def k_check(spark, sf_dir):
+    return model.inferred_k(raw(spark, sf_dir))
+
+
+@query(f"WITH {RAW}, {deg('d', 'raw')} SELECT * FROM d")
+def degree_table(spark, sf_dir):
+    return degree.degrees(raw(spark, sf_dir))
+
+
+def _nodes_where(condition: str, of: str = "ug", ctes: str = UNITIGS) -> str:
+    return rec(f"{ctes}, {deg('d', of)}", f"SELECT id FROM d WHERE {condition}")
+
+
+@query(f"WITH {RAW}, {deg('d', 'raw')} SELECT id FROM d WHERE {_UNARY}")
+def non_branching(spark, sf_dir):
+    return degree.non_branching(degree.degrees(raw(spark, sf_dir))).select("id")
+
+
+@query(_nodes_where("n_out = 0 AND n_in = 1 AND legs_in = 1"))
+def tips_out(spark, sf_dir):
+    return degree.tips_out(degree.degrees(unitigs_of(spark, sf_dir))).select("id")
+
+
+@query(_nodes_where("n_in = 0 AND n_out = 1 AND legs_out = 1"))
+def tips_in(spark, sf_dir):
+    return degree.tips_in(degree.degrees(unitigs_of(spark, sf_dir))).select("id")
+
+
+@query(_nodes_where("n_in = 2 AND n_out = 2 AND self_loops = 0"))
+def two_in_two_out_nodes(spark, sf_dir):
+    return degree.two_in_two_out_nodes(degree.degrees(unitigs_of(spark, sf_dir))).select("id")
+
+
+@query(rec(f"{UNITIGS}, {deg('d', 'ug')}", "SELECT DISTINCT src, dst FROM ug JOIN d a ON a.id = src JOIN d b ON b.id = dst WHERE a.n_in >= 2 AND a.n_out = 1 AND a.self_loops = 0 AND b.n_in = 1 AND b.n_out >= 2 AND b.self_loops = 0"))
+def two_in_two_out_edges(spark, sf_dir):
+    e = unitigs_of(spark, sf_dir)
+    return degree.two_in_two_out_edges(e, degree.degrees(e))
+
+
+@query(_nodes_where(f"n_in = 2 AND n_out = 2 AND self_loops = 0 AND id <= {RN('id')}"))
+def rc_pair_dedupe(spark, sf_dir):
+    return degree.sites_once(degree.two_in_two_out_nodes(degree.degrees(unitigs_of(spark, sf_dir)))).select("id")
+
+
+@query(rec(UNITIGS, f"SELECT 'strand symmetry' AS \"check\", count(*) AS n FROM ug a WHERE NOT EXISTS (SELECT 1 FROM ug b WHERE b.src = {RN('a.dst')} AND b.dst = {RN('a.src')} AND b.sequence = {RC('a.sequence')}) UNION ALL SELECT 'length', count(*) FROM ug WHERE length <> length(sequence) - {K} UNION ALL SELECT 'palindrome', count(*) FROM ug WHERE sequence = {RC('sequence')} AND src <> {RN('dst')} UNION ALL SELECT 'label', count(*) FROM (SELECT label FROM ug GROUP BY label HAVING count(*) > 1)"))
+def invariant_violations(spark, sf_dir):
+    return model.violations(model.Graph(unitigs_of(spark, sf_dir).select("src", "dst", "label", "sequence", "length", "multiplicity"), K))
+
+
+@query(f"WITH {RAW} SELECT dst AS id, sum(multiplicity) AS coverage FROM raw GROUP BY dst")
+def node_in_coverage(spark, sf_dir):
+    return raw(spark, sf_dir).groupBy(F.col("dst").alias("id")).agg(F.sum("multiplicity").alias("coverage"))
+
+
+def _low(least: float, floor: float) -> str:
+    return rec(UNITIGS, f"SELECT src, dst, sequence, length, round(multiplicity, 6) AS multiplicity FROM ug WHERE NOT (multiplicity <= {floor} OR multiplicity < {least} AND length < 10000 AND dst <> {RN('src')})")
+
+
+_SHOWN = ("src", "dst", "sequence", "length", F.round)
+
+
+def shown(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("src", "dst", "sequence", "length", F.round("multiplicity", 6).alias("multiplicity"), *more)
+
+
+@query(_low(1.5, 1.0))
+def low_coverage_filter(spark, sf_dir):
+    return shown(coverage.without_low_coverage(unitigs_of(spark, sf_dir), 1.5, 1.0))
+
+
+@query(f"WITH {RAW}, low AS (SELECT * FROM raw WHERE NOT (multiplicity <= 1 OR multiplicity < 3 AND length < 10000 AND dst <> {RN('src')})) SELECT id FROM (SELECT src AS id FROM raw UNION SELECT dst FROM raw) WHERE id NOT IN (SELECT src FROM low UNION SELECT dst FROM low)")
+def isolated_nodes(spark, sf_dir):
+    e = raw(spark, sf_dir)
+    low = coverage.low_coverage(e, 3.0, 1.0).select("sequence")
+    return degree.isolated(model.Graph(e, K).nodes(), e.join(low, "sequence", "left_anti"))
+
+
+# ---- compaction and bulges
+
+
+@query(rec(UNITIGS, "SELECT src, dst, sequence, length, round(multiplicity, 6) AS multiplicity, n_merged FROM whole"))
+def unitigs(spark, sf_dir):
+    return shown(compact(raw(spark, sf_dir), K), "n_merged")
+
+
+@query(rec(UNITIGS, f"SELECT a.label, b.label AS rc_label, substr(a.sequence, {K + 1}, 1) AS start_base FROM ug a JOIN ug b ON b.src = {RN('a.dst')} AND b.dst = {RN('a.src')} AND b.sequence = {RC('a.sequence')}"))
+def edge_labels(spark, sf_dir):
+    return unitigs_of(spark, sf_dir).select("label", "rc_label", "start_base")
+
+
+@query(rec(UNITIGS, "SELECT src, dst, count(*) AS legs, max(length) AS length_max, min(length) AS length_min, round(sum(multiplicity), 6) AS coverage FROM ug GROUP BY src, dst HAVING count(*) > 1"))
+def parallel_legs(spark, sf_dir):
+    return bulge.parallel_legs(unitigs_of(spark, sf_dir)).withColumn("coverage", F.round("coverage", 6))
+
+
+@query(rec(COLLAPSED, "SELECT src, dst, sequence, length, round(multiplicity, 6) AS multiplicity FROM cg"))
+def bulge_collapse(spark, sf_dir):
+    return shown(bulge.collapse(unitigs_of(spark, sf_dir)))
+
+
+_FOLD = f"""{UNITIGS}, legs AS (SELECT src, dst, list({{'q': sequence, 'l': length, 'm': multiplicity}} ORDER BY sequence) AS x FROM ug GROUP BY src, dst, CASE WHEN dst = {RN('src')} THEN sequence ELSE '' END),
+f AS (SELECT src, dst, list_reduce(x, lambda a, b: CASE WHEN b.l > a.l OR b.l = a.l AND b.m > a.m THEN {{'q': b.q, 'l': b.l, 'm': a.m + b.m}} ELSE {{'q': a.q, 'l': a.l, 'm': a.m + b.m}} END) AS r FROM legs)"""
+
+
+@query(rec(_FOLD, "SELECT src, dst, r.q AS sequence, r.l AS length, round(r.m, 6) AS multiplicity FROM f"))
+def bulge_collapse_fold(spark, sf_dir):
+    return shown(bulge.fold(unitigs_of(spark, sf_dir)))
+
+
+# ---- paths of several edges
+
+_STEP = f"st AS MATERIALIZED (SELECT src, dst, label, length, multiplicity, CASE WHEN src = {RN('dst')} THEN multiplicity / 2 ELSE multiplicity END AS usable FROM cg)"
+
+
+def _hops(hops: int) -> str:
+    parts = [f"{COLLAPSED}", _STEP, "many AS MATERIALIZED (SELECT src FROM cg GROUP BY src HAVING count(DISTINCT dst) > 1)"]
+    parts.append(f"p1 AS MATERIALIZED (SELECT src AS s, dst AS e, [src, dst] AS nodes, [label] AS labels, length, multiplicity * length AS weight, usable AS min_cov FROM st WHERE src IN (SELECT src FROM many) AND src <> dst AND dst <> {RN('src')})")
+    for h in range(2, hops + 1):
+        parts.append(f"p{h} AS MATERIALIZED (SELECT p.s, t.dst AS e, list_append(nodes, t.dst) AS nodes, list_append(labels, t.label) AS labels, p.length + t.length AS length, weight + t.multiplicity * t.length AS weight, least(min_cov, t.usable) AS min_cov FROM p{h - 1} p JOIN st t ON t.src = p.e WHERE NOT list_contains(nodes, t.dst) AND NOT list_contains(nodes, {RN('t.dst')}))")
+    parts.append("paths AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM p{h}" for h in range(1, hops + 1)) + ")")
+    return ", ".join(parts)
+
+
+def _show_paths(p: DataFrame) -> DataFrame:
+    return p.select("start", "end", F.array_join("nodes", ",").alias("nodes"), F.array_join("labels", ",").alias("labels"), "length", F.round(F.col("weight") / F.col("length"), 6).alias("coverage"), F.round("min_cov", 6).alias("min_cov"))
+
+
+_PATHS = "SELECT s AS start, e AS \"end\", array_to_string(nodes, ',') AS nodes, array_to_string(labels, ',') AS labels, length, round(weight / length, 6) AS coverage, round(min_cov, 6) AS min_cov FROM paths"
+
+
+@query(rec(_hops(2), _PATHS))
+def khop_paths_2(spark, sf_dir):
+    return _show_paths(paths.khop(collapsed_of(spark, sf_dir), 2))
+
+
+@query(rec(_hops(3), _PATHS))
+def khop_paths_3(spark, sf_dir):
+    return _show_paths(paths.khop(collapsed_of(spark, sf_dir), 3))
+
+
+def _pairs(hops: int, identity: float) -> str:
+    return f"""{_hops(hops)}, kp AS MATERIALIZED (SELECT *, array_to_string(labels, ',') AS key, nodes[2 : len(nodes) - 1] AS ins FROM paths),
+pairs AS MATERIALIZED (SELECT a.s, a.e, a.nodes AS nodes1, b.nodes AS nodes2, a.key AS key1, b.key AS key2, a.length AS length1, b.length AS length2, a.min_cov AS min_cov1, b.min_cov AS min_cov2, a.labels AS labels1, b.labels AS labels2,
+  least(a.length, b.length) / greatest(a.length, b.length) AS identity, len(a.labels) + len(b.labels) AS n_edges
+  FROM kp a JOIN kp b ON a.s = b.s AND a.e = b.e AND a.key < b.key WHERE NOT list_has_any(a.ins, b.nodes) AND NOT list_has_any(b.ins, a.nodes) AND least(a.length, b.length) >= {identity} * greatest(a.length, b.length)),
+best AS MATERIALIZED (SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY s, e ORDER BY identity DESC, n_edges, key1, key2) AS nth FROM pairs) WHERE nth = 1)"""
+
+
+def _bulges(spark, sf_dir, best: bool = True) -> DataFrame:
+    found = paths.bulge_pairs(paths.khop(collapsed_of(spark, sf_dir), 3), 0.8)
+    return paths.best_pairs(found) if best else found
+
+
+_SHOW_PAIRS = "SELECT s AS start, e AS \"end\", key1, key2, CAST(n_edges AS INTEGER) AS n_edges, round(identity, 6) AS identity FROM {}"
+
+
+@query(rec(_pairs(3, 0.8), _SHOW_PAIRS.format("pairs")))
+def bulge_pairs(spark, sf_dir):
+    return _bulges(spark, sf_dir, False).select("start", "end", "key1", "key2", "n_edges", F.round("identity", 6).alias("identity"))
+
+
+@query(rec(_pairs(3, 0.8), _SHOW_PAIRS.format("best")))
+def bulge_best_pair(spark, sf_dir):
+    return _bulges(spark, sf_dir).select("start", "end", "key1", "key2", "n_edges", F.round("identity", 6).alias("identity"))
+
+
+@query(rec(f"{_pairs(3, 0.8)}, lg AS (SELECT s, e, array_to_string(n[2 : len(n) - 1], ',') AS inside FROM (SELECT s, e, nodes1 AS n FROM best UNION ALL SELECT s, e, nodes2 FROM best) WHERE len(n) > 2)", "SELECT DISTINCT a.s AS start, a.e AS \"end\" FROM lg a JOIN lg b USING (inside) WHERE a.s = b.s AND a.e <> b.e OR a.s <> b.s AND a.e = b.e"))
+def bulge_conflicts(spark, sf_dir):
+    return paths.conflicts(_bulges(spark, sf_dir))
+
+
+def _security(level: int) -> str:
+    inside = lambda i: f"""m{i} AS MATERIALIZED (SELECT DISTINCT key1, key2 FROM (SELECT x.key1, x.key2 FROM il{i} x JOIN d ON d.id = x.id JOIN il{i} y ON x.key1 = y.key1 AND x.key2 = y.key2 AND y.at >= x.at JOIN d f ON f.id = y.id
+  WHERE d.n_in - CASE WHEN d.self_loops > 0 THEN 1 ELSE 0 END > 1 AND (f.n_out > 2 OR f.n_out = 2 AND f.self_loops = 0)))"""
+    inner = lambda i: f"il{i} AS MATERIALIZED (SELECT key1, key2, i AS at, nodes{i}[i] AS id FROM (SELECT key1, key2, nodes{i}, unnest(range(2, len(nodes{i}))) AS i FROM best))"
+    free = lambda i: f"(key1, key2) NOT IN (SELECT (key1, key2) FROM m{i})"
+    return rec(f"{_pairs(3, 0.8)}, {deg('d', 'cg')}, {inner(1)}, {inner(2)}, {inside(1)}, {inside(2)}", f"SELECT s AS start, e AS \"end\", key1, key2 FROM best WHERE {free(1)} {'AND' if level == 3 else 'OR'} {free(2)}")
+
+
+def _secure(spark, sf_dir, level):
+    e = collapsed_of(spark, sf_dir)
+    return paths.secure(paths.with_security(_bulges(spark, sf_dir), degree.degrees(e)), level).select("start", "end", "key1", "key2")
+
+
+@query(_security(3))
+def bulge_security_3(spark, sf_dir):
+    return _secure(spark, sf_dir, 3)
+
+
+@query(_security(2))
+def bulge_security_2(spark, sf_dir):
+    return _secure(spark, sf_dir, 2)
+
+
+_UNSAFE = f"""{_hops(3)}, {deg('d', 'cg')}, kp AS MATERIALIZED (SELECT array_to_string(labels, ',') AS key, labels, min_cov FROM paths), po AS MATERIALIZED (SELECT key, min_cov, len(labels) AS n, i, labels[i] AS label FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS i FROM kp)),
+pe AS (SELECT po.*, cg.src, cg.dst, cg.multiplicity - 0.1 < min_cov AS spent FROM po JOIN cg USING (label)),
+bad AS (SELECT DISTINCT key FROM (SELECT key, spent, dst AS id, true AS enters FROM pe WHERE i < n UNION ALL SELECT key, spent, src, false FROM pe WHERE i > 1) JOIN d USING (id) WHERE spent AND CASE WHEN enters THEN legs_in = 1 ELSE legs_out = 1 END OR self_loops > 0)"""
+
+
+@query(rec(_UNSAFE, "SELECT key, key NOT IN (SELECT key FROM bad) AS safe FROM kp"))
+def safe_to_extract(spark, sf_dir):
+    e = collapsed_of(spark, sf_dir)
+    p = paths.khop(e, 3).withColumn("key", F.array_join("labels", ","))
+    bad = paths.unsafe_steps(p, e, degree.degrees(e)).withColumn("bad", F.lit(True))
+    return p.join(bad, "key", "left").select("key", F.col("bad").isNull().alias("safe"))
+
+
+@query(rec(f"{_hops(3)}, ar AS (SELECT *, list_transform(range(1, len(nodes)), lambda i: nodes[i] || '>' || nodes[i + 1]) AS steps, list_transform(range(1, len(nodes)), lambda i: {RN('nodes[i + 1]')} || '>' || {RN('nodes[i]')}) AS back FROM paths)", "SELECT array_to_string(labels, ',') AS key, round(CASE WHEN list_has_any(steps, back) THEN min_cov / 2 ELSE min_cov END, 6) AS usable_cov FROM ar"))
+def palindromic_halving(spark, sf_dir):
+    return paths.self_reverse_halved(paths.khop(collapsed_of(spark, sf_dir), 3)).select(F.array_join("labels", ",").alias("key"), F.round("usable_cov", 6).alias("usable_cov"))
+
+
+@query(rec(f"{_hops(2)}, tw AS MATERIALIZED (SELECT a.label, b.label AS rc_label FROM cg a JOIN cg b ON b.src = {RN('a.dst')} AND b.dst = {RN('a.src')} AND b.sequence = {RC('a.sequence')}), po AS (SELECT array_to_string(labels, ',') AS key, i, labels[i] AS label FROM (SELECT labels, unnest(range(1, len(labels) + 1)) AS i FROM paths))", "SELECT key, string_agg(rc_label, ',' ORDER BY i DESC) AS rc_labels FROM po JOIN tw USING (label) GROUP BY key"))
+def reverse_paths(spark, sf_dir):
+    e = collapsed_of(spark, sf_dir)
+    p = paths.khop(e, 2).withColumn("key", F.array_join("labels", ","))
+    return paths.reverse_labels(p, e).select("key", F.array_join("rc_labels", ",").alias("rc_labels"))
+
+
+# ---- whirls, tips, broken bulges
+
+
+def _whirls(spark) -> DataFrame:
+    e = motif(spark, "whirls")
+    return whirl.classified(whirl.cycles(e), e)
+
+
+_WHIRLS = f"{motifs.sql('whirls')}, {deg('d', 'mg')}"
+
+
+@query(rec(f"{_WHIRLS}, one AS (SELECT src FROM mg GROUP BY src HAVING count(*) = 1), two AS (SELECT a.src AS start, a.label AS l1, b.label AS l2, a.length + b.length AS length, least(a.multiplicity, b.multiplicity) AS min_cov, a.multiplicity AS m1, b.multiplicity AS m2, a.dst AS mid FROM mg a JOIN mg b ON a.dst = b.src AND b.dst = a.src WHERE a.src <> a.dst AND b.src IN (SELECT src FROM one))", "SELECT start, l1 || ',' || l2 AS labels, length, min_cov, NOT (m1 - 0.1 < min_cov AND d.legs_in = 1 OR m2 - 0.1 < min_cov AND d.legs_out = 1) AS safe FROM two JOIN d ON d.id = mid"))
+def whirl_2cycle(spark, sf_dir):
+    return _whirls(spark).filter(F.size("labels") == 2).select("start", F.array_join("labels", ",").alias("labels"), "length", "min_cov", "safe")
+
+
+@query()
+def whirl_cycles(spark, sf_dir):
+    return _whirls(spark).select("start", F.array_join("nodes", ",").alias("nodes"), "length", "min_cov", "safe")
+
+
+_TIPS = f"""{COLLAPSED}, {deg('d', 'cg')}, sink AS (SELECT id FROM d WHERE n_out = 0 AND n_in = 1 AND legs_in = 1),
+tp AS (SELECT src, label AS tip, length AS tl, multiplicity AS tc, sequence AS ts FROM cg WHERE dst IN (SELECT id FROM sink)), sb AS (SELECT src, label AS edge, length AS el, multiplicity AS ec, sequence AS es FROM cg WHERE dst NOT IN (SELECT id FROM sink)),
+tc AS (SELECT *, least(length(ts), length(es)) - {K} AS n FROM tp JOIN sb USING (src) WHERE NOT (tl > el AND el / tl < 0.9) AND tc <= ec * 0.8),
+sc AS (SELECT *, CASE WHEN n > 0 THEN 1 - levenshtein(substr(ts, {K + 1}, n), substr(es, {K + 1}, n)) / n END AS sim FROM tc)"""
+
+
+def _tips(spark, sf_dir, exact: bool) -> DataFrame:
+    e = collapsed_of(spark, sf_dir)
+    return tips.similarities(tips.candidates(e, None, 0.8), e, K, exact=exact)
+
+
+@query(rec(f"{_TIPS}, bs AS (SELECT *, row_number() OVER (PARTITION BY tip ORDER BY sim DESC, edge) AS nth FROM sc WHERE sim >= 0.5)", "SELECT tip, edge, round(sim, 6) AS similarity FROM bs WHERE nth = 1"))
+def tip_best_sibling(spark, sf_dir):
+    return tips.best_siblings(_tips(spark, sf_dir, False), 0.5).select("tip", "edge", F.round("similarity", 6).alias("similarity"))
+
+
+@query(rec(f"{_TIPS}, bs AS (SELECT *, row_number() OVER (PARTITION BY tip ORDER BY sim DESC, edge) AS nth FROM sc WHERE sim >= 0.5)", "SELECT edge AS label, round(sum(tc * tl / el), 6) AS amount FROM bs WHERE nth = 1 GROUP BY edge"))
+def tip_merge_delta(spark, sf_dir):
+    _, sums = tips.merged(tips.best_siblings(_tips(spark, sf_dir, False), 0.5))
+    return sums.groupBy("label").agg(F.round(F.sum("amount"), 6).alias("amount"))
+
+
+@query()
+def tip_aligned_sibling(spark, sf_dir):
+    return tips.best_siblings(_tips(spark, sf_dir, True), 0.5).select("tip", "edge", F.round("similarity", 6).alias("similarity"))
+
+
+@query(rec(f"{COLLAPSED}, {deg('d', 'cg')}, tp AS (SELECT * FROM cg WHERE dst IN (SELECT id FROM d WHERE n_out = 0 AND n_in = 1 AND legs_in = 1)), kp AS (SELECT *, first_value(label) OVER w AS keep, first_value(length) OVER w AS keep_length FROM tp WINDOW w AS (PARTITION BY src ORDER BY length DESC, label))", "SELECT src, keep, label AS tip, keep_length, length AS tip_length FROM kp WHERE label <> keep"))
+def tip_tip_merge(spark, sf_dir):
+    return tips.tip_groups(collapsed_of(spark, sf_dir))
+
+
+_BROKEN = f"""{UNITIGS}, {deg('d', 'ug')}, single AS (SELECT src, dst, any_value(length) AS length FROM ug WHERE src <> dst GROUP BY src, dst HAVING count(*) = 1),
+ot AS (SELECT src, arg_min(dst, label) AS o_node, min(label) AS o, arg_min(length, label) AS ol FROM ug WHERE dst IN (SELECT id FROM d WHERE n_out = 0 AND n_in = 1 AND legs_in = 1) GROUP BY src),
+it AS (SELECT dst, arg_min(src, label) AS i_node, min(label) AS i, arg_min(length, label) AS il FROM ug WHERE src IN (SELECT id FROM d WHERE n_in = 0 AND n_out = 1 AND legs_out = 1) GROUP BY dst)"""
+
+
+@query(rec(_BROKEN, "SELECT src, dst, o AS out_tip, i AS in_tip, o_node AS out_node, i_node AS in_node, round(least(ol + il, length) / greatest(ol + il, length), 6) AS ratio FROM single JOIN ot USING (src) JOIN it USING (dst) WHERE o_node <> dst AND i_node <> src AND least(ol + il, length) / greatest(ol + il, length) >= 0.3"))
+def broken_bulge_candidates(spark, sf_dir):
+    return tips.broken_bulges(unitigs_of(spark, sf_dir), 0.3).withColumn("ratio", F.round("ratio", 6))
+
+
+# ---- evidence and strands
+
+_REFS = f"""{UNITIGS}, {deg('d', 'ug')}, site AS MATERIALIZED (SELECT id FROM d WHERE n_in = 2 AND n_out = 2 AND self_loops = 0),
+rf AS MATERIALIZED (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS ref, substr(s, i, {K + 1}) AS first FROM (SELECT doc_id, s, unnest(range(1, length(s) - {K} + 1)) AS i FROM reads)),
+er AS MATERIALIZED (SELECT label, src, dst, multiplicity, ref FROM ug JOIN rf ON first = substr(sequence, 1, {K + 1})),
+ev AS (SELECT DISTINCT i.dst AS id, i.label AS in_label, o.label AS out_label, i.multiplicity AS ci, o.multiplicity AS co FROM ug i JOIN ug o ON i.dst = o.src WHERE i.dst IN (SELECT id FROM site)),
+su AS (SELECT i.dst AS id, i.label AS in_label, o.label AS out_label, count(*) AS n FROM er i JOIN er o ON i.dst = o.src AND i.ref = o.ref WHERE i.dst IN (SELECT id FROM site) GROUP BY ALL),
+mx AS MATERIALIZED (SELECT ev.*, coalesce(n, 0) AS support FROM ev LEFT JOIN su USING (id, in_label, out_label))"""
+
+
+def _matrix(spark, sf_dir) -> DataFrame:
+    e = lineage(spark, sf_dir)
+    return decouple.support(e, degree.two_in_two_out_nodes(degree.degrees(e)))
+
+
+@query(rec(_REFS, "SELECT id, in_label, out_label, support, round(ci, 6) AS cov_in, round(co, 6) AS cov_out FROM mx"))
+def evidence_support_matrix(spark, sf_dir):
+    return _matrix(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("cov_in", "cov_out")})
+
+
+_ACCEPT = f"""{_REFS}, ro AS (SELECT id, list({{'i': in_label, 'o': out_label, 's': support, 'ci': ci, 'co': co}} ORDER BY in_label, out_label) AS m FROM mx GROUP BY id HAVING count(*) = 4),
+fl AS (SELECT id, m, m[1].s > 0 AND m[4].s > 0 AND m[2].s = 0 AND m[3].s = 0 AS straight, m[2].s > 0 AND m[3].s > 0 AND m[1].s = 0 AND m[4].s = 0 AS crossed FROM ro),
+ac AS (SELECT id, crossed, m[1].i AS in1, m[3].i AS in2, CASE WHEN crossed THEN m[2].o ELSE m[1].o END AS out1, CASE WHEN crossed THEN m[1].o ELSE m[2].o END AS out2, m[1].ci AS ci1, m[3].ci AS ci2, CASE WHEN crossed THEN m[2].co ELSE m[1].co END AS co1, CASE WHEN crossed THEN m[1].co ELSE m[2].co END AS co2 FROM fl WHERE straight OR crossed)"""
+
+
+@query(rec(_ACCEPT, "SELECT id, crossed, in1, in2, out1, out2 FROM ac WHERE abs(ci1 - co1) / least(ci1, co1) <= 0.5 AND abs(ci2 - co2) / least(ci2, co2) <= 0.5"))
+def evidence_accept(spark, sf_dir):
+    return decouple.accepted(_matrix(spark, sf_dir)).select("id", "crossed", "in1", "in2", "out1", "out2")
+
+
+@query(rec(f"{_REFS}, rr AS (SELECT dst AS id, label, ref FROM er WHERE dst IN (SELECT id FROM site))", "SELECT id, label, ref FROM rr WHERE (id, ref) NOT IN (SELECT (id, ref) FROM rr GROUP BY id, ref HAVING count(*) > 1)"))
+def ref_dedupe(spark, sf_dir):
+    e = lineage(spark, sf_dir)
+    sites = degree.two_in_two_out_nodes(degree.degrees(e)).select(F.col("id").alias("dst"))
+    return decouple.unique_refs(e.join(sites, "dst", "left_semi").select(F.col("dst").alias("id"), "label", F.explode("ref_ids").alias("ref")))
+
+
+@query()
+def evidence_greedy_matching(spark, sf_dir):
+    return decouple.greedy_matching(_matrix(spark, sf_dir)).withColumn("coverage", F.round("coverage", 6))
+
+
+@query(rec(f"{UNITIGS}, {deg('d', 'ug')}, hd AS (SELECT id FROM d WHERE n_in = 2 AND n_out = 1 AND self_loops = 0), stp AS MATERIALIZED (SELECT DISTINCT src, dst, n_out, self_loops FROM ug JOIN d ON d.id = dst WHERE n_in = 1), wk AS (SELECT id AS head, id AS here, 0 AS n, false AS done FROM hd UNION ALL SELECT w.head, s.dst, w.n + 1, s.n_out = 2 FROM wk w JOIN stp s ON s.src = w.here WHERE NOT w.done AND w.n < 12 AND (s.n_out = 2 AND s.self_loops = 0 OR s.n_out = 1 AND s.dst <> w.head))", "SELECT head, here AS tail FROM wk WHERE done"))
+def unary_chain_2x2(spark, sf_dir):
+    return decouple.unary_chains(unitigs_of(spark, sf_dir))
+
+
+@query(rec(f"{motifs.sql('strands')}, wi AS (SELECT dst AS head, list_sort(list(DISTINCT src)) AS i FROM mg GROUP BY dst), wo AS (SELECT src AS tail, list_sort(list(DISTINCT dst)) AS o FROM mg GROUP BY src), mt AS (SELECT DISTINCT head, tail, i, o FROM mg JOIN wi ON head = src JOIN wo ON tail = dst WHERE len(i) = 2 AND len(o) = 2 AND (SELECT count(DISTINCT dst) FROM mg x WHERE x.src = head) = 1 AND (SELECT count(DISTINCT src) FROM mg y WHERE y.dst = tail) = 1), f AS (SELECT *, i[1] = {RN('o[1]')} OR i[2] = {RN('o[2]')} AS direct, i[1] = {RN('o[2]')} OR i[2] = {RN('o[1]')} AS crossed FROM mt WHERE NOT list_contains(i, {RN('head')}) AND NOT list_contains(o, {RN('tail')}))", "SELECT head, tail, i[1] AS in0, i[2] AS in1, CASE WHEN direct THEN o[1] ELSE o[2] END AS out0, CASE WHEN direct THEN o[2] ELSE o[1] END AS out1 FROM f WHERE direct OR crossed"))
+def rc_decouple_candidates(spark, sf_dir):
+    e = motif(spark, "strands")
+    return decouple.strand_sites(e, decouple.unary_chains(e))
+
+
+# ---- intervals
+
+_ALN = """al AS (SELECT user_id AS query, event_type AS ref_id, CAST(floor(epoch(ts)) AS BIGINT) AS ref_start, CAST(floor(epoch(ts)) AS BIGINT) + CAST(floor(abs(value)) AS BIGINT) % 5000 + 1 AS ref_end, CAST(floor(abs(value)) AS BIGINT) % 5000 + 1 AS length, 1.0 - (event_id % 100) / 1000 AS identity FROM events WHERE value IS NOT NULL AND ts IS NOT NULL),
+r1 AS (SELECT *, max(ref_end) OVER (PARTITION BY query, ref_id ORDER BY ref_start, ref_end DESC, identity DESC, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM al),
+r2 AS (SELECT *, sum(CASE WHEN reached IS NULL OR ref_start >= reached + 100000 THEN 1 ELSE 0 END) OVER (PARTITION BY query, ref_id ORDER BY ref_start, ref_end DESC, identity DESC, length ROWS UNBOUNDED PRECEDING) AS island FROM r1 WHERE reached IS NULL OR ref_end > reached),
+mi AS (SELECT query, ref_id, min(ref_start) AS ref_start, max(ref_end) AS ref_end, sum(length) AS length, CASE WHEN count(*) = 1 THEN max(identity) ELSE sum(identity * length) / nullif(sum(length), 0) END AS identity FROM r2 GROUP BY query, ref_id, island)"""
+
+
+def _merged(spark, sf_dir) -> DataFrame:
+    return intervals.merge(fixtures.alignments(spark.read.parquet(f"{sf_dir}/events.parquet")))
+
+
+@query(f"WITH {_ALN} SELECT query, ref_id, ref_start, ref_end, CAST(length AS BIGINT) AS length, round(identity, 6) AS identity FROM mi")
+def interval_merge(spark, sf_dir):
+    return _merged(spark, sf_dir).withColumn("identity", F.round("identity", 6))
+
+
+@query(f"WITH {_ALN}, ln AS (SELECT query, max(ref_end) - min(ref_start) AS n FROM al GROUP BY query) SELECT query || chr(9) || ref_id || chr(9) || CAST(CAST(length AS BIGINT) AS VARCHAR) || '(' || ref_start || '-' || ref_end || ')' AS value FROM mi JOIN ln USING (query) WHERE NOT contains(ref_id, 'tig') AND ref_end - ref_start > n / 10")
+def interval_filtered(spark, sf_dir):
+    aln = fixtures.alignments(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    lengths = aln.groupBy("query").agg((F.max("ref_end") - F.min("ref_start")).alias("contig_length"))
+    lines = export.summary_lines(intervals.wide_enough(intervals.merge(aln), lengths))
+    return lines.select(F.substring_index("value", "\t", 3).alias("value"))
+
+
+_RECORDS = "rec AS (SELECT 'n' || (event_id % 50) || '.1_m' || (user_id % 50) || '.2' AS query_name, 'ctg_' || event_type AS reference_name, event_id % 11 = 0 AS is_unmapped, user_id % 2 = 0 AS is_forward, event_id % 1000 AS ref_start, event_id % 1000 + 50 + user_id % 100 AS ref_end, CAST(5000 AS BIGINT) AS ref_length, 50 + user_id % 100 AS query_alignment_length, CASE WHEN event_id % 3 = 0 THEN event_id % 7 END AS nm, CASE WHEN event_id % 3 = 1 THEN event_id % 5 END AS mismatches FROM events)"
+
+
+@query(f"""WITH {_RECORDS}, f AS (SELECT *, (query_alignment_length - coalesce(nm, mismatches, 0)) / query_alignment_length AS identity FROM rec WHERE NOT is_unmapped), h AS (SELECT *, split_part(query_name, '_', 1) AS query, NOT is_forward AS rev FROM f WHERE identity >= 0.95 UNION ALL SELECT *, split_part(query_name, '_', 2), is_forward FROM f WHERE identity >= 0.95)
+SELECT query, CASE WHEN rev THEN '-' ELSE '' END || split_part(reference_name, '_', 2) AS ref_id, CASE WHEN rev THEN ref_length - ref_end ELSE ref_start END AS ref_start, CASE WHEN rev THEN ref_length - ref_start ELSE ref_end END AS ref_end, query_alignment_length AS length, round(identity, 6) AS identity FROM h""")
+def alignment_scan(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e, u = F.col("event_id"), F.col("user_id")
+    rec_ = ev.select(
+        F.concat(F.lit("n"), e % 50, F.lit(".1_m"), u % 50, F.lit(".2")).alias("query_name"), F.concat(F.lit("ctg_"), "event_type").alias("reference_name"), (e % 11 == 0).alias("is_unmapped"), (u % 2 == 0).alias("is_forward"),
+        (e % 1000).alias("ref_start"), (e % 1000 + 50 + u % 100).alias("ref_end"), F.lit(5000).cast("bigint").alias("ref_length"), (u % 100 + 50).alias("query_alignment_length"), F.when(e % 3 == 0, e % 7).alias("nm"), F.when(e % 3 == 1, e % 5).alias("mismatches"),
+    )
+    return intervals.oriented(intervals.filtered(rec_, 0.95)).withColumn("identity", F.round("identity", 6))
+
+
+# ---- edit distance
+
+_PAIRS = f"{READS}, vs AS (SELECT a.doc_id, a.s AS a, b.s AS b, b.kind FROM one a JOIN one b USING (doc_id) WHERE a.kind = 'base' AND b.kind <> 'base')"
+
+
+def _read_pairs(spark, sf_dir) -> DataFrame:
+    r = fixtures.reads(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).groupBy("doc_id", "kind").agg(F.collect_list("s").alias("x"))
+    doc = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.translate(F.concat(F.md5("text"), F.md5(F.concat("text", F.lit("x")))), "0123456789abcdef", "ACGTACGTACGTACGT").alias("a"))
+    del r
+    cut = F.concat(F.substr("a", F.lit(1), F.lit(19)), F.substr("a", F.lit(21)))
+    swap = F.concat(F.substr("a", F.lit(1), F.lit(31)), F.translate(F.substr("a", F.lit(32), F.lit(1)), "ACGT", "CGTA"), F.substr("a", F.lit(33)))
+    made = F.filter(F.array(F.when(F.col("doc_id") % 2 == 0, F.struct(F.lit("substituted").alias("kind"), swap.alias("b"))), F.when(F.col("doc_id") % 5 == 0, F.struct(F.lit("deleted").alias("kind"), cut.alias("b")))), lambda x: x.isNotNull())
+    return doc.select("doc_id", "a", F.explode(made).alias("p")).select("doc_id", "a", "p.b", "p.kind")
+
+
+@query(f"WITH {_PAIRS} SELECT doc_id, kind, levenshtein(a, b) AS distance, CASE WHEN levenshtein(a, b) <= 0 THEN levenshtein(a, b) ELSE -1 END AS bounded FROM vs")
+def levenshtein_pairs(spark, sf_dir):
+    return _read_pairs(spark, sf_dir).select("doc_id", "kind", alignment.distance("a", "b").cast("bigint").alias("distance"), alignment.distance("a", "b", 0).cast("bigint").alias("bounded"))
+
+
+@query("SELECT doc_id, (doc_id % 90) + (doc_id % 7) + 1 AS matches FROM documents")
+def cigar_m_count(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat((F.col("doc_id") % 90).cast("string"), F.lit("M3I"), (F.col("doc_id") % 7 + 1).cast("string"), F.lit("M2D")).alias("cigar"))
+    return c.select("doc_id", alignment.cigar_matches("cigar").alias("matches"))
+
+
+@query(f"WITH {_PAIRS} SELECT doc_id, kind, len(list_distinct(string_split(a || b, ''))) AS letters FROM vs")
+def alphabet_size(spark, sf_dir):
+    return _read_pairs(spark, sf_dir).select("doc_id", "kind", alignment.alphabet("a", "b").cast("bigint").alias("letters"))
+
+
+def _aligned(spark, sf_dir, mode: str, query_: str) -> DataFrame:
+    return _read_pairs(spark, sf_dir).select("doc_id", "kind", alignment.aligned(F.expr(query_), "b", mode).alias("r")).select("doc_id", "kind", "r.*")
+
+
+@query(f"WITH {_PAIRS} SELECT doc_id, kind, levenshtein(a, b) AS distance, CASE kind WHEN 'deleted' THEN 63 ELSE 64 END AS aligned_columns FROM vs")
+def aligned_columns(spark, sf_dir):
+    return _aligned(spark, sf_dir, "NW", "a").select("doc_id", "kind", F.col("distance").cast("bigint").alias("distance"), "aligned_columns")
+
+
+@query()
+def edit_prefix(spark, sf_dir):
+    return _aligned(spark, sf_dir, "SHW", "substr(a, 1, 40)")
+
+
+@query()
+def edit_infix(spark, sf_dir):
+    return _aligned(spark, sf_dir, "HW", "substr(a, 12, 40)")
+
+
+# ---- files
+
+
+@query(rec(UNITIGS, f"SELECT '\"' || a.src || '\" -> \"' || a.dst || '\" [label=\"' || a.label || ' ' || substr(a.sequence, {K + 1}, 1) || ' ' || a.length || '(' || CAST(round(a.multiplicity) AS BIGINT) || ')\" color=\"black\"]' AS value FROM ug a"))
+def dot_export(spark, sf_dir):
+    return export.dot_lines(unitigs_of(spark, sf_dir), rounded=True)
+
+
+_TWIN = f"tw AS (SELECT a.*, b.label AS rc_label FROM ug a JOIN ug b ON b.src = {RN('a.dst')} AND b.dst = {RN('a.src')} AND b.sequence = {RC('a.sequence')})"
+
+
+@query(rec(f"{UNITIGS}, {_TWIN}", f"SELECT '>' || label || '_' || {RN('split_part(rc_label, chr(46), 1)')} || '.' || split_part(rc_label, '.', 2) || chr(10) || sequence AS value FROM tw WHERE label <= rc_label"))
+def fasta_export(spark, sf_dir):
+    return export.fasta_lines(unitigs_of(spark, sf_dir))
+
+
+@query(rec(f"{UNITIGS}, {_TWIN}", "SELECT '>' || label || '_' || rc_label || ' ' || length || chr(10) || src || '->(' || label || ')->' || dst AS value FROM tw WHERE label <= rc_label"))
+def path_export(spark, sf_dir):
+    e = unitigs_of(spark, sf_dir).withColumns({"path_nodes": F.array("src", "dst"), "path_edges": F.array("label")})
+    return export.path_lines(e)
+
+
+@query(rec(UNITIGS, "SELECT src, dst, label, substr(sequence, 14, 1) AS start_base, length, CAST(round(multiplicity) AS DOUBLE) AS multiplicity FROM ug"))
+def dot_parse(spark, sf_dir):
+    return text.dot_edges(export.dot_lines(unitigs_of(spark, sf_dir), rounded=True))
+
+
+@query(rec(f"{UNITIGS}, {_TWIN}", "SELECT label, rc_label, sequence FROM tw"))
+def fasta_parse(spark, sf_dir):
+    lines = export.fasta_lines(unitigs_of(spark, sf_dir))
+    parts = lines.select(F.split("value", "\n").alias("p")).select(F.substr(F.get("p", F.lit(0)), F.lit(2)).alias("header"), F.get("p", F.lit(1)).alias("sequence"))
+    return text.edge_sequences(parts)
+
+
+@query(rec(f"{UNITIGS}, kp AS (SELECT id FROM (SELECT src AS id FROM ug UNION SELECT dst FROM ug) WHERE id LIKE 'A%')", "SELECT src, dst, label FROM ug WHERE src IN (SELECT id FROM kp) OR dst IN (SELECT id FROM kp)"))
+def retained_export(spark, sf_dir):
+    e = unitigs_of(spark, sf_dir)
+    return export.retained(e, model.Graph(e, K).nodes().filter("id like 'A%'")).select("src", "dst", "label")
+
+
+@query(rec(UNITIGS, "SELECT (SELECT count(*) FROM (SELECT src FROM ug UNION SELECT dst FROM ug)) AS n_nodes, count(*) AS n_edges, round(sum(multiplicity), 3) AS coverage FROM ug"))
+def graph_counts(spark, sf_dir):
+    return export.counts(unitigs_of(spark, sf_dir)).withColumn("coverage", F.round("coverage", 3))
+
+
+@query("WITH f AS (SELECT string_split('e' || (event_id % 40) || ' ' || event_type || ' ' || user_id || ' 0.9', ' ') AS f FROM events WHERE event_id % 9 <> 0) SELECT f[1] AS query, f[2] AS ref, f[3] AS aligned, f[4] AS identity FROM f")
+def summary_parse(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    whole = F.concat_ws("\t", F.concat(F.lit("e"), F.col("event_id") % 40), "event_type", F.col("user_id").cast("string"), F.lit("0.9"))
+    return text.summary(ev.select(F.when(F.col("event_id") % 9 == 0, F.col("event_type")).otherwise(whole).alias("value")))
+
+
+# ---- views and walks
+
+
+@query(rec(f"{UNITIGS}, sh AS MATERIALIZED (SELECT * FROM ug WHERE length <= 12 AND src <> dst AND dst <> {RN('src')}), ln AS MATERIALIZED (SELECT src AS a, dst AS b FROM sh UNION SELECT dst, src FROM sh), cc AS (SELECT DISTINCT a AS id, a AS c FROM ln UNION SELECT l.b, cc.c FROM cc JOIN ln l ON l.a = cc.id), cm AS MATERIALIZED (SELECT id, min(c) AS comp FROM cc GROUP BY id), ic AS (SELECT dst AS id, sum(multiplicity) AS cov FROM ug GROUP BY dst), tp AS (SELECT comp, id, row_number() OVER (PARTITION BY comp ORDER BY round(coalesce(cov, 0), 9) DESC, id) AS nth FROM cm LEFT JOIN ic USING (id))", "SELECT x.comp, n_edges, total_length, tp.id AS max_node FROM (SELECT comp, count(*) AS n_edges, CAST(sum(length) AS BIGINT) AS total_length FROM sh JOIN cm ON cm.id = src GROUP BY comp) x JOIN tp ON tp.comp = x.comp AND nth = 1"))
+def contract_short_edges(spark, sf_dir):
+    return contract.contracted_nodes(unitigs_of(spark, sf_dir), 12)
+
+
+@query(rec(f"{UNITIGS}, gn AS (SELECT 'g' || doc_id AS name, s AS genome FROM b WHERE doc_id % 50 = 0)", f"SELECT label, string_agg(DISTINCT name, ',' ORDER BY name) AS genomes FROM ug JOIN gn ON contains(genome, sequence) OR contains(genome, {RC('sequence')}) WHERE length(sequence) >= 24 GROUP BY label"))
+def contains_join(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    genomes = docs.filter(F.col("doc_id") % 50 == 0).select(F.concat(F.lit("g"), "doc_id").alias("name"), F.translate(F.concat(F.md5("text"), F.md5(F.concat("text", F.lit("x")))), "0123456789abcdef", "ACGTACGTACGTACGT").alias("sequence"))
+    return contract.coloured(unitigs_of(spark, sf_dir), genomes)
+
+
+@query(rec(f"{UNITIGS}, sm AS (SELECT src || '.1' AS q, 'chr' || (1 + length % 3) AS ref FROM ug WHERE length > 20), rf AS (SELECT q, string_agg(DISTINCT ref, ',' ORDER BY ref) AS refs FROM sm GROUP BY q)", "SELECT label, coalesce(refs, 'old') AS refs FROM ug LEFT JOIN rf ON q = label"))
+def color_join(spark, sf_dir):
+    e = unitigs_of(spark, sf_dir).withColumn("ref_ids", F.array(F.lit("old")))
+    summary = e.filter("length > 20").select(F.concat("src", F.lit(".1")).alias("query"), F.concat(F.lit("chr"), 1 + F.col("length") % 3).alias("ref"))
+    return intervals.annotated(e, summary).select("label", F.array_join("ref_ids", ",").alias("refs"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '#e6194b' WHEN 1 THEN '#911eb4' WHEN 2 THEN '' ELSE '#3cb44b' END AS colour FROM events")
+def colour_map(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.element_at(F.array(*map(F.lit, ("chr1", "-chrX", "other", "-chr2"))), (F.col("event_id") % 4 + 1).cast("int")).alias("ref"))
+    return ev.select("event_id", contract.colour("ref").alias("colour"))
+
+
+_WALK = "wk AS (SELECT l_orderkey AS walk, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS pos, l_partkey + 1 AS node FROM lineitem WHERE l_orderkey % 32 = 0), stp AS (SELECT * FROM (SELECT walk, pos, node, lead(node) OVER (PARTITION BY walk ORDER BY pos) AS next FROM wk) WHERE next IS NOT NULL)"
+
+
+@query(f"WITH {_WALK} SELECT node AS src, next AS dst, string_agg(walk || ':' || pos, ',' ORDER BY walk, pos) AS positions FROM stp GROUP BY node, next")
+def genome_walk_positions(spark, sf_dir):
+    return walk.edge_orders(walks(spark, sf_dir))
+
+
+@query(f"WITH {_WALK}, st AS (SELECT arg_min(node, (walk, pos)) AS a, arg_min(next, (walk, pos)) AS b FROM stp) SELECT walk, CAST(pos AS INTEGER) AS pos FROM stp, st WHERE node = a AND next = b")
+def walk_find_path(spark, sf_dir):
+    w = walks(spark, sf_dir)
+    first = walk.steps(w).orderBy("walk", "pos").limit(1).collect()
+    return walk.find_path(w, [first[0]["node"], first[0]["next"]] if first else [None, None])
+
+
+@query(f"WITH {_WALK}, e AS (SELECT CAST(node AS VARCHAR) AS src, CAST(next AS VARCHAR) AS dst FROM stp UNION ALL SELECT CAST(-next AS VARCHAR), CAST(-node AS VARCHAR) FROM stp) SELECT src, dst, CAST(count(*) AS DOUBLE) AS multiplicity FROM e GROUP BY src, dst")
+def walk_graph(spark, sf_dir):
+    return fixtures.walk_edges(walks(spark, sf_dir))
+
+
+# ---- whole plans
+
+
+@query()
+def complex_bulge_round(spark, sf_dir):
+    graph, _ = simplify.complex_bulges(model.Graph(collapsed_of(spark, sf_dir), K), 3, 0.8, 3)
+    return shown(graph.edges)
+
+
+@query()
+def graph_simplify_full(spark, sf_dir):
+    """Compaction and the main stages, with coverage thresholds for inputs in which a document gives one read."""
+    plan = {s.name: s for s in simplify.stages(floor=0.0, least=(1.05, 1.05), hops=(2, 2, 3))}
+    some = [plan[n] for n in ("simple_bulges", "complex_3.1", "broken_bulges", "coverage_1", "tips_1", "strands")]
+    return shown(simplify.simplify(model.Graph(raw(spark, sf_dir), K), some).edges)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+__all__ = ["queries", "oracle_sql", "written"]
