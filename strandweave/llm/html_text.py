@@ -176,7 +176,7 @@ def repeated(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     while reach < run and n:
         step = min(reach, run - reach)
         after = np.full(n, -1, np.int64)
-        after[: n - step] = rank[step:]
+        after[: max(n - step, 0)] = rank[step:]
         rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
         reach += step
     if not n:
