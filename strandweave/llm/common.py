@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +91,64 @@ def fold(column: str, folds: int):
 def bounded_sample(keys: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows of ``keys``, by a hash of ``key``: a fixed choice, spread over the table."""
     return keys.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
+
+
+def text_batches(rows, batch_chars: int) -> Iterator[tuple[str, list[tuple[object, str | None]]]]:
+    """A task's rows (doc_id, text) as lists of about ``batch_chars`` characters, each with its key.
+
+    The key holds a checksum of the texts, so what one pass says of a batch meets only the very same texts in another."""
+    from pyspark import TaskContext
+
+    part, held, chars, n = TaskContext.get().partitionId(), [], 0, 0
+
+    def key() -> str:
+        sum_ = 0
+        for _, t in held:
+            sum_ = zlib.crc32((t or "").encode("utf-8", "surrogatepass"), sum_)
+        return f"{part}-{n}-{len(held)}-{sum_}"
+
+    for batch in rows:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held.append((doc, text))
+            chars += len(text or "")
+            if chars >= batch_chars:
+                yield key(), held
+                held, chars, n = [], 0, n + 1
+    if held:
+        yield key(), held
+
+
+def pack_texts(texts: list[str | None]) -> bytes:
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    return zlib.compress(np.array([len(r) for r in raw], np.int64).tobytes() + b"".join(raw), 1)
+
+
+def unpack_texts(packed: bytes, count: int) -> list[str]:
+    raw = zlib.decompress(packed)
+    sizes, at, out = np.frombuffer(raw[: 8 * count], np.int64), 8 * count, []
+    for s in sizes.tolist():
+        out.append(raw[at : at + s].decode("utf-8", "surrogatepass"))
+        at += s
+    return out
+
+
+def hash_slices(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Where the hash partitions' slices of sorted hashes begin and end: partitions are equal ranges of hashes."""
+    bounds = [-(-(p << 64) // parts) for p in range(1, parts)]
+    return np.concatenate([[0], np.searchsorted(hashes, np.array(bounds, np.uint64)), [len(hashes)]]).astype(np.int64)
+
+
+def pack_hashes(hashes: np.ndarray) -> bytes:
+    """Sorted distinct hashes as differences of as many bytes as the largest needs."""
+    steps = np.diff(hashes)
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    return bytes([width]) + hashes[:1].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack_hashes(packed: bytes) -> np.ndarray:
+    width = packed[0]
+    raw = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, width)
+    steps = np.zeros((len(raw) + 1, 8), np.uint8)
+    steps[0] = np.frombuffer(packed, np.uint8, 8, 1)
+    steps[1:, :width] = raw
+    return np.cumsum(steps.reshape(-1).view(np.uint64), dtype=np.uint64)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import hash_slices, pack_hashes, pack_texts, text_batches, tune, unpack_hashes, unpack_texts
 from .ngram_join import _K, _mix, word_hashes
 
 ORDER, ALPHA, LEAST = 2, 0.4, 2
@@ -56,51 +56,6 @@ def ngrams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]
     return sizes, np.array(rows)
 
 
-def _cut(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Where the hash partitions' slices of sorted hashes begin and end."""
-    bounds = [-(-(p << 64) // parts) for p in range(1, parts)]
-    return np.concatenate([[0], np.searchsorted(hashes, np.array(bounds, np.uint64)), [len(hashes)]]).astype(np.int64)
-
-
-def _batches(rows, batch_chars: int):
-    """Lists of (doc_id, text) of a task, by the texts' lengths, each with its key.
-
-    The key holds a checksum of the texts, so a batch cut anew meets only answers to the very same texts."""
-    from pyspark import TaskContext
-
-    part, held, chars, n = TaskContext.get().partitionId(), [], 0, 0
-
-    def key() -> str:
-        sum_ = 0
-        for _, t in held:
-            sum_ = zlib.crc32((t or "").encode("utf-8", "surrogatepass"), sum_)
-        return f"{part}-{n}-{len(held)}-{sum_}"
-
-    for batch in rows:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held.append((doc, text))
-            chars += len(text or "")
-            if chars >= batch_chars:
-                yield key(), held
-                held, chars, n = [], 0, n + 1
-    if held:
-        yield key(), held
-
-
-def _pack_texts(texts: list[str | None]) -> bytes:
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    return zlib.compress(np.array([len(r) for r in raw], np.int64).tobytes() + b"".join(raw), 1)
-
-
-def _unpack_texts(packed: bytes, count: int) -> list[str]:
-    raw = zlib.decompress(packed)
-    sizes, at, out = np.frombuffer(raw[: 8 * count], np.int64), 8 * count, []
-    for s in sizes.tolist():
-        out.append(raw[at : at + s].decode("utf-8", "surrogatepass"))
-        at += s
-    return out
-
-
 def score(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, batch_chars: int = BATCH_CHARS, partitions: int | None = None) -> DataFrame:
     """``doc_id, n_words, n_backed_off, log_score``: words, words scored by a shorter context than was there, and the mean log score."""
     spark = documents.sparkSession
@@ -110,18 +65,18 @@ def score(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, least:
     kind = dict(docs.dtypes)["doc_id"]
 
     def distinct(rows):
-        for key, held in _batches(rows, batch_chars):
+        for key, held in text_batches(rows, batch_chars):
             _, h = ngrams([t for _, t in held], order)
             found, counts = np.unique(h[h != 0], return_counts=True)
-            cut = _cut(found, parts)
+            cut = hash_slices(found, parts)
             used = np.flatnonzero(np.diff(cut)).tolist()
             for at in range(0, len(used), 16):
                 some = used[at : at + 16]
-                columns = [[key] * len(some), some, [found[cut[p] : cut[p + 1]].tobytes() for p in some], [counts[cut[p] : cut[p + 1]].astype(np.uint32).tobytes() for p in some]]
+                columns = [[key] * len(some), some, [pack_hashes(found[cut[p] : cut[p + 1]]) for p in some], [counts[cut[p] : cut[p + 1]].astype(np.uint32).tobytes() for p in some]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["batch", "part", "grams", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
-        asked = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")]
+        asked = [unpack_hashes(x.as_py()) for x in table.column("grams")]
         all_, own = np.unique(np.concatenate(asked), return_inverse=True)
         sums = np.bincount(own, np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")]).astype(np.float64), len(all_))
         each = np.split(sums[own].astype(np.int64), np.cumsum([len(a) for a in asked])[:-1])
@@ -129,8 +84,8 @@ def score(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, least:
         return pa.table({"batch": table.column("batch"), "part": table.column("part"), "sums": pa.array(packed, pa.binary())})
 
     def packed(rows):
-        for key, held in _batches(rows, batch_chars):
-            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([[d for d, _ in held]], pa.list_(doc_type)), pa.array([_pack_texts([t for _, t in held])], pa.binary())], ["batch", "docs", "texts"])
+        for key, held in text_batches(rows, batch_chars):
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([[d for d, _ in held]], pa.list_(doc_type)), pa.array([pack_texts([t for _, t in held])], pa.binary())], ["batch", "docs", "texts"])
 
     doc_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     grams = docs.mapInArrow(distinct, "batch string, part int, grams binary, counts binary")
@@ -141,7 +96,7 @@ def score(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, least:
     def scored(rows):
         for batch in rows:
             for key, ids, texts, answers_ in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                texts = _unpack_texts(texts, len(ids))
+                texts = unpack_texts(texts, len(ids))
                 sizes, h = ngrams(texts, order)
                 found, own = np.unique(h[h != 0], return_inverse=True)
                 sums = np.concatenate([np.frombuffer(zlib.decompress(a["sums"]), np.uint64) for a in answers_ or []] or [np.zeros(0, np.uint64)]).astype(np.float64)

@@ -17,10 +17,10 @@ of skipping:
   w: |y & z| <= |x & w| + |y - x| + |z - w|. Only pairs that the bound can't
   decide are compared, exactly.
 
-Tokens are ordered by how common their bucket is in all documents, then by
-hash, so that passages which many documents share come last and stay out of
-the prefixes. The order needs no exact counts to be right, only to be the same
-everywhere. Equal sets are one class; a task indexes a class once.
+Tokens are ordered by how many documents have them (on a logarithmic scale),
+then by hash, so that passages which many documents share come last and stay
+out of the prefixes, and tokens of one document only are never listed. Equal
+sets are one class; a batch of documents indexes a class once.
 
 Shingles are 64-bit hashes of the words; all counts and overlaps are of
 hashes.
@@ -34,21 +34,22 @@ doc_id is its own (null) component; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, saved, tune
+from .common import drop_table, hash_slices, pack_hashes, pack_texts, saved, text_batches, tune, unpack_hashes, unpack_texts
 from .components import components
 
 WORDS = 4
 #: Least similarity, in hundredths.
 SHARE = 85
-#: Buckets of the token order: 2 ** BUCKET_BITS counters of 4 bytes.
-BUCKET_BITS = 20
-CHUNKS = 16
+#: Characters of a batch's texts; the least number of hash partitions that count tokens.
+BATCH_CHARS = 8 << 20
+PARTITIONS = 64
 #: Documents up to which their ids are broadcast to pick their texts; they are joined by a shuffle beyond.
 BROADCAST_IDS = 400_000
 
@@ -114,74 +115,97 @@ def prefix_length(n: int, share: int = SHARE) -> int:
     return n - (share * n + 99) // 100 + 1
 
 
-def sets_of(documents: DataFrame, kind: str, n: int = WORDS, bits: int = BUCKET_BITS) -> DataFrame:
-    """``doc_id, n, h1, h2`` for each document, and ``part, chunk, counts``: a task's packed counts of tokens by bucket."""
+def sets_of(documents: DataFrame, kind: str, n: int = WORDS) -> DataFrame:
+    """``doc_id, n, h1, h2``: the size and a 128-bit signature of each document's set."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        counts = np.zeros(1 << bits, np.uint32)
-        names = ["doc_id", "n", "h1", "h2", "part", "chunk", "counts"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
-            if sum(map(len, sets)):
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
             marks = [_signature(s) for s in sets]
-            none = [None] * len(sets)
-            columns = ([len(s) for s in sets], [m[0] for m in marks], [m[1] for m in marks], none, none, none)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names)
-        part, none = TaskContext.get().partitionId(), [None] * CHUNKS
-        own = [c.tobytes() for c in np.split(counts, CHUNKS)] if counts.any() else []
-        if own:
-            columns = (none, none, none, [part] * CHUNKS, list(range(CHUNKS)), own)
-            yield pa.RecordBatch.from_arrays([pa.array(none, doc_type), *(pa.array(c, t) for c, t in zip(columns, types))], names)
-
-    doc_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, h1 long, h2 long, part int, chunk int, counts binary")
-
-
-def token_levels(sets: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
-    """How common each bucket is, as a small number; sums are taken in two steps, so that no task adds up all tasks' counts."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(c.as_buffer(), np.uint32) for c in table.column("counts")], axis=0, dtype=np.uint64)
-        return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+            columns = ([len(s) for s in sets], [m[0] for m in marks], [m[1] for m in marks])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n", "h1", "h2"])
 
-    rows = sets.filter("chunk is not null").select("chunk", F.pmod("part", F.lit(64)).alias("deal"), "counts")
-    some = rows.groupBy("chunk", "deal").applyInArrow(add, "chunk int, counts binary")
-    sums = {r.chunk: np.frombuffer(r.counts, np.uint32) for r in some.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").limit(CHUNKS).collect()}
-    counts = np.concatenate([sums.get(k, np.zeros((1 << bits) // CHUNKS, np.uint32)) for k in range(CHUNKS)]).astype(np.float64)
-    usual = max(1.0, counts.mean())
-    return np.clip(np.floor(3 * np.log2(np.maximum(counts, 1) / usual)), 0, 60).astype(np.uint8)
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, h1 long, h2 long")
 
 
-def postings(documents: DataFrame, kind: str, levels, share: int = SHARE, n: int = WORDS, bits: int = BUCKET_BITS) -> DataFrame:
-    """``tok, id, n, pos, block`` for the prefix tokens of each class's first document in a task."""
+def postings(documents: DataFrame, kind: str, share: int = SHARE, n: int = WORDS, batch_chars: int = BATCH_CHARS) -> DataFrame:
+    """``tok, id, n, pos, block``: of each class's first document in a batch, the prefix tokens that other documents have too.
 
-    def run(batches):
-        level, seen = levels.value, set()
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingles(text, n)
-                mark = (len(s), _signature(s)) if len(s) else None
-                if doc is None or mark is None or mark in seen:
-                    continue
+    Tokens are counted as packed relations: a batch of documents sends each
+    hash partition its distinct tokens there; the partition adds them up over
+    all batches and answers with how common each is; the answers are joined to
+    the batch, whose documents then know their rarest tokens.
+    """
+    spark = documents.sparkSession
+    parts = max(PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = documents.select("doc_id", "text").filter("doc_id is not null")
+
+    def distinct_sets(held):
+        seen, ids, sets = set(), [], []
+        for doc, text in held:
+            s = shingles(text, n)
+            mark = (len(s), _signature(s)) if len(s) else None
+            if mark is not None and mark not in seen:
                 seen.add(mark)
-                rank = level[(s >> np.uint64(64 - bits)).astype(np.int64)]
-                first = s[np.argsort(rank, kind="stable")[: prefix_length(len(s), share)]]
-                out[0].append(signed(first))
-                out[1].append((doc, len(first)))
-                out[2].append(np.full(len(first), len(s), np.int32))
-                out[3].append(np.arange(len(first), dtype=np.int32))
-                out[4].append(np.full(len(first), int(np.log(len(s)) / np.log(100 / share) + 1e-9), np.int32))
-            if out[0]:
-                ids = pa.array([d for d, k in out[1] for _ in range(k)], batch.column(0).type)
-                tok, size, pos, block = (np.concatenate(out[k]) for k in (0, 2, 3, 4))
-                yield pa.RecordBatch.from_arrays([pa.array(tok), ids, pa.array(size), pa.array(pos), pa.array(block)], ["tok", "id", "n", "pos", "block"])
+                ids.append(doc)
+                sets.append(s)
+        return ids, sets
+
+    def ask(rows):
+        for key, held in text_batches(rows, batch_chars):
+            _, sets = distinct_sets(held)
+            found, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            cut = hash_slices(found, parts)
+            used = np.flatnonzero(np.diff(cut)).tolist()
+            for at in range(0, len(used), 16):
+                some = used[at : at + 16]
+                columns = [[key] * len(some), some, [pack_hashes(found[cut[p] : cut[p + 1]]) for p in some], [np.minimum(counts[cut[p] : cut[p + 1]], 65535).astype(np.uint16).tobytes() for p in some]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["batch", "part", "tokens", "counts"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        asked = [unpack_hashes(x.as_py()) for x in table.column("tokens")]
+        all_, own = np.unique(np.concatenate(asked), return_inverse=True)
+        sums = np.bincount(own, np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("counts")]), len(all_))
+        level = np.ceil(4 * np.log2(sums)).astype(np.uint8)  # 0 for a token of one document only
+        each = np.split(level[own], np.cumsum([len(a) for a in asked])[:-1])
+        return pa.table({"batch": table.column("batch"), "part": table.column("part"), "levels": pa.array([zlib.compress(e.tobytes(), 1) for e in each], pa.binary())})
+
+    def packed(rows):
+        for key, held in text_batches(rows, batch_chars):
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([[d for d, _ in held]], pa.list_(doc_type)), pa.array([pack_texts([t for _, t in held])], pa.binary())], ["batch", "docs", "texts"])
+
+    def place(rows):
+        for batch in rows:
+            for key, docs_, texts, answers_ in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                ids, sets = distinct_sets(zip(docs_, unpack_texts(texts, len(docs_))))
+                if not sets:
+                    continue
+                sizes = [len(s) for s in sets]
+                found, own = np.unique(np.concatenate(sets), return_inverse=True)
+                levels = np.frombuffer(b"".join(zlib.decompress(a["levels"]) for a in answers_ or []), np.uint8)
+                if len(levels) != len(found):
+                    raise RuntimeError(f"batch {key} was cut in another way than its counts; the input isn't stable")
+                out: list[list] = [[], [], [], [], []]
+                for doc, s, level in zip(ids, sets, np.split(levels[own], np.cumsum(sizes)[:-1])):
+                    first = np.argsort(level, kind="stable")[: prefix_length(len(s), share)]
+                    pos = np.flatnonzero(level[first])
+                    if len(pos):
+                        block = int(np.log(len(s)) / np.log(100 / share) + 1e-9)
+                        for column, v in zip(out, (signed(s[first[pos]]), [doc] * len(pos), np.full(len(pos), len(s)), pos, np.full(len(pos), block))):
+                            column.append(v)
+                if out[0]:
+                    tok, size, pos, block = (np.concatenate(out[c]) for c in (0, 2, 3, 4))
+                    for at in range(0, len(tok), 1 << 16):
+                        to = at + (1 << 16)
+                        some = pa.array([d for x in out[1] for d in x][at:to], doc_type)
+                        yield pa.RecordBatch.from_arrays([pa.array(tok[at:to]), some, *(pa.array(c[at:to].astype(np.int32)) for c in (size, pos, block))], ["tok", "id", "n", "pos", "block"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"tok long, id {kind}, n int, pos int, block int")
+    doc_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    asked = docs.mapInArrow(ask, "batch string, part int, tokens binary, counts binary")
+    answers = asked.groupBy("part").applyInArrow(answer, "batch string, part int, levels binary")
+    lists = answers.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("part", "levels"))).alias("answers"))
+    met = docs.mapInArrow(packed, f"batch string, docs array<{kind}>, texts binary").join(lists, "batch", "left")
+    return met.select("batch", "docs", "texts", "answers").mapInArrow(place, f"tok long, id {kind}, n int, pos int, block int")
 
 
 def overlaps(documents: DataFrame, pairs: DataFrame, kind: str, n: int = WORDS) -> DataFrame:
@@ -222,9 +246,9 @@ def _reach(share: int, na, nb, o):
     return F.lit(100 + share) * o >= F.lit(share) * (na + nb)
 
 
-def similarity_links(documents: DataFrame, levels, kind: str, share: int = SHARE, n: int = WORDS) -> DataFrame:
+def similarity_links(documents: DataFrame, kind: str, share: int = SHARE, n: int = WORDS) -> DataFrame:
     """Links ``a, b`` between the indexed documents whose components are those of all links."""
-    every = saved(postings(documents, kind, levels, share, n), "postings")
+    every = saved(postings(documents, kind, share, n), "postings")
     common = every.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("tok")
     lists = saved(every.join(common, "tok", "left_semi"), "lists")
     drop_table(every)
@@ -280,11 +304,9 @@ def ngram_join(documents: DataFrame, share: int = SHARE, n: int = WORDS) -> Data
     tune(spark)
     kind = dict(documents.dtypes)["doc_id"]
     table = saved(sets_of(documents, kind, n), "sets")
-    levels = spark.sparkContext.broadcast(token_levels(table))
-    rows = table.filter("chunk is null")
-    classes = saved(rows.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "classes")
-    placed = saved(rows.join(classes, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")), "placed")
-    links = saved(similarity_links(documents, levels, kind, share, n), "links")
+    classes = saved(table.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "classes")
+    placed = saved(table.join(classes, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")), "placed")
+    links = saved(similarity_links(documents, kind, share, n), "links")
     moved = placed.filter("rep <> doc_id").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     for end in ("a", "b"):
         links = links.join(moved.withColumnRenamed("doc_id", end), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
