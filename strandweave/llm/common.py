@@ -89,7 +89,12 @@ def fold(column: str, folds: int):
 
 
 def bounded_sample(keys: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows of ``keys``, by a hash of ``key``: a fixed choice, spread over the table."""
+    """At most ``rows`` rows of ``keys``, by a hash of ``key``: a fixed choice, spread over the table.
+
+    Large tables are thinned by the hash first, so that tasks don't each send a whole sample."""
+    n = keys.count()
+    if n > 8 * rows:
+        keys = keys.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 32)) < F.lit(int((1 << 32) * 4 * rows / n)))
     return keys.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
 
 

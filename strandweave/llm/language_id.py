@@ -180,8 +180,10 @@ def fit(documents: DataFrame, folds: int = 5, held: int = 0, sample_rows: int =
     """Train on labelled rows outside the held-out fold: at most ``language_rows`` of each
     language and ``sample_rows`` in all, chosen by a hash of doc_id."""
     known = documents.select("doc_id", "lang").filter(F.col("lang").isNotNull() & (fold("doc_id", folds) != held))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = known.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= language_rows)
+    few = known.withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    for by in (("lang", "deal"), ("lang",)):  # a common language is no single task
+        order = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
+        few = few.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= language_rows)
     chosen = bounded_sample(few.select("doc_id"), "doc_id", sample_rows).distinct()
     rows = (
         documents.select("doc_id", "lang", "text")
