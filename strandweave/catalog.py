@@ -183,9 +183,6 @@ def _low(least: float, floor: float) -> str:
     return rec(UNITIGS, f"SELECT src, dst, sequence, length, round(multiplicity, 6) AS multiplicity FROM ug WHERE NOT (multiplicity <= {floor} OR multiplicity < {least} AND length < 10000 AND dst <> {RN('src')})")
 
 
-_SHOWN = ("src", "dst", "sequence", "length", F.round)
-
-
 def shown(df: DataFrame, *more: str) -> DataFrame:
     return df.select("src", "dst", "sequence", "length", F.round("multiplicity", 6).alias("multiplicity"), *more)
 
@@ -506,9 +503,7 @@ _PAIRS = f"{READS}, vs AS (SELECT a.doc_id, a.s AS a, b.s AS b, b.kind FROM one
 
 
 def _read_pairs(spark, sf_dir) -> DataFrame:
-    r = fixtures.reads(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).groupBy("doc_id", "kind").agg(F.collect_list("s").alias("x"))
     doc = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.translate(F.concat(F.md5("text"), F.md5(F.concat("text", F.lit("x")))), "0123456789abcdef", "ACGTACGTACGTACGT").alias("a"))
-    del r
     cut = F.concat(F.substr("a", F.lit(1), F.lit(19)), F.substr("a", F.lit(21)))
     swap = F.concat(F.substr("a", F.lit(1), F.lit(31)), F.translate(F.substr("a", F.lit(32), F.lit(1)), "ACGT", "CGTA"), F.substr("a", F.lit(33)))
     made = F.filter(F.array(F.when(F.col("doc_id") % 2 == 0, F.struct(F.lit("substituted").alias("kind"), swap.alias("b"))), F.when(F.col("doc_id") % 5 == 0, F.struct(F.lit("deleted").alias("kind"), cut.alias("b")))), lambda x: x.isNotNull())
@@ -610,11 +605,11 @@ def contract_short_edges(spark, sf_dir):
     return contract.contracted_nodes(unitigs_of(spark, sf_dir), 12)
 
 
-@query(rec(f"{UNITIGS}, gn AS (SELECT 'g' || doc_id AS name, s AS genome FROM b WHERE doc_id % 50 = 0)", f"SELECT label, string_agg(DISTINCT name, ',' ORDER BY name) AS genomes FROM ug JOIN gn ON contains(genome, sequence) OR contains(genome, {RC('sequence')}) WHERE length(sequence) >= 24 GROUP BY label"))
+@query(rec(f"{UNITIGS}, gn AS (SELECT 'g' || doc_id AS genome, s FROM b)", f"SELECT DISTINCT label, genome FROM ug JOIN gn ON contains(s, sequence) OR contains(s, {RC('sequence')}) WHERE length(sequence) >= 24"))
 def contains_join(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    genomes = docs.filter(F.col("doc_id") % 50 == 0).select(F.concat(F.lit("g"), "doc_id").alias("name"), F.translate(F.concat(F.md5("text"), F.md5(F.concat("text", F.lit("x")))), "0123456789abcdef", "ACGTACGTACGTACGT").alias("sequence"))
-    return contract.coloured(unitigs_of(spark, sf_dir), genomes)
+    genomes = docs.select(F.concat(F.lit("g"), "doc_id").alias("name"), F.translate(F.concat(F.md5("text"), F.md5(F.concat("text", F.lit("x")))), "0123456789abcdef", "ACGTACGTACGTACGT").alias("sequence"))
+    return contract.holders(unitigs_of(spark, sf_dir), genomes)
 
 
 @query(rec(f"{UNITIGS}, sm AS (SELECT src || '.1' AS q, 'chr' || (1 + length % 3) AS ref FROM ug WHERE length > 20), rf AS (SELECT q, string_agg(DISTINCT ref, ',' ORDER BY ref) AS refs FROM sm GROUP BY q)", "SELECT label, coalesce(refs, 'old') AS refs FROM ug LEFT JOIN rf ON q = label"))
@@ -630,7 +625,7 @@ def colour_map(spark, sf_dir):
     return ev.select("event_id", contract.colour("ref").alias("colour"))
 
 
-_WALK = "wk AS (SELECT l_orderkey AS walk, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS pos, l_partkey + 1 AS node FROM lineitem WHERE l_orderkey % 32 = 0), stp AS (SELECT * FROM (SELECT walk, pos, node, lead(node) OVER (PARTITION BY walk ORDER BY pos) AS next FROM wk) WHERE next IS NOT NULL)"
+_WALK = "wk AS (SELECT l_orderkey AS walk, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS pos, l_partkey + 1 AS node FROM lineitem), stp AS (SELECT * FROM (SELECT walk, pos, node, lead(node) OVER (PARTITION BY walk ORDER BY pos) AS next FROM wk) WHERE next IS NOT NULL)"
 
 
 @query(f"WITH {_WALK} SELECT node AS src, next AS dst, string_agg(walk || ':' || pos, ',' ORDER BY walk, pos) AS positions FROM stp GROUP BY node, next")
