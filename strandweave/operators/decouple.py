@@ -41,11 +41,11 @@ def unique_refs(refs: DataFrame) -> DataFrame:
 
 
 def greedy_matching(matrix: DataFrame, like: float = 1.5) -> DataFrame:
-    """``id, in_label, out_label, coverage``: for sites of any size, supported pairs in the order of support share out
+    """``id, in_label, out_label, coverage, taken_in, taken_out``: for sites of any size, supported pairs in the order of support share out
     coverages; coverages within the ratio count as equal. A small array fold for each site, no Python."""
     order = F.sort_array(F.collect_list(F.struct((-F.col("support")).alias("s"), "in_label", "out_label", F.col("cov_in").alias("ci"), F.col("cov_out").alias("co"))))
     rows = matrix.filter("support > 0").groupBy("id").agg(order.alias("p"))
-    zero = F.struct(F.create_map().cast("map<string,double>").alias("used"), F.array().cast("array<struct<in_label:string,out_label:string,coverage:double>>").alias("done"))
+    zero = F.struct(F.create_map().cast("map<string,double>").alias("used"), F.array().cast("array<struct<in_label:string,out_label:string,coverage:double,taken_in:double,taken_out:double>>").alias("done"))
 
     def step(state, p):
         ci = p["ci"] - F.coalesce(F.try_element_at(state["used"], F.concat(F.lit("i"), p["in_label"])), F.lit(0.0))
@@ -55,12 +55,34 @@ def greedy_matching(matrix: DataFrame, like: float = 1.5) -> DataFrame:
         take_in, take_out = F.when(equal, ci).otherwise(low), F.when(equal, co).otherwise(low)
         keys = F.map_from_arrays(F.array(F.concat(F.lit("i"), p["in_label"]), F.concat(F.lit("o"), p["out_label"])), F.array(p["ci"] - ci + take_in, p["co"] - co + take_out))
         others = F.map_filter(state["used"], lambda k, _: (k != F.concat(F.lit("i"), p["in_label"])) & (k != F.concat(F.lit("o"), p["out_label"])))
-        new = F.struct(F.map_concat(others, keys).alias("used"), F.concat(state["done"], F.array(F.struct(p["in_label"].alias("in_label"), p["out_label"].alias("out_label"), ((take_in + take_out) / 2).alias("coverage")))).alias("done"))
+        new = F.struct(F.map_concat(others, keys).alias("used"), F.concat(state["done"], F.array(F.struct(p["in_label"].alias("in_label"), p["out_label"].alias("out_label"), ((take_in + take_out) / 2).alias("coverage"), take_in.alias("taken_in"), take_out.alias("taken_out")))).alias("done"))
         return F.when(low > 0.1, new).otherwise(state)
 
     return rows.select("id", F.explode(F.aggregate("p", zero, step)["done"]).alias("d")).select("id", "d.*")
 
 
+def evidence_sites(edges: DataFrame, degree: DataFrame) -> DataFrame:
+    """``id, head, tail, mid``: nodes with several ways in and out (head and tail are the node), and edges from a
+    node with several ways in to one with several out (mid is the edge's label). Sites with parallel edges or
+    loops are left alone."""
+    plain = degree.filter("n_in = legs_in and n_out = legs_out and self_loops = 0")
+    none = F.lit(None).cast("string")
+    nodes = plain.filter("n_in >= 2 and n_out >= 2").select("id", F.col("id").alias("head"), F.col("id").alias("tail"), none.alias("mid"))
+    heads = plain.filter("n_in >= 2 and n_out = 1").select(F.col("id").alias("src"))
+    tails = plain.filter("n_in = 1 and n_out >= 2").select(F.col("id").alias("dst"))
+    mids = edges.join(heads, "src").join(tails, "dst").select(F.col("label").alias("id"), F.col("src").alias("head"), F.col("dst").alias("tail"), F.col("label").alias("mid"))
+    return nodes.unionByName(mids)
+
+
+def site_edges(edges: DataFrame, sites: DataFrame) -> DataFrame:
+    """The edges next to sites as edges of the site itself; around a middle edge, only references that it has too count."""
+    middle = sites.join(edges.select(F.col("label").alias("mid"), F.col("ref_ids").alias("mid_refs")), "mid", "left")
+    refs = F.when(F.col("mid").isNull(), F.col("ref_ids")).otherwise(F.array_intersect("ref_ids", F.coalesce("mid_refs", F.array().cast("array<string>")))).alias("ref_ids")
+    ins = edges.join(middle.withColumnRenamed("head", "dst"), "dst").select("src", F.col("id").alias("dst"), "label", "multiplicity", refs)
+    outs = edges.join(middle.withColumnRenamed("tail", "src"), "src").select(F.col("id").alias("src"), "dst", "label", "multiplicity", refs)
+    return ins.unionByName(outs)
+
+
 def strand_sites(edges: DataFrame, chains: DataFrame, strict: bool = False) -> DataFrame:
     """``head, tail, in0, in1, out0, out1``: 2-in-2-out chains where a way in is the reverse complement of a way out.
 

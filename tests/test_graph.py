@@ -106,6 +106,33 @@ def test_evidence(spark):
     assert decouple.accepted(decouple.support(contrary, spark.createDataFrame([("M",)], "id string"))).count() == 0
 
 
+def shared_refs(edges):
+    """r1 on the edges of P and X, r2 on those of Q and Y, both on a middle edge."""
+    ends = F.concat_ws(",", "src", "dst")
+    one, two = ends.rlike("[PX]"), ends.rlike("[QY]")
+    refs = F.when(one, F.array(F.lit("r1"))).when(two, F.array(F.lit("r2"))).when(ends.rlike("M.*N|N.*M"), F.array(F.lit("r1"), F.lit("r2"))).otherwise(F.array().cast("array<string>"))
+    return edges.select(F.col("label").alias("query"), F.explode(refs).alias("ref"))
+
+
+@pytest.mark.parametrize("name", ["site_node", "site_edge"])
+def test_evidence_parts_ways(spark, name):
+    g = graph(spark, name)
+    out, n = simplify.evidence(g, shared_refs)
+    top = 6.0 if name == "site_edge" else 5.0
+    assert n == 1 and covs(out.edges) == pytest.approx({("P", "X"): top, ("-X", "-P"): top, ("Q", "Y"): 4.0, ("-Y", "-Q"): 4.0})
+    assert {r.check: r.n for r in model.violations(out).collect()} == dict.fromkeys(("strand symmetry", "length", "palindrome", "label"), 0)
+    assert simplify.evidence(out, shared_refs)[1] == 0
+    assert simplify.evidence(g, lambda e: e.select(F.col("label").alias("query"), F.lit("r").alias("ref")))[1] == 0
+    assert simplify.evidence(g, lambda e: shared_refs(e).limit(0))[1] == 0
+
+
+def test_evidence_of_many_ways_keeps_the_rest(spark):
+    g = graph(spark, "site_many")
+    assert simplify.evidence(g, shared_refs)[1] == 0
+    out, n = simplify.evidence(g, shared_refs, many=True)
+    assert n == 1 and {(k): v for k, v in covs(out.edges).items() if not k[0].startswith("-")} == pytest.approx({("P", "X"): 6.0, ("Q", "Y"): 4.0, ("R", "M"): 2.0})
+
+
 def test_intervals_against_the_sequential_rule(spark):
     import random
 
@@ -153,6 +180,21 @@ def test_files_round_trip(spark, tmp_path):
         export.write_graph(g.edges, str(tmp_path / "g"))
 
 
+def test_command_line(spark, tmp_path):
+    from strandweave.__main__ import main, options
+
+    g = graph(spark, "site_node")
+    export.write_graph(g.edges, str(tmp_path / "g"))
+    shared_refs(g.edges).selectExpr("concat_ws('\t', query, ref, '9(0-9)', '0.99') as value").write.text(str(tmp_path / "aln"))
+    files = ["--dot", str(tmp_path / "g/dot"), f"--fasta={tmp_path / 'g/fasta'}"]
+    main([*files, "-o", str(tmp_path / "out"), "-a", str(tmp_path / "aln"), "--stages", "simple_bulges"])
+    got = text.load_graph(spark, str(tmp_path / "out/dot"), str(tmp_path / "out/fasta"))
+    assert set(covs(got)) == {("P", "X"), ("-X", "-P"), ("Q", "Y"), ("-Y", "-Q")}
+    for wrong in (["--hops", "1", "2", "11"], ["--stages", "none"], ["--floor", "x"]):
+        with pytest.raises(SystemExit):
+            options().parse_args([*files, "-o", "x", *wrong])
+
+
 def test_malformed_lines_are_skipped(spark):
     lines = spark.createDataFrame([("x",), ('"A" -> "B" [label="A.1 C 5(2.5)" color="black"]',), (None,), ("",), ('"A" [style=filled]',)], "value string")
     assert [tuple(r) for r in text.dot_edges(lines).collect()] == [("A", "B", "A.1", "C", 5, 2.5)]
