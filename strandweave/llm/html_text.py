@@ -11,9 +11,11 @@ distinct pages are boilerplate. A block that is covered so for the most part
 is removed; unique runs stay. Inside a marked article repeats stay too: copies
 of an article are no boilerplate.
 
-A host's pages are dealt into groups of at most ``GROUP_PAGES`` by a hash, so
-that a large host is no single task; boilerplate repeats in every group. Equal
-streams count as one page, so a host of copies keeps its text.
+A host's pages are dealt into groups of about ``GROUP_PAGES`` by a hash, so
+that a large host is no single task. Where a large host has pages without an
+article element, the groups also exchange the hashes of their runs: a run that
+two different streams anywhere on the host have is boilerplate in each group.
+Equal streams count as one page, so a host of copies keeps its text.
 
 Defined results: null or empty html has the empty text; a page without a block
 has the empty text; a null url is a host of its own; equal rows are answered
@@ -27,10 +29,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, tune
+from .ngram_join import _K, _mix
 
 #: Words of a run that makes boilerplate when distinct pages share it.
 RUN = 16
@@ -198,12 +202,35 @@ def repeated(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     return [flags[k] for k in own]
 
 
-def main_texts(pages: list[str | None], run: int = RUN, covered: float = COVERED) -> list[str]:
-    """The main text of each page of one host."""
+def run_hashes(stream: list[str], run: int = RUN) -> np.ndarray:
+    """A signed hash of the run of ``run`` words that starts at each place of a stream."""
+    w = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in stream], np.uint64)
+    n = max(len(w) - run + 1, 0)
+    h = w[:n]
+    for k in range(1, run):
+        h = _mix(h * _K ^ w[k : k + n])
+    return h.view(np.int64)
+
+
+def stream_hash(stream: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(stream).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def words_of(page: list[tuple[bool, str]]) -> list[str]:
+    return [w for _, b in page for w in b.split(" ")]
+
+
+def main_texts(pages: list[str | None], run: int = RUN, covered: float = COVERED, common: np.ndarray | None = None) -> list[str]:
+    """The main text of each page of one host; ``common`` are hashes of runs known to repeat elsewhere on it."""
     parsed = [blocks(p) for p in pages]
-    streams = [[w for _, b in page for w in b.split(" ")] for page in parsed]
+    streams = [words_of(page) for page in parsed]
+    flags = repeated(streams, run)
+    if common is not None and len(common):
+        for stream, under in zip(streams, flags):
+            for at in np.flatnonzero(np.isin(run_hashes(stream, run), common)):
+                under[at : at + run] = True
     out = []
-    for page, under in zip(parsed, repeated(streams, run)):
+    for page, under in zip(parsed, flags):
         marked, kept, at = any(inside for inside, _ in page), [], 0
         for inside, block in page:
             n = block.count(" ") + 1
@@ -218,19 +245,55 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def runs(pages: DataFrame, run: int = RUN) -> DataFrame:
+    """``host, group, h, stream``: each page's distinct runs, and a hash of its whole stream."""
+
+    def hashed(batches):
+        for batch in batches:
+            for where, group, html in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                stream = words_of(blocks(html))
+                h = np.unique(run_hashes(stream, run))
+                own = stream_hash(stream)
+                for at in range(0, len(h), 1 << 16):
+                    some = h[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([where] * len(some), pa.string()), pa.array([group] * len(some), pa.int32()), pa.array(some), pa.array(np.full(len(some), own))], ["host", "group", "h", "stream"])
+
+    return pages.select("host", "group", "html").mapInArrow(hashed, "host string, group int, h long, stream long")
+
+
+def common_runs(pages: DataFrame, run: int = RUN) -> DataFrame:
+    """``host, group, h``: the runs of a group that two different streams of the host have, a row for each."""
+    every = saved(runs(pages, run).groupBy("host", "group", "h").agg(F.min("stream").alias("a"), F.max("stream").alias("b")), "runs")
+    shared = every.groupBy("host", "h").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b").select("host", "h")
+    return every.select("host", "group", "h").join(shared, ["host", "h"], "left_semi")
+
+
 def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages(page_id, url, html)``."""
     spark = pages.sparkSession
     tune(spark)
     kind = dict(pages.dtypes)["page_id"]
     rows = pages.select("page_id", "url", "html").withColumn("host", host(F.col("url")))
-    large = saved(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_pages).select("host", F.ceil(F.col("n") / group_pages).cast("int").alias("groups")), "hosts")
+    bare = ~F.coalesce(F.col("html").rlike("(?i)<(article|main)[\\s>]"), F.lit(True))
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.max(bare).alias("bare"))
+    large = saved(hosts.filter(F.col("n") > group_pages).select("host", F.ceil(F.col("n") / group_pages).cast("int").alias("groups"), "bare"), "hosts")
     few = large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     split = rows.join(F.broadcast(large) if few else large, "host", "left")
     dealt = split.withColumn("group", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))).cast("int"))
+    schema = f"page_id {kind}, url string, text string, n_chars long"
 
-    def run(table: pa.Table) -> pa.Table:
-        texts = main_texts(table.column("html").to_pylist())
+    def made(table: pa.Table, common: np.ndarray | None = None) -> pa.Table:
+        texts = main_texts(table.column("html").to_pylist(), common=common)
         return pa.table([table.column("page_id"), table.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return dealt.select("page_id", "url", "html", "host", "group").groupBy("host", "group").applyInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    def alone(table: pa.Table) -> pa.Table:
+        return made(table)
+
+    def together(table: pa.Table, common: pa.Table) -> pa.Table:
+        return made(table, common.column("h").to_numpy())
+
+    groups = dealt.select("page_id", "url", "html", "host", "group", "bare")
+    if large.filter("bare").isEmpty():
+        return groups.groupBy("host", "group").applyInArrow(alone, schema)
+    exchanged = common_runs(groups.filter("bare"))
+    return groups.groupBy("host", "group").cogroup(exchanged.groupBy("host", "group")).applyInArrow(together, schema)

@@ -68,3 +68,17 @@ def test_frame(spark):
         if "article" in (CASES[i][0] or "") or "main" in (CASES[i][0] or ""):
             assert got[i, rows[i][1]].text == want and got[i, rows[i][1]].n_chars == len(want)
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_repeats_between_groups_are_seen(spark):
+    rng = random.Random(8)
+    notes = [prose(rng, 30) for _ in range(6)]
+    pages = [f"<div>{notes[k // 2]}</div><div>{prose(rng, 40)}</div>" for k in range(12)]  # a notice on two pages only
+    pages += [pages[0]] * 3 + [f"<article><p>{notes[0]} {notes[1]}</p></article>", f"<p>{notes[5]}</p>", None, ""]
+    want = H.main_texts(pages)
+    assert all(w and "\n\n" not in w for w in want[:12])
+    df = spark.createDataFrame([(i, f"http://one.example/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    for size in (1, 4, 100):
+        assert [r.text for r in H.extract(df, group_pages=size).orderBy("page_id").collect()] == want
+    copies = spark.createDataFrame([(i, f"http://two.example/{i}", f"<p>{notes[0]}</p>") for i in range(5)], df.schema)
+    assert {r.text for r in H.extract(copies, group_pages=2).collect()} == {notes[0]}
