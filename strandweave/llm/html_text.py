@@ -12,10 +12,13 @@ is removed; unique runs stay. Inside a marked article repeats stay too: copies
 of an article are no boilerplate.
 
 A host's pages are dealt into groups of about ``GROUP_PAGES`` by a hash, so
-that a large host is no single task. Where a large host has pages without an
-article element, the groups also exchange the hashes of their runs: a run that
-two different streams anywhere on the host have is boilerplate in each group.
-Equal streams count as one page, so a host of copies keeps its text.
+that a large host is no single task. The groups of a large host also exchange
+the hashes of their runs: a run that two different streams anywhere on the host
+have is boilerplate in each group. To find them, every window of ``RUN`` words
+has a fingerprint, its least hash of ``GRAM`` words, so equal runs have equal
+fingerprints; only runs next to fingerprints that two streams share are
+exchanged themselves. Equal streams count as one page, so a host of copies
+keeps its text.
 
 Defined results: null or empty html has the empty text; a page without a block
 has the empty text; a null url is a host of its own; equal rows are answered
@@ -42,6 +45,12 @@ RUN = 16
 GROUP_PAGES = 256
 #: Large hosts up to which their table is broadcast (under 100 bytes each); it is joined by a shuffle beyond.
 BROADCAST_HOSTS = 100_000
+#: Words of a fingerprint of a run.
+GRAM = 6
+#: Shared fingerprints up to which they are broadcast (8 bytes each); beyond, all runs of large hosts are exchanged.
+BROADCAST_PRINTS = 1 << 22
+#: Parts that fingerprints are dealt into by hash, and how many a task holds before it sends them.
+PRINT_PARTS, HELD_PRINTS = 256, 1 << 20
 #: Share of a block's words that repeats must cover for it to go.
 COVERED = 0.8
 
@@ -245,14 +254,79 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def runs(pages: DataFrame, run: int = RUN) -> DataFrame:
-    """``host, group, h, stream``: each page's distinct runs, and a hash of its whole stream."""
+def _grams(stream: list[str], where: str, run: int) -> tuple[np.ndarray, int]:
+    """A hash of the host and the gram at each place of a stream, and the number of a run's grams."""
+    size = min(GRAM, run)
+    salt = np.uint64(xxhash.xxh3_64_intdigest((where or "").encode("utf-8", "surrogatepass")))
+    return _mix(run_hashes(stream, size).view(np.uint64) ^ salt), run - size + 1
+
+
+def fingerprints(stream: list[str], where: str, run: int = RUN) -> np.ndarray:
+    """The distinct least hashes of the grams of each run: equal runs of a host have the same one."""
+    grams, window = _grams(stream, where, run)
+    if len(grams) < window:
+        return grams[:0]
+    return np.unique(np.lib.stride_tricks.sliding_window_view(grams, window).min(axis=1))
+
+
+def shared_fingerprints(pages: DataFrame, run: int = RUN) -> DataFrame:
+    """``n, prints``: fingerprints that two different streams of a host have, packed, a row for each part with some."""
+
+    def sent(prints: list[np.ndarray], streams: list[int]):
+        h = np.concatenate(prints)
+        own = np.repeat(np.array(streams, np.int64), list(map(len, prints)))
+        order = np.lexsort((own, h))
+        h, own = h[order], own[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        last = np.concatenate([new[1:], [True]])
+        ends = new | last & (own != own[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))])
+        h, own = h[ends], own[ends]
+        cuts = np.searchsorted(h, np.array([-(-(p << 64) // PRINT_PARTS) for p in range(1, PRINT_PARTS)], np.uint64))
+        rows = [(k, a.tobytes(), b.tobytes()) for k, (a, b) in enumerate(zip(np.split(h, cuts), np.split(own, cuts))) if len(a)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "prints", "streams"])
+
+    def printed(batches):
+        prints, streams, n = [], [], 0
+        for batch in batches:
+            for where, html in zip(*(batch.column(c).to_pylist() for c in range(2))):
+                stream = words_of(blocks(html))
+                h = fingerprints(stream, where, run)
+                if len(h):
+                    prints.append(h)
+                    streams.append(stream_hash(stream))
+                    n += len(h)
+                if n >= HELD_PRINTS:
+                    yield sent(prints, streams)
+                    prints, streams, n = [], [], 0
+        if n:
+            yield sent(prints, streams)
+
+    def met(table: pa.Table) -> pa.Table:
+        h = np.frombuffer(b"".join(table.column("prints").to_pylist()), np.uint64)
+        own = np.frombuffer(b"".join(table.column("streams").to_pylist()), np.int64)
+        order = np.lexsort((own, h))
+        h, own = h[order], own[order]
+        shared = np.unique(h[1:][(h[1:] == h[:-1]) & (own[1:] != own[:-1])])
+        return pa.table([pa.array([len(shared)] if len(shared) else [], pa.int64()), pa.array([shared.tobytes()] if len(shared) else [], pa.binary())], ["n", "prints"])
+
+    dealt = pages.select("host", "html").mapInArrow(printed, "part int, prints binary, streams binary")
+    return dealt.groupBy("part").applyInArrow(met, "n long, prints binary")
+
+
+def runs(pages: DataFrame, run: int = RUN, near=None) -> DataFrame:
+    """``host, group, h, stream``: each page's distinct runs, and a hash of its whole stream; with ``near``, a broadcast
+    sorted array of fingerprints, only the runs that hold one of them."""
 
     def hashed(batches):
         for batch in batches:
             for where, group, html in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 stream = words_of(blocks(html))
-                h = np.unique(run_hashes(stream, run))
+                h = run_hashes(stream, run)
+                if near is not None and len(h):
+                    grams, window = _grams(stream, where, run)
+                    at = np.minimum(np.searchsorted(near.value, grams), len(near.value) - 1)
+                    h = h[np.lib.stride_tricks.sliding_window_view(near.value[at] == grams, window).any(axis=1)]
+                h = np.unique(h)
                 own = stream_hash(stream)
                 for at in range(0, len(h), 1 << 16):
                     some = h[at : at + (1 << 16)]
@@ -261,9 +335,17 @@ def runs(pages: DataFrame, run: int = RUN) -> DataFrame:
     return pages.select("host", "group", "html").mapInArrow(hashed, "host string, group int, h long, stream long")
 
 
-def common_runs(pages: DataFrame, run: int = RUN) -> DataFrame:
-    """``host, group, h``: the runs of a group that two different streams of the host have, a row for each."""
-    every = saved(runs(pages, run).groupBy("host", "group", "h").agg(F.min("stream").alias("a"), F.max("stream").alias("b")), "runs")
+def common_runs(pages: DataFrame, run: int = RUN) -> DataFrame | None:
+    """``host, group, h``: the runs of a group that two different streams of the host have, a row for each; None if no run is."""
+    spark = pages.sparkSession
+    prints = saved(shared_fingerprints(pages, run), "prints")
+    n = prints.agg(F.sum("n")).first()[0] or 0
+    if not n:
+        return None
+    near = None
+    if n <= BROADCAST_PRINTS:
+        near = spark.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(r.prints for r in prints.select("prints").collect()), np.uint64)))
+    every = saved(runs(pages, run, near).groupBy("host", "group", "h").agg(F.min("stream").alias("a"), F.max("stream").alias("b")), "runs")
     shared = every.groupBy("host", "h").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b").select("host", "h")
     return every.select("host", "group", "h").join(shared, ["host", "h"], "left_semi")
 
@@ -274,9 +356,8 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     tune(spark)
     kind = dict(pages.dtypes)["page_id"]
     rows = pages.select("page_id", "url", "html").withColumn("host", host(F.col("url")))
-    bare = ~F.coalesce(F.col("html").rlike("(?i)<(article|main)[\\s>]"), F.lit(True))
-    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.max(bare).alias("bare"))
-    large = saved(hosts.filter(F.col("n") > group_pages).select("host", F.ceil(F.col("n") / group_pages).cast("int").alias("groups"), "bare"), "hosts")
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    large = saved(hosts.filter(F.col("n") > group_pages).select("host", F.ceil(F.col("n") / group_pages).cast("int").alias("groups")), "hosts")
     few = large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     split = rows.join(F.broadcast(large) if few else large, "host", "left")
     dealt = split.withColumn("group", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))).cast("int"))
@@ -292,8 +373,9 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     def together(table: pa.Table, common: pa.Table) -> pa.Table:
         return made(table, common.column("h").to_numpy())
 
-    groups = dealt.select("page_id", "url", "html", "host", "group", "bare")
-    if large.filter("bare").isEmpty():
-        return groups.groupBy("host", "group").applyInArrow(alone, schema)
-    exchanged = common_runs(groups.filter("bare"))
-    return groups.groupBy("host", "group").cogroup(exchanged.groupBy("host", "group")).applyInArrow(together, schema)
+    groups = dealt.select("page_id", "url", "html", "host", "group", "groups")
+    exchanged = None if large.isEmpty() else common_runs(groups.filter("groups is not null"))
+    groups = groups.drop("groups").groupBy("host", "group")
+    if exchanged is None:
+        return groups.applyInArrow(alone, schema)
+    return groups.cogroup(exchanged.groupBy("host", "group")).applyInArrow(together, schema)

@@ -82,3 +82,23 @@ def test_repeats_between_groups_are_seen(spark):
         assert [r.text for r in H.extract(df, group_pages=size).orderBy("page_id").collect()] == want
     copies = spark.createDataFrame([(i, f"http://two.example/{i}", f"<p>{notes[0]}</p>") for i in range(5)], df.schema)
     assert {r.text for r in H.extract(copies, group_pages=2).collect()} == {notes[0]}
+
+
+def test_articles_that_only_seem_marked_exchange_their_repeats(spark):
+    rng = random.Random(12)
+    notes = [prose(rng, 30) for _ in range(6)]
+    seeming = ("<article></article>", "<article hidden>x</article>", "<script>'<main>'</script>", "<!-- <article> -->")
+    pages = [f"{seeming[k % 4]}<div>{notes[k // 2]}</div><div>{prose(rng, 40)}</div>" for k in range(12)]
+    want = H.main_texts(pages)
+    assert all(w and "\n\n" not in w for w in want)
+    df = spark.createDataFrame([(i, f"http://one.example/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    for size in (1, 4):
+        assert [r.text for r in H.extract(df, group_pages=size).orderBy("page_id").collect()] == want
+
+
+def test_runs_that_two_streams_share_have_a_fingerprint_in_common():
+    rng = random.Random(3)
+    for run in (3, 16):
+        note = prose(rng, run).split()
+        a, b = (set(H.fingerprints(prose(rng, i).split() + note + prose(rng, 25).split(), "h", run)) for i in (0, 17))
+        assert a & b and not a & set(H.fingerprints(note, "other", run)) and not len(H.fingerprints(note[1:], "h", run))
