@@ -3,13 +3,15 @@
 A page is cut into blocks of text, each a stream of words. Blocks inside
 elements that never hold the article (navigation, footers, asides, forms,
 scripts, adverts, comments and the like, by element, role or class) go. Where
-a page marks its article (``article`` or ``main``), its blocks are the text.
-For the rest of a host's blocks the markup doesn't decide: the pages' token
-streams are concatenated, a suffix array (prefix doubling) groups the runs of
-``RUN`` words that are equal, and words under a run that stands on two or more
-distinct pages are boilerplate. A block that is covered so for the most part
-is removed; unique runs stay. Inside a marked article repeats stay too: copies
-of an article are no boilerplate.
+a page marks its article (``article`` or ``main``), only its blocks are the
+text. Which of their words stay, marked or not, the markup doesn't decide: the
+pages' token streams are concatenated, a suffix array (prefix doubling) groups
+the runs of ``RUN`` words that are equal, and words under a run that stands on
+two or more distinct pages are boilerplate. They are cut where they make a run
+within their block, or most of it; unique words stay. A marked article that
+repeats cover to ``COVERED`` is a copy of others and stays whole: copies of an
+article are no boilerplate. An article with less than that share of its own
+keeps its repeats, as it can't be told from a copy with changes.
 
 A host's pages are dealt into groups of about ``GROUP_PAGES`` by a hash, so
 that a large host is no single task. The groups of a large host also exchange
@@ -51,7 +53,7 @@ GRAM = 6
 BROADCAST_PRINTS = 1 << 22
 #: Parts that fingerprints are dealt into by hash, and how many a task holds before it sends them.
 PRINT_PARTS, HELD_PRINTS = 256, 1 << 20
-#: Share of a block's words that repeats must cover for it to go.
+#: Share of a block's words from which shorter repeats in it are cut too; share of an article's words that makes it a copy.
 COVERED = 0.8
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.S)
@@ -229,6 +231,20 @@ def words_of(page: list[tuple[bool, str]]) -> list[str]:
     return [w for _, b in page for w in b.split(" ")]
 
 
+def without_repeats(block: str, under: np.ndarray, run: int = RUN, covered: float = COVERED) -> str:
+    """The block without its words under repeats. Where repeats cover less than ``covered`` of it, pieces shorter than a
+    run stay: they belong to repeats in the blocks around."""
+    if not under.any():
+        return block
+    go = under
+    if under.sum() < covered * len(under):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], under.astype(np.int8), [0]])))
+        go = np.zeros(len(under), bool)
+        for a, b in zip(edges[::2], edges[1::2]):
+            go[a:b] = b - a >= run
+    return " ".join(w for w, gone in zip(block.split(" "), go) if not gone)
+
+
 def main_texts(pages: list[str | None], run: int = RUN, covered: float = COVERED, common: np.ndarray | None = None) -> list[str]:
     """The main text of each page of one host; ``common`` are hashes of runs known to repeat elsewhere on it."""
     parsed = [blocks(p) for p in pages]
@@ -241,10 +257,16 @@ def main_texts(pages: list[str | None], run: int = RUN, covered: float = COVERED
     out = []
     for page, under in zip(parsed, flags):
         marked, kept, at = any(inside for inside, _ in page), [], 0
+        inner = np.repeat([inside for inside, _ in page], [b.count(" ") + 1 for _, b in page]).astype(bool)
+        copy = marked and under[inner].sum() >= covered * inner.sum()
         for inside, block in page:
             n = block.count(" ") + 1
-            if inside or not marked and under[at : at + n].sum() < covered * n:
+            if inside and copy:
                 kept.append(block)
+            elif inside or not marked:
+                left = without_repeats(block, under[at : at + n], run, covered)
+                if left:
+                    kept.append(left)
             at += n
         out.append("\n\n".join(kept))
     return out

@@ -102,3 +102,19 @@ def test_runs_that_two_streams_share_have_a_fingerprint_in_common():
         note = prose(rng, run).split()
         a, b = (set(H.fingerprints(prose(rng, i).split() + note + prose(rng, 25).split(), "h", run)) for i in (0, 17))
         assert a & b and not a & set(H.fingerprints(note, "other", run)) and not len(H.fingerprints(note[1:], "h", run))
+
+
+def test_repeats_inside_articles_go_and_unique_words_and_copies_stay(spark):
+    rng = random.Random(21)
+    notice, bodies = prose(rng, 40), [prose(rng, 60) for _ in range(6)]
+    pages = [f"<article><p>{notice}</p><p>{b}</p></article>" for b in bodies]
+    assert H.main_texts(pages) == bodies
+    df = spark.createDataFrame([(i, f"http://one.example/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    for size in (1, 4, 100):
+        assert [r.text for r in H.extract(df, group_pages=size).orderBy("page_id").collect()] == bodies
+    # unique words next to a notice, in its block, stay
+    assert H.main_texts([f"<div>{notice} uno{k} dos{k} tres{k}</div><div>{b}</div>" for k, b in enumerate(bodies)]) == [f"uno{k} dos{k} tres{k}\n\n{b}" for k, b in enumerate(bodies)]
+    assert H.main_texts([f"<main>{b} {notice}</main>" for b in bodies]) == bodies
+    # copies of an article with some words changed stay whole
+    near = [f"<article><p>{bodies[0]} {bodies[1]} word{k} {bodies[2]}</p></article>" for k in range(3)]
+    assert H.main_texts(near) == [p[12:-14] for p in near]
