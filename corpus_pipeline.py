@@ -14,6 +14,8 @@ from strandweave.llm.common import saved
 
 #: Documents score at least this to stay.
 QUALITY_THRESHOLD = 0.5
+#: Near copies share this many parts in 100 of their shingles of so many words. (``op6_ngram_join`` has settings of its own.)
+NEAR_SHARE, NEAR_WORDS = 80, 5
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies stays."""
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, share=NEAR_SHARE, n=NEAR_WORDS)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

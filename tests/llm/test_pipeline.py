@@ -42,3 +42,16 @@ def test_each_stage_takes_effect(spark, tables):
 def test_run_is_the_stages_one_after_the_other(spark, tables):
     got = corpus_pipeline.run(spark, tables)
     assert got.agg({"length": "sum"}).first()[0] == got.dropDuplicates(["doc_id"]).agg({"doc_tokens": "sum"}).first()[0]
+
+
+def test_near_copies_from_eighty_in_a_hundred_go(spark):
+    rng = random.Random(9)
+    rows, similar = [], []
+    for i in range(6):
+        words = prose(rng, 100)
+        rows += [(2 * i, words, "en", "s0", 0), (2 * i + 1, f"{words} {prose(rng, 18 + 2 * i)}", "en", "s0", 0)]
+        similar.append(96 / (96 + 18 + 2 * i))
+    assert all(s < 0.85 for s in similar) and similar[3] >= 0.8 > similar[4]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()}
+    assert kept == set(range(0, 12, 2)) | {9, 11}
