@@ -448,7 +448,7 @@ def evidence_greedy_matching(spark, sf_dir):
 
 @query(rec(f"{UNITIGS}, {deg('d', 'ug')}, hd AS (SELECT id FROM d WHERE n_in = 2 AND n_out = 1 AND self_loops = 0), stp AS MATERIALIZED (SELECT DISTINCT src, dst, n_out, self_loops FROM ug JOIN d ON d.id = dst WHERE n_in = 1), wk AS (SELECT id AS head, id AS here, 0 AS n, false AS done FROM hd UNION ALL SELECT w.head, s.dst, w.n + 1, s.n_out = 2 FROM wk w JOIN stp s ON s.src = w.here WHERE NOT w.done AND w.n < 12 AND (s.n_out = 2 AND s.self_loops = 0 OR s.n_out = 1 AND s.dst <> w.head))", "SELECT head, here AS tail FROM wk WHERE done"))
 def unary_chain_2x2(spark, sf_dir):
-    return decouple.unary_chains(unitigs_of(spark, sf_dir))
+    return decouple.unary_chains(unitigs_of(spark, sf_dir)).select("head", "tail")
 
 
 @query(rec(f"{motifs.sql('strands')}, wi AS (SELECT dst AS head, list_sort(list(DISTINCT src)) AS i FROM mg GROUP BY dst), wo AS (SELECT src AS tail, list_sort(list(DISTINCT dst)) AS o FROM mg GROUP BY src), mt AS (SELECT DISTINCT head, tail, i, o FROM mg JOIN wi ON head = src JOIN wo ON tail = dst WHERE len(i) = 2 AND len(o) = 2 AND (SELECT count(DISTINCT dst) FROM mg x WHERE x.src = head) = 1 AND (SELECT count(DISTINCT src) FROM mg y WHERE y.dst = tail) = 1), f AS (SELECT *, i[1] = {RN('o[1]')} OR i[2] = {RN('o[2]')} AS direct, i[1] = {RN('o[2]')} OR i[2] = {RN('o[1]')} AS crossed FROM mt WHERE NOT list_contains(i, {RN('head')}) AND NOT list_contains(o, {RN('tail')}))", "SELECT head, tail, i[1] AS in0, i[2] AS in1, CASE WHEN direct THEN o[1] ELSE o[2] END AS out0, CASE WHEN direct THEN o[2] ELSE o[1] END AS out1 FROM f WHERE direct OR crossed"))

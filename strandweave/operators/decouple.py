@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coverage import unbalanced
 from ..functions.strand import rc_node
+from ..plans.tables import written
 from .degree import degrees
 
 
@@ -103,18 +106,23 @@ def strand_sites(edges: DataFrame, chains: DataFrame, strict: bool = False) -> D
     return picked.select("head", "tail", i(0).alias("in0"), i(1).alias("in1"), F.when(direct, o(0)).otherwise(o(1)).alias("out0"), F.when(direct, o(1)).otherwise(o(0)).alias("out1"))
 
 
-def unary_chains(edges: DataFrame, hops: int = 12) -> DataFrame:
-    """``head, tail``: from a node with two ways in and one out along nodes with one way in, to one with two out."""
+def unary_chains(edges: DataFrame, hops: int | None = None) -> DataFrame:
+    """``head, tail, nodes``: from a node with two ways in and one out along nodes with one way in, to one with two out.
+
+    Nodes behind the head have one way in and the head has two, so no walk meets a node twice: the search ends when
+    none is open, or after ``hops`` edges if given."""
     degree = degrees(edges)
     heads = degree.filter("n_in = 2 and n_out = 1 and self_loops = 0").select(F.col("id").alias("head"))
-    step = edges.select("src", "dst").distinct().join(degree.filter("n_in = 1").select(F.col("id").alias("dst"), F.col("n_out"), "self_loops"), "dst")
-    level = heads.select("head", F.col("head").alias("at"))
+    step = written(edges.select("src", "dst").distinct().join(degree.filter("n_in = 1").select(F.col("id").alias("dst"), F.col("n_out"), "self_loops"), "dst"), "steps")
+    level = heads.select("head", F.col("head").alias("at"), F.array("head").alias("nodes"))
     found = None
-    for _ in range(hops):
-        met = level.join(step.select(F.col("src").alias("at"), "dst", "n_out", "self_loops"), "at")
-        ends = met.filter("n_out = 2 and self_loops = 0").select("head", F.col("dst").alias("tail"))
+    for _ in itertools.count() if hops is None else range(hops):
+        met = written(level.join(step.select(F.col("src").alias("at"), "dst", "n_out", "self_loops"), "at").withColumn("nodes", F.concat("nodes", F.array("dst"))), "chains")
+        ends = met.filter("n_out = 2 and self_loops = 0").select("head", F.col("dst").alias("tail"), "nodes")
         found = ends if found is None else found.union(ends)
-        level = met.filter("n_out = 1 and dst <> head").select("head", F.col("dst").alias("at"))
+        level = met.filter("n_out = 1 and dst <> head").select("head", F.col("dst").alias("at"), "nodes")
+        if level.isEmpty():
+            break
     return found
 
 

@@ -222,3 +222,18 @@ def test_streaming_coverage(spark, tmp_path):
     q = edge_coverage(stream).writeStream.outputMode("complete").format("memory").queryName("cov").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("cov").agg(F.sum("multiplicity")).first()[0] == 4.0
+
+
+def test_long_whirls_and_chains(spark, monkeypatch):
+    ring = "ABCDEFGHIJ"
+    monkeypatch.setitem(motifs.MOTIFS, "long_whirl", [(u, v, 5, 3.0) for u, v in zip(ring, ring[1:] + "A")] + [("A", "Z", 5, 7.0)])
+    found = whirl.cycles(graph(spark, "long_whirl").edges)
+    assert [len(r.labels) for r in found.filter("start = 'A'").collect()] == [10]
+    inner = "Mabcdefghijklm" + "N"  # 14 edges
+    monkeypatch.setitem(motifs.MOTIFS, "long_chain", [("P", "M", 6, 5.0), ("Q", "M", 6, 4.0), *((u, v, 6, 9.0) for u, v in zip(inner, inner[1:])), ("N", "-P", 6, 5.0), ("N", "R", 6, 4.0)])
+    g = graph(spark, "long_chain")
+    chains = {(r.head, r.tail): r.nodes for r in decouple.unary_chains(g.edges).collect()}
+    assert chains["M", "N"] == list(inner)
+    out, n = simplify.fixpoint(g, simplify.strands)
+    assert n and {("P", "R"), ("Q", "-P")} <= {(r.src, r.dst) for r in out.edges.collect()}
+    assert {r.length for r in out.edges.filter("src = 'P' and dst = 'R'").collect()} == {16 * 6}
