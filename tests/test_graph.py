@@ -224,6 +224,13 @@ def test_streaming_coverage(spark, tmp_path):
     assert spark.table("cov").agg(F.sum("multiplicity")).first()[0] == 4.0
 
 
+def test_holders_of_short_edges(spark):
+    e = spark.createDataFrame([("a", "ACGTTC"), ("b", "GAACGT"), ("c", "GGGGG"), ("d", "ACGTTCA" * 5), ("e", "")], "label string, sequence string")
+    g = spark.createDataFrame([("one", "TT" + "ACGTTCA" * 5), ("two", "CCCCC"), ("three", "A")], "name string, sequence string")
+    got = {(r.label, r.genome) for r in contract.holders(e, g).collect()}
+    assert got == {("a", "one"), ("b", "one"), ("c", "two"), ("d", "one")}
+
+
 def test_long_whirls_and_chains(spark, monkeypatch):
     ring = "ABCDEFGHIJ"
     monkeypatch.setitem(motifs.MOTIFS, "long_whirl", [(u, v, 5, 3.0) for u, v in zip(ring, ring[1:] + "A")] + [("A", "Z", 5, 7.0)])
