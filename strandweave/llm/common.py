@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows of one Arrow batch handed to Python; texts can be long, so it is far below Spark's default.
 BATCH_ROWS = 1024
@@ -28,10 +31,13 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` or, where that is unset, an own one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where everything runs in one
+    process (a local master) is an own folder made if that is unset; a cluster must name one."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="strandweave-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir() or found
@@ -98,8 +104,18 @@ def bounded_sample(keys: DataFrame, key: str, rows: int) -> DataFrame:
     return keys.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
 
 
-def text_batches(rows, batch_chars: int) -> Iterator[tuple[str, list[tuple[object, str | None]]]]:
-    """A task's rows (doc_id, text) as lists of about ``batch_chars`` characters, each with its key.
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def stable(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if it only reads files row by row, so that every pass sees the same rows in the same tasks; else written first."""
+    nodes = re.findall(r"^[\s:+|-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString(), re.M)
+    return df if nodes and set(nodes) <= {"Project", "Filter", "Relation"} else saved(df, name)
+
+
+def text_batches(rows, batch_chars: int) -> Iterator[tuple[str, list[tuple]]]:
+    """A task's rows, the last column a text, as lists of about ``batch_chars`` characters, each with its key.
 
     The key holds a checksum of the texts, so what one pass says of a batch meets only the very same texts in another."""
     from pyspark import TaskContext
@@ -108,14 +124,14 @@ def text_batches(rows, batch_chars: int) -> Iterator[tuple[str, list[tuple[objec
 
     def key() -> str:
         sum_ = 0
-        for _, t in held:
+        for *_, t in held:
             sum_ = zlib.crc32((t or "").encode("utf-8", "surrogatepass"), sum_)
         return f"{part}-{n}-{len(held)}-{sum_}"
 
     for batch in rows:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held.append((doc, text))
-            chars += len(text or "")
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            held.append(row)
+            chars += len(row[-1] or "")
             if chars >= batch_chars:
                 yield key(), held
                 held, chars, n = [], 0, n + 1
@@ -150,6 +166,19 @@ def pack_hashes(hashes: np.ndarray) -> bytes:
     return bytes([width]) + hashes[:1].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts from 1 as one byte each, larger ones after them, compressed: most are small."""
+    low = np.minimum(counts, 255).astype(np.uint8)
+    return zlib.compress(low.tobytes() + counts[low == 255].astype("<u8").tobytes(), 1)
+
+
+def unpack_counts(packed: bytes, n: int) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<u8", offset=n).astype(np.int64)
+    return out
+
+
 def unpack_hashes(packed: bytes) -> np.ndarray:
     width = packed[0]
     raw = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, width)

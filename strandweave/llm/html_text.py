@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, tune
-from .ngram_join import _K, _mix
+from .hashing import K as _K, mix as _mix
 
 #: Words of a run that makes boilerplate when distinct pages share it.
 RUN = 16

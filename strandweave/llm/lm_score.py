@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_slices, pack_hashes, pack_texts, text_batches, tune, unpack_hashes, unpack_texts
-from .ngram_join import _K, _mix, word_hashes
+from .hashing import K as _K, mix as _mix, word_hashes
 
 ORDER, ALPHA, LEAST = 2, 0.4, 2
 #: Characters of a batch's texts.
