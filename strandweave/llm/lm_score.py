@@ -6,14 +6,18 @@ N - 1 words whose n-gram occurs at least ``LEAST`` times, times ``ALPHA`` for
 each shorter context tried; at last c(word) / all words. A document's score is
 the mean of its words' log scores.
 
-The work is relational, over packed rows. A task cuts its documents into
-batches; a batch is exploded into its n-grams, as 64-bit hashes, and sends each
-hash partition the batch's distinct ones with their counts (a packed row for
-each partition that has any). A partition adds up the counts of the n-grams
-that it owns, over all batches, and answers every batch with the sums. The
-answers are joined to the batch's documents, exploded once more, and summed by
-document. An n-gram crosses the network once for each batch and not once for
-each occurrence, and no table of counts is broadcast or collected.
+The work is relational, over packed rows. Each batch of documents is exploded
+into its n-grams, as 64-bit hashes, and counted; its rows of the relation
+``grams(batch, part, grams, counts)`` hold the distinct ones, dealt by hash.
+A part of the count table is the sum by n-gram of all rows of a hash range;
+joined back to the rows that asked, it answers every batch with the sums. The
+answers meet the batch's documents, which are exploded once more and summed.
+An n-gram crosses the network once for each batch that has it and not once for
+each occurrence. There is a part for every ``PART_GRAMS`` n-grams of the
+corpus, so a part's work is the same at every size, and a frequent n-gram is
+at most one entry of each batch; no table of counts is broadcast or collected.
+(A row for each n-gram would need twice the bytes: 12 or more after
+compression, for about 6 of a packed hash, its count included.)
 
 Defined results: null texts count as empty; a document without a word has
 score null and 0 words; equal rows are scored each; an empty table gives no
@@ -22,21 +26,19 @@ rows.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_slices, pack_hashes, pack_texts, text_batches, tune, unpack_hashes, unpack_texts
-from .hashing import K as _K, mix as _mix, word_hashes
+from .common import arrow_type, hash_slices, pack_counts, pack_hashes, pack_texts, stable, text_batches, tune, unpack_counts, unpack_hashes, unpack_texts
+from .hashing import K, mix, word_hashes
 
-ORDER, ALPHA, LEAST = 2, 0.4, 2
+ORDER, ALPHA, LEAST = 3, 0.4, 2
 #: Characters of a batch's texts.
-BATCH_CHARS = 8 << 20
-#: Least number of hash partitions; sessions with more shuffle partitions use that many.
-PARTITIONS = 64
+BATCH_CHARS = 16 << 20
+#: N-grams that a part counts, about, and the least number of parts.
+PART_GRAMS, PARTS = 2 << 20, 16
 
 
 def ngrams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,23 +48,24 @@ def ngrams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]
     sizes = np.array([len(w) for w in words], np.int64)
     flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
     nth = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    rows = [_mix(flat + np.uint64(1)) | np.uint64(1)]
+    rows = [mix(flat + np.uint64(1)) | np.uint64(1)]
     for k in range(1, order):
         longer = np.zeros(len(flat), np.uint64)
         # the n-gram one word shorter that ends a word earlier, and this word
-        longer[1:] = _mix((rows[-1][:-1] * _K) ^ flat[1:] + np.uint64(k)) | np.uint64(1)
+        longer[1:] = mix((rows[-1][:-1] * K) ^ flat[1:] + np.uint64(k)) | np.uint64(1)
         longer[nth < k] = 0
         rows.append(longer)
     return sizes, np.array(rows)
 
 
-def score(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, batch_chars: int = BATCH_CHARS, partitions: int | None = None) -> DataFrame:
+def score(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, batch_chars: int = BATCH_CHARS, part_grams: int = PART_GRAMS) -> DataFrame:
     """``doc_id, n_words, n_backed_off, log_score``: words, words scored by a shorter context than was there, and the mean log score."""
     spark = documents.sparkSession
     tune(spark)
-    parts = partitions or max(PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = documents.select("doc_id", "text")
-    kind = dict(docs.dtypes)["doc_id"]
+    docs = stable(documents.select("doc_id", "text"), "texts")
+    kind, doc_type = dict(docs.dtypes)["doc_id"], arrow_type(docs, "doc_id")
+    total = int(docs.select("text").mapInArrow(_count_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    parts = max(PARTS, -(-total * order // part_grams))
 
     def distinct(rows):
         for key, held in text_batches(rows, batch_chars):
@@ -72,26 +75,25 @@ def score(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, least:
             used = np.flatnonzero(np.diff(cut)).tolist()
             for at in range(0, len(used), 16):
                 some = used[at : at + 16]
-                columns = [[key] * len(some), some, [pack_hashes(found[cut[p] : cut[p + 1]]) for p in some], [counts[cut[p] : cut[p + 1]].astype(np.uint32).tobytes() for p in some]]
+                columns = [[key] * len(some), some, [pack_hashes(found[cut[p] : cut[p + 1]]) for p in some], [pack_counts(counts[cut[p] : cut[p + 1]]) for p in some]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["batch", "part", "grams", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
         asked = [unpack_hashes(x.as_py()) for x in table.column("grams")]
         all_, own = np.unique(np.concatenate(asked), return_inverse=True)
-        sums = np.bincount(own, np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")]).astype(np.float64), len(all_))
-        each = np.split(sums[own].astype(np.int64), np.cumsum([len(a) for a in asked])[:-1])
-        packed = [zlib.compress(e.astype(np.uint64).tobytes(), 1) for e in each]
-        return pa.table({"batch": table.column("batch"), "part": table.column("part"), "sums": pa.array(packed, pa.binary())})
+        counts = np.concatenate([unpack_counts(x.as_py(), len(a)) for x, a in zip(table.column("counts"), asked)])
+        sums = np.bincount(own, counts, len(all_)).astype(np.int64)
+        each = np.split(sums[own], np.cumsum([len(a) for a in asked])[:-1])
+        sizes = pa.array([len(e) for e in each], pa.int32())
+        return pa.table({"batch": table.column("batch"), "part": table.column("part"), "n": sizes, "sums": pa.array(map(pack_counts, each), pa.binary())})
 
     def packed(rows):
         for key, held in text_batches(rows, batch_chars):
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([[d for d, _ in held]], pa.list_(doc_type)), pa.array([pack_texts([t for _, t in held])], pa.binary())], ["batch", "docs", "texts"])
 
-    doc_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     grams = docs.mapInArrow(distinct, "batch string, part int, grams binary, counts binary")
-    answers = grams.groupBy("part").applyInArrow(answer, "batch string, part int, sums binary")
-    lists = answers.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("part", "sums"))).alias("answers"))
-    total = int(docs.mapInArrow(_count_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    answers = grams.repartition(parts, "part").groupBy("part").applyInArrow(answer, "batch string, part int, n int, sums binary")
+    lists = answers.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("part", "n", "sums"))).alias("answers"))
 
     def scored(rows):
         for batch in rows:
@@ -99,7 +101,7 @@ def score(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, least:
                 texts = unpack_texts(texts, len(ids))
                 sizes, h = ngrams(texts, order)
                 found, own = np.unique(h[h != 0], return_inverse=True)
-                sums = np.concatenate([np.frombuffer(zlib.decompress(a["sums"]), np.uint64) for a in answers_ or []] or [np.zeros(0, np.uint64)]).astype(np.float64)
+                sums = np.concatenate([unpack_counts(a["sums"], a["n"]) for a in answers_ or []] or [np.zeros(0, np.int64)]).astype(np.float64)
                 if len(sums) != len(found):
                     raise RuntimeError(f"batch {key} was cut in another way than its counts; the input isn't stable")
                 c = np.zeros(h.shape)
@@ -129,16 +131,18 @@ def score(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, least:
 
 def _count_words(rows):
     for batch in rows:
-        yield pa.RecordBatch.from_arrays([pa.array([sum(len((t or "").encode("utf-8", "surrogatepass").split()) for t in batch.column(1).to_pylist())], pa.int64())], ["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len((t or "").encode("utf-8", "surrogatepass").split()) for t in batch.column(0).to_pylist())], pa.int64())], ["n"])
 
 
 def oracle(alpha: float = ALPHA, least: int = LEAST) -> str:
-    """The scores of order 2 in DuckDB SQL."""
+    """The scores of order 3 in DuckDB SQL."""
     return f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-p AS (SELECT doc_id, unnest(w) AS b, unnest(list_prepend(NULL, w)[1 : len(w)]) AS a FROM d),
-u AS (SELECT b AS word, count(*) AS c FROM p GROUP BY b), g AS (SELECT a, b, count(*) AS c FROM p WHERE a IS NOT NULL GROUP BY a, b), n AS (SELECT count(*) AS n FROM p),
-s AS (SELECT p.doc_id, p.a IS NOT NULL AND g.c < {least} AS backed,
-  CASE WHEN g.c >= {least} THEN ln(g.c / ua.c) WHEN p.a IS NOT NULL THEN ln({alpha}) + ln(ub.c / n.n) ELSE ln(ub.c / n.n) END AS v
-  FROM p LEFT JOIN g ON p.a = g.a AND p.b = g.b LEFT JOIN u ua ON p.a = ua.word JOIN u ub ON p.b = ub.word CROSS JOIN n)
+p AS (SELECT doc_id, unnest(w) AS c, unnest(list_prepend(NULL, w)[1 : len(w)]) AS b, unnest(list_prepend(NULL, list_prepend(NULL, w))[1 : len(w)]) AS a FROM d),
+u AS (SELECT c AS word, count(*) AS n FROM p GROUP BY c), g AS (SELECT b, c, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY b, c), h AS (SELECT a, b, c, count(*) AS n FROM p WHERE a IS NOT NULL GROUP BY a, b, c), n AS (SELECT count(*) AS n FROM p),
+s AS (SELECT p.doc_id, p.a IS NOT NULL AND h.n < {least} OR p.b IS NOT NULL AND p.a IS NULL AND g.n < {least} AS backed,
+  CASE WHEN h.n >= {least} THEN ln(h.n / gab.n)
+    WHEN g.n >= {least} THEN CASE WHEN p.a IS NOT NULL THEN ln({alpha}) ELSE 0 END + ln(g.n / ub.n)
+    ELSE (CASE WHEN p.a IS NOT NULL THEN 2 WHEN p.b IS NOT NULL THEN 1 ELSE 0 END) * ln({alpha}) + ln(uc.n / n.n) END AS v
+  FROM p LEFT JOIN h ON p.a = h.a AND p.b = h.b AND p.c = h.c LEFT JOIN g ON p.b = g.b AND p.c = g.c LEFT JOIN g gab ON p.a = gab.b AND p.b = gab.c LEFT JOIN u ub ON p.b = ub.word JOIN u uc ON p.c = uc.word CROSS JOIN n)
 SELECT d.doc_id, coalesce(x.n_words, 0) AS n_words, coalesce(x.backed, 0) AS n_backed_off, round(x.v, 6) AS log_score
 FROM d LEFT JOIN (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE backed) AS backed, avg(v) AS v FROM s GROUP BY doc_id) x USING (doc_id)"""

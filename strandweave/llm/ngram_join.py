@@ -56,7 +56,7 @@ SHARE = 85
 #: Characters of a batch's texts.
 BATCH_CHARS = 8 << 20
 #: Tokens that a hash partition counts, about, and the least number of partitions.
-PART_TOKENS, PARTITIONS = 2 << 20, 64
+PART_TOKENS, PARTITIONS = 2 << 20, 16
 #: Entries of a block's chunk: no more than its square are compared under one key.
 CHUNK = 256
 #: Documents up to which their ids are broadcast to pick their texts; they are joined by a shuffle beyond.

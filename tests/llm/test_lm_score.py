@@ -36,7 +36,7 @@ def test_matches_brute_force(spark, order, chars):
     rows = [(r[0], r[1]) for r in documents()] + [(1000 + i, " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 40)))) for i in range(40)]
     df = frame(spark, [(*r, None, None, None) for r in rows])
     key = lambda r: (str(r[0]), r[1], r[2])
-    got = sorted(((r.doc_id, r.n_words, r.n_backed_off, r.log_score) for r in S.score(df, order, batch_chars=chars, partitions=7).collect()), key=key)
+    got = sorted(((r.doc_id, r.n_words, r.n_backed_off, r.log_score) for r in S.score(df, order, batch_chars=chars, part_grams=1 << 12).collect()), key=key)
     want = sorted(brute(rows, order), key=key)
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert all(g[3] == w[3] or math.isclose(g[3], w[3], rel_tol=1e-9) for g, w in zip(got, want))
