@@ -1,37 +1,48 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies.
 
-Texts are lower-cased and cut into words of letters and digits. Windows of
-``WINDOW`` words overlap by all words but the stride; the shingles of five
-words that start in successive windows are the text's shingles, each once. The
-MinHash of a window under band j is the least of its shingles' hashes rotated
-by 5 j bits, one row to a band: a window that holds a template's shingle has a
-similarity of at least 1/2 with the template's window of that shingle, so
-``BANDS`` = 12 bands collide with a probability of at least 1 - 2**-12; a
-template of many shingles has as many chances. Retrieved (document, template)
-pairs are verified by the exact share of the template's shingles that the
+Texts are lower-cased and cut into words of letters and digits. A text's
+shingles of five words are grouped into windows of ``WINDOW`` shingles that
+start every ``STRIDE`` shingles, so each shingle is in two windows and a run of
+up to ``WINDOW - STRIDE + 1`` shingles lies whole in one. Templates are cut
+alike, but with a window at every shingle; one with fewer shingles is one
+window. Each window has ``b`` bands of one row: the least value of b
+independent hash functions over its shingles.
+
+Guarantee: a text window that holds t shingles of a template window, and no
+template window has more than ``WINDOW``, agrees with it in a band with a
+probability of at least t / (2 * WINDOW - t); of t / WINDOW where the template
+has just these t. ``bands_for`` sets b so that an occurrence of the shortest
+template is missed with a probability of at most ``MISSED``; longer ones have
+more shingles a window, and many windows. Retrieved (document, template) pairs
+are verified by the exact share of the template's distinct shingles that the
 document holds, at least ``CONTAINED``.
 
-All of it is DataFrame and SQL functions. The templates' tables are broadcast;
-a scan takes at most ``MAX_TEMPLATES`` templates of bounded length.
+All of it is DataFrame and SQL functions. Templates may be of any number and
+length: their tables are broadcast while they have at most
+``BROADCAST_ROWS`` rows, and joined by a shuffle beyond.
 
-Defined results: null and empty texts hold no license; a template without a
-whole shingle is refused; a template found many times in a text counts once;
-equal rows of documents are one result, as results are by doc_id.
+Defined results: null and empty texts hold no license; a template with fewer
+words than a shingle raises ValueError; a template found many times in a text
+counts once; equal rows of documents are one result, as results are by doc_id.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved
 
 SHINGLE = 5
-#: Words of a window, and shingles that start in it: its stride.
-WINDOW, STRIDE = 6, 2
-BANDS = 12
+#: Shingles of a window, and shingles from one window's start to the next.
+WINDOW, STRIDE = 8, 4
+#: Highest probability of missing an occurrence of a template.
+MISSED = 1e-4
 CONTAINED = 0.8
-MAX_TEMPLATES, MAX_TEMPLATE_WORDS = 1000, 2000
+#: Rows of the templates' tables up to which they are broadcast (under 100 bytes each).
+BROADCAST_ROWS = 500_000
 #: Candidate pairs up to which they are broadcast for the second pass; they are joined by a shuffle beyond.
 BROADCAST_PAIRS = 300_000
 
@@ -52,65 +63,60 @@ TEMPLATES = {
 
 
 def normal(text: Column) -> Column:
-    """Words of letters and digits in lower case, each followed by a blank."""
-    return F.concat(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-
-
-def _hashes(words: Column) -> list[Column]:
-    """The hashes of the shingles that start in a window; null where the window ends first."""
-    return [F.xxhash64(*(F.get(words, F.lit(k + i)) for i in range(SHINGLE))) for k in range(STRIDE)]
+    """Words of letters and digits in lower case, a blank between two."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
-def _rotated(h: Column, band: int) -> Column:
-    return h if band == 0 else F.shiftleft(h, 5 * band).bitwiseOR(F.shiftrightunsigned(h, 64 - 5 * band))
+def bands_for(shingles: int, missed: float = MISSED) -> int:
+    """Bands that a window with ``shingles`` of a template's, all it has, needs to be missed no more often than that."""
+    return max(1, math.ceil(math.log(missed) / math.log(1 - min(shingles, WINDOW - 1) / WINDOW)))
 
 
-def _bands(hashes: list[Column]) -> Column:
-    """The window's key in each band; the band's number replaces the lowest bits."""
-    key = lambda j: (F.least(*(_rotated(h, j) for h in hashes)) if len(hashes) > 1 else _rotated(hashes[0], j)).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(j))
-    return F.array(*(key(j) for j in range(BANDS)))
+def _windows(df: DataFrame, keep: list[str], stride: int) -> DataFrame:
+    """A row for each window of ``text``: ``keep``, and its shingles' hashes s0, s1, ..., null where the text ends before."""
+    words = df.select(*keep, F.split(normal(F.col("text")), " ").alias("__w")).filter(F.size("__w") >= SHINGLE)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("__w") - SHINGLE - (WINDOW - stride), F.lit(0)), F.lit(stride))
+    cut = words.select(*keep, F.explode(F.transform(starts, lambda i: F.slice("__w", i + 1, WINDOW + SHINGLE - 1))).alias("__v"))
+    hashed = lambda k: F.xxhash64(*(F.get("__v", F.lit(k + i)) for i in range(SHINGLE)))
+    return cut.select(*keep, hashed(0).alias("s0"), *(F.when(F.size("__v") >= k + SHINGLE, hashed(k)).alias(f"s{k}") for k in range(1, WINDOW)))
 
 
-def _windows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each window of ``text``: ``keep``, and the hashes s0, s1 of its shingles.
+def _keyed(windows: DataFrame, keep: list[str], bands: int) -> DataFrame:
+    """``keep, band_key``: the key of each window in each band, the least value of a hash function of its own over the shingles.
 
-    The lookahead takes a window, the match moves on by the stride. Blank-only
-    words ("#") end the text, so that its last shingle has a window.
-    """
-    ahead = "(?=((?:[^ ]+ ){%d}))(?:[^ ]+ ){%d}" % (WINDOW, STRIDE)
-    padded = F.concat(normal(F.col("text")), F.lit("# " * (WINDOW - 1)))
-    found = df.select(*keep, F.explode(F.regexp_extract_all(padded, F.lit(ahead), 1)).alias("__window"))
-    return found.select(*keep, F.split("__window", " ").alias("__words")).select(*keep, *(h.alias(f"s{k}") for k, h in enumerate(_hashes(F.col("__words")))))
+    The bands' numbers are rows, not expressions, so that the generated code is as short for many bands as for few."""
+    spread = windows.select("*", F.explode(F.lit(list(range(1, bands + 1)))).alias("__j"))
+    value = lambda k: F.xxhash64(F.col(f"s{k}") if k == 0 else F.coalesce(f"s{k}", "s0"), "__j")
+    return spread.select(*keep, F.least(*(value(k) for k in range(WINDOW))).alias("band_key"))
 
 
-def _template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """``license, shingle, total`` and ``license, band_key``, both of bounded size."""
-    if len(templates) > MAX_TEMPLATES or any(len(t.split()) > MAX_TEMPLATE_WORDS for t in templates.values()):
-        raise ValueError(f"at most {MAX_TEMPLATES} templates of {MAX_TEMPLATE_WORDS} words")
+def _template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, DataFrame, int]:
+    """``license, shingle, total`` and ``license, band_key``, and the number of bands that the shortest template needs."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string")
-    words = rows.select("license", F.split(F.trim(normal(F.col("text"))), " ").alias("w"))
-    starts = words.filter(F.size("w") >= SHINGLE).select("license", "w", F.explode(F.sequence(F.lit(0), F.size("w") - SHINGLE)).alias("at"))
-    hashed = starts.select("license", "at", F.xxhash64(*(F.get("w", F.col("at") + i) for i in range(SHINGLE))).alias("shingle"), F.xxhash64(*(F.get("w", F.col("at") + 1 + i) for i in range(SHINGLE))).alias("next"), F.size("w").alias("n"))
-    whole = F.col("at") + 1 + SHINGLE <= F.col("n")
-    pairs = hashed.filter(whole).select("license", F.explode(_bands([F.col("shingle"), F.col("next")])).alias("band_key"))
-    alone = hashed.select("license", F.explode(_bands([F.col("shingle")])).alias("band_key"))
-    shingles = hashed.select("license", "shingle").distinct()
-    totals = shingles.groupBy("license").agg(F.count(F.lit(1)).alias("total"))
-    return shingles.join(totals, "license"), pairs.union(alone).distinct()
+    short = rows.filter(F.size(F.split(normal(F.col("text")), " ")) < SHINGLE).select("license").limit(1).collect()
+    if short:
+        raise ValueError(f"template {short[0][0]!r} has fewer than {SHINGLE} words")
+    windows = _windows(rows, ["license"], 1)
+    shingles = windows.select("license", F.explode(F.array(*(f"s{k}" for k in range(WINDOW)))).alias("shingle")).filter("shingle is not null").distinct()
+    shingles = shingles.join(shingles.groupBy("license").agg(F.count(F.lit(1)).alias("total")), "license")
+    least = shingles.agg(F.min("total")).first()[0]
+    bands = bands_for(least or 1)
+    return shingles, _keyed(windows, ["license"], bands).distinct(), bands
 
 
 def scan(documents: DataFrame, templates: dict[str, str] | None = None, contained: float = CONTAINED) -> DataFrame:
     """``doc_id, license, n_shared, n_template, containment`` for each license that a document holds."""
     spark = documents.sparkSession
-    shingles, bands = _template_tables(spark, TEMPLATES if templates is None else templates)
+    shingles, keys, bands = _template_tables(spark, TEMPLATES if templates is None else templates)
+    small = lambda df: F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
     docs = documents.select("doc_id", "text").filter(F.length("text") > 0)
-    keys = _windows(docs, ["doc_id"]).select("doc_id", F.explode(_bands([F.col(f"s{k}") for k in range(STRIDE)])).alias("band_key"))
-    pairs = saved(keys.join(F.broadcast(bands), "band_key").select("doc_id", "license").distinct(), "licenses")
+    asked = _keyed(_windows(docs, ["doc_id"], STRIDE), ["doc_id"], bands)
+    pairs = saved(asked.join(small(keys), "band_key").select("doc_id", "license").distinct(), "licenses")
     few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
     hint = F.broadcast if few else (lambda df: df)
     near = docs.join(hint(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
-    held = _windows(near, ["doc_id"]).select("doc_id", F.explode(F.array(*(f"s{k}" for k in range(STRIDE)))).alias("shingle"))
-    met = held.join(F.broadcast(shingles), "shingle").join(hint(pairs), ["doc_id", "license"], "left_semi")
+    held = _windows(near, ["doc_id"], WINDOW).select("doc_id", F.explode(F.array(*(f"s{k}" for k in range(WINDOW)))).alias("shingle"))
+    met = held.join(small(shingles), "shingle").join(hint(pairs), ["doc_id", "license"], "left_semi")
     counted = met.select("doc_id", "license", "total", "shingle").distinct().groupBy("doc_id", "license", "total").agg(F.count(F.lit(1)).alias("n_shared"))
     out = counted.select("doc_id", "license", "n_shared", F.col("total").alias("n_template"), F.round(F.col("n_shared") / F.col("total"), 6).alias("containment"))
     return out.filter(F.col("n_shared") >= F.lit(contained) * F.col("n_template"))
