@@ -7,19 +7,22 @@ automaton over the patterns, with one letter for each word, scans each
 document's words once. Hits are word positions; they are mapped back to code
 points of the original text for those documents that have any.
 
-The automaton is built from a broadcast of the benchmark's patterns. Their
-size is checked: beyond ``MAX_WORDS`` words the patterns are dealt into several
-automata, which scan one after the other, with a written table between.
+The automaton is built from a broadcast of the benchmark's words, counted as
+they are cut: beyond ``MAX_WORDS`` the items, long ones in overlapping pieces
+that have the same windows, are dealt into several automata, which scan one
+after the other, with a written table between. A worker builds an automaton
+once and keeps it for its other tasks.
 
 Defined results: null or empty texts have no words and no hits; an item
-without words has no pattern; equal items are counted each; null item ids
-count as items named "null"; an empty benchmark hits nothing.
+without words has no pattern; equal items are counted each; items with a null
+id count as one without a name; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,11 +31,13 @@ from pyspark.sql import functions as F
 from .common import saved, tune
 
 WORDS = 10
-#: Words of the benchmark that one automaton holds; a word takes up to ten nodes of about 50 bytes.
+#: Words of the benchmark that one automaton holds, about; a word takes up to ten nodes of about 50 bytes.
 MAX_WORDS = 500_000
+#: Words of a piece of a long item.
+PIECE_WORDS = 20_000
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def words(text: str | None) -> list[bytes]:
@@ -40,16 +45,25 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def patterns(items: list[tuple[object, str | None]], n: int = WORDS) -> dict[tuple[bytes, ...], set[str]]:
+def patterns(items: list[tuple[object, str | None]], n: int = WORDS) -> dict[tuple[bytes, ...], set[str | None]]:
     """Each window of n words, with the ids of the items that have it."""
-    out: dict[tuple[bytes, ...], set[str]] = {}
+    out: dict[tuple[bytes, ...], set[str | None]] = {}
     for item, text in items:
         w = words(text)
         for i in range(max(len(w) - n + 1, bool(w))):
-            out.setdefault(tuple(w[i : i + n]), set()).add("null" if item is None else str(item))
+            out.setdefault(tuple(w[i : i + n]), set()).add(None if item is None else str(item))
     return out
 
 
+def pieces(benchmark: DataFrame, n: int = WORDS, size: int = PIECE_WORDS) -> DataFrame:
+    """``item_id, text, words``: the items' normalised words; long items as pieces that overlap by n - 1 words."""
+    cut = F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(_WORD.pattern), 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)), F.lit(size))
+    rows = benchmark.select("item_id", cut.alias("w")).filter(F.size("w") > 0)
+    held = rows.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, size + n - 1))).alias("w"))
+    return held.select(F.col("item_id").cast("string").alias("item_id"), F.array_join("w", " ").alias("text"), F.size("w").alias("words"))
+
+
 def _letter(n: int) -> str:
     """The n-th character after the blank, past the surrogates: a word's letter in the automaton's alphabet."""
     return chr(n + 33 if n + 33 < 0xD800 else n + 33 + 0x800)
@@ -58,7 +72,7 @@ def _letter(n: int) -> str:
 class Scanner:
     """The automaton, its letter for each word, and the items of each pattern."""
 
-    def __init__(self, found: dict[tuple[bytes, ...], set[str]]):
+    def __init__(self, found: dict[tuple[bytes, ...], set[str | None]]):
         import ahocorasick
 
         self.letters: dict[bytes, str] = {}
@@ -87,14 +101,24 @@ class Scanner:
 
 FOUND = ("__n_words long", "__ranges array<int>", "__items array<string>", "__spans array<int>")
 
+#: A worker's automaton, by its broadcast's name.
+_kept: dict[str, Scanner] = {}
+
+
+def _scanner(name: str, shared, n: int) -> Scanner:
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Scanner(patterns(shared.value, n))
+    return _kept[name]
+
 
 def scanned(documents: DataFrame, benchmark: DataFrame, n: int = WORDS, max_words: int = MAX_WORDS) -> DataFrame:
     """``documents`` with the columns of ``FOUND``: the number of words; the hits as flat arrays of
     starts and ends, in words and in code points of the original text; and the items, sorted."""
     spark = documents.sparkSession
     tune(spark)
-    sized = benchmark.select("item_id", "text", F.coalesce(F.size(F.split("text", r"\s+")), F.lit(0)).alias("size"))
-    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    sized = saved(pieces(benchmark, n, min(PIECE_WORDS, max(max_words, n))), "benchmark")
+    total = sized.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     shards = int(total // max_words) + 1
     columns = documents.columns
     kinds = dict(documents.dtypes)
@@ -107,8 +131,8 @@ def scanned(documents: DataFrame, benchmark: DataFrame, n: int = WORDS, max_word
         shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in own])
         last = k == shards - 1
 
-        def run(batches, shared=shared, last=last):
-            scanner = Scanner(patterns(shared.value, n))
+        def run(batches, shared=shared, last=last, name=uuid.uuid4().hex):
+            scanner = _scanner(name, shared, n)
             for batch in batches:
                 rows: list[list] = [[] for _ in range(4)]
                 width = len(columns)
@@ -121,7 +145,7 @@ def scanned(documents: DataFrame, benchmark: DataFrame, n: int = WORDS, max_word
                     if last and found:
                         at = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
                         spans = [x for a, b in found for x in (at[a][0], at[b - 1][1])]
-                    for column, v in zip(rows, (len(w), [x for r in found for x in r], sorted({*items, *held}), spans)):
+                    for column, v in zip(rows, (len(w), [x for r in found for x in r], sorted({*items, *held}, key=lambda i: (i is None, i)), spans)):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c) for c in range(width)), *(pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()))))],
@@ -131,6 +155,7 @@ def scanned(documents: DataFrame, benchmark: DataFrame, n: int = WORDS, max_word
         out = out.mapInArrow(run, schema)
         if not last:
             out = saved(out, "scanned")
+            shared.unpersist()
     return out
 
 

@@ -9,7 +9,7 @@ from strandweave.llm import decontaminate as D
 
 from .helpers import COLUMNS, empty, frame, prose
 
-ITEMS = [(1, "One two THREE four five six seven eight nine ten eleven?"), (2, "short item here"), (3, None), (4, "..."), (5, "Über straße nine ten"), (10, "short, item: here"), (None, "null id words")]
+ITEMS = [(1, "One two THREE four five six seven eight nine ten eleven?"), (2, "short item here"), (3, None), (4, "..."), (5, "Über straße nine ten"), (10, "short, item: here"), (None, "null id words"), (11, "null ID, words")]
 TEXTS = ["x one two three four five six seven eight nine ten eleven y", "One, two; three four five six seven eight nine ten!", "one two three four five six seven eight nine", "short item here short item here", "ÜBER Über straße nine ten", None, "", "a short item herex", "null ID words", "Ünull id words"]
 
 
@@ -23,8 +23,8 @@ def by_definition(text):
             for j in range(len(w) - size + 1):
                 if w[j : j + size] == v[i : i + size]:
                     hit |= set(range(j, j + size))
-                    items.add("null" if item is None else str(item))
-    return len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)
+                    items.add(item if item is None else str(item))
+    return len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(i for i in items if i)).encode()).hexdigest(), bool(hit)
 
 
 @pytest.mark.parametrize("most", [D.MAX_WORDS, 8])
@@ -48,3 +48,26 @@ def test_clean_keeps_the_rest(spark):
     assert D.clean(df, bench.limit(0)).count() == df.count() and D.contamination(empty(spark), bench).count() == 0
     leaky = spark.createDataFrame([(900, "see " + bench.first().text + " end", "en", "s", 1)], COLUMNS)
     assert D.clean(leaky, bench).count() == 0
+
+
+def test_words_are_counted_as_they_are_cut_and_long_items_are_parted(spark):
+    import random
+
+    rng = random.Random(3)
+    long = [f"w{rng.randint(0, 99999)}" for _ in range(500)]
+    bench = spark.createDataFrame([(1, ",".join(long)), (2, "tiny"), (3, None)], "item_id bigint, text string")
+    assert sum(r.words for r in D.pieces(bench).collect()) == 501
+    cut = D.pieces(bench, size=40).collect()
+    assert max(r.words for r in cut) <= 49 and set(D.patterns([(r.item_id, r.text) for r in cut])) == set(D.patterns([(1, ",".join(long)), (2, "tiny")]))
+    texts = [" ".join(long[k : k + 12]) for k in range(0, 480, 37)] + ["tiny thing", " ".join(long[:9])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for most in (20, 10**6):
+        assert [D.scanned(df, bench, max_words=most).filter("size(__ranges) > 0").count()] == [len(texts) - 1]
+
+
+def test_spans_point_at_the_words_of_the_original(spark):
+    df = frame(spark, [(i, t, None, None, None) for i, t in enumerate(TEXTS)])
+    bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    for r in D.contamination(df, bench).collect():
+        held = [w for a, b in zip(r.spans[::2], r.spans[1::2]) for w in D.words(TEXTS[r.doc_id][a:b])]
+        assert len(held) == r.n_hit
