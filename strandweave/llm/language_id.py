@@ -93,29 +93,35 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[str], hidden: int = 8, steps: int = 400, batch: int = 128, length: int = 64, rate: float = 0.02, seed: int = 7) -> Network | None:
-    """Fit the network to segments drawn evenly from the languages; None without a label."""
-    languages = sorted(set(labels))
+    """Fit the network to segments drawn evenly from the languages, short texts and the ends of texts among them. A
+    language whose texts are all empty isn't learned; None without any."""
+    cut: dict[str, list[np.ndarray]] = {}
+    for text, label in zip(texts, labels):
+        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+        if len(raw):
+            cut.setdefault(label, []).extend(raw[i : i + length] for i in range(0, len(raw), length))
+    languages = sorted(cut)
     if not languages:
         return None
     rng = np.random.default_rng(seed)
     net = _new(languages, hidden, rng)
-    pool: list[list[np.ndarray]] = [[] for _ in languages]
-    for text, label in zip(texts, labels):
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        pool[languages.index(label)] += [raw[i : i + length] for i in range(0, len(raw) - length + 1, length)]
-    pool = [p or [np.full(length, 32, np.uint8)] for p in pool]
+    pool = [cut[k] for k in languages]
     params = [net.table, net.recur, net.out, net.bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
         want = rng.integers(0, len(languages), batch)
-        x = np.stack([pool[k][rng.integers(len(pool[k]))] for k in want]).T.astype(np.int64)
+        drawn = [pool[k][rng.integers(len(pool[k]))] for k in want]
+        x = np.full((length, batch), 32, np.int64)  # blanks after a short piece; its positions alone count
+        there = np.arange(length)[:, None] < np.array([len(d) for d in drawn])
+        for i, d in enumerate(drawn):
+            x[: len(d), i] = d
         kept: list[list] = [[], []]
         ahead = _recur(net.table[0], net.recur[0], x, kept[0])
         behind = _recur(net.table[1], net.recur[1], x[::-1], kept[1])[::-1]
         both = np.concatenate([ahead, behind], 1)
         error = _softmax(net.out.T @ both + net.bias[:, None])
         error[:, want, np.arange(batch)] -= 1
-        error /= x.size
+        error *= (there / there.sum(0) / batch).astype(np.float32)[:, None, :]  # every piece weighs the same
         grads = [np.zeros_like(net.table), np.zeros_like(net.recur), np.einsum("thb,tlb->hl", both, error, optimize=True), error.sum((0, 2))]
         passed = net.out @ error
         for d, order in ((0, x), (1, x[::-1])):
@@ -146,7 +152,7 @@ def train(texts: list[str], labels: list[str], hidden: int = 8, steps: int = 400
 def predict(net: Network, texts: list[str | None]) -> np.ndarray:
     """Mean position probabilities, a row for each text; zeros for an empty one."""
     out = np.zeros((len(texts), len(net.languages)))
-    raws = [(t or "").encode() for t in texts]
+    raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     owners = np.repeat(np.arange(len(raws)), [-(-len(r) // SEGMENT) for r in raws])
     if not len(owners):
         return out

@@ -61,3 +61,16 @@ def test_frame(spark):
     assert {by[i].lang_pred for i in (60, 61, 62, 64)} == {"und"} and by[63].lang_pred == "en"
     assert L.language_id(empty(spark)).count() == 0
     assert L.fit(df, steps=5).languages == ["de", "en", "fr"]
+
+
+def test_short_texts_and_ends_of_texts_train_too():
+    rng = random.Random(4)
+    short = [prose(rng, 3, "fr")[:18] for _ in range(60)]
+    texts = [(prose(rng, 80, "en"), "en") for _ in range(40)] + [(prose(rng, 80, "de"), "de") for _ in range(40)] + [(t, "fr") for t in short] + [("", "xx"), (None, "yy")]
+    net = L.train([t for t, _ in texts], [k for _, k in texts], steps=200)
+    assert net.languages == ["de", "en", "fr"]
+    assert np.mean([net.languages[k] == "fr" for k in L.predict(net, short).argmax(1)]) > 0.9
+    tail = "zq" * 10
+    net = L.train(["a" * 64 + tail] * 5 + ["b" * 64 + "uv" * 10] * 5, ["a", "b"], steps=150)
+    assert [net.languages[k] for k in L.predict(net, [tail, "uv" * 10]).argmax(1)] == ["a", "b"]
+    assert L.train(["", None], ["a", "b"]) is None
