@@ -1,16 +1,19 @@
 """Personal data by candidates and boosted trees.
 
 Generators propose overlapping spans with high recall: the strict formats, and
-looser ones (addresses written with "[at]" and "[dot]", phone numbers without
-a plus, cards with other separators, IPv6). Boosted trees judge each candidate
-by its format and its context; a logistic calibration turns margins into
-probabilities, and a threshold for each kind, set for precision on held-out
-rows, selects. The trees are trained at the start, on generated sentences with
-planted data and look-alikes (versions, dates, prices, order numbers), as the
-tables carry no labels of personal data.
+loose ones: addresses without a dot or written with "[at]" and "[dot]", IPv6,
+runs of 12 to 19 digits with any separators, phone numbers without a plus, and
+values after words like "token" or long strings of mixed characters. Boosted
+trees judge each candidate by its format and its context; a logistic
+calibration turns margins into probabilities, and a threshold for each kind,
+set for precision, selects. The trees are trained at the start, on generated
+sentences with planted data and look-alikes (versions, dates, prices, order
+numbers, digests, identifiers), as the tables carry no labels of personal
+data: half of the sentences train the trees, a quarter calibrates, a quarter
+sets the thresholds.
 
 Spans of the strict formats are always kept, whatever the trees say; the trees
-add spans where no kept one overlaps.
+add spans where no kept one overlaps, also of the kind ``secret``.
 
 Defined results: null texts count as empty; an empty text has no span; equal
 rows are answered each.
@@ -30,9 +33,12 @@ from .common import tune
 from .trees import Boosted, boost, sigmoid
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of added spans; the last has no strict format.
+EVERY = (*KINDS, "secret")
 
 #: Every match of the numeric formats lies in one run of these characters.
-_ZONE = re.compile(r"[0-9+(][0-9 ().+-]*[0-9]")
+_ZONE = re.compile(r"[0-9 ().+-]{7,}")
+_DIGIT = re.compile(r"[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -41,16 +47,20 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _LOOSE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[\[({]\s?(?:at|AT|@)\s?[\])}]\s?[A-Za-z0-9-]{1,63}(?:(?:\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?|\.)[A-Za-z0-9-]{1,63}){1,4}"),
-    "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}[._/ -]{1,2}[0-9]{4,6}[._/ -]{1,2}[0-9]{4,5}(?:[._/ -]{1,2}[0-9]{1,4})?(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![0-9.-])"),
+    "ip": re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:])"),
+    "card": re.compile(r"(?<![0-9])[0-9](?:[ ._/-]{0,2}[0-9]){11,18}(?![0-9])"),
+    "phone": re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]\(?[0-9]{2,4}\)?){2,4}(?![0-9]|[.-][0-9])|(?<![0-9+.-])00[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9]|[.-][0-9])"),
 }
+_NEAR_AT = re.compile(r"[^\s@]{1,64}\Z"), re.compile(r"[^\s@]{1,255}")
+_NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|key|auth|bearer|credentials?)[\"']?[ \t]{0,2}(?:[:=]|is)?[ \t]{0,2}[\"'`]?([^\s\"'`]{8,256})")
+_MIXED = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
 _HINTS = {
     "email": ("mail", "contact", "write", "reach"),
     "ip": ("ip", "host", "server", "address", "ping", "login"),
     "card": ("card", "visa", "credit", "pay", "master", "amex"),
     "phone": ("tel", "phone", "call", "fax", "mobile", "sms", "dial"),
-    "other": ("order", "version", "isbn", "invoice", "date", "total", "price", "page", "no.", "id", "serial", "item", "year", "score"),
+    "secret": ("token", "secret", "passw", "pwd", "key", "auth", "bearer", "credential"),
+    "other": ("order", "version", "isbn", "invoice", "date", "total", "price", "page", "no.", "id", "serial", "item", "year", "score", "commit", "sha", "digest", "uuid", "hash"),
 }
 
 
@@ -84,6 +94,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = [(a, b, "email") for a, b in _emails(text)]
     for zone in _ZONE.finditer(text):
         a, b = zone.span()
+        if not _DIGIT.search(text, a, b):
+            continue
         for m in _IP.finditer(text, a, b):
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
                 out.append((*m.span(), "ip"))
@@ -102,15 +114,23 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     out = []
     if ("[" in text or "(" in text or "{" in text) and re.search(r"[\[({]\s?(?:at|AT|@)", text):
         out += [(*m.span(), "email") for m in _LOOSE["email"].finditer(text)]
-    if text.count(":") > 4:
-        out += [(*m.span(), "ip") for m in _LOOSE["ip"].finditer(text)]
-    if any(True for _ in _DIGITS.finditer(text)):
+    at = text.find("@")
+    while at >= 0:
+        left, right = _NEAR_AT[0].search(text, max(0, at - 64), at), _NEAR_AT[1].match(text, at + 1)
+        if left and right:
+            out.append((left.start(), right.end(), "email"))
+        at = text.find("@", at + 1)
+    if text.count(":") > 1:
+        out += [(*m.span(), "ip") for m in _LOOSE["ip"].finditer(text) if m.end() - m.start() > 4]
+    if _DIGITS.search(text):
         for kind in ("card", "phone"):
             out += [(*m.span(), kind) for m in _LOOSE[kind].finditer(text)]
+    named = [m.span(1) for m in _NAMED.finditer(text)]
+    out += [(a, b, "secret") for a, b in dict.fromkeys([*named, *(m.span() for m in _MIXED.finditer(text))])]
     return out
 
 
-_DIGITS = re.compile(r"[0-9]{3,4}[ ._/-]")
+_DIGITS = re.compile(r"[0-9]{2,}[ ._/)-]|[0-9]{12}")
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
@@ -120,12 +140,15 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     groups = [len(g) for g in re.split(r"[^0-9]+", span) if g] or [0]
     before, after = text[max(0, start - 32) : start].lower(), text[end : end + 12].lower()
     marks = {c for c in span if not c.isalnum()}
+    letters = sum(c.isalpha() for c in span)
     return [
-        float(KINDS.index(kind)), float(len(span)), float(len(digits)), float(bool(digits) and luhn(digits)), float(len(groups)), float(max(groups)), float(min(groups)), float(groups[0]), float(groups[-1]),
+        float(EVERY.index(kind)), float(len(span)), float(len(digits)), float(bool(digits) and luhn(digits)), float(len(groups)), float(max(groups)), float(min(groups)), float(groups[0]), float(groups[-1]),
         float(len(marks)), float("." in marks), float("/" in marks), float(" " in marks), float("(" in span), float("-" in marks), float(span.count(":")),
-        *(float(any(h in before for h in _HINTS[k])) for k in ("email", "ip", "card", "phone", "other")),
+        *(float(any(h in before for h in _HINTS[k])) for k in ("email", "ip", "card", "phone", "secret", "other")),
         float(before[-1:].isalnum()), float(before[-1:] in "$#=+/" and before != ""), float(after[:1].isalnum()), float(after[:1] in "%/" and after != ""),
         float(sum(map(str.isdigit, before[-16:] + after))), float(digits[:2] in ("19", "20")),
+        letters / len(span), len(set(span)) / len(span), float(sum(c in "0123456789abcdefABCDEF" for c in span)) / len(span), float(any(c.isupper() for c in span)), float(span.isascii()),
+        float(before[-1:] in "\"'`" and before != ""), float("=" in before[-4:]), float(bool(re.search(r"[A-Za-z]\d|\d[A-Za-z]", span))), float("." in span[span.rfind("@") + 1 : -1]) if "@" in span else -1.0,
     ]
 
 
@@ -135,6 +158,14 @@ def _sentence(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, str]]
     pick = lambda *x: x[rng.integers(len(x))]
     word = lambda: "".join(pick("an", "the", "re", "lo", "mi", "ta", "in", "su", "ke") for _ in range(rng.integers(1, 4)))
 
+    mixed = lambda n, of="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(of[k] for k in rng.integers(0, len(of), n))
+    hexes = lambda n: mixed(n, "0123456789abcdef")
+
+    def secret() -> str:
+        quote = pick('"', "'", "")
+        value = pick(hexes(40), hexes(32), mixed(24), mixed(36), "sk-" + mixed(32), mixed(20, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
+        return pick("token", "api_key", "secret", "password", "auth key", "access_token", "TOKEN") + pick(" = ", ": ", "=", " is ") + quote, value, quote
+
     def card() -> str:
         body = pick("4", "5", "37", "6") + d(14)
         body = body[:15]
@@ -144,7 +175,7 @@ def _sentence(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, str]]
 
     makers = {
         "email": lambda: f"{word()}{pick('', '.', '_')}{word()} {pick('[at]', '(at)', '[AT]', '{at}')} {word()} {pick('[dot]', '(dot)')} {pick('com', 'org', 'net')}",
-        "ip": lambda: ":".join("%x" % rng.integers(1, 65536) for _ in range(8)),
+        "ip": lambda: ":".join("%x" % rng.integers(1, 65536) for _ in range(8)) if rng.random() < 0.7 else "2001:db8::" + ":".join("%x" % rng.integers(1, 65536) for _ in range(int(rng.integers(1, 4)))),
         "card": card,
         "phone": lambda: pick("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "({}) {} {}").format(pick("2", "3", "4", "5", "6", "7", "8", "9") + d(2), pick("5", "2", "7") + d(2), d(4)),
     }
@@ -152,11 +183,17 @@ def _sentence(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, str]]
         lambda: f"{d(4)} {d(4)} {d(4)} {d(4)}", lambda: f"20{d(2)}-{pick('01', '11')}-{d(2)} 1{d(1)}:{d(2)}:{d(2)}", lambda: f"{d(3)}.{d(3)}.{d(3)}", lambda: f"{d(3)} {d(3)} {d(3)}",
         lambda: f"{d(2)}/{d(4)}/{d(4)}/{d(4)}", lambda: f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"{d(3)} {d(3)}-{d(3)} {d(3)}", lambda: f"{word()} (at {word()} {word()}", lambda: f"20{d(2)} 20{d(2)} 20{d(2)}", lambda: f"{d(4)}-{d(4)}-{d(4)}-{d(4)}",
         lambda: "-".join(d(4) for _ in range(int(rng.integers(3, 9)))), lambda: f"1{d(1)}:{d(2)}:{d(2)}:{d(2)}:{d(2)}:{d(2)}",
+        lambda: d(16), lambda: d(int(rng.integers(12, 20))), lambda: "commit " + hexes(40), lambda: "sha256:" + hexes(64), lambda: "-".join((hexes(8), hexes(4), hexes(4), hexes(4), hexes(12))), lambda: "".join(word() for _ in range(8)), lambda: "-".join(word() for _ in range(7)), lambda: "/" + "/".join(word() for _ in range(6)),
+        lambda: f"the {pick('token', 'key', 'secret', 'password')} {word()}{word()}{word()}{word()} {word()}", lambda: f"@{word()}{word()}", lambda: f"{word()}@{word()} {word()}", lambda: f"{word()}::{word()}::{word()}", lambda: "=" * int(rng.integers(20, 40)), lambda: "-" * int(rng.integers(20, 40)), *(3 * [lambda: f"{pick('', '20' + d(2) + '-0' + d(1) + '-' + d(2) + ' ', 'at ')}{d(2)}:{d(2)}:{d(2)}"]), lambda: f"key: {word()}{word()}{word()}{word()}", lambda: mixed(22, "abcdefghijklmnopqrstuvwxyz"),
     )
     text, truth = " ".join(word() for _ in range(rng.integers(1, 6))) + " ", []
     for _ in range(rng.integers(1, 4)):
-        kind = pick(*KINDS, *["none"] * 5)
-        if kind == "none":
+        kind = pick(*EVERY, *["none"] * 6)
+        if kind == "secret":
+            name, value, quote = secret()
+            truth.append((len(text) + len(name), len(text) + len(name) + len(value), kind))
+            text += name + value + quote
+        elif kind == "none":
             text += (pick(*_HINTS["other"]) + pick(" ", ": ")) * int(rng.random() < 0.5) + lookalikes[rng.integers(len(lookalikes))]()
         else:
             hinted = rng.random() < (0.97 if kind in ("phone", "card") else 0.6)
@@ -183,21 +220,28 @@ class Detector:
         return sigmoid(self.trees.margin(x) * self.slope[k] + self.shift[k])
 
 
-def train(sentences: int = 6000, precision: float = 0.98, seed: int = 11) -> Detector:
-    """Fit trees to half of the generated sentences; calibrate and set thresholds on the rest."""
+def examples(sentences: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the candidates in generated sentences, whether they are planted data, and their sentence's number."""
     rng = np.random.default_rng(seed)
-    x, y, side = [], [], []
+    x, y, number = [], [], []
     for n in range(sentences):
         text, truth = _sentence(rng)
         for a, b, kind in candidates(text):
             x.append(features(text, a, b, kind))
             y.append(float(any(k == kind and min(b, d) - max(a, c) >= 0.8 * (max(b, d) - min(a, c)) for c, d, k in truth)))
-            side.append(n % 2)
-    x, y, side = np.array(x), np.array(y), np.array(side)
-    trees = boost(x[side == 0], y[side == 0], trees=50, depth=4, rate=0.2)
-    out = Detector(trees, np.ones(4), np.zeros(4), np.full(4, 2.0))
-    for k in range(4):
-        rows = (side == 1) & (x[:, 0] == k)
+            number.append(n)
+    return np.array(x), np.array(y), np.array(number)
+
+
+def train(sentences: int = 8000, precision: float = 0.98, seed: int = 11) -> Detector:
+    """Fit trees to half of the generated sentences, calibrate on a quarter, set thresholds on the last quarter."""
+    x, y, number = examples(sentences, seed)
+    side = np.array([0, 0, 1, 2])[number % 4]
+    trees = boost(x[side == 0], y[side == 0], trees=60, depth=4, rate=0.2)
+    count = len(EVERY)
+    out = Detector(trees, np.ones(count), np.zeros(count), np.full(count, 2.0))
+    for k in range(count):
+        rows, last = (side == 1) & (x[:, 0] == k), (side == 2) & (x[:, 0] == k)
         m, t = trees.margin(x[rows]), y[rows]
         if len(t) < 20 or t.min() == t.max():
             out.least[k] = 0.5 if len(t) >= 20 and t[0] else 2.0
@@ -207,8 +251,8 @@ def train(sentences: int = 6000, precision: float = 0.98, seed: int = 11) -> Det
             p = sigmoid(a * m + b)
             a, b = a - 0.05 * np.mean((p - t) * m), b - 0.2 * np.mean(p - t)
         out.slope[k], out.shift[k] = a, b
-        p = sigmoid(a * m + b)
-        for cut in np.linspace(0.5, 0.99, 50):
+        p, t = sigmoid(a * trees.margin(x[last]) + b), y[last]
+        for cut in np.linspace(0.3, 0.99, 70):
             if (p >= cut).any() and t[p >= cut].mean() >= precision:
                 out.least[k] = cut
                 break
@@ -230,9 +274,9 @@ def all_spans(texts: list[str], detector: Detector) -> list[tuple[list, list]]:
         p = detector.probability(x)
         for k in np.argsort(-p, kind="stable"):
             i, a, b, kind = rows[k]
-            if p[k] >= detector.least[KINDS.index(kind)] and not any(a < d and c < b for c, d, _ in full[i]):
+            if p[k] >= detector.least[EVERY.index(kind)] and not any(a < d and c < b for c, d, _ in full[i]):
                 full[i].append((a, b, kind))
-    return [(b, sorted(f, key=lambda s: (s[0], KINDS.index(s[2])))) for b, f in zip(base, full)]
+    return [(b, sorted(f, key=lambda s: (s[0], EVERY.index(s[2])))) for b, f in zip(base, full)]
 
 
 def spell(spans: list[tuple[int, int, str]]) -> str:
@@ -240,7 +284,8 @@ def spell(spans: list[tuple[int, int, str]]) -> str:
 
 
 def find(documents: DataFrame, detector: Detector | None = None) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for every document; the counts are of strict spans."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added`` for every document; the first counts are of
+    strict spans, ``n_added`` of those that the trees added."""
     detector = detector or train()
     kind = dict(documents.dtypes)["doc_id"]
 
@@ -249,10 +294,10 @@ def find(documents: DataFrame, detector: Detector | None = None) -> DataFrame:
             found = all_spans([t or "" for t in batch.column(1).to_pylist()], detector)
             counts = [pa.array([sum(s[2] == k for s in b) for b, _ in found], pa.int64()) for k in KINDS]
             digests = [hashlib.sha256(spell(b).encode()).hexdigest() for b, _ in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digests, pa.string()), pa.array([spell(f) for _, f in found], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digests, pa.string()), pa.array([spell(f) for _, f in found], pa.string()), pa.array([len(f) - len(b) for b, f in found], pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
     tune(documents.sparkSession)
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def mask(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
