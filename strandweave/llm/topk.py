@@ -13,20 +13,28 @@ at distance D from the pivot, a vector in the ring [lo, hi] is no nearer than
 ``max(0, D - hi, lo - D)``, which bounds its score from above.
 
 Search expands the rings in waves, nearest bound first: the first wave visits
-the rings that hold at least k vectors with the best bounds; each wave leaves a
-k-th best score, and a ring whose bound can't reach it is never visited. The
-second wave visits exactly the rings that the bound doesn't rule out, which
-makes the result exact.
+the rings that hold at least k vectors with the best bounds, the next those
+with a sixteenth of all vectors; each wave leaves a k-th best score, and a ring
+whose bound can't reach it is never visited. Within a ring, blocks have ranges
+of their own, which rule out queries again. The last wave visits exactly the
+rings that the bound doesn't rule out, which makes the result exact.
 
 Queries travel as blocks to the blocks of the rings they visit; no pair of a
-query and a vector becomes a row. What is broadcast is bounded: the pivots and
-the rings' ranges, at most ``PIVOTS * RINGS`` of each.
+query and a vector becomes a row. The number of pivots grows with the square
+root of the number of vectors up to ``MOST_PIVOTS``; what is broadcast is
+bounded: the pivots and the rings' ranges, at most ``MOST_PIVOTS * RINGS``.
+
+How much is ruled out depends on the vectors: clustered ones leave most rings
+unvisited (see the tests), independent ones of 64 dimensions none, as their
+distances hardly differ.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
 components take no part, as queries or candidates; missing components of
 shorter vectors count as 0; ties go to the smaller vec_id; a null vec_id takes
 no part; with fewer candidates than k, all are returned; repeated vec_ids are
-each a candidate, but never for a query of the same id.
+each a candidate, but never for a query of the same id; of a query's repeated
+rows the least vector, by its components, asks; vectors so large that a score
+may pass 64 bits raise OverflowError.
 """
 
 from __future__ import annotations
@@ -38,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, saved, tune
 
-PIVOTS, RINGS = 32, 32
+PIVOTS, MOST_PIVOTS, RINGS = 32, 256, 32
 #: Vectors that the pivots are picked from.
 SAMPLE_ROWS = 4096
 BLOCK, QUERY_BLOCK = 256, 128
@@ -102,10 +110,19 @@ def pick_pivots(sample: np.ndarray, count: int, seed: int = 5) -> np.ndarray:
     return out
 
 
+def _bounds(q: np.ndarray, pivots: np.ndarray, pivot: np.ndarray, lo: np.ndarray, hi: np.ndarray, norm2: float) -> np.ndarray:
+    """The highest score that the vectors between distances lo and hi from a pivot can give each query."""
+    f = q.astype(np.float64)
+    d = _distances(np.hstack([f, np.zeros((len(f), 1))]), pivots)[:, pivot]
+    gap = np.maximum(0, np.maximum(d - hi, lo - d) - 1e-6 * (1 + d))
+    square = (f * f).sum(1)[:, None]
+    return (square + norm2 - gap * gap) / 2 + SLACK * (square + norm2) + 1
+
+
 class Index:
     """Pivots and ring edges (on the driver), and the blocks of vectors (a table)."""
 
-    def __init__(self, vectors: DataFrame, scale: int = 1024, pivots: int = PIVOTS, rings: int = RINGS, sample_rows: int = SAMPLE_ROWS):
+    def __init__(self, vectors: DataFrame, scale: int = 1024, pivots: int | None = None, rings: int = RINGS, sample_rows: int = SAMPLE_ROWS):
         self.spark = vectors.sparkSession
         tune(self.spark)
         # a vector's block takes many bytes; few blocks make a batch
@@ -116,6 +133,9 @@ class Index:
         self.empty = self.n == 0
         if self.empty:
             return
+        if self.norm2 >= 2**62:
+            raise OverflowError("scores of these vectors may pass 64 bits")
+        pivots = pivots or min(MOST_PIVOTS, max(PIVOTS, int(self.n**0.5 / 4)))
         sample = np.array([r.v + [0] * (self.dim - len(r.v)) for r in bounded_sample(self.rows, "vec_id", sample_rows).collect()], np.int64)
         lifted = _lift(sample, self.norm2)
         self.pivots = pick_pivots(lifted, pivots)
@@ -124,7 +144,9 @@ class Index:
         self.edges = [np.unique(np.quantile(d[own == p, p], np.linspace(0, 1, rings + 1)[1:-1])) if (own == p).any() else np.zeros(0) for p in range(len(self.pivots))]
         self.blocks = saved(self._blocks(), "blocks")
         cells = self.blocks.groupBy("cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"))
-        self.cells = sorted(cells.limit(pivots * rings).collect())
+        self.cells = sorted(cells.collect())  # one for each ring at most
+        number = np.array([c.cell for c in self.cells])
+        self.pivot, self.lo, self.hi, self.count = number // RINGS, np.array([c.lo for c in self.cells]), np.array([c.hi for c in self.cells]), np.array([c.n for c in self.cells])
 
     def _blocks(self) -> DataFrame:
         """``cell, share, lo, hi, n, ids, vectors``; ids and vectors are packed integers."""
@@ -165,40 +187,43 @@ class Index:
         made = sorted_.mapInArrow(packed, "cell int, lo double, hi double, n long, ids binary, vectors binary")
         return made
 
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """The highest score that each ring can give each query."""
+        return _bounds(q, self.pivots, self.pivot, self.lo, self.hi, self.norm2)
+
+    def visited(self, q: np.ndarray, kth: np.ndarray) -> float:
+        """The share of all (query, vector) pairs in rings whose bound reaches the query's k-th best score."""
+        return float(((self.bounds(q) >= kth[:, None]) * self.count).sum() / (len(q) * self.n))
+
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """``query_id, rank, vec_id, score`` for the rows of ``queries(query_id, v)``."""
         cells, pivots, dim, norm2, shares = self.cells, self.pivots, self.dim, self.norm2, {c.cell: -(-c.blocks // SHARE) for c in self.cells}
-        number = np.array([c.cell for c in cells])
-        pivot, lo, hi, count = number // RINGS, np.array([c.lo for c in cells]), np.array([c.hi for c in cells]), np.array([c.n for c in cells])
-
-        def bounds(q: np.ndarray) -> np.ndarray:
-            """The highest score that each ring can give each query."""
-            f = q.astype(np.float64)
-            d = _distances(np.hstack([f, np.zeros((len(f), 1))]), pivots)[:, pivot]
-            gap = np.maximum(0, np.maximum(d - hi, lo - d) - 1e-6 * (1 + d))
-            square = (f * f).sum(1)[:, None]
-            return (square + norm2 - gap * gap) / 2 + SLACK * (square + norm2) + 1
-
-        def visits(q: np.ndarray, kth: np.ndarray | None) -> np.ndarray:
-            """Which rings each query visits: at first the best ones with over k vectors together, then all others that the bound allows."""
-            b = bounds(q)
-            order = np.argsort(-b, axis=1, kind="stable")
-            sums = np.cumsum(count[order], axis=1)
-            first = np.zeros_like(b, bool)
-            np.put_along_axis(first, order, (sums - count[order]) <= k, axis=1)
-            return first if kth is None else ~first & (b >= kth[:, None])
+        number, pivot, lo, hi, count = np.array([c.cell for c in cells]), self.pivot, self.lo, self.hi, self.count
+        limits = [k, self.n // 16] if self.n > 64 * k else [k]
 
-        def routed(kths: bool):
+        def visits(q: np.ndarray, kth: np.ndarray, wave: int) -> np.ndarray:
+            """Which rings each query visits: the next ones in the order of their bounds, as far as those reach the k-th score."""
+            b = _bounds(q, pivots, pivot, lo, hi, norm2)
+            order = np.argsort(-b, axis=1, kind="stable")
+            before = np.cumsum(count[order], axis=1) - count[order]
+            due = np.ones_like(b, bool) if wave == len(limits) else before <= limits[wave]
+            if wave:
+                due &= before > limits[wave - 1]
+            go = np.zeros_like(b, bool)
+            np.put_along_axis(go, order, due, axis=1)
+            return go & (b >= kth[:, None])
+
+        def routed(wave: int):
             def run(batches):
                 for batch in batches:
-                    ids, q = batch.column(0).to_numpy(), _dense(batch.column(1), dim)
-                    go = visits(q, batch.column(2).to_numpy(zero_copy_only=False) if kths else None)
+                    ids, q, kth = batch.column(0).to_numpy(), _dense(batch.column(1), dim), batch.column(2).to_numpy(zero_copy_only=False)
+                    go = visits(q, kth, wave)
                     out = []
                     for c in np.flatnonzero(go.any(0)):
                         rows = np.flatnonzero(go[:, c])
                         for at in range(0, len(rows), QUERY_BLOCK):
                             some = rows[at : at + QUERY_BLOCK]
-                            out += [(int(number[c]), s, ids[some].astype(np.int64).tobytes(), q[some].tobytes()) for s in range(shares[int(number[c])])]
+                            out += [(int(number[c]), s, ids[some].astype(np.int64).tobytes(), q[some].tobytes(), kth[some].tobytes()) for s in range(shares[int(number[c])])]
                             if len(out) >= 64:
                                 yield pack_rows(out)
                                 out = []
@@ -208,14 +233,18 @@ class Index:
             return run
 
         def pack_rows(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["cell", "share", "query_ids", "queries"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["cell", "share", "query_ids", "queries", "kths"])
 
         def best(batches):
             for batch in batches:
                 rows: tuple[list, list, list] = ([], [], [])
-                for qi, qv, vi, vv in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                for qi, qv, kths, vi, vv, cell, low, high in zip(*(batch.column(c).to_pylist() for c in range(8))):
                     qids, vids = np.frombuffer(qi, np.int64), np.frombuffer(vi, np.int64)
                     q, v = np.frombuffer(qv, np.int64).reshape(-1, dim), np.frombuffer(vv, np.int64).reshape(-1, dim)
+                    own = _bounds(q, pivots, np.array([cell // RINGS]), np.array([low]), np.array([high]), norm2)[:, 0] >= np.frombuffer(kths, np.float64)
+                    if not own.any():
+                        continue
+                    qids, q = qids[own], q[own]
                     s = scores(q, v)
                     for i, query in enumerate(qids):
                         top = np.lexsort((vids, -s[i]))
@@ -228,10 +257,9 @@ class Index:
         # the number of a ring's block, dealt to its shares: each block meets each query block of its ring once
         dealt = self.blocks.withColumn("share", F.pmod(F.xxhash64("ids"), F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("cell"))).cast("int"))
 
-        def wave(of: DataFrame, kths: bool) -> DataFrame:
-            met = of.mapInArrow(routed(kths), "cell int, share int, query_ids binary, queries binary").join(dealt, ["cell", "share"])
-            found = met.select("query_ids", "queries", "ids", "vectors").mapInArrow(best, "query_id long, vec_id long, score long")
-            return found
+        def wave(of: DataFrame, number: int) -> DataFrame:
+            met = of.mapInArrow(routed(number), "cell int, share int, query_ids binary, queries binary, kths binary").join(dealt, ["cell", "share"])
+            return met.select("query_ids", "queries", "kths", "ids", "vectors", "cell", "lo", "hi").mapInArrow(best, "query_id long, vec_id long, score long")
 
         def top(found: DataFrame) -> DataFrame:
             """The k best of each query; partial lists are merged, never all candidates of a query at once."""
@@ -240,10 +268,13 @@ class Index:
             lists = salted.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("few"))), 1, k).alias("few"))
             return lists.select("query_id", F.posexplode("few").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.b").alias("vec_id"), (-F.col("x.a")).alias("score"))
 
-        one = saved(wave(queries.select("query_id", "v"), False), "wave")
-        kth = top(one).filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-        two = queries.select("query_id", "v").join(kth, "query_id", "left").select("query_id", "v", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))).alias("kth"))
-        return top(one.unionByName(wave(two, True)))
+        none = F.lit(float("-inf"))
+        found = saved(wave(queries.select("query_id", "v", none.alias("kth")), 0), "wave")
+        for number_ in range(1, len(limits) + 1):
+            kth = top(found).filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("kth"))
+            more = wave(queries.select("query_id", "v").join(kth, "query_id", "left").select("query_id", "v", F.coalesce("kth", none).alias("kth")), number_)
+            found = found.unionByName(more if number_ == len(limits) else saved(more, "wave"))
+        return top(found)
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
@@ -251,5 +282,5 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
     index = Index(vectors, scale)
     if index.empty:
         return index.spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    queries = index.rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
+    queries = index.rows.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     return index.search(queries, k)
