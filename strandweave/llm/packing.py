@@ -5,12 +5,16 @@ window of 2048 tokens is filled by deficit round-robin: every window adds the
 queue's target share to its deficit, the queue gives as many whole tokens as
 its deficit allows, what is left of the window goes to the queues with the
 largest deficits, and the deficits go on to the next window. The target shares
-are the queues' shares of all tokens, so all queues end together.
-
-The windows are laid out by segments: segment p of P takes the p-th of P equal
-parts of *every* queue. A segment starts with the deficits that rounding left
+are a parameter, ``shares``; by default they are the queues' shares of all
+tokens, so all queues end together. With other targets a queue ends before the
+others; the targets of those left, in proportion, hold from there on. So a run
+is a list of phases, in each of which the queues give fixed numbers of tokens
+and end together.
+
+A phase's windows are laid out by segments: segment p of P takes the p-th of P
+equal parts of *every* queue. A segment starts with the deficits that rounding left
 at its boundary (a closed form of the totals), so deficits carry across
-segments as well as across windows, and a task can work out any segment's
+segments and partitions as well as across windows, and a task can work out any segment's
 schedule from the totals alone. No document is moved between tasks: the task
 that tokenised a document cuts it where the schedules of its segments say.
 
@@ -22,9 +26,11 @@ passes (counting, cutting); nothing is tokenised twice.
 
 Defined results: null texts count as empty, and an empty document is its end
 token alone; a null source is a queue of its own; repeated rows are packed
-each; an empty table gives no pieces. Up to ``MAX_QUEUES`` sources have queues
-of their own; with more, sources share that many queues by hash, which bounds
-what a task holds.
+each; an empty table gives no pieces. Sources without a target share what the
+targets leave of 1, by their tokens; if nothing is left they come last. Sources
+named in ``shares``, and up to ``MAX_QUEUES`` others, have queues of their own;
+with more, the others share that many queues by hash, which bounds what a task
+holds: proportions are then kept for these groups of sources.
 """
 
 from __future__ import annotations
@@ -49,7 +55,17 @@ SEGMENT_TOKENS = 512 * WINDOW
 BROADCAST_ROWS = 200_000
 #: Entries of a worker's cache of encoded words; later words are encoded each time.
 CACHE_WORDS = 300_000
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: The public tokenizers' file that is used where no path is given.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(given: str | None = None) -> str:
+    """The file to load: the one given, or that of the installed public tokenizers, wherever this machine has them."""
+    if given:
+        return given
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
 
 
 class Encoder:
@@ -66,10 +82,10 @@ class Encoder:
 
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    def __init__(self, path: str = TOKENIZER, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str | None = None, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
         self.kind = packed_kind(self.tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
@@ -176,20 +192,40 @@ def _plan(totals: tuple[int, ...], segment: int, segments: int, window: int) ->
     return schedule(list(totals), segment, segments, window)
 
 
-def _kind_of(path: str) -> str:
+def _kind_of(path: str | None) -> str:
     from tokenizers import Tokenizer
 
-    return packed_kind(Tokenizer.from_file(path))
-
-
-def tokenised(documents: DataFrame, tokenizer: str = TOKENIZER, max_queues: int = MAX_QUEUES) -> DataFrame:
+    return packed_kind(Tokenizer.from_file(tokenizer_path(path)))
+
+
+def phases(totals: list[int], targets: list[float], window: int = WINDOW) -> list[tuple[int, ...]]:
+    """How many tokens each queue gives in each phase. In a phase the queues with a target give in proportion to it,
+    until one of them has no more; queues without a target come when all others have ended. A phase of less than a
+    window joins the next."""
+    left, out, held = list(totals), [], [0] * len(totals)
+    while any(left):
+        by = [t if n else 0 for t, n in zip(targets, left)]
+        if not any(by):
+            by = left
+        time = min(n / t for n, t in zip(left, by) if t > 0)
+        give = [n if t > 0 and n / t <= time else min(n, int(t * time)) for n, t in zip(left, by)]
+        left = [n - g for n, g in zip(left, give)]
+        held = [a + g for a, g in zip(held, give)]
+        if sum(held) >= window or not any(left):
+            out.append(tuple(held))
+            held = [0] * len(totals)
+    return out
+
+
+def tokenised(documents: DataFrame, tokenizer: str | None = None, max_queues: int = MAX_QUEUES, own: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, part, queue, start, n, ids``: the packed ids of each document, its queue,
     and how many tokens of that queue come before it in the task ``part``."""
     spark = documents.sparkSession
     tune(spark)
-    few = documents.select("source").distinct().limit(max_queues + 1).count() <= max_queues
+    named = F.coalesce(F.col("source").isin(*own), F.lit(False)) if own else F.lit(False)
+    few = documents.filter(~named).select("source").distinct().limit(max_queues + 1).count() <= max_queues
     source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    queue = source if few else F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string")
+    queue = source if few else F.when(named, source).otherwise(F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string"))
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches):
@@ -219,26 +255,42 @@ def tokenised(documents: DataFrame, tokenizer: str = TOKENIZER, max_queues: int
 _encoder: tuple[str, Encoder] | None = None
 
 
-def pack(documents: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, segment_tokens: int = SEGMENT_TOKENS, max_queues: int = MAX_QUEUES) -> DataFrame:
-    """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue``."""
+def pack(documents: DataFrame, tokenizer: str | None = None, window: int = WINDOW, segment_tokens: int = SEGMENT_TOKENS, max_queues: int = MAX_QUEUES, shares: dict[str, float] | None = None) -> DataFrame:
+    """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue``; ``shares`` are target
+    proportions of sources, from 0 to 1."""
     spark = documents.sparkSession
-    tokens = saved(tokenised(documents, tokenizer, max_queues), "tokens")
+    if shares and (min(shares.values()) < 0 or sum(shares.values()) > 1 + 1e-9):
+        raise ValueError("target proportions are from 0 to 1 and at most 1 together")
+    tokens = saved(tokenised(documents, tokenizer, max_queues, tuple(shares or ())), "tokens")
     parts = tokens.groupBy("part", "queue").agg(F.max(F.col("start") + F.col("n")).alias("tokens"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = saved(parts.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).drop("tokens"), "offsets")
-    rows = parts.groupBy("queue").agg(F.sum("tokens").alias("tokens")).orderBy("queue").limit(max_queues).collect()
+    rows = parts.groupBy("queue").agg(F.sum("tokens").alias("tokens")).orderBy("queue").collect()  # a row for each queue
     names, totals = [r["queue"] for r in rows], [int(r["tokens"]) for r in rows]
-    segments = max(1, -(-sum(totals) // segment_tokens))
+    named = {f"={source}": share for source, share in (shares or {}).items()}
+    other = sum(t for q, t in zip(names, totals) if q not in named)
+    left = max(0.0, 1 - sum(named.values()))
+    targets = [named[q] if q in named else left * t / other for q, t in zip(names, totals)] if named else totals
+    steps = phases(totals, targets, window)
+    cuts = [max(1, -(-sum(step) // segment_tokens)) for step in steps]
     kind = dict(documents.dtypes)["doc_id"]
     number = {q: k for k, q in enumerate(names)}
     small = offsets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = tokens.join(F.broadcast(offsets) if small else offsets, ["part", "queue"])
     id_kind = _kind_of(tokenizer)
 
-    totals = tuple(totals)
-
     def place(q: int, at: int, stop: int):
-        """(from, to, sequence, offset) of the tokens [at, stop) of a queue."""
+        """(from, to, sequence, offset) of the tokens [at, stop) of a queue, by phases."""
+        start = segment = 0
+        for step, segments in zip(steps, cuts):
+            a, b = max(at, start), min(stop, start + step[q])
+            if a < b:
+                for x, y, sequence, offset in within(step, segments, q, a - start, b - start):
+                    yield x + start, y + start, (segment << 20) + sequence, offset
+            start += step[q]
+            segment += segments
+
+    def within(totals: tuple[int, ...], segments: int, q: int, at: int, stop: int):
         t = totals[q]
         p = at * segments // t
         while t * (p + 1) // segments <= at:

@@ -13,7 +13,7 @@ from .helpers import documents, empty, frame
 
 
 def test_encoder_equals_the_tokenizer():
-    tokenizer = Tokenizer.from_file(P.TOKENIZER)
+    tokenizer = Tokenizer.from_file(P.tokenizer_path())
     e = P.Encoder(cache_words=50)
     texts = [r[1] or "" for r in documents()] + ["  two  spaces ", " lead", "trail ", "a\n b\n\n c \n", "x <|endoftext|> y", "tab\t tab", "nbsp  é ß 日本", "don't we'll 12,34.5", "  x"]
     for t in texts:
@@ -40,7 +40,7 @@ def test_pieces_rebuild_every_document(spark):
     rows = documents()
     df = frame(spark, rows)
     got = P.pack(df, segment_tokens=3 * P.WINDOW).collect()
-    tokenizer = Tokenizer.from_file(P.TOKENIZER)
+    tokenizer = Tokenizer.from_file(P.tokenizer_path())
     ids = defaultdict(list)
     for doc, text, *_ in rows:
         ids[doc].append(np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [P.END_ID], "<u4"))
@@ -69,3 +69,28 @@ def test_sources_beyond_the_queues_share_them(spark):
     assert got.select("queue").distinct().count() <= 2
     assert got.agg({"length": "sum"}).first()[0] == P.pack(df).agg({"length": "sum"}).first()[0]
     assert P.pack(empty(spark)).count() == 0
+
+
+def test_phases_keep_the_targets_until_a_queue_ends():
+    got = P.phases([10_000, 10_000, 5_000, 0], [0.5, 0.25, 0.25, 0.0], 64)
+    assert [sum(c) for c in zip(*got)] == [10_000, 10_000, 5_000, 0] and got[0] == (10_000, 5_000, 5_000, 0)
+    assert P.phases([7, 5], [7, 5]) == [(7, 5)] and P.phases([], []) == []
+    assert P.phases([100_000, 50_000], [1.0, 0.0]) == [(100_000, 0), (0, 50_000)]
+
+
+@pytest.mark.parametrize("shares", [{"hot": 0.2, "s0": 0.5}, {"s2": 1.0}])
+def test_windows_follow_given_proportions(spark, shares):
+    rows = documents(n=200)
+    df = frame(spark, rows)
+    got = P.pack(df, window=64, segment_tokens=64 * 16, shares=shares).collect()
+    assert sum(r.length for r in got) == P.pack(df).agg({"length": "sum"}).first()[0]
+    sequences = defaultdict(lambda: defaultdict(int))
+    for r in got:
+        sequences[r.sequence_id][r.queue] += r.length
+    full = [sequences[k] for k in sorted(sequences) if sum(sequences[k].values()) == 64]
+    first = [w for w in full if all(w.get(f"={s}", 0) >= 1 for s in shares)][:10]
+    assert len(first) == 10
+    for source, share in shares.items():
+        assert abs(sum(w[f"={source}"] for w in first) - 640 * share) <= 3
+    with pytest.raises(ValueError):
+        P.pack(df, shares={"a": 0.7, "b": 0.7})
