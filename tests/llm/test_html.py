@@ -46,7 +46,7 @@ def test_repeats_match_brute_force():
     for run in (1, 3, 5):
         streams = [[rng.choice("ab") for _ in range(rng.randint(0, 14))] for _ in range(6)]
         streams += [streams[0]]
-        assert [f.tolist() for f in H.repeated(streams, run)] == brute(streams, run)
+        assert [f.tolist() for f in H.repeated([H.word_hashes(" ".join(x)) for x in streams], run)] == brute(streams, run)
 
 
 def test_boilerplate_goes_and_unique_runs_and_copies_stay():
@@ -62,7 +62,7 @@ def test_boilerplate_goes_and_unique_runs_and_copies_stay():
 def test_frame(spark):
     rows = [(i, f"https://h{i % 2}.example/{i}", h) for i, (h, _) in enumerate(CASES)] + [(100, None, "<article>x</article>"), (None, "http://a", "<article>y</article>"), (0, "https://h0.example/0", CASES[0][0])]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    got = {(r.page_id, r.url): r for r in H.extract(df, group_pages=3).collect()}
+    got = {(r.page_id, r.url): r for r in H.extract(df, chunk_chars=200).collect()}
     assert H.extract(df).count() == len(rows) and got[100, None].text == "x" and got[None, "http://a"].text == "y"
     for i, (_, want) in enumerate(CASES):
         if "article" in (CASES[i][0] or "") or "main" in (CASES[i][0] or ""):
@@ -78,10 +78,10 @@ def test_repeats_between_groups_are_seen(spark):
     want = H.main_texts(pages)
     assert all(w and "\n\n" not in w for w in want[:12])
     df = spark.createDataFrame([(i, f"http://one.example/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
-    for size in (1, 4, 100):
-        assert [r.text for r in H.extract(df, group_pages=size).orderBy("page_id").collect()] == want
+    for size in (1, 1000, 10**6):
+        assert [r.text for r in H.extract(df, chunk_chars=size).orderBy("page_id").collect()] == want
     copies = spark.createDataFrame([(i, f"http://two.example/{i}", f"<p>{notes[0]}</p>") for i in range(5)], df.schema)
-    assert {r.text for r in H.extract(copies, group_pages=2).collect()} == {notes[0]}
+    assert {r.text for r in H.extract(copies, chunk_chars=1).collect()} == {notes[0]}
 
 
 def test_articles_that_only_seem_marked_exchange_their_repeats(spark):
@@ -92,16 +92,17 @@ def test_articles_that_only_seem_marked_exchange_their_repeats(spark):
     want = H.main_texts(pages)
     assert all(w and "\n\n" not in w for w in want)
     df = spark.createDataFrame([(i, f"http://one.example/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
-    for size in (1, 4):
-        assert [r.text for r in H.extract(df, group_pages=size).orderBy("page_id").collect()] == want
+    for size in (1, 1000):
+        assert [r.text for r in H.extract(df, chunk_chars=size).orderBy("page_id").collect()] == want
 
 
 def test_runs_that_two_streams_share_have_a_fingerprint_in_common():
     rng = random.Random(3)
+    prints = lambda text, salt, run: set(H.Streams([[(0, text)]], [salt]).fingerprints(run)[1].tolist())
     for run in (3, 16):
-        note = prose(rng, run).split()
-        a, b = (set(H.fingerprints(prose(rng, i).split() + note + prose(rng, 25).split(), "h", run)) for i in (0, 17))
-        assert a & b and not a & set(H.fingerprints(note, "other", run)) and not len(H.fingerprints(note[1:], "h", run))
+        note = prose(rng, run)
+        a, b = (prints(" ".join([prose(rng, i) or "x", note, prose(rng, 25)]), 7, run) for i in (1, 17))
+        assert a & b and not a & prints(note, 8, run) and not prints(" ".join(note.split()[1:]), 7, run)
 
 
 def test_repeats_inside_articles_go_and_unique_words_and_copies_stay(spark):
@@ -110,11 +111,56 @@ def test_repeats_inside_articles_go_and_unique_words_and_copies_stay(spark):
     pages = [f"<article><p>{notice}</p><p>{b}</p></article>" for b in bodies]
     assert H.main_texts(pages) == bodies
     df = spark.createDataFrame([(i, f"http://one.example/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
-    for size in (1, 4, 100):
-        assert [r.text for r in H.extract(df, group_pages=size).orderBy("page_id").collect()] == bodies
+    for size in (1, 1000, 10**6):
+        assert [r.text for r in H.extract(df, chunk_chars=size).orderBy("page_id").collect()] == bodies
     # unique words next to a notice, in its block, stay
     assert H.main_texts([f"<div>{notice} uno{k} dos{k} tres{k}</div><div>{b}</div>" for k, b in enumerate(bodies)]) == [f"uno{k} dos{k} tres{k}\n\n{b}" for k, b in enumerate(bodies)]
     assert H.main_texts([f"<main>{b} {notice}</main>" for b in bodies]) == bodies
+    # passages that a few articles share are content
+    assert H.main_texts([f"<main><p>{notice}</p><p>{b}</p></main>" for b in bodies[:4]]) == [f"{notice}\n\n{b}" for b in bodies[:4]]
     # copies of an article with some words changed stay whole
     near = [f"<article><p>{bodies[0]} {bodies[1]} word{k} {bodies[2]}</p></article>" for k in range(3)]
     assert H.main_texts(near) == [p[12:-14] for p in near]
+
+
+def test_nothing_of_an_article_is_lost():
+    long = "İ" * 40
+    for html, want in (
+        (f"<article><p>{long}</p><script>var a = 1;</script><p>kept</p></article>", f"{long}\n\nkept"),
+        ("<article><p>one</p><svg><path d='m'><p>two</p></article>", "one\n\ntwo"),
+        ("<article><svg><text>no</text></svg><p>two</p></article>", "two"),
+        ('<article><p class="lead related">a</p><div class="share-of-market">b</div><p id="notice-period">c</p></article>', "a\n\nb\n\nc"),
+        ('<article><p>x</p><div class="related">no</div><div class="share-buttons">no</div><div class="comments thread">no</div><div id="ad-slot">no</div></article>', "x"),
+        ("<article><p>x</p><SCRIPT>no</SCRIPT ><p>y</p></article>", "x\n\ny"),
+    ):
+        assert H.main_texts([html]) == [want], html
+
+
+def test_repeats_decide_blocks_in_doubt(spark):
+    rng = random.Random(31)
+    bodies = [prose(rng, 60) for _ in range(6)]
+    short, long = "read also this", prose(rng, 30)
+    pages = [f'<article><p>{b}</p><div class="lead related">{short}</div><div id="notice-period">{long} day</div><p class="lead related">own {k}</p></article>' for k, b in enumerate(bodies)]
+    want = [f"{b}\n\nown {k}" for k, b in enumerate(bodies)]
+    assert H.main_texts(pages) == want
+    alone = [f'<article><p>{b}</p><div class="lead related">{short}</div></article>' for b in bodies[:1]]
+    assert H.main_texts(alone) == [f"{bodies[0]}\n\n{short}"]
+    rows = [(i, f"http://one.example/{i}", p) for i, p in enumerate(pages)] + [(100, "http://two.example/", alone[0])]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for size in (1, 1500, 10**6):
+        for limit in (0, 10**6):  # beyond the limit nothing is broadcast
+            got = [r.text for r in H.extract(df, chunk_chars=size, limit=limit).orderBy("page_id").collect()]
+            assert got == [*want, f"{bodies[0]}\n\n{short}"]
+
+
+def test_whole_table_equals_one_array_for_each_host(spark):
+    import os
+
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if os.path.exists(path):
+        df = spark.read.parquet(path)
+        hosts = {}
+        for r in df.select("*", H.host(df["url"]).alias("host")).collect():
+            hosts.setdefault(r.host, []).append(r)
+        want = {r.page_id: t for rows in hosts.values() for r, t in zip(rows, H.main_texts([r.html for r in rows]))}
+        assert {r.page_id: r.text for r in H.extract(df, chunk_chars=20_000).collect()} == want and all(want.values())
