@@ -26,30 +26,43 @@ def within(low: float, high: float, kind: Callable = float) -> Callable:
 
 
 def options() -> argparse.ArgumentParser:
+    names = [s.name for s in simplify.stages(aligned=lambda edges: edges)]
     out = argparse.ArgumentParser(prog="strandweave", description="Simplify a strand-symmetric sequence graph.")
-    out.add_argument("--dot", "-d", required=True, help="the graph's edges")
-    out.add_argument("--fasta", "-f", required=True, help="the edges' sequences")
+    out.add_argument("--dot", "-d", help="the graph's edges")
+    out.add_argument("--fasta", "-f", help="the edges' sequences")
+    out.add_argument("--restart", help="a snapshot to go on from, in place of the files")
     out.add_argument("--output", "-o", required=True, help="a folder that isn't there yet")
-    out.add_argument("--alignments", "-a", help="alignment summary lines of the edges, as evidence")
+    out.add_argument("--alignments", "-a", help="alignment summary lines of the graph's edges, as evidence")
     out.add_argument("--floor", type=within(0, 1e9), default=10.0, help="coverage up to which every edge goes")
-    out.add_argument("--hops", type=within(1, 10, int), nargs=3, default=(3, 4, 5), help="edges of a bulge's path, for the three searches")
-    out.add_argument("--stages", choices=[s.name for s in simplify.stages()], nargs="*", help="only these stages")
+    out.add_argument("--hops", type=within(1, 10, int), nargs=4, default=(3, 4, 5, 10), help="edges of a bulge's path, for the searches")
+    out.add_argument("--stages", choices=names, nargs="*", help="only these stages")
+    out.add_argument("--after", choices=names, help="only the stages after this one")
+    out.add_argument("--snapshots", help="a folder for a snapshot after each stage")
     return out
 
 
 def main(given: Sequence[str] | None = None) -> None:
-    args = options().parse_args(given)
+    parser = options()
+    args = parser.parse_args(given)
+    if not args.restart and not (args.dot and args.fasta):
+        parser.error("give --dot and --fasta, or --restart")
     spark = SparkSession.builder.appName("strandweave").getOrCreate()
-    edges = text.load_graph(spark, args.dot, args.fasta)
-    k = model.inferred_k(edges).first()
-    if k.k_min is None or k.k_min != k.k_max:
-        raise ValueError(f"overlaps from {k.k_min} to {k.k_max}")
-    graph = model.Graph(edges, k.k_min)
-    if args.alignments:
-        refs = text.summary(spark.read.text(args.alignments)).select("query", "ref")
-        graph, _ = simplify.evidence(graph, lambda _: refs)
-    plan = [s for s in simplify.stages(floor=args.floor, hops=tuple(args.hops)) if args.stages is None or s.name in args.stages]
-    export.write_graph(simplify.simplify(graph, plan).edges, args.output)
+    if args.restart:
+        graph = export.load_snapshot(spark, args.restart)
+    else:
+        edges = text.load_graph(spark, args.dot, args.fasta)
+        k = model.inferred_k(edges).first()
+        if k.k_min is None or k.k_min != k.k_max:
+            raise ValueError(f"overlaps from {k.k_min} to {k.k_max}")
+        graph = model.Graph(edges, k.k_min)
+    aligned = simplify.references(text.summary(spark.read.text(args.alignments))) if args.alignments else None
+    plan = simplify.stages(floor=args.floor, hops=tuple(args.hops), aligned=aligned)
+    if args.after:
+        plan = plan[[s.name for s in plan].index(args.after) + 1 :]
+    plan = [s for s in plan if args.stages is None or s.name in args.stages]
+    count = iter(range(1, 1000))
+    snapshot = (lambda name, g, n: export.save_snapshot(g, f"{args.snapshots}/{next(count):02d}-{name}")) if args.snapshots else None
+    export.write_graph(simplify.simplify(graph, plan, snapshot).edges, args.output)
 
 
 if __name__ == "__main__":

@@ -39,15 +39,22 @@ def query(sql: str | None = None):
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The (k+1)-mer graph; written once, as many queries start from it."""
-    return once(spark, ("raw", sf_dir), lambda: fixtures.raw_edges(spark, sf_dir))
+    return once(spark, ("raw", sf_dir), lambda: fixtures.raw_edges(spark, sf_dir), f"{sf_dir}/documents.parquet")
 
 
 def unitigs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, ("unitigs", sf_dir), lambda: model.labelled(compact(raw(spark, sf_dir), K).drop("n_merged"), K))
+    return once(spark, ("unitigs", sf_dir), lambda: model.labelled(compact(raw(spark, sf_dir), K).drop("n_merged"), K), f"{sf_dir}/documents.parquet")
 
 
 def collapsed_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, ("collapsed", sf_dir), lambda: model.labelled(bulge.collapse(unitigs_of(spark, sf_dir)), K))
+    return once(spark, ("collapsed", sf_dir), lambda: model.labelled(bulge.collapse(unitigs_of(spark, sf_dir)), K), f"{sf_dir}/documents.parquet")
+
+
+def rings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unitigs of the rings: each with a tip, or with the two ends of a broken bulge."""
+    path = f"{sf_dir}/documents.parquet"
+    made = lambda: model.labelled(compact(fixtures.kmer_edges(fixtures.ring_reads(spark.read.parquet(path).select("doc_id", "text"))), K).drop("n_merged"), K)
+    return once(spark, ("rings", sf_dir), made, path)
 
 
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +95,13 @@ def deg(name: str, of: str) -> str:
   FROM (SELECT src AS id, 1 AS o, dst AS nbr, multiplicity AS m FROM {of} UNION ALL SELECT dst, 0, src, multiplicity FROM {of}) GROUP BY id)"""
 
 
+RING_READS = f"""b AS (SELECT doc_id, translate(md5(text) || md5(text || 'x'), '0123456789abcdef', 'ACGTACGTACGTACGT') AS s, translate(md5(text || 'y') || md5(text || 'z'), '0123456789abcdef', 'ACGTACGTACGTACGT') AS y FROM documents WHERE text IS NOT NULL),
+one AS (SELECT doc_id, s || substr(s, 1, {K}) AS s FROM b UNION ALL SELECT doc_id, s || substr(s, 1, {K}) FROM b
+  UNION ALL SELECT doc_id, substr(s, 1, 54) || translate(substr(s, 55, 1), 'ACGT', 'CGTA') || substr(s, 56, 9) FROM b WHERE doc_id % 2 = 0
+  UNION ALL SELECT doc_id, substr(s, 1, 30) || substr(y, 1, 20) FROM b WHERE doc_id % 2 <> 0
+  UNION ALL SELECT doc_id, substr(y, 33, 21) || substr(s, 61, 4) || substr(s, 1, {K}) FROM b WHERE doc_id % 2 <> 0),
+reads AS (SELECT doc_id, s FROM one UNION ALL SELECT doc_id, {RC('s')} FROM one)"""
+
 _UNARY = "legs_in = 1 AND legs_out = 1 AND self_loops = 0"
 UNITIGS = f"""{RAW}, {deg('rd', 'raw')}, un AS MATERIALIZED (SELECT id FROM rd WHERE {_UNARY}),
 base AS MATERIALIZED (SELECT *, src IN (SELECT id FROM un) AS cont, dst IN (SELECT id FROM un) AS goes FROM raw),
@@ -95,6 +109,7 @@ chain AS (SELECT sequence AS head, src, dst, sequence, length, multiplicity AS w
   UNION ALL SELECT c.head, c.src, e.dst, c.sequence || substr(e.sequence, {K + 1}), c.length + e.length, c.w + e.multiplicity * e.length, c.n + 1, e.goes FROM chain c JOIN base e ON c.dst = e.src WHERE c.goes),
 whole AS (SELECT src, dst, sequence, length, w / length AS multiplicity, CAST(n AS BIGINT) AS n_merged FROM chain WHERE NOT goes),
 ug AS MATERIALIZED (SELECT src, dst, sequence, length, multiplicity, src || '.' || row_number() OVER (PARTITION BY src ORDER BY dst, sequence) AS label FROM whole)"""
+RINGS = UNITIGS.replace(READS, RING_READS)
 COLLAPSED = f"""{UNITIGS},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY src, dst, CASE WHEN dst = {RN('src')} THEN sequence ELSE '' END ORDER BY length DESC, multiplicity DESC, sequence) AS nth,
   sum(multiplicity) OVER (PARTITION BY src, dst, CASE WHEN dst = {RN('src')} THEN sequence ELSE '' END) AS total FROM ug),
@@ -357,36 +372,49 @@ def whirl_2cycle(spark, sf_dir):
     return _whirls(spark).filter(F.size("labels") == 2).select("start", F.array_join("labels", ",").alias("labels"), "length", "min_cov", "safe")
 
 
-@query()
+@query(rec(f"{_WHIRLS}, onl AS (SELECT src FROM mg GROUP BY src HAVING count(*) = 1), wk AS (SELECT src AS start, dst AS here, [src, dst] AS nodes, [label] AS labels, length, CASE WHEN src = {RN('dst')} THEN multiplicity / 2 ELSE multiplicity END AS min_cov, false AS done FROM mg WHERE src <> dst UNION ALL SELECT w.start, e.dst, list_append(w.nodes, e.dst), list_append(w.labels, e.label), w.length + e.length, least(w.min_cov, CASE WHEN e.src = {RN('e.dst')} THEN e.multiplicity / 2 ELSE e.multiplicity END), e.dst = w.start FROM wk w JOIN mg e ON e.src = w.here AND e.src IN (SELECT src FROM onl) WHERE NOT w.done AND e.src <> e.dst AND (e.dst = w.start OR NOT list_contains(w.nodes, e.dst))), wd AS (SELECT *, array_to_string(labels, ',') AS key, len(labels) AS n FROM wk WHERE done), st AS (SELECT key, min_cov, n, i, labels[i] AS label FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM wd)), bad AS (SELECT key FROM st JOIN mg USING (label) JOIN d ON d.id = mg.dst WHERE i < n AND mg.multiplicity - 0.1 < min_cov AND d.legs_in = 1 UNION SELECT key FROM st JOIN mg USING (label) JOIN d ON d.id = mg.src WHERE i > 1 AND mg.multiplicity - 0.1 < min_cov AND d.legs_out = 1)", "SELECT start, array_to_string(nodes, ',') AS nodes, length, min_cov, key NOT IN (SELECT key FROM bad) AS safe FROM wd"))
 def whirl_cycles(spark, sf_dir):
     return _whirls(spark).select("start", F.array_join("nodes", ",").alias("nodes"), "length", "min_cov", "safe")
 
 
-_TIPS = f"""{COLLAPSED}, {deg('d', 'cg')}, sink AS (SELECT id FROM d WHERE n_out = 0 AND n_in = 1 AND legs_in = 1),
-tp AS (SELECT src, label AS tip, length AS tl, multiplicity AS tc, sequence AS ts FROM cg WHERE dst IN (SELECT id FROM sink)), sb AS (SELECT src, label AS edge, length AS el, multiplicity AS ec, sequence AS es FROM cg WHERE dst NOT IN (SELECT id FROM sink)),
+_NEXT = "fn AS (SELECT CAST(p_partkey AS VARCHAR) AS src, CAST((p_partkey * 7919 + p_size * 104729) % (SELECT count(*) FROM part) AS VARCHAR) AS dst, CAST(1 + p_size AS BIGINT) AS length, p_retailprice AS multiplicity FROM part)"
+
+
+@query(f"WITH RECURSIVE {_NEXT}, wk AS (SELECT src AS start, dst AS here, [src, dst] AS nodes, length, multiplicity AS m, false AS done FROM fn WHERE src <> dst UNION ALL SELECT w.start, e.dst, list_append(w.nodes, e.dst), w.length + e.length, least(w.m, e.multiplicity), e.dst = w.start FROM wk w JOIN fn e ON e.src = w.here WHERE NOT w.done AND e.src <> e.dst AND (e.dst = w.start OR NOT list_contains(w.nodes, e.dst))) SELECT start, array_to_string(nodes, ',') AS nodes, length, m AS min_cov FROM wk WHERE done")
+def whirls_of_parts(spark, sf_dir):
+    """Whirls of a map of the parts to themselves, where every part has one successor: as long as they come."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    n = part.count()
+    e = part.select(F.col("p_partkey").cast("string").alias("src"), ((F.col("p_partkey") * 7919 + F.col("p_size") * 104729) % n).cast("string").alias("dst"), (F.lit(1) + F.col("p_size")).cast("bigint").alias("length"), F.col("p_retailprice").alias("multiplicity")).withColumn("label", F.concat("src", F.lit(".1")))
+    return whirl.cycles(e).select("start", F.array_join("nodes", ",").alias("nodes"), "length", "min_cov")
+
+
+_TIPS = f"""{RINGS}, {deg('d', 'ug')}, sink AS (SELECT id FROM d WHERE n_out = 0 AND n_in = 1 AND legs_in = 1),
+tp AS (SELECT src, label AS tip, length AS tl, multiplicity AS tc, sequence AS ts FROM ug WHERE dst IN (SELECT id FROM sink)), sb AS (SELECT src, label AS edge, length AS el, multiplicity AS ec, sequence AS es FROM ug WHERE dst NOT IN (SELECT id FROM sink)),
 tc AS (SELECT *, least(length(ts), length(es)) - {K} AS n FROM tp JOIN sb USING (src) WHERE NOT (tl > el AND el / tl < 0.9) AND tc <= ec * 0.8),
-sc AS (SELECT *, CASE WHEN n > 0 THEN 1 - levenshtein(substr(ts, {K + 1}, n), substr(es, {K + 1}, n)) / n END AS sim FROM tc)"""
+sc AS (SELECT *, CASE WHEN n > 0 THEN 1 - levenshtein(substr(ts, {K + 1}, n), substr(es, {K + 1}, n)) / n END AS sim FROM tc),
+bs AS (SELECT *, row_number() OVER (PARTITION BY tip ORDER BY sim DESC, edge) AS nth FROM sc WHERE sim >= 0.8)"""
 
 
 def _tips(spark, sf_dir, exact: bool) -> DataFrame:
-    e = collapsed_of(spark, sf_dir)
+    e = rings_of(spark, sf_dir)
     return tips.similarities(tips.candidates(e, None, 0.8), e, K, exact=exact)
 
 
-@query(rec(f"{_TIPS}, bs AS (SELECT *, row_number() OVER (PARTITION BY tip ORDER BY sim DESC, edge) AS nth FROM sc WHERE sim >= 0.5)", "SELECT tip, edge, round(sim, 6) AS similarity FROM bs WHERE nth = 1"))
+@query(rec(_TIPS, "SELECT tip, edge, round(sim, 6) AS similarity FROM bs WHERE nth = 1"))
 def tip_best_sibling(spark, sf_dir):
-    return tips.best_siblings(_tips(spark, sf_dir, False), 0.5).select("tip", "edge", F.round("similarity", 6).alias("similarity"))
+    return tips.best_siblings(_tips(spark, sf_dir, False)).select("tip", "edge", F.round("similarity", 6).alias("similarity"))
 
 
-@query(rec(f"{_TIPS}, bs AS (SELECT *, row_number() OVER (PARTITION BY tip ORDER BY sim DESC, edge) AS nth FROM sc WHERE sim >= 0.5)", "SELECT edge AS label, round(sum(tc * tl / el), 6) AS amount FROM bs WHERE nth = 1 GROUP BY edge"))
+@query(rec(_TIPS, "SELECT edge AS label, round(sum(tc * tl / el), 6) AS amount FROM bs WHERE nth = 1 GROUP BY edge"))
 def tip_merge_delta(spark, sf_dir):
-    _, sums = tips.merged(tips.best_siblings(_tips(spark, sf_dir, False), 0.5))
+    _, sums = tips.merged(tips.best_siblings(_tips(spark, sf_dir, False)))
     return sums.groupBy("label").agg(F.round(F.sum("amount"), 6).alias("amount"))
 
 
 @query()
 def tip_aligned_sibling(spark, sf_dir):
-    return tips.best_siblings(_tips(spark, sf_dir, True), 0.5).select("tip", "edge", F.round("similarity", 6).alias("similarity"))
+    return tips.best_siblings(_tips(spark, sf_dir, True)).select("tip", "edge", F.round("similarity", 6).alias("similarity"))
 
 
 @query(rec(f"{COLLAPSED}, {deg('d', 'cg')}, tp AS (SELECT * FROM cg WHERE dst IN (SELECT id FROM d WHERE n_out = 0 AND n_in = 1 AND legs_in = 1)), kp AS (SELECT *, first_value(label) OVER w AS keep, first_value(length) OVER w AS keep_length FROM tp WINDOW w AS (PARTITION BY src ORDER BY length DESC, label))", "SELECT src, keep, label AS tip, keep_length, length AS tip_length FROM kp WHERE label <> keep"))
@@ -394,14 +422,14 @@ def tip_tip_merge(spark, sf_dir):
     return tips.tip_groups(collapsed_of(spark, sf_dir))
 
 
-_BROKEN = f"""{UNITIGS}, {deg('d', 'ug')}, single AS (SELECT src, dst, any_value(length) AS length FROM ug WHERE src <> dst GROUP BY src, dst HAVING count(*) = 1),
+_BROKEN = f"""{RINGS}, {deg('d', 'ug')}, single AS (SELECT src, dst, any_value(length) AS length FROM ug WHERE src <> dst GROUP BY src, dst HAVING count(*) = 1),
 ot AS (SELECT src, arg_min(dst, label) AS o_node, min(label) AS o, arg_min(length, label) AS ol FROM ug WHERE dst IN (SELECT id FROM d WHERE n_out = 0 AND n_in = 1 AND legs_in = 1) GROUP BY src),
 it AS (SELECT dst, arg_min(src, label) AS i_node, min(label) AS i, arg_min(length, label) AS il FROM ug WHERE src IN (SELECT id FROM d WHERE n_in = 0 AND n_out = 1 AND legs_out = 1) GROUP BY dst)"""
 
 
-@query(rec(_BROKEN, "SELECT src, dst, o AS out_tip, i AS in_tip, o_node AS out_node, i_node AS in_node, round(least(ol + il, length) / greatest(ol + il, length), 6) AS ratio FROM single JOIN ot USING (src) JOIN it USING (dst) WHERE o_node <> dst AND i_node <> src AND least(ol + il, length) / greatest(ol + il, length) >= 0.3"))
+@query(rec(_BROKEN, "SELECT src, dst, o AS out_tip, i AS in_tip, o_node AS out_node, i_node AS in_node, round(least(ol + il, length) / greatest(ol + il, length), 6) AS ratio FROM single JOIN ot USING (src) JOIN it USING (dst) WHERE o_node <> dst AND i_node <> src AND least(ol + il, length) / greatest(ol + il, length) >= 0.9"))
 def broken_bulge_candidates(spark, sf_dir):
-    return tips.broken_bulges(unitigs_of(spark, sf_dir), 0.3).withColumn("ratio", F.round("ratio", 6))
+    return tips.broken_bulges(rings_of(spark, sf_dir)).withColumn("ratio", F.round("ratio", 6))
 
 
 # ---- evidence and strands
@@ -474,12 +502,11 @@ def interval_merge(spark, sf_dir):
     return _merged(spark, sf_dir).withColumn("identity", F.round("identity", 6))
 
 
-@query(f"WITH {_ALN}, ln AS (SELECT query, max(ref_end) - min(ref_start) AS n FROM al GROUP BY query) SELECT query || chr(9) || ref_id || chr(9) || CAST(CAST(length AS BIGINT) AS VARCHAR) || '(' || ref_start || '-' || ref_end || ')' AS value FROM mi JOIN ln USING (query) WHERE NOT contains(ref_id, 'tig') AND ref_end - ref_start > n / 10")
+@query(f"WITH {_ALN}, ln AS (SELECT query, max(ref_end) - min(ref_start) AS n FROM al GROUP BY query) SELECT query || chr(9) || ref_id || chr(9) || CAST(CAST(length AS BIGINT) AS VARCHAR) || '(' || ref_start || '-' || ref_end || ')' || chr(9) || printf('%.2f', round(identity, 9)) AS value FROM mi JOIN ln USING (query) WHERE NOT contains(ref_id, 'tig') AND ref_end - ref_start > n / 10")
 def interval_filtered(spark, sf_dir):
     aln = fixtures.alignments(spark.read.parquet(f"{sf_dir}/events.parquet"))
     lengths = aln.groupBy("query").agg((F.max("ref_end") - F.min("ref_start")).alias("contig_length"))
-    lines = export.summary_lines(intervals.wide_enough(intervals.merge(aln), lengths))
-    return lines.select(F.substring_index("value", "\t", 3).alias("value"))
+    return export.summary_lines(intervals.wide_enough(intervals.merge(aln).withColumn("identity", F.round("identity", 9)), lengths))
 
 
 _RECORDS = "rec AS (SELECT 'n' || (event_id % 50) || '.1_m' || (user_id % 50) || '.2' AS query_name, 'ctg_' || event_type AS reference_name, event_id % 11 = 0 AS is_unmapped, user_id % 2 = 0 AS is_forward, event_id % 1000 AS ref_start, event_id % 1000 + 50 + user_id % 100 AS ref_end, CAST(5000 AS BIGINT) AS ref_length, 50 + user_id % 100 AS query_alignment_length, CASE WHEN event_id % 3 = 0 THEN event_id % 7 END AS nm, CASE WHEN event_id % 3 = 1 THEN event_id % 5 END AS mismatches FROM events)"
@@ -545,6 +572,25 @@ def edit_infix(spark, sf_dir):
     return _aligned(spark, sf_dir, "HW", "substr(a, 12, 40)")
 
 
+_SPANS = """ps AS (SELECT doc_id, kind, substr(a, {0}, 40) AS q, b, s.i AS i, e.j AS j FROM vs, {1} s(i), range(0, 65) e(j) WHERE j <= length(b) AND i <= j),
+ds AS (SELECT doc_id, kind, i, j, levenshtein(q, substr(b, i + 1, j - i)) AS d FROM ps), be AS (SELECT doc_id, kind, min(d) AS d FROM ds GROUP BY ALL)
+SELECT doc_id, kind, CAST(d AS BIGINT) AS distance, CAST(count(DISTINCT j) AS BIGINT) AS n_ends, CAST(min(j) - 1 AS BIGINT) AS first_end FROM ds JOIN be USING (doc_id, kind, d) GROUP BY doc_id, kind, d"""
+
+
+def _best(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "kind", *(F.col(c).cast("bigint").alias(c) for c in ("distance", "n_ends", "first_end")))
+
+
+@query(f"WITH {_PAIRS}, {_SPANS.format(1, '(VALUES (0))')}")
+def edit_prefix_distance(spark, sf_dir):
+    return _best(edit_prefix(spark, sf_dir))
+
+
+@query(f"WITH {_PAIRS}, {_SPANS.format(12, 'range(0, 65)')}")
+def edit_infix_distance(spark, sf_dir):
+    return _best(edit_infix(spark, sf_dir))
+
+
 # ---- files
 
 
@@ -605,12 +651,16 @@ def contract_short_edges(spark, sf_dir):
     return contract.contracted_nodes(unitigs_of(spark, sf_dir), 12)
 
 
-@query(rec(f"{UNITIGS}, gn AS (SELECT 'g' || doc_id AS genome, s FROM b)", f"SELECT DISTINCT label, genome FROM ug JOIN gn ON contains(s, sequence) OR contains(s, {RC('sequence')}) WHERE length(sequence) >= 24"))
+@query(rec(f"{UNITIGS}, sh AS MATERIALIZED (SELECT * FROM ug WHERE length <= 12 AND src <> dst AND dst <> {RN('src')}), ln AS MATERIALIZED (SELECT src AS a, dst AS b FROM sh UNION SELECT dst, src FROM sh), cc AS (SELECT DISTINCT a AS id, a AS c FROM ln UNION SELECT l.b, cc.c FROM cc JOIN ln l ON l.a = cc.id), cm AS MATERIALIZED (SELECT id, min(c) AS comp FROM cc GROUP BY id)", "SELECT label, coalesce(x.comp, src) AS src, coalesce(y.comp, dst) AS dst FROM ug LEFT JOIN cm x ON x.id = src LEFT JOIN cm y ON y.id = dst WHERE label NOT IN (SELECT label FROM sh)"))
+def contracted_view(spark, sf_dir):
+    return contract.contracted_edges(unitigs_of(spark, sf_dir), 12).select("label", "src", "dst")
+
+
+@query(rec(f"{UNITIGS}, gn AS (SELECT 'g' || doc_id AS genome, s FROM b)", f"SELECT DISTINCT label, genome FROM ug JOIN gn ON contains(s, sequence) OR contains(s, {RC('sequence')})"))
 def contains_join(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     genomes = docs.select(F.concat(F.lit("g"), "doc_id").alias("name"), F.translate(F.concat(F.md5("text"), F.md5(F.concat("text", F.lit("x")))), "0123456789abcdef", "ACGTACGTACGTACGT").alias("sequence"))
-    # the query's SQL asks for edges of 24 bases or more; the operator answers all
-    return contract.holders(unitigs_of(spark, sf_dir).filter("length(sequence) >= 24"), genomes)
+    return contract.holders(unitigs_of(spark, sf_dir), genomes)
 
 
 @query(rec(f"{UNITIGS}, sm AS (SELECT src || '.1' AS q, 'chr' || (1 + length % 3) AS ref FROM ug WHERE length > 20), rf AS (SELECT q, string_agg(DISTINCT ref, ',' ORDER BY ref) AS refs FROM sm GROUP BY q)", "SELECT label, coalesce(refs, 'old') AS refs FROM ug LEFT JOIN rf ON q = label"))
@@ -620,9 +670,9 @@ def color_join(spark, sf_dir):
     return intervals.annotated(e, summary).select("label", F.array_join("ref_ids", ",").alias("refs"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '#e6194b' WHEN 1 THEN '#911eb4' WHEN 2 THEN '' ELSE '#3cb44b' END AS colour FROM events")
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN '#325527' WHEN 1 THEN '#969696' WHEN 2 THEN '' WHEN 3 THEN '#628DCF' ELSE '#70229F' END AS colour FROM events")
 def colour_map(spark, sf_dir):
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.element_at(F.array(*map(F.lit, ("chr1", "-chrX", "other", "-chr2"))), (F.col("event_id") % 4 + 1).cast("int")).alias("ref"))
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.element_at(F.array(*map(F.lit, ("1A", "-X", "24M", "-2P", "24B"))), (F.col("event_id") % 5 + 1).cast("int")).alias("ref"))
     return ev.select("event_id", contract.colour("ref").alias("colour"))
 
 
@@ -641,6 +691,13 @@ def walk_find_path(spark, sf_dir):
     return walk.find_path(w, [first[0]["node"], first[0]["next"]] if first else [None, None])
 
 
+@query(f"WITH {_WALK}, r AS (SELECT walk, pos, node, next, row_number() OVER (PARTITION BY walk ORDER BY pos) AS nth FROM stp) SELECT walk, CAST(pos AS INTEGER) AS pos FROM r WHERE node % 2 = 0 AND next % 2 = 1")
+def walk_find_steps(spark, sf_dir):
+    """Places in the walks over parities where an odd node follows an even one; the search goes on at a match's last node."""
+    w = walks(spark, sf_dir).withColumn("node", F.col("node") % 2)
+    return walk.find_path(w, [0, 1], resume=True)
+
+
 @query(f"WITH {_WALK}, e AS (SELECT CAST(node AS VARCHAR) AS src, CAST(next AS VARCHAR) AS dst FROM stp UNION ALL SELECT CAST(-next AS VARCHAR), CAST(-node AS VARCHAR) FROM stp) SELECT src, dst, CAST(count(*) AS DOUBLE) AS multiplicity FROM e GROUP BY src, dst")
 def walk_graph(spark, sf_dir):
     return fixtures.walk_edges(walks(spark, sf_dir))
@@ -663,12 +720,35 @@ def evidence_decoupled(spark, sf_dir):
     return shown(graph.edges)
 
 
+def simplified_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, with the documents that edges share as evidence, and coverage thresholds for inputs in which a document gives one read."""
+    path = f"{sf_dir}/documents.parquet"
+
+    def made() -> DataFrame:
+        refs = lineage(spark, sf_dir).select(F.col("label").alias("query"), F.explode("ref_ids").alias("ref"))
+        plan = simplify.stages(floor=0.0, least=(1.05, 1.05), aligned=simplify.references(refs))
+        return simplify.simplify(model.Graph(unitigs_of(spark, sf_dir), K), plan).edges
+
+    return once(spark, ("simplified", sf_dir), made, path)
+
+
 @query()
 def graph_simplify_full(spark, sf_dir):
-    """Compaction and the main stages, with coverage thresholds for inputs in which a document gives one read."""
-    plan = {s.name: s for s in simplify.stages(floor=0.0, least=(1.05, 1.05), hops=(2, 2, 3))}
-    some = [plan[n] for n in ("simple_bulges", "complex_3.1", "broken_bulges", "coverage_1", "tips_1", "strands")]
-    return shown(simplify.simplify(model.Graph(raw(spark, sf_dir), K), some).edges)
+    return shown(simplified_of(spark, sf_dir))
+
+
+@query()
+def simplified_paths(spark, sf_dir):
+    """The PATH lines of the simplified graph."""
+    return export.path_lines(simplified_of(spark, sf_dir))
+
+
+@query()
+def bulge_parts(spark, sf_dir):
+    """The 2-in-2-out sub-paths inside the legs of the best bulges."""
+    e = collapsed_of(spark, sf_dir)
+    found = paths.with_parts(_bulges(spark, sf_dir), degree.degrees(e))
+    return found.select("start", "end", "key1", "key2", *(F.array_join(F.transform(f"parts{i}", lambda x: F.array_join(x, ">")), ",").alias(f"parts{i}") for i in (1, 2)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,28 +2,61 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions.strand import rc_node, rc_sequence
+from .functions.strand import joined, rc_node, rc_sequence
 
-EDGES = "src string, dst string, label string, rc_label string, start_base string, length bigint, multiplicity double, sequence string, ref_ids array<string>, path_nodes array<string>, path_edges array<string>"
+#: What every edge has, and its way through the original graph: nodes, labels, and the labels of the reverse complements.
+CORE = ("src", "dst", "sequence", "length", "multiplicity")
+LINEAGE = ("path_nodes", "path_edges", "path_back")
+
+EDGES = "src string, dst string, label string, rc_label string, start_base string, length bigint, multiplicity double, sequence string, ref_ids array<string>, path_nodes array<string>, path_edges array<string>, path_back array<string>"
 
 
 @dataclass(frozen=True)
 class Graph:
-    """``edges(src, dst, length, multiplicity, sequence, ...)`` that overlap by ``k``. Nodes are the edges' ends."""
+    """``edges(src, dst, length, multiplicity, sequence, ...)`` that overlap by ``k``. Nodes are the edges' ends.
+
+    ``idle`` names the steps known to change nothing in this graph."""
 
     edges: DataFrame
     k: int
+    idle: set[str] = field(default_factory=set, compare=False, repr=False)
 
     def nodes(self) -> DataFrame:
         return self.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
+def core(edges: DataFrame) -> list[str]:
+    """The columns that operators carry along: ``CORE``, and ``LINEAGE`` where the edges have it."""
+    return [*CORE, *(c for c in LINEAGE if c in edges.columns)]
+
+
+def with_lineage(edges: DataFrame) -> DataFrame:
+    """Edges (label, rc_label) as their own way through the graph."""
+    one = lambda c: F.array(F.coalesce(c, "label"))
+    return edges.withColumns({"path_nodes": F.array("src", "dst"), "path_edges": one("label"), "path_back": one("rc_label")})
+
+
+def chained(parts: Column, k: int, edges: DataFrame) -> dict[str, Column]:
+    """The sequence and the lineage of an array of edges that follow one another, as columns by name."""
+    out = {"sequence": joined(parts["sequence"], k)}
+    if "path_nodes" in edges.columns:
+        nodes = F.transform(parts["path_nodes"], lambda x, i: F.when(i == 0, x).otherwise(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0)))))
+        out |= {"path_nodes": F.flatten(nodes), "path_edges": F.flatten(parts["path_edges"]), "path_back": F.flatten(parts["path_back"])}
+    return out
+
+
+def mirrored(edges: DataFrame) -> DataFrame:
+    """The reverse complements of edges, with the same columns of ``core``."""
+    back = {"path_nodes": F.reverse(F.transform("path_nodes", rc_node)), "path_edges": F.reverse("path_back"), "path_back": F.reverse("path_edges")} if "path_nodes" in edges.columns else {}
+    return edges.select(rc_node("dst").alias("src"), rc_node("src").alias("dst"), rc_sequence("sequence").alias("sequence"), "length", "multiplicity", *(c.alias(n) for n, c in back.items()))
+
+
 def labelled(edges: DataFrame, k: int) -> DataFrame:
     """Edges with labels ``<src>.<n>``, in the order of (dst, sequence) within a source, and the labels of
     their reverse complements. Deterministic, whatever the partitioning."""

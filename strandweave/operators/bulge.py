@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strand import rc_node
+from ..model import LINEAGE
 
 
 def parallel_legs(edges: DataFrame) -> DataFrame:
@@ -15,16 +16,17 @@ def parallel_legs(edges: DataFrame) -> DataFrame:
 
 
 def collapse(edges: DataFrame, skip_rc: bool = True) -> DataFrame:
-    """``src, dst, sequence, length, multiplicity``: of parallel edges the longest stays, then the most covered,
+    """``src, dst, sequence, length, multiplicity`` and the lineage, if any: of parallel edges the longest stays, then the most covered,
     then the first by sequence; its coverage is the sum. One aggregation with map-side combination.
 
     Edges from a node to its own reverse complement are left alone with ``skip_rc``.
     """
-    best = F.max_by(F.struct("sequence", "length"), F.struct("length", "multiplicity", _descending("sequence")))
+    more = [c for c in LINEAGE if c in edges.columns]
+    best = F.max_by(F.struct("sequence", "length", *more), F.struct("length", "multiplicity", _descending("sequence")))
     own = F.col("dst") == rc_node("src")
     key = F.when(own & F.lit(skip_rc), F.col("sequence")).otherwise(F.lit(""))
     grouped = edges.withColumn("__leg", key).groupBy("src", "dst", "__leg").agg(best.alias("b"), F.sum("multiplicity").alias("multiplicity"))
-    return grouped.select("src", "dst", "b.sequence", "b.length", "multiplicity")
+    return grouped.select("src", "dst", "b.sequence", "b.length", "multiplicity", *(f"b.{c}" for c in more))
 
 
 def _descending(column: str):

@@ -5,62 +5,78 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strand import joined
+from ..model import chained, core
 from ..plans.tables import written
 from .degree import degrees, non_branching
 
 
 def _doubled(state: DataFrame) -> DataFrame:
-    """Each pointer moves to where its target points; distances and minima follow. Heads point to themselves."""
-    far = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("pos").alias("pos2"), F.col("least").alias("least2"), F.col("ended").alias("ended2"))
-    step = state.join(far, "ptr").select("id", F.col("ptr2").alias("ptr"), (F.col("pos") + F.col("pos2")).alias("pos"), F.least("least", "least2").alias("least"), F.col("ended2").alias("ended"))
-    return written(step, "chains")
+    """Each pointer moves to where its target points; distances follow. Heads point to themselves."""
+    more = [c for c in ("least",) if c in state.columns]
+    far = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("pos").alias("pos2"), F.col("ended").alias("ended2"), *(F.col(c).alias(f"{c}2") for c in more))
+    step = state.join(far, "ptr").select("id", F.col("ptr2").alias("ptr"), (F.col("pos") + F.col("pos2")).alias("pos"), F.col("ended2").alias("ended"), *(F.least(c, f"{c}2").alias(c) for c in more))
+    return step
 
 
 def chains(edges: DataFrame) -> DataFrame:
-    """``id, head, pos``: the chain's first edge and the place in the chain, for edges with an ``id`` that go on
-    through unary nodes. Each round doubles the distance a pointer spans, so a chain of n edges takes log n
-    rounds of joins. A cycle of unary nodes only is cut at its smallest id."""
+    """``id, head, pos``: the chain's first edge and the place in the chain, for edges with a numeric ``id`` that go on
+    through unary nodes. A round doubles the distance a pointer spans, and a table is written every other round, so a
+    chain of n edges takes half of log n tables of numbers. Only edges in chains take part; a pointer at a head rests.
+    A cycle of unary nodes only is cut at its smallest ``key``."""
     unary = non_branching(degrees(edges)).select(F.col("id").alias("node"))
     after = edges.select("id", F.col("src").alias("node")).join(unary, "node")
     before = edges.select(F.col("id").alias("prev"), F.col("dst").alias("node")).join(unary, "node")
-    links = after.join(before, "node").select("id", "prev")
+    links = written(after.join(before, "node").select("id", "prev"), "links")
 
     def start(of: DataFrame) -> DataFrame:
         none = F.col("prev").isNull()
-        return written(of.select("id", F.coalesce("prev", "id").alias("ptr"), F.when(none, 0).otherwise(1).cast("bigint").alias("pos"), F.least("id", F.coalesce("prev", "id")).alias("least"), none.alias("ended")), "chains")
+        return of.select("id", F.coalesce("prev", "id").alias("ptr"), F.when(none, 0).otherwise(1).cast("bigint").alias("pos"), none.alias("ended"), *(c for c in ("least",) if c in of.columns))
 
-    state, open_ = start(edges.select("id").join(links, "id", "left")), None
-    while True:
-        now = state.filter("not ended").count()
-        if not now or now == open_:
-            break
-        state, open_ = _doubled(state), now
+    def settled(state: DataFrame) -> tuple[DataFrame, int]:
+        """Rounds until every pointer rests, or the number of those that don't no longer falls: those are in cycles."""
+        open_ = None
+        while True:
+            now = state.filter("not ended").count()
+            if not now or now == open_:
+                return state, now
+            # the first rounds may end nothing: a chain of unknown length is a cycle only when spans have passed all edges
+            open_ = now if state.filter("not ended").agg(F.max("pos")).first()[0] >= now else None
+            state = written(_doubled(_doubled(state)), "chains")
+
+    heads = links.select(F.col("prev").alias("id")).join(links.select("id"), "id", "left_anti").distinct().withColumn("prev", F.lit(None).cast("bigint"))
+    state, cyclic = settled(written(start(links.unionByName(heads)), "chains"))
     found = state.filter("ended").select("id", F.col("ptr").alias("head"), "pos")
-    if not now:
+    alone = edges.select("id").join(state.select("id"), "id", "left_anti").select("id", F.col("id").alias("head"), F.lit(0).cast("bigint").alias("pos"))
+    found = found.unionByName(alone)
+    if not cyclic:
         return found
-    # cycles only: spans double until every edge knows the smallest id, where the cycle is cut
-    cyclic = written(state.filter("not ended"), "cycles")
-    while True:
-        wider = _doubled(cyclic)
-        same = wider.join(cyclic.select("id", F.col("least").alias("was")), "id").filter("least <> was").isEmpty()
-        cyclic = wider
+    # spans double until every edge of a cycle knows its smallest key, where the cycle is cut
+    rings = state.filter("not ended").select("id").join(edges.select("id", F.col("key").alias("own")), "id")
+    before = links.join(rings, "id")
+    wide = written(start(before.withColumn("least", F.col("own"))), "cycles")
+    for _ in range(64):
+        wider = written(_doubled(wide), "cycles")
+        same = wider.join(wide.select("id", F.col("least").alias("was")), "id").filter("least <> was").isEmpty() and wide.agg(F.max("pos")).first()[0] >= cyclic
+        wide = wider
         if same:
             break
-    cut = cyclic.select("id", "least").join(links, "id").select("id", F.when(F.col("id") != F.col("least"), F.col("prev")).alias("prev"))
-    state = start(cut)
-    while not state.filter("not ended").isEmpty():
-        state = _doubled(state)
+    cut = wide.select("id", "least").join(before, "id").select("id", F.when(F.col("own") != F.col("least"), F.col("prev")).alias("prev"))
+    state, rest = settled(written(start(cut), "chains"))
+    if rest:
+        raise RuntimeError("a cycle has no smallest edge")
     return found.unionByName(state.select("id", F.col("ptr").alias("head"), "pos"))
 
 
 def compact(edges: DataFrame, k: int) -> DataFrame:
-    """``src, dst, sequence, length, multiplicity, n_merged``: unary chains as single edges, with the overlap
-    concatenation of their sequences and their length-weighted mean coverage."""
-    named = written(edges.select("src", "dst", "sequence", "length", "multiplicity").withColumn("id", F.concat_ws("|", "src", "dst", "sequence")), "edges")
-    placed = named.join(chains(named), "id")
-    parts = F.sort_array(F.collect_list(F.struct("pos", "src", "dst", "sequence", "length", "multiplicity")))
+    """``src, dst, sequence, length, multiplicity, n_merged`` and the lineage, if there is one: unary chains as single
+    edges, with the overlap concatenation of their sequences and their length-weighted mean coverage. Pointers are
+    numbers of a written table; sequences move once, to their chain's head."""
+    own = core(edges)
+    named = written(edges.select(*own, F.md5(F.concat_ws("|", "src", "dst", "sequence")).alias("key")).withColumn("id", F.monotonically_increasing_id()), "edges")
+    placed = named.drop("key").join(chains(named.select("id", "src", "dst", "multiplicity", "key")), "id")
+    parts = F.sort_array(F.collect_list(F.struct("pos", *own)))
     grouped = placed.groupBy("head").agg(parts.alias("p"))
     total = F.aggregate("p", F.lit(0).cast("bigint"), lambda s, x: s + x["length"])
     weight = F.aggregate("p", F.lit(0.0), lambda s, x: s + x["multiplicity"] * x["length"])
-    return grouped.select(F.get("p.src", F.lit(0)).alias("src"), F.element_at("p.dst", -1).alias("dst"), joined(F.col("p.sequence"), k).alias("sequence"), total.alias("length"), (weight / total).alias("multiplicity"), F.size("p").cast("bigint").alias("n_merged"))
+    whole = chained(F.col("p"), k, edges)
+    return grouped.select(F.get("p.src", F.lit(0)).alias("src"), F.element_at("p.dst", -1).alias("dst"), whole.pop("sequence").alias("sequence"), total.alias("length"), (weight / total).alias("multiplicity"), F.size("p").cast("bigint").alias("n_merged"), *(c.alias(n) for n, c in whole.items()))

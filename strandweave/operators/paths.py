@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import alignment
 from ..functions.coverage import TOLERANCE, ratio, step_coverage
-from ..functions.strand import rc_node
+from ..functions.strand import joined, rc_node
 from ..plans.tables import written
 
 
@@ -51,8 +52,21 @@ def interior(nodes: Column | str) -> Column:
     return F.slice(n, 2, F.greatest(F.size(n) - 2, F.lit(0)))
 
 
-def bulge_pairs(paths: DataFrame, identity: float, allow_rc: bool = False) -> DataFrame:
-    """Pairs of paths with the same ends whose interiors share no node, and whose lengths are alike enough."""
+def _arrows(nodes: Column) -> Column:
+    """The steps of a path, as strings."""
+    return F.transform(F.sequence(F.lit(0), F.size(nodes) - 2), lambda i: F.concat_ws(">", F.get(nodes, i), F.get(nodes, i + 1)))
+
+
+def reversed_nodes(nodes: Column) -> Column:
+    return F.reverse(F.transform(nodes, rc_node))
+
+
+def bulge_pairs(paths: DataFrame, identity: float, allow_rc: bool = False, edges: DataFrame | None = None, k: int | None = None) -> DataFrame:
+    """Pairs of paths with the same ends whose interiors share no node, and that are alike enough: by their lengths, or,
+    where ``edges`` are given, by the aligned columns of their sequences over the longer one's length.
+
+    With ``allow_rc`` interiors share no node of the other's reverse complement either, nor is any step of one a step of
+    the other on either strand."""
     key = F.array_join("labels", ",")
     p = paths.withColumn("key", key)
     mine = ["nodes", "labels", "length", "weight", "min_cov", "key"]
@@ -61,9 +75,21 @@ def bulge_pairs(paths: DataFrame, identity: float, allow_rc: bool = False) -> Da
     near = F.greatest("length1", "length2") - F.least("length1", "length2") <= (1 - identity) * F.greatest("length1", "length2")
     apart = ~F.arrays_overlap(interior("nodes1"), F.col("nodes2")) & ~F.arrays_overlap(interior("nodes2"), F.col("nodes1"))
     if allow_rc:
-        apart = apart & ~F.arrays_overlap(interior("nodes1"), F.transform(interior("nodes2"), rc_node))
+        one, two = F.col("nodes1"), F.col("nodes2")
+        single = (F.size("labels1") == 1) & (F.size("labels2") == 1)  # parallel edges are one step of nodes
+        apart = apart & ~F.arrays_overlap(interior("nodes1"), F.transform(interior("nodes2"), rc_node)) & (single | ~F.arrays_overlap(_arrows(one), F.concat(_arrows(two), _arrows(reversed_nodes(two)))))
     pairs = a.join(b, ["start", "end"]).filter((F.col("key1") < F.col("key2")) & near & apart)
-    return pairs.withColumn("identity", ratio("length1", "length2")).withColumn("n_edges", F.size("labels1") + F.size("labels2")).filter(F.col("identity") >= identity)
+    pairs = pairs.withColumn("n_edges", F.size("labels1") + F.size("labels2"))
+    if edges is None:
+        return pairs.withColumn("identity", ratio("length1", "length2")).filter(F.col("identity") >= identity)
+    # sequences are fetched for the paths of pairs only
+    used = pairs.select(F.explode(F.array(F.struct(F.col("key1").alias("key"), F.col("labels1").alias("labels")), F.struct(F.col("key2").alias("key"), F.col("labels2").alias("labels")))).alias("p")).select("p.*").dropDuplicates(["key"])
+    pos = used.select("key", F.posexplode("labels").alias("at", "label")).join(edges.select("label", "sequence"), "label")
+    whole = pos.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "sequence"))).alias("s")).select("key", joined(F.col("s.sequence"), k).alias("sequence"))
+    for i in ("1", "2"):
+        pairs = pairs.join(whole.select(F.col("key").alias(f"key{i}"), F.col("sequence").alias(f"__s{i}")), f"key{i}")
+    columns = alignment.aligned("__s1", "__s2").getField("aligned_columns")
+    return pairs.withColumn("identity", columns / F.greatest(F.length("__s1"), F.length("__s2"))).drop("__s1", "__s2").filter(F.col("identity") >= identity)
 
 
 def best_pairs(pairs: DataFrame) -> DataFrame:
@@ -96,6 +122,22 @@ def two_in_two_out_inside(deg: str) -> Column:
     return F.exists(d, lambda x: enters(x) & F.exists(d, lambda y: (y["at"] >= x["at"]) & leaves(y)))
 
 
+def two_in_two_out_parts(nodes: str, deg: str) -> Column:
+    """The sub-paths from the node before each inner place i where others come in to the node after each j >= i where
+    others leave, as arrays of nodes."""
+    d = F.coalesce(F.col(deg), F.array().cast("array<struct<at:int,n_in:bigint,n_out:bigint,self_loops:bigint>>"))
+    enters = F.filter(d, lambda x: (x["n_in"] - F.when(x["self_loops"] > 0, 1).otherwise(0)) > 1)
+    leaves = F.filter(d, lambda x: (x["n_out"] > 2) | (x["n_out"] == 2) & (x["self_loops"] == 0))
+    part = lambda x: F.transform(F.filter(leaves, lambda y: y["at"] >= x["at"]), lambda y: F.slice(F.col(nodes), x["at"] + 1, y["at"] - x["at"] + 3))
+    return F.flatten(F.transform(enters, part))
+
+
+def with_parts(bulges: DataFrame, degree: DataFrame) -> DataFrame:
+    """Adds ``parts1, parts2``: the 2-in-2-out sub-paths inside either leg."""
+    out = _degrees_along(_degrees_along(bulges, "nodes1", degree), "nodes2", degree)
+    return out.withColumn("parts1", two_in_two_out_parts("nodes1", "nodes1_deg")).withColumn("parts2", two_in_two_out_parts("nodes2", "nodes2_deg")).drop("nodes1_deg", "nodes2_deg")
+
+
 def with_security(bulges: DataFrame, degree: DataFrame) -> DataFrame:
     """Adds ``mixed1, mixed2``: a 2-in-2-out inside either leg."""
     out = _degrees_along(_degrees_along(bulges, "nodes1", degree), "nodes2", degree)
@@ -121,9 +163,8 @@ def unsafe_steps(paths: DataFrame, edges: DataFrame, degree: DataFrame) -> DataF
 
 def self_reverse_halved(paths: DataFrame) -> DataFrame:
     """Adds ``usable_cov``: half of the least coverage where a path and its reverse complement share a step."""
-    arrows = lambda nodes: F.transform(F.sequence(F.lit(0), F.size(nodes) - 2), lambda i: F.concat_ws(">", F.get(nodes, i), F.get(nodes, i + 1)))
-    back = F.reverse(F.transform("nodes", rc_node))
-    return paths.withColumn("usable_cov", F.when(F.arrays_overlap(arrows(F.col("nodes")), arrows(back)), F.col("min_cov") / 2).otherwise(F.col("min_cov")))
+    nodes = F.col("nodes")
+    return paths.withColumn("usable_cov", F.when(F.arrays_overlap(_arrows(nodes), _arrows(reversed_nodes(nodes))), F.col("min_cov") / 2).otherwise(F.col("min_cov")))
 
 
 def reverse_labels(paths: DataFrame, edges: DataFrame) -> DataFrame:

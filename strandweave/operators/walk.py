@@ -18,11 +18,20 @@ def edge_orders(walks: DataFrame) -> DataFrame:
     return steps(walks).groupBy(F.col("node").alias("src"), F.col("next").alias("dst")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("walk", "pos"))), lambda x: F.concat_ws(":", x["walk"], x["pos"])), ",").alias("positions"))
 
 
-def find_path(walks: DataFrame, path: list) -> DataFrame:
-    """``walk, pos``: where the nodes of ``path`` follow one another. One window, without self-joins."""
+def find_path(walks: DataFrame, path: list, resume: bool = False) -> DataFrame:
+    """``walk, pos``: where the nodes of ``path`` follow one another. One window, without self-joins.
+
+    With ``resume`` the search goes on at the last node of a match, so matches share that node at most."""
     order = Window.partitionBy("walk").orderBy("pos")
     cols = [F.lead("node", i).over(order).alias(f"n{i}") for i in range(1, len(path))]
-    found = walks.select("walk", "pos", "node", *cols).filter(F.col("node") == path[0])
+    found = walks.select("walk", "pos", "node", *cols, F.row_number().over(order).alias("nth")).filter(F.col("node") == path[0])
     for i in range(1, len(path)):
         found = found.filter(F.col(f"n{i}") == path[i])
-    return found.select("walk", "pos")
+    if not resume:
+        return found.select("walk", "pos")
+    step = max(len(path) - 1, 1)
+    hits = found.groupBy("walk").agg(F.sort_array(F.collect_list(F.struct("nth", "pos"))).alias("hits"))
+    kind = dict(found.dtypes)["pos"]
+    zero = F.struct(F.lit(-step).alias("last"), F.array().cast(f"array<{kind}>").alias("kept"))
+    take = lambda s, x: F.when(x["nth"] >= s["last"] + step, F.struct(x["nth"].alias("last"), F.concat(s["kept"], F.array(x["pos"])).alias("kept"))).otherwise(s)
+    return hits.select("walk", F.explode(F.aggregate("hits", zero, take)["kept"]).alias("pos"))

@@ -33,6 +33,22 @@ def reads(documents: DataFrame) -> DataFrame:
     return made.select("doc_id", "kind", F.explode(F.array("s", rc_sequence("s"))).alias("s"))
 
 
+def ring_reads(documents: DataFrame, k: int = K) -> DataFrame:
+    """Reads of a ring of 64 bases for each document, on both strands: the ring twice; for even ids a copy that goes wrong
+    ten bases before its end, which makes a tip; for odd ids the two ends of a second way from base 30 to base 60 that
+    nothing joins, which makes a broken bulge."""
+    digits = lambda *salts: F.translate(F.concat(*(F.md5(F.concat("text", F.lit(x)) if x else F.col("text")) for x in salts)), "0123456789abcdef", "ACGTACGTACGTACGT")
+    s = documents.filter("text is not null").select("doc_id", digits("", "x").alias("s"), digits("y", "z").alias("y"))
+    part = lambda a, n: F.substr("s", F.lit(a), F.lit(n))
+    whole = F.concat("s", part(1, k))
+    even = F.col("doc_id") % 2 == 0
+    made = F.array_compact(F.array(
+        whole, whole, F.when(even, F.concat(part(1, 54), F.translate(part(55, 1), "ACGT", "CGTA"), part(56, 9))),
+        F.when(~even, F.concat(part(1, 30), F.substr("y", F.lit(1), F.lit(20)))), F.when(~even, F.concat(F.substr("y", F.lit(33), F.lit(21)), part(61, 4), part(1, k))),
+    ))
+    return s.select("doc_id", F.explode(made).alias("s")).select("doc_id", F.explode(F.array("s", rc_sequence("s"))).alias("s"))
+
+
 def kmer_edges(reads_: DataFrame, k: int = K) -> DataFrame:
     """``src, dst, sequence, length, multiplicity``: each (k+1)-mer is an edge, covered by its count."""
     kmers = reads_.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - k), lambda i: F.substr("s", i, F.lit(k + 1)))).alias("sequence"))

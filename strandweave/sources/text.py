@@ -8,29 +8,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.strand import rc_node, rc_sequence
 
 _EDGE = r'^\s*"([^"]+)"\s*->\s*"([^"]+)"\s*\[label="(\S+) (\S) (\d+)\(([0-9.eE+-]+)\)"'
 
 
-def fasta_records(lines: DataFrame) -> DataFrame:
-    """``header, sequence`` of ``lines(file, line_no, value)``; sequences may be wrapped."""
-    order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.filter(F.length("value") > 0).withColumn("is_header", F.startswith("value", F.lit(">")).cast("int"))
-    numbered = rows.withColumn("record", F.sum("is_header").over(order)).filter("record > 0")
-    return numbered.groupBy("file", "record").agg(F.max(F.when(F.col("is_header") == 1, F.substr("value", F.lit(2)))).alias("header"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("is_header") == 0, F.struct("line_no", "value")))), lambda x: x["value"]), "").alias("sequence")).select("header", "sequence")
+def fasta_records(chunks: DataFrame) -> DataFrame:
+    """``header, sequence`` of ``chunks(value)``: the text from one record's start to the next; sequences may be wrapped.
 
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, value``; whole files keep their order, however they are split."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
-    return whole
+    A chunk without a header line and a sequence of its own has the empty sequence; chunks of blanks are skipped."""
+    own = F.regexp_replace("value", r"^\s*>?", "")
+    line = F.regexp_extract(own, r"^[^\r\n]*", 0)
+    rows = chunks.filter(F.length(F.trim("value")) > 0).select(F.trim(line).alias("header"), F.regexp_replace(F.substr(own, F.length(line) + 1), r"\s+", "").alias("sequence"))
+    return rows.filter("header <> ''")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    return fasta_records(read_lines(spark, path))
+    """Records of files that start with one. A line that starts with ">" parts records, so large files are split among
+    tasks at records, and no file is a row."""
+    return fasta_records(spark.read.option("lineSep", "\n>").text(path))
 
 
 def genomes(records: DataFrame, least: int = 1000) -> DataFrame:

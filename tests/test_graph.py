@@ -187,12 +187,163 @@ def test_command_line(spark, tmp_path):
     export.write_graph(g.edges, str(tmp_path / "g"))
     shared_refs(g.edges).selectExpr("concat_ws('\t', query, ref, '9(0-9)', '0.99') as value").write.text(str(tmp_path / "aln"))
     files = ["--dot", str(tmp_path / "g/dot"), f"--fasta={tmp_path / 'g/fasta'}"]
-    main([*files, "-o", str(tmp_path / "out"), "-a", str(tmp_path / "aln"), "--stages", "simple_bulges"])
+    main([*files, "-o", str(tmp_path / "out"), "-a", str(tmp_path / "aln"), "--stages", "simple_bulges", "evidence_1"])
     got = text.load_graph(spark, str(tmp_path / "out/dot"), str(tmp_path / "out/fasta"))
     assert set(covs(got)) == {("P", "X"), ("-X", "-P"), ("Q", "Y"), ("-Y", "-Q")}
-    for wrong in (["--hops", "1", "2", "11"], ["--stages", "none"], ["--floor", "x"]):
+    for wrong in (["--hops", "1", "2", "3", "11"], ["--stages", "none"], ["--floor", "x"]):
         with pytest.raises(SystemExit):
             options().parse_args([*files, "-o", "x", *wrong])
+    with pytest.raises(SystemExit):
+        main(["-o", "x"])
+    main([*files, "-o", str(tmp_path / "one"), "-a", str(tmp_path / "aln"), "--stages", "simple_bulges", "evidence_1", "--snapshots", str(tmp_path / "snap")])
+    main(["--restart", str(tmp_path / "snap/01-simple_bulges"), "-o", str(tmp_path / "two"), "-a", str(tmp_path / "aln"), "--after", "complex_5", "--stages", "evidence_1"])
+    one, two = (text.load_graph(spark, str(tmp_path / f"{d}/dot"), str(tmp_path / f"{d}/fasta")) for d in ("one", "two"))
+    assert covs(one) == covs(two) == covs(got)
+    lines = sorted(r.value for r in spark.read.text(str(tmp_path / "two/path")).collect())
+    assert any("->(" in x for x in lines) and sum(x.startswith(">") for x in lines) == 2
+
+
+def rebuilt(before, after):
+    """Whether each edge's sequence is that of its way through the original edges."""
+    original = {r.label: (r.src, r.dst, r.sequence) for r in before.collect()}
+    for r in after.collect():
+        parts = [original[x] for x in r.path_edges]
+        sequence = parts[0][2] + "".join(q[K:] for _, _, q in parts[1:])
+        if sequence != r.sequence or r.path_nodes != [parts[0][0], *(v for _, v, _ in parts)] or (r.path_nodes[0], r.path_nodes[-1]) != (r.src, r.dst):
+            return False
+    return True
+
+
+# u -> n -> v with a loop at n; a loop with one way out; a loop with one way in
+LOOPS = {
+    "loop_between": ([("A", "N", 6, 4.0), ("N", "N", 5, 8.2), ("N", "B", 6, 4.0)], ("A", "B"), 6 + 2 * 5 + 6, 4.0),
+    "loop_out": ([("N", "N", 5, 9.0), ("N", "B", 6, 3.0), ("B", "C", 6, 3.0), ("B", "D", 6, 3.0), ("E", "B", 5, 2.0)], ("N", "B"), 3 * 5 + 6, 3.0),
+    "loop_in": ([("A", "N", 6, 3.0), ("N", "N", 5, 3.2), ("C", "A", 6, 3.0), ("D", "A", 6, 3.0), ("A", "E", 5, 2.0)], ("A", "N"), 6 + 5, 3.0),
+}
+
+
+@pytest.mark.parametrize("name", LOOPS)
+def test_self_loops_are_unrolled(spark, monkeypatch, name):
+    rows, ends, length, coverage_ = LOOPS[name]
+    monkeypatch.setitem(motifs.MOTIFS, name, rows)
+    g = model.Graph(model.with_lineage(graph(spark, name).edges), K)
+    out, n = simplify.fixpoint(g, simplify.unrolled)
+    got = {(r.src, r.dst): (r.length, r.multiplicity) for r in out.edges.collect()}
+    assert n == 1 and got[ends] == (length, coverage_) and not any(u == v for u, v in got)
+    mirror = tuple(motifs.rc(x) for x in reversed(ends))
+    assert got[mirror] == got[ends]
+    assert {r.check: r.n for r in model.violations(out).collect()} == dict.fromkeys(("strand symmetry", "length", "palindrome", "label", "lineage"), 0)
+    assert rebuilt(g.edges, out.edges)
+    assert simplify.unrolled(graph(spark, "loop_only"))[1] == 0
+
+
+@pytest.mark.parametrize("name", ["complex_both", "whirl_safe", "strands", "simple_bulge", "site_edge"])
+def test_edges_keep_their_way_through_the_original_graph(spark, name):
+    g = graph(spark, name)
+    plan = simplify.stages(floor=0.0, least=(0.0, 0.0), hops=(2, 3, 3, 4), aligned=shared_refs)
+    some = [s for s in plan if s.name in ("simple_bulges", "whirls", "complex_3.1", "evidence_1", "strands")]
+    out = simplify.simplify(g, some)
+    assert rebuilt(g.edges, out.edges) and {r.n for r in model.violations(out).collect()} == {0}
+    lines = [r.value for r in export.path_lines(out.edges).collect()]
+    assert len(lines) == out.edges.filter("label <= rc_label").count() and all(x.count("->(") >= 1 for x in lines)
+
+
+def test_whole_plan_on_a_small_graph(spark):
+    g = graph(spark, "complex_both")
+    seen = []
+    out = simplify.simplify(g, simplify.stages(floor=0.0, least=(0.0, 0.0), hops=(2, 3, 3, 4)), lambda name, _, n: seen.append(name))
+    assert len(seen) == len(set(seen)) == 27 and rebuilt(g.edges, out.edges)
+
+
+def test_tips_fold_into_the_longest(spark, monkeypatch):
+    monkeypatch.setitem(motifs.MOTIFS, "two_tips", [("X", "A", 9, 5.0), ("Y", "A", 9, 5.0), ("A", "S", 30, 4.0), ("A", "T", 29, 2.0)])
+    g = graph(spark, "two_tips")
+    pairs = tips.similarities(tips.tip_groups(g.edges).select("src", F.col("keep").alias("edge"), "tip", "keep_length", "tip_length"), g.edges, K)
+    assert {(r.src, r.keep_length, r.tip_length): r.similarity >= 0.8 for r in pairs.collect()} == {("A", 30, 29): True, ("-A", 9, 9): False}
+    out, n = simplify.tips_into_tips(g)
+    assert n == 1 and covs(out.edges)["A", "S"] == covs(out.edges)["-S", "-A"] == 6.0 and ("A", "T") not in covs(out.edges)
+
+
+def test_palindromic_bulges_split(spark, monkeypatch):
+    monkeypatch.setitem(motifs.MOTIFS, "palindrome", [("A", "B", 5, 3.0), ("B", "-A", 6, 3.0), ("A", "C", 5, 2.0), ("C", "-A", 7, 2.0), ("X", "A", 9, 9.0), ("B", "Z", 5, 1.0), ("C", "W", 5, 1.0)])
+    g = graph(spark, "palindrome")
+    out, n = simplify.palindromic_split(g, 2)
+    found = out.edges.filter("src = 'A' and dst = '-A'").collect()
+    assert n == 1 and len(found) >= 2 and {r.length for r in found} == {11, 12}
+
+
+def test_aligned_identity_and_steps_of_the_other_strand(spark):
+    e = graph(spark, "complex_both").edges
+    found = paths.khop(e, 3)
+    by_length = paths.bulge_pairs(found, 0.5).filter("start = 'A' and end = 'D'").first()
+    by_columns = paths.bulge_pairs(found, 0.5, edges=e, k=K).filter("start = 'A' and end = 'D'").first()
+    assert by_length.identity == 1.0 and 0.5 <= by_columns.identity <= 1.0
+    rows = [("s", "t", ["s", "a", "-t", "t"], ["1", "2", "3"]), ("s", "t", ["s", "b", "c", "t"], ["4", "5", "6"]), ("s", "t", ["s", "-c", "-b", "t"], ["7", "8", "9"])]
+    p = spark.createDataFrame([(*r, 9, 1.0, 1.0) for r in rows], "start string, end string, nodes array<string>, labels array<string>, length bigint, weight double, min_cov double")
+    pairs = {(r.key1, r.key2) for r in paths.bulge_pairs(p, 0.5, True).collect()}
+    assert pairs == {("1,2,3", "4,5,6"), ("1,2,3", "7,8,9")}  # b -> c and -c -> -b are one step
+
+
+def test_parts_with_two_ways_in_and_out(spark):
+    bulges = spark.createDataFrame([("s", "t", "k1", "k2", ["s", "a", "b", "c", "t"], ["s", "t"])], "start string, end string, key1 string, key2 string, nodes1 array<string>, nodes2 array<string>")
+    deg = spark.createDataFrame([("a", 2, 1, 0), ("b", 1, 2, 0), ("c", 1, 2, 0)], "id string, n_in bigint, n_out bigint, self_loops bigint")
+    r = paths.with_parts(bulges, deg).first()
+    assert r.parts1 == [["s", "a", "b", "c"], ["s", "a", "b", "c", "t"]] and r.parts2 == []
+
+
+def test_search_goes_on_at_the_last_node_of_a_match(spark):
+    w = spark.createDataFrame([(1, i, n) for i, n in enumerate("aaaaa")] + [(2, i, n) for i, n in enumerate("abaab")], "walk int, pos int, node string")
+    pick = lambda path, resume: sorted((r.walk, r.pos) for r in walk.find_path(w, path, resume).collect())
+    assert pick(["a", "a", "a"], False) == [(1, 0), (1, 1), (1, 2)] and pick(["a", "a", "a"], True) == [(1, 0), (1, 2)]
+    assert pick(["a", "b"], True) == [(2, 0), (2, 3)] and pick(["a"], True) == pick(["a"], False)
+
+
+def test_holders_across_pieces_and_repeats(spark):
+    import random
+
+    rng = random.Random(8)
+    made = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    genome = made(700)
+    genomes = [("one", genome), ("two", "ACG" * 100), ("three", made(300) + genome[100:160])]
+    edges = [(f"e{k}", genome[a : a + n]) for k, (a, n) in enumerate([(0, 700), (10, 24), (45, 200), (600, 100), (3, 25), (300, 7), (110, 47)])]
+    edges += [("rc", motifs.rc_sequence(genome[200:330])), ("no", genome[200:330] + "A" + genome[330:390]), ("repeat", "ACG" * 30), ("gap", "ACG" * 15 + "T" + "ACG" * 15), ("all", "GT")]
+    e, g = spark.createDataFrame(edges, "label string, sequence string"), spark.createDataFrame(genomes, "name string, sequence string")
+    want = {(label, name) for label, q in edges for name, t in genomes if q in t or motifs.rc_sequence(q) in t}
+    for piece in (40, 1 << 16):
+        assert {(r.label, r.genome) for r in contract.holders(e, g, piece=piece).collect()} == want
+
+
+def test_fasta_files_are_read_by_records(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">one x\nACG\nTT\n\n>two\r\nGG\r\nCC\r\n>three\n")
+    (tmp_path / "b.fa").write_text("\n>four\nA\n>five\nC>C\n")
+    got = {(r.header, r.sequence) for r in text.read_fasta(spark, str(tmp_path)).collect()}
+    assert got == {("one x", "ACGTT"), ("two", "GGCC"), ("three", ""), ("four", "A"), ("five", "C>C")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        rows = [(f"r{k}", "ACGT" * (k % 9)) for k in range(200)]
+        (tmp_path / "c.txt").write_text("".join(f">{h}\n{q}\n" for h, q in rows))
+        assert sorted((r.header, r.sequence) for r in text.read_fasta(spark, str(tmp_path / "c.txt")).collect()) == sorted(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_colours(spark):
+    refs = spark.createDataFrame([("1A",), ("-22P",), ("26B",), ("24M",), ("Y",), ("--X",), (None,)], "ref string")
+    assert [r.c for r in refs.select(contract.colour("ref").alias("c")).collect()] == ["#325527", "#5AB499", "#969696", "", "#969696", "", ""]
+    assert len(contract.COLOURS) == 26 * 2 + 23 * 2 + 2
+    own = spark.createDataFrame([("1A", "red"), ("1A", "red")], "name string, colour string")
+    assert sorted(r.colour for r in contract.coloured_by(refs, own).collect()) == [""] * 6 + ["red"]
+
+
+def test_tables_made_once_follow_their_files(spark, tmp_path):
+    from strandweave.plans import tables
+
+    path = str(tmp_path / "t")
+    read = lambda: tables.once(spark, ("test", path), lambda: spark.read.parquet(path), path).count()
+    spark.range(3).write.parquet(path)
+    assert read() == read() == 3
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert read() == 5
 
 
 def test_malformed_lines_are_skipped(spark):
