@@ -36,26 +36,37 @@ from .hashing import K, mix, word_hashes
 
 ORDER, ALPHA, LEAST = 3, 0.4, 2
 #: Characters of a batch's texts.
-BATCH_CHARS = 16 << 20
+BATCH_CHARS = 12 << 20
 #: N-grams that a part counts, about, and the least number of parts.
 PART_GRAMS, PARTS = 2 << 20, 16
 
 
-def ngrams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sizes, hashes): words of each text; for each order a row of hashes, one for each word
+def ngrams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(sizes, hashes): words of each text; for each order an array of hashes, one for each word
     of all texts: the n-gram that ends there, 0 where the text has too few words before it."""
     words = [word_hashes(t) for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
-    nth = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    del words
+    starts = np.cumsum(sizes) - sizes
     rows = [mix(flat + np.uint64(1)) | np.uint64(1)]
     for k in range(1, order):
         longer = np.zeros(len(flat), np.uint64)
         # the n-gram one word shorter that ends a word earlier, and this word
         longer[1:] = mix((rows[-1][:-1] * K) ^ flat[1:] + np.uint64(k)) | np.uint64(1)
-        longer[nth < k] = 0
+        for at in range(k):
+            longer[starts[sizes > at] + at] = 0
         rows.append(longer)
-    return sizes, np.array(rows)
+    return sizes, rows
+
+
+def distinct_grams(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of all orders, sorted, and how often each is there. One sort in place: a batch's memory counts."""
+    h = np.concatenate(rows)
+    h.sort()
+    h = h[np.searchsorted(h, 1) :]
+    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[new], np.diff(np.append(new, len(h)))
 
 
 def score(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, batch_chars: int = BATCH_CHARS, part_grams: int = PART_GRAMS) -> DataFrame:
@@ -69,8 +80,7 @@ def score(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, least:
 
     def distinct(rows):
         for key, held in text_batches(rows, batch_chars):
-            _, h = ngrams([t for _, t in held], order)
-            found, counts = np.unique(h[h != 0], return_counts=True)
+            found, counts = distinct_grams(ngrams([t for _, t in held], order)[1])
             cut = hash_slices(found, parts)
             used = np.flatnonzero(np.diff(cut)).tolist()
             for at in range(0, len(used), 16):
@@ -100,16 +110,16 @@ def score(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, least:
             for key, ids, texts, answers_ in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 texts = unpack_texts(texts, len(ids))
                 sizes, h = ngrams(texts, order)
-                found, own = np.unique(h[h != 0], return_inverse=True)
-                sums = np.concatenate([unpack_counts(a["sums"], a["n"]) for a in answers_ or []] or [np.zeros(0, np.int64)]).astype(np.float64)
+                found, _ = distinct_grams(h)
+                sums = np.concatenate([unpack_counts(a["sums"], a["n"]) for a in answers_ or []] or [np.zeros(0, np.int64)])
                 if len(sums) != len(found):
                     raise RuntimeError(f"batch {key} was cut in another way than its counts; the input isn't stable")
-                c = np.zeros(h.shape)
-                c[h != 0] = sums[own]
+                c = [np.where(x != 0, sums[np.searchsorted(found, np.maximum(x, found[0]))], 0) if len(found) else x for x in h]
                 yield _finish(batch.column(1).type.value_type, ids, sizes, h, c)
 
     def _finish(id_type, ids, sizes, h, c):
-        logs, done, tried = np.zeros(h.shape[1]), np.zeros(h.shape[1], bool), np.zeros(h.shape[1], np.int64)
+        n = len(h[0])
+        logs, done, tried = np.zeros(n), np.zeros(n, bool), np.zeros(n, np.int64)
         for k in range(order - 1, 0, -1):
             there = (h[k] != 0) & ~done
             hit = there & (c[k] >= least)
