@@ -15,8 +15,9 @@ inverted index with two kinds of skipping:
   many tasks. Lists of one set are dropped.
 * Answer skipping. A set that is highly similar to another derives its answers
   from that set's computed ones. Each list first compares its sets with the
-  list's first set only; sets that turn out to be linked share their
-  component, and lists within one component are done. For what remains, the
+  list's leader only, the set of most common tokens; sets that turn out to be linked share their
+  component, and lists within one component are done; a few more times, the
+  list's leader outside of the first one's component. For what remains, the
   overlap of y and z follows incrementally from the computed overlap of their
   leaders x and w: it is at most |x & w| + |y - x| + |z - w| and at least
   |x & w| - |x - y| - |w - z|. Where either bound decides, the answer is taken
@@ -59,6 +60,8 @@ BATCH_CHARS = 8 << 20
 PART_TOKENS, PARTITIONS = 2 << 20, 16
 #: Entries of a block's chunk: no more than its square are compared under one key.
 CHUNK = 256
+#: Times that lists of several components compare their sets with one more leader, before what remains meets in pairs.
+ROUNDS = 2
 #: Documents up to which their ids are broadcast to pick their texts; they are joined by a shuffle beyond.
 BROADCAST_IDS = 400_000
 
@@ -95,7 +98,8 @@ def sets_of(documents: DataFrame, kind: str, n: int = WORDS) -> DataFrame:
 
 
 def postings(documents: DataFrame, tokens: int, share: int = SHARE, n: int = WORDS, batch_chars: int = BATCH_CHARS, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """``tok, id, n, pos, reach``: of each distinct set of a batch, the prefix tokens that other documents have too.
+    """``tok, id, n, pos, reach, held``: of each distinct set of a batch, the prefix tokens that other documents have too;
+    ``held`` is how many those are. A set that others are copies of has most, as it has no token of its own.
 
     Tokens are counted as packed relations: a batch of documents sends each
     hash partition its distinct tokens there; the partition adds them up over
@@ -149,26 +153,26 @@ def postings(documents: DataFrame, tokens: int, share: int = SHARE, n: int = WOR
                 levels = np.frombuffer(b"".join(zlib.decompress(a["levels"]) for a in answers_ or []), np.uint8)
                 if len(levels) != len(found):
                     raise RuntimeError(f"batch {key} was cut in another way than its counts; the input isn't stable")
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 for mark, s, level in zip(marks, sets, np.split(levels[own], np.cumsum([len(s) for s in sets])[:-1])):
                     first = np.argsort(level, kind="stable")[: prefix_length(len(s), share)]
                     pos = np.flatnonzero(level[first])
                     if len(pos):
-                        for column, v in zip(out, (s[first[pos]].view(np.int64), [mark] * len(pos), np.full(len(pos), len(s)), pos)):
+                        for column, v in zip(out, (s[first[pos]].view(np.int64), [mark] * len(pos), np.full(len(pos), len(s)), pos, np.full(len(pos), len(pos)))):
                             column.append(v)
                 if out[0]:
-                    tok, size, pos = (np.concatenate(out[c]) for c in (0, 2, 3))
+                    tok, size, pos, own_ = (np.concatenate(out[c]) for c in (0, 2, 3, 4))
                     ids = [m for x in out[1] for m in x]
                     for at in range(0, len(tok), 1 << 16):
                         to = at + (1 << 16)
-                        numbers = (size[at:to], pos[at:to], reach(size[at:to], pos[at:to], share))
-                        yield pa.RecordBatch.from_arrays([pa.array(tok[at:to]), pa.array(ids[at:to], pa.binary()), *(pa.array(c.astype(np.int32)) for c in numbers)], ["tok", "id", "n", "pos", "reach"])
+                        numbers = (size[at:to], pos[at:to], reach(size[at:to], pos[at:to], share), own_[at:to])
+                        yield pa.RecordBatch.from_arrays([pa.array(tok[at:to]), pa.array(ids[at:to], pa.binary()), *(pa.array(c.astype(np.int32)) for c in numbers)], ["tok", "id", "n", "pos", "reach", "held"])
 
     asked = docs.mapInArrow(ask, "batch string, part int, tokens binary, counts binary")
     answers = asked.repartition(parts, "part").groupBy("part").applyInArrow(answer, "batch string, part int, levels binary")
     lists = answers.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("part", "levels"))).alias("answers"))
     met = docs.mapInArrow(packed, "batch string, n long, texts binary").join(lists, "batch", "left")
-    return met.select("batch", "n", "texts", "answers").mapInArrow(place, "tok long, id binary, n int, pos int, reach int")
+    return met.select("batch", "n", "texts", "answers").mapInArrow(place, "tok long, id binary, n int, pos int, reach int, held int")
 
 
 def overlaps(documents: DataFrame, table: DataFrame, pairs: DataFrame, kind: str, n: int = WORDS) -> DataFrame:
@@ -245,21 +249,33 @@ def similarity_links(documents: DataFrame, table: DataFrame, kind: str, share: i
     drop_table(every)
     fits = lambda x, y: (x("n") <= y("reach")) & (y("n") <= x("reach"))
 
-    # answers of each list's first set in each block of sizes, and of it with the first of the next block
-    first = lists.groupBy("tok", "block").agg(F.min(F.struct("id", "n", "reach")).alias("x"))
+    # answers of each list's leader in each block of sizes, and of it with the leader of the next block
+    lead = F.max_by(F.struct("id", "n", "reach"), F.struct("held", "id"))
+    first = lists.groupBy("tok", "block").agg(lead.alias("x"))
     own = lists.join(first, ["tok", "block"]).filter(F.col("x.id") != F.col("id")).filter(fits(lambda c: F.col(f"x.{c}"), F.col)).select(F.col("x.id").alias("a"), F.col("id").alias("b"))
     second = first.select("tok", (F.col("block") - 1).alias("block"), F.col("x").alias("y"))
     across = first.join(second, ["tok", "block"]).filter(F.col("x.id") != F.col("y.id")).filter(fits(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     stars = saved(own.union(across).distinct(), "stars")
     known = saved(overlaps(documents, table, stars, kind, n), "overlaps")
-    links = known.filter(_linked(share)).select("a", "b")
-    comps = components(links)
 
-    # lists that still hold more than one component
-    placed = lists.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
-    rest = saved(placed.join(mixed, "tok", "left_semi"), "mixed")
-    done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # lists that still hold more than one component: the leader of those outside of the first one's, a few times
+    for left in range(ROUNDS, -1, -1):
+        links = known.filter(_linked(share)).select("a", "b")
+        comps = components(links)
+        placed = lists.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        mixed = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
+        rest = saved(placed.join(mixed, "tok", "left_semi"), "mixed")
+        done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if not left:
+            break
+        top = rest.groupBy("tok").agg(F.max_by("comp", F.struct("held", "id")).alias("top"))
+        other = rest.join(top, "tok").filter("comp <> top").groupBy("tok").agg(F.max_by(F.struct("id", "n", "reach", "comp"), F.struct("held", "id")).alias("x"))
+        more = rest.join(other, "tok").filter((F.col("x.comp") != F.col("comp")) & fits(lambda c: F.col(f"x.{c}"), F.col)).select(F.col("x.id").alias("a"), F.col("id").alias("b")).distinct()
+        new = more.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(done.toDF("lo", "hi"), ["lo", "hi"], "left_anti").dropDuplicates(["lo", "hi"])
+        new = saved(new.select("a", "b"), "stars")
+        if new.isEmpty():
+            break
+        known = saved(known.unionByName(overlaps(documents, table, new, kind, n)), "overlaps")
     pairs = saved(meetings(rest, share).join(done, ["a", "b"], "left_anti"), "pairs")
     if pairs.isEmpty():
         return links
