@@ -55,9 +55,9 @@ WORDS = 4
 #: Least similarity, in hundredths.
 SHARE = 85
 #: Characters of a batch's texts.
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 6 << 20
 #: Tokens that a hash partition counts, about, and the least number of partitions.
-PART_TOKENS, PARTITIONS = 2 << 20, 16
+PART_TOKENS, PARTITIONS = 1 << 20, 16
 #: Entries of a block's chunk: no more than its square are compared under one key.
 CHUNK = 256
 #: Times that lists of several components compare their sets with one more leader, before what remains meets in pairs.
@@ -132,11 +132,14 @@ def postings(documents: DataFrame, tokens: int, share: int = SHARE, n: int = WOR
 
     def answer(table: pa.Table) -> pa.Table:
         asked = [unpack_hashes(x.as_py()) for x in table.column("tokens")]
+        sizes = [len(a) for a in asked]
         all_, own = np.unique(np.concatenate(asked), return_inverse=True)
-        counts = np.concatenate([unpack_counts(x.as_py(), len(a)) for x, a in zip(table.column("counts"), asked)])
+        del asked
+        counts = np.concatenate([unpack_counts(x.as_py(), n) for x, n in zip(table.column("counts"), sizes)])
         sums = np.bincount(own, counts, len(all_))
+        del counts, all_
         level = np.ceil(4 * np.log2(sums)).astype(np.uint8)  # 0 for a token of one document only
-        each = np.split(level[own], np.cumsum([len(a) for a in asked])[:-1])
+        each = np.split(level[own], np.cumsum(sizes)[:-1])
         return pa.table({"batch": table.column("batch"), "part": table.column("part"), "levels": pa.array([zlib.compress(e.tobytes(), 1) for e in each], pa.binary())})
 
     def packed(rows):
@@ -150,6 +153,7 @@ def postings(documents: DataFrame, tokens: int, share: int = SHARE, n: int = WOR
                 if not sets:
                     continue
                 found, own = np.unique(np.concatenate(sets), return_inverse=True)
+                own = own.astype(np.int32)
                 levels = np.frombuffer(b"".join(zlib.decompress(a["levels"]) for a in answers_ or []), np.uint8)
                 if len(levels) != len(found):
                     raise RuntimeError(f"batch {key} was cut in another way than its counts; the input isn't stable")
