@@ -69,6 +69,15 @@ def distinct_grams(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.diff(np.append(new, len(h)))
 
 
+def _looked_up(found: np.ndarray, sums: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The sums of n-grams, 0 for none: looked up in the order of their hashes, which memory likes."""
+    out = np.zeros(len(grams), np.int64)
+    order = np.argsort(grams)
+    order = order[np.searchsorted(grams, 1, sorter=order) :]
+    out[order] = sums[np.searchsorted(found, grams[order])]
+    return out
+
+
 def score(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, batch_chars: int = BATCH_CHARS, part_grams: int = PART_GRAMS) -> DataFrame:
     """``doc_id, n_words, n_backed_off, log_score``: words, words scored by a shorter context than was there, and the mean log score."""
     spark = documents.sparkSession
@@ -114,7 +123,7 @@ def score(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, least:
                 sums = np.concatenate([unpack_counts(a["sums"], a["n"]) for a in answers_ or []] or [np.zeros(0, np.int64)])
                 if len(sums) != len(found):
                     raise RuntimeError(f"batch {key} was cut in another way than its counts; the input isn't stable")
-                c = [np.where(x != 0, sums[np.searchsorted(found, np.maximum(x, found[0]))], 0) if len(found) else x for x in h]
+                c = [_looked_up(found, sums, x) for x in h]
                 yield _finish(batch.column(1).type.value_type, ids, sizes, h, c)
 
     def _finish(id_type, ids, sizes, h, c):
