@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from strandweave.llm import decontaminate, ngram_join, packing, pii, quality
 from strandweave.llm.common import saved
 
-#: Documents score at least this to stay.
-QUALITY_THRESHOLD = 0.5
+#: Documents score at least this to stay: the classifier's own decision.
+QUALITY_THRESHOLD = quality.THRESHOLD
 #: Near copies share this many parts in 100 of their shingles of so many words. (``op6_ngram_join`` has settings of its own.)
 NEAR_SHARE, NEAR_WORDS = 80, 5
 
