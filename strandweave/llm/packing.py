@@ -261,7 +261,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, window: int = WINDO
     spark = documents.sparkSession
     if shares and (min(shares.values()) < 0 or sum(shares.values()) > 1 + 1e-9):
         raise ValueError("target proportions are from 0 to 1 and at most 1 together")
-    tokens = saved(tokenised(documents, tokenizer, max_queues, tuple(shares or ())), "tokens")
+    tokens = saved(tokenised(documents, tokenizer, max_queues, tuple(shares or ())), "tokens", "snappy")  # packed ids: cheap to write counts more than small
     parts = tokens.groupBy("part", "queue").agg(F.max(F.col("start") + F.col("n")).alias("tokens"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = saved(parts.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).drop("tokens"), "offsets")
