@@ -36,6 +36,7 @@ holds: proportions are then kept for these groups of sources.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -192,6 +193,13 @@ def _plan(totals: tuple[int, ...], segment: int, segments: int, window: int) ->
     return schedule(list(totals), segment, segments, window)
 
 
+@lru_cache(maxsize=256)
+def _column(totals: tuple[int, ...], segment: int, segments: int, window: int, q: int) -> tuple[list[int], list[int]]:
+    """Of each sequence of a segment: the queue's tokens up to its end, and how many tokens in it come from queues before."""
+    _, ends = _plan(totals, segment, segments, window)
+    return ends[:, q].tolist(), np.diff(ends[:, :q].sum(axis=1), prepend=0).tolist()
+
+
 def _kind_of(path: str | None) -> str:
     from tokenizers import Tokenizer
 
@@ -300,15 +308,13 @@ def pack(documents: DataFrame, tokenizer: str | None = None, window: int = WINDO
         while at < stop:
             base, edge = t * p // segments, t * (p + 1) // segments
             if edge > at:
-                _, ends = _plan(totals, p, segments, window)
-                column = ends[:, q]
-                w = int(np.searchsorted(column, at - base, side="right"))
+                column, others = _column(totals, p, segments, window, q)
+                w = bisect_right(column, at - base)
                 while at < min(stop, edge):
-                    past = int(column[w - 1]) if w else 0
-                    to = min(stop, base + int(column[w]))
+                    past = column[w - 1] if w else 0
+                    to = min(stop, base + column[w])
                     if to > at:
-                        others = int(ends[w, :q].sum() - (ends[w - 1, :q].sum() if w else 0))
-                        yield at, to, (p << 20) + w, others + at - base - past
+                        yield at, to, (p << 20) + w, others[w] + at - base - past
                         at = to
                     w += 1
             p += 1
