@@ -474,7 +474,7 @@ def evidence_greedy_matching(spark, sf_dir):
     return decouple.greedy_matching(_matrix(spark, sf_dir)).select("id", "in_label", "out_label", F.round("coverage", 6).alias("coverage"))
 
 
-@query(rec(f"{UNITIGS}, {deg('d', 'ug')}, hd AS (SELECT id FROM d WHERE n_in = 2 AND n_out = 1 AND self_loops = 0), stp AS MATERIALIZED (SELECT DISTINCT src, dst, n_out, self_loops FROM ug JOIN d ON d.id = dst WHERE n_in = 1), wk AS (SELECT id AS head, id AS here, 0 AS n, false AS done FROM hd UNION ALL SELECT w.head, s.dst, w.n + 1, s.n_out = 2 FROM wk w JOIN stp s ON s.src = w.here WHERE NOT w.done AND w.n < 12 AND (s.n_out = 2 AND s.self_loops = 0 OR s.n_out = 1 AND s.dst <> w.head))", "SELECT head, here AS tail FROM wk WHERE done"))
+@query(rec(f"{UNITIGS}, {deg('d', 'ug')}, hd AS (SELECT id FROM d WHERE n_in = 2 AND n_out = 1 AND self_loops = 0), stp AS MATERIALIZED (SELECT DISTINCT src, dst, n_out, self_loops FROM ug JOIN d ON d.id = dst WHERE n_in = 1), wk AS (SELECT id AS head, id AS here, false AS done FROM hd UNION ALL SELECT w.head, s.dst, s.n_out = 2 FROM wk w JOIN stp s ON s.src = w.here WHERE NOT w.done AND (s.n_out = 2 AND s.self_loops = 0 OR s.n_out = 1 AND s.dst <> w.head))", "SELECT head, here AS tail FROM wk WHERE done"))
 def unary_chain_2x2(spark, sf_dir):
     return decouple.unary_chains(unitigs_of(spark, sf_dir)).select("head", "tail")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -395,3 +397,23 @@ def test_long_whirls_and_chains(spark, monkeypatch):
     out, n = simplify.fixpoint(g, simplify.strands)
     assert n and {("P", "R"), ("Q", "-P")} <= {(r.src, r.dst) for r in out.edges.collect()}
     assert {r.length for r in out.edges.filter("src = 'P' and dst = 'R'").collect()} == {16 * 6}
+
+
+@pytest.mark.parametrize("seed", [0, 3, 5])
+def test_whirls_of_random_successors(spark, seed):
+    rng = random.Random(seed)
+    nodes = [str(i) for i in range(60)]
+    rows = [(n, rng.choice(nodes), 1, float(rng.randint(1, 9))) for n in nodes for _ in range(rng.choice((0, 1, 1, 1, 1, 1, 1, 2)))]
+    rows = [(*r, f"e{i}") for i, r in enumerate(rows)]
+    leave = {n: [r for r in rows if r[0] == n] for n in nodes}
+    want = set()
+    for r in rows:
+        way = [r]
+        while r[0] != r[1] and len(way) <= len(nodes) and way[-1][1] != r[0] and len(leave[way[-1][1]]) == 1 and leave[way[-1][1]][0][1] != way[-1][1]:
+            way.append(leave[way[-1][1]][0])
+        if r[0] != r[1] and way[-1][1] == r[0]:
+            want.add((r[0], tuple(x[4] for x in way), len(way), min(x[3] for x in way)))
+    e = spark.createDataFrame(rows, "src string, dst string, length bigint, multiplicity double, label string")
+    got = {(r.start, tuple(r.labels), r.length, r.min_cov) for r in whirl.cycles(e).collect()}
+    assert got == want and (want or seed == 3)
+    assert {(r.start, tuple(r.labels)) for r in whirl.cycles(e, 3).collect()} == {w[:2] for w in want if w[2] <= 3}
