@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language_id, licenses, lm_score, ngram_join, packing, pii, quality, topk
+from . import decontaminate, divergence, html_text, language_id, licenses, lm_score, mixing, ngram_join, packing, periodic_runs, pii, quality, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,20 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_pii, op3_language, op4_packing, op5_decontaminate, op6_ngram_join, op7_quality, op8_licenses, op9_lm_score, op10_html)}
+    return {f.__name__: f for f in (op1_topk, op2_pii, op3_language, op4_packing, op5_decontaminate, op6_ngram_join, op7_quality, op8_licenses, op9_lm_score, op10_html, op11_divergence, op12_mixing, op13_periodic_runs)}
 
 
 _TOPK = """WITH v AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
@@ -86,6 +98,6 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN
 
 
 def oracle_sql() -> dict[str, str]:
-    """PII, language, packing, quality and HTML have models, tokenizers or parsers, and are tested against brute force
-    instead. The join's SQL compares every two documents that share a shingle: 5 s for 1,000 documents."""
-    return {"op1_topk": _TOPK, "op5_decontaminate": _LEAKS, "op6_ngram_join": _WORD_SETS, "op8_licenses": licenses.oracle(), "op9_lm_score": lm_score.oracle()}
+    """PII, language, packing, quality and HTML have models, tokenizers or parsers, mixing draws by a hash that SQL lacks,
+    and runs are sought word by word: they are tested against brute force instead. The join's SQL compares every two documents that share a shingle: 5 s for 1,000 documents."""
+    return {"op1_topk": _TOPK, "op5_decontaminate": _LEAKS, "op6_ngram_join": _WORD_SETS, "op8_licenses": licenses.oracle(), "op9_lm_score": lm_score.oracle(), "op11_divergence": divergence.oracle()}
