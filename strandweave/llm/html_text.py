@@ -17,10 +17,8 @@ from distinct pages make repeated substrings of a host. They decide:
   stay.
 * A block in doubt, marked or not, goes if repeats cover most of it, or if
   another page of the host has the same block.
-* In a marked article, a passage that two pages share is content (quotations,
-  copies); only runs on over half of the host's distinct pages, ``MOST_PAGES``
-  or more, are notices and go. An article that those cover to ``COVERED`` is a
-  copy and stays whole.
+* In a marked article, a passage that pages share is content, on however many
+  of them it is: nothing is cut.
 
 No page is moved and no host is a key: a task's array sees the pages that the
 task holds, ``CHUNK_CHARS`` at a time, and the arrays exchange hashes of what
@@ -41,6 +39,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -61,10 +60,8 @@ GRAM = 6
 BROADCAST_HASHES = 1 << 22
 #: Characters of text for one part that fingerprints are dealt into, and the least number of parts.
 PART_CHARS, PARTS = 64 << 20, 16
-#: Share of a block's words from which shorter repeats in it are cut too; share of an article's words that makes it a copy.
+#: Share of a block's words from which shorter repeats in it are cut too.
 COVERED = 0.8
-#: Distinct pages that a run inside marked articles is at least on if it goes.
-MOST_PAGES = 5
 #: Bits of a block's kind: inside a marked article; in doubt.
 INSIDE, DOUBT = 1, 2
 
@@ -75,10 +72,14 @@ _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe"
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "object", "audio", "video", "canvas"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br"}
-#: Names of what isn't the article; those of the first line say so beside any other class, the others only among their like.
-_SURE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "comment", "comments", "disqus", "cookie", "cookies", "consent", "popup", "modal", "pagination"}
-_NAMES = _SURE | {"sponsor", "sponsored", "promo", "banner", "footer", "notice", "notices", "newsletter", "subscribe", "share", "sharing", "social", "related", "masthead", "skip", "toolbar", "pager"}
-_PLAIN = {"", "a", "area", "article", "articles", "bar", "block", "bottom", "box", "button", "buttons", "col", "container", "content", "desktop", "div", "google", "grid", "group", "head", "header", "icons", "id", "inner", "item", "items", "js", "label", "left", "link", "links", "list", "main", "message", "mobile", "module", "outer", "page", "panel", "post", "reader", "readers", "right", "row", "section", "site", "slot", "small", "sticky", "to", "top", "unit", "user", "users", "widget", "wrap", "wrapper"}
+#: Names of what isn't the article. Those of the first set say so in a compound with any other word ("comment-body") but those of ``_STATES``; the others only among their like.
+_SURE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "comment", "comments", "disqus", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "pagination", "topbar", "newsletter", "signup"}
+_NAMES = _SURE | {"sponsor", "sponsored", "promo", "banner", "footer", "notice", "notices", "subscribe", "share", "sharing", "social", "related", "masthead", "skip", "toolbar", "pager", "disclaimer", "legal", "copyright", "responses", "leaderboard"}
+_PLAIN = {"", "a", "area", "article", "articles", "bar", "block", "bottom", "box", "button", "buttons", "col", "container", "content", "desktop", "div", "google", "grid", "group", "head", "header", "icons", "id", "inner", "item", "items", "js", "label", "left", "link", "links", "list", "main", "message", "mobile", "module", "outer", "page", "panel", "post", "posts", "reader", "readers", "right", "row", "section", "site", "slot", "small", "sticky", "stories", "text", "this", "to", "top", "unit", "up", "user", "users", "widget", "wrap", "wrapper"}
+#: Words of compounds that tell how a page is laid out, and not what an element is ("has-sidebar", "no-comments").
+_STATES = {"has", "no", "non", "not", "with", "without", "hide", "hides", "hidden", "show", "shows", "open", "closed", "enabled", "disabled", "layout", "page", "body", "is", "on", "off", "free", "two", "one", "full", "width"}
+#: Words of the header of an article, not of a page.
+_OF_ARTICLE = {"article", "entry", "post", "story", "content", "title", "section", "news", "recipe", "paper", "chapter"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 
 
@@ -87,14 +88,17 @@ _ENDS = {name: re.compile(f"</{name}(?![A-Za-z0-9])", re.I | re.A) for name in _
 _LAX = {"svg", "math", "noscript", "template"}
 
 
-def _by_names(value: str) -> int:
+def _by_names(value: str, in_article: bool) -> int:
     """What a class or id says: 2 not the article, 1 doubt, 0 nothing."""
     names = [set(re.split(r"[^a-z]+", name)) for name in value.split()]
+    if not in_article and any("header" in name and name <= _PLAIN and not name & _OF_ARTICLE for name in names):
+        return 2
     hits = [name for name in names if name & _NAMES]
     if not hits:
         return 0
     pure = [name for name in hits if name <= _NAMES | _PLAIN]
-    if any(name & _SURE for name in pure) or pure and all(name <= _NAMES | _PLAIN for name in names):
+    sure = any(name & _SURE and (name <= _NAMES | _PLAIN or not name & (_STATES - {"body"} if name & {"comment", "comments"} else _STATES)) for name in hits)
+    if sure or pure and all(name <= _NAMES | _PLAIN for name in names):
         return 2
     return 1
 
@@ -109,7 +113,9 @@ def _boilerplate(name: str, attributes: str, in_article: bool) -> int:
         if key == "hidden" or key == "role" and value in _ROLES or key == "aria-hidden" and value == "true":
             return 2
         if key in ("class", "id") and name not in ("html", "body", "main"):
-            worst = max(worst, _by_names(value))
+            says = _by_names(value, in_article)
+            # an article goes by its class only if it is a comment or an advert
+            worst = max(worst, says if name != "article" or says == 2 and set(re.split(r"[^a-z]+", value)) & _SURE else 0)
     return worst
 
 
@@ -121,6 +127,9 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     open_: list[tuple[str, int]] = []  # elements that matter: (name, what they say)
     hidden = doubts = articles = at = 0
     last_close = text.rfind(">")
+    endless: set[str] = set()  # names of elements whose end isn't in the rest of the page
+    opened: Counter = Counter()  # how many of a name are in open_, and how many of these say something
+    said: Counter = Counter()
 
     def flush() -> None:
         if parts:
@@ -151,8 +160,10 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         name, closing = m[2].lower(), bool(m[1])
         if name in _RAW and not closing:
             if not m[3].endswith("/") or name not in ("svg", "math"):
-                end = _ENDS[name].search(text, at)
+                end = None if name in endless else _ENDS[name].search(text, at)
                 stop = text.find(">", end.end()) if end else -1
+                if stop < 0:
+                    endless.add(name)
                 at = stop + 1 if stop >= 0 else at if name in _LAX else len(text)
             if name not in ("svg", "math", "script", "style", "template") and not hidden:
                 flush()
@@ -162,31 +173,36 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 if not hidden:
                     parts.append(" ")
                 continue
-            if (closing or name in _VOID or not m[3]) and not (closing and any(n == name for n, _ in open_)):
+            if (closing or name in _VOID or not m[3]) and not (closing and opened[name]):
                 continue
         elif not hidden:
             flush()
         if name in _VOID:
             continue
         if closing:
-            found = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name), None)
-            if found is not None:
+            if opened[name]:
+                found = next(k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name)
                 if not hidden:
                     flush()
                 for n, says in open_[found:]:
+                    opened[n] -= 1
+                    said[n] -= says > 0
                     hidden -= says == 2
                     doubts -= says == 1
                     articles -= n in ("article", "main") and says < 2
                 del open_[found:]
             continue
         says = _boilerplate(name, m[3], articles > 0)
-        if name in ("article", "main") and says < 2 and hidden and not articles and not any(n == "article" for n, _ in open_):
+        if name in ("article", "main") and says < 2 and hidden and not articles and not opened["article"]:
             open_ = [(n, 0) for n, _ in open_]  # an unclosed element before the article
+            said.clear()
             hidden = doubts = 0
-        if says or name in ("article", "main") or any(n == name and s for n, s in open_):
+        if says or name in ("article", "main") or said[name]:
             if says and not hidden:
                 flush()
             open_.append((name, says))
+            opened[name] += 1
+            said[name] += says > 0
             hidden += says == 2
             doubts += says == 1
             articles += name in ("article", "main") and says < 2
@@ -229,8 +245,8 @@ class Streams:
         return at, np.lib.stride_tricks.sliding_window_view(grams, run - size + 1).min(axis=1)[at]
 
 
-def repeated(words: list[np.ndarray], run: int = RUN, least: int = 2) -> list[np.ndarray]:
-    """For each stream of word hashes, whether a word lies under a run of ``run`` words that ``least`` different streams have.
+def repeated(words: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
+    """For each stream of word hashes, whether a word lies under a run of ``run`` words that two different streams have.
 
     The streams are joined with separators of their own; after each round of
     prefix doubling, ranks order all suffixes by twice as many words.
@@ -262,7 +278,7 @@ def repeated(words: list[np.ndarray], run: int = RUN, least: int = 2) -> list[np
     new = np.concatenate([[True], np.diff(rank[order]) > 0])
     starts = np.flatnonzero(new)
     others = new | np.concatenate([[True], np.diff(page[order]) > 0])  # the order is stable, so a run's pages are in order
-    shared = np.add.reduceat(others, starts) >= least
+    shared = np.add.reduceat(others, starts) > 1
     hit = order[shared[np.cumsum(new) - 1]]
     cover = np.zeros(n + 1, np.int64)
     np.add.at(cover, hit, 1)
@@ -291,41 +307,32 @@ def without_repeats(block: str, under: np.ndarray, run: int = RUN, covered: floa
     return " ".join(w for w, gone in zip(block.split(" "), go) if not gone)
 
 
-def kept_text(page: list[tuple[int, str]], under: np.ndarray, most: np.ndarray, known: set[int], run: int = RUN, covered: float = COVERED) -> str:
-    """The page's main text: ``under`` says which words repeats cover, ``most`` which ones those on most pages, ``known``
-    which blocks in doubt another page has."""
+def kept_text(page: list[tuple[int, str]], under: np.ndarray, known: set[int], run: int = RUN, covered: float = COVERED) -> str:
+    """The page's main text: ``under`` says which words repeats cover, ``known`` which blocks in doubt another page has."""
     marked = any(kind & INSIDE for kind, _ in page)
-    sizes = [b.count(" ") + 1 for _, b in page]
-    inner = np.repeat([kind == INSIDE for kind, _ in page], sizes).astype(bool)
-    copy = most[inner].sum() >= covered * max(inner.sum(), 1)
     kept, at = [], 0
-    for k, ((kind, block), n) in enumerate(zip(page, sizes)):
+    for k, (kind, block) in enumerate(page):
+        n = block.count(" ") + 1
         here = slice(at, at + n)
         at += n
         if marked and not kind & INSIDE or kind & DOUBT and (k in known or under[here].sum() >= covered * n):
             continue
-        left = without_repeats(block, under[here], run, covered) if not marked else block if copy else without_repeats(block, most[here], run, covered)
+        left = block if marked else without_repeats(block, under[here], run, covered)
         if left:
             kept.append(left)
     return "\n\n".join(kept)
 
 
-def most_of(pages):
-    """On how many distinct pages of a host a run has to be, to go from marked articles too."""
-    return np.maximum(MOST_PAGES, pages // 2 + 1)
-
-
 def main_texts(pages: list[str | None], run: int = RUN, covered: float = COVERED) -> list[str]:
     """The main text of each page of one host, by one suffix array."""
     parsed = [blocks(p) for p in pages]
     streams = Streams(parsed, [0] * len(parsed))
-    words = [streams.of(k) for k in range(len(parsed))]
-    under, most = repeated(words, run), repeated(words, run, int(most_of(len(set(streams.marks)))))
+    under = repeated([streams.of(k) for k in range(len(parsed))], run)
     holders: dict[int, set[int]] = {}
     for page, mark in zip(parsed, streams.marks):
         for _, h in doubt_hashes(page, 0):
             holders.setdefault(h, set()).add(mark)
-    return [kept_text(page, u, m, {k for k, h in doubt_hashes(page, 0) if len(holders[h]) > 1}, run, covered) for page, u, m in zip(parsed, under, most)]
+    return [kept_text(page, u, {k for k, h in doubt_hashes(page, 0) if len(holders[h]) > 1}, run, covered) for page, u in zip(parsed, under)]
 
 
 def host(url):
@@ -450,15 +457,14 @@ def runs(parsed: DataFrame, run: int = RUN, near=None, where: bool = False) -> D
 
 
 def common_runs(parsed: DataFrame, run: int = RUN, limit: int = BROADCAST_HASHES) -> DataFrame:
-    """``h, most``: the runs and blocks in doubt that two different streams of a host have, and whether most of them do."""
+    """``h``: the runs and blocks in doubt that two different streams of a host have."""
     spark = parsed.sparkSession
     prints = saved(shared_fingerprints(parsed), "prints")
     near = None
     if (prints.agg(F.sum("n")).first()[0] or 0) <= limit:
         near = spark.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(r.prints for r in prints.select("prints").collect()), np.uint64)))
-    hosts = parsed.select("salt", "stream").distinct().groupBy("salt").agg(F.count(F.lit(1)).alias("pages"))
     every = runs(parsed, run, near).distinct().groupBy("h", "salt").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return saved(every.join(hosts, "salt").select("h", (F.col("n") >= F.greatest(F.lit(MOST_PAGES), F.floor(F.col("pages") / 2) + 1)).alias("most")), "runs")
+    return saved(every.select("h"), "runs")
 
 
 def extract(pages: DataFrame, run: int = RUN, chunk_chars: int = CHUNK_CHARS, limit: int = BROADCAST_HASHES) -> DataFrame:
@@ -471,8 +477,7 @@ def extract(pages: DataFrame, run: int = RUN, chunk_chars: int = CHUNK_CHARS, li
     few = common.limit(limit + 1).count() <= limit
     shared = None
     if few:
-        held = common.toArrow().sort_by("h")
-        shared = spark.sparkContext.broadcast((held.column("h").to_numpy(), held.filter(held.column("most")).column("h").to_numpy()))
+        shared = spark.sparkContext.broadcast(common.toArrow().sort_by("h").column("h").to_numpy())
     columns = ["page_id", "url", "row", "salt", "kinds", "blocks", "under"]
 
     def finish(batches):
@@ -482,29 +487,27 @@ def extract(pages: DataFrame, run: int = RUN, chunk_chars: int = CHUNK_CHARS, li
             if shared is not None:
                 at = streams.whole(run)
                 h = run_hashes(streams.words, run)[at].view(np.int64)
-                hits = [at[_is_in(known, h)] for known in shared.value]
-                extra = [[n for n, x in doubt_hashes(page, salt) if _is_in(shared.value[0], np.array([x]))[0]] for page, salt in zip(pages_, salts)]
+                found = at[_is_in(shared.value, h)]
+                extra = [[n for n, x in doubt_hashes(page, salt) if _is_in(shared.value, np.array([x]))[0]] for page, salt in zip(pages_, salts)]
             else:
-                places = [[(p["at"], p["most"]) for p in x or []] for x in batch.column("places").to_pylist()]
+                places = [x or [] for x in batch.column("places").to_pylist()]
                 starts = streams.starts.tolist()
-                hits = [np.array([starts[k] + a for k, x in enumerate(places) for a, m in x if a >= 0 and (m or not only)], np.int64) for only in (False, True)]
-                extra = [[-1 - a for a, _ in x if a < 0] for x in places]
-            covers = []
-            for found in hits:
-                cover = np.zeros(len(streams.words) + 1, np.int64)
-                np.add.at(cover, found, 1)
-                np.add.at(cover, found + run, -1)
-                covers.append(np.cumsum(cover)[:-1] > 0)
+                found = np.array([starts[k] + a for k, x in enumerate(places) for a in x if a >= 0], np.int64)
+                extra = [[-1 - a for a in x if a < 0] for x in places]
+            cover = np.zeros(len(streams.words) + 1, np.int64)
+            np.add.at(cover, found, 1)
+            np.add.at(cover, found + run, -1)
+            repeats = np.cumsum(cover)[:-1] > 0
             texts = []
             for k, (page, packed) in enumerate(zip(pages_, batch.column("under").to_pylist())):
                 here = slice(int(streams.starts[k]), int(streams.starts[k] + streams.sizes[k]))
-                under = np.unpackbits(np.frombuffer(packed, np.uint8), count=int(streams.sizes[k])).astype(bool) | covers[0][here]
-                texts.append(kept_text(page, under, covers[1][here], set(extra[k]), run))
+                under = np.unpackbits(np.frombuffer(packed, np.uint8), count=int(streams.sizes[k])).astype(bool) | repeats[here]
+                texts.append(kept_text(page, under, set(extra[k]), run))
             yield _batch({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
 
     schema = f"page_id {kind}, url string, text string, n_chars long"
     if few:
         return parsed.select(*columns).mapInArrow(finish, schema)
     # too many for a broadcast: their places come to the pages by joins
-    met = runs(parsed, run, None, True).join(common, "h").groupBy("row").agg(F.collect_list(F.struct("at", "most")).alias("places"))
+    met = runs(parsed, run, None, True).join(common, "h").groupBy("row").agg(F.collect_list("at").alias("places"))
     return parsed.select(*columns).join(met, "row", "left").select(*columns, "places").mapInArrow(finish, schema)

@@ -12,8 +12,10 @@ numbers, digests, identifiers), as the tables carry no labels of personal
 data: half of the sentences train the trees, a quarter calibrates, a quarter
 sets the thresholds.
 
-Spans of the strict formats are always kept, whatever the trees say; the trees
-add spans where no kept one overlaps, also of the kind ``secret``.
+Spans of the strict formats are always kept, whatever the trees say. The trees
+add spans that don't overlap these, but for secrets that hold strict spans
+whole. Added spans that overlap are one span, of the likeliest's kind, so that
+all that was selected is masked. No span has a longest length.
 
 Defined results: null texts count as empty; an empty text has no span; equal
 rows are answered each.
@@ -21,6 +23,7 @@ rows are answered each.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from dataclasses import dataclass
@@ -46,13 +49,14 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[\[({]\s?(?:at|AT|@)\s?[\])}]\s?[A-Za-z0-9-]{1,63}(?:(?:\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?|\.)[A-Za-z0-9-]{1,63}){1,4}"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?[\[({]\s?(?:at|AT|@)\s?[\])}]\s?[A-Za-z0-9-]++(?:(?:\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?|\.)[A-Za-z0-9-]++)+"),
     "ip": re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:])"),
     "card": re.compile(r"(?<![0-9])[0-9](?:[ ._/-]{0,2}[0-9]){11,18}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]\(?[0-9]{2,4}\)?){2,4}(?![0-9]|[.-][0-9])|(?<![0-9+.-])00[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9]|[.-][0-9])"),
 }
-_NEAR_AT = re.compile(r"[^\s@]{1,64}\Z"), re.compile(r"[^\s@]{1,255}")
-_NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|key|auth|bearer|credentials?)[\"']?[ \t]{0,2}(?:[:=]|is)?[ \t]{0,2}[\"'`]?([^\s\"'`]{8,256})")
+#: Words with an @ inside, and the parts between their @.
+_WITH_AT, _PART = re.compile(r"(?<![^\s@])[^\s@]++(?:@++[^\s@]++)+"), re.compile(r"[^@]+")
+_NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|key|auth|bearer|credentials?)[\"']?[ \t]{0,2}(?:[:=]|is)?[ \t]{0,2}[\"'`]?([^\s\"'`]{8,})")
 _MIXED = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
 _HINTS = {
     "email": ("mail", "contact", "write", "reach"),
@@ -114,12 +118,10 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     out = []
     if ("[" in text or "(" in text or "{" in text) and re.search(r"[\[({]\s?(?:at|AT|@)", text):
         out += [(*m.span(), "email") for m in _LOOSE["email"].finditer(text)]
-    at = text.find("@")
-    while at >= 0:
-        left, right = _NEAR_AT[0].search(text, max(0, at - 64), at), _NEAR_AT[1].match(text, at + 1)
-        if left and right:
-            out.append((left.start(), right.end(), "email"))
-        at = text.find("@", at + 1)
+    if "@" in text:
+        for m in _WITH_AT.finditer(text):
+            parts = [p.span() for p in _PART.finditer(text, *m.span())]
+            out += [(a, d, "email") for (a, b), (c, d) in zip(parts, parts[1:]) if c == b + 1]
     if text.count(":") > 1:
         out += [(*m.span(), "ip") for m in _LOOSE["ip"].finditer(text) if m.end() - m.start() > 4]
     if _DIGITS.search(text):
@@ -143,7 +145,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     letters = sum(c.isalpha() for c in span)
     return [
         float(EVERY.index(kind)), float(len(span)), float(len(digits)), float(bool(digits) and luhn(digits)), float(len(groups)), float(max(groups)), float(min(groups)), float(groups[0]), float(groups[-1]),
-        float(len(marks)), float("." in marks), float("/" in marks), float(" " in marks), float("(" in span), float("-" in marks), float(span.count(":")),
+        float(len(marks)), float("." in marks), float("/" in marks), float(" " in marks), float("(" in span), float("-" in marks), float(span.count(":")), float("::" in span),
         *(float(any(h in before for h in _HINTS[k])) for k in ("email", "ip", "card", "phone", "secret", "other")),
         float(before[-1:].isalnum()), float(before[-1:] in "$#=+/" and before != ""), float(after[:1].isalnum()), float(after[:1] in "%/" and after != ""),
         float(sum(map(str.isdigit, before[-16:] + after))), float(digits[:2] in ("19", "20")),
@@ -163,7 +165,8 @@ def _sentence(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, str]]
 
     def secret() -> str:
         quote = pick('"', "'", "")
-        value = pick(hexes(40), hexes(32), mixed(24), mixed(36), "sk-" + mixed(32), mixed(20, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
+        long_ = pick(".", "$", ":", "~").join(mixed(int(rng.integers(20, 300))) for _ in range(int(rng.integers(2, 5))))
+        value = pick(hexes(40), hexes(32), mixed(24), mixed(36), "sk-" + mixed(32), mixed(20, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), long_)
         return pick("token", "api_key", "secret", "password", "auth key", "access_token", "TOKEN") + pick(" = ", ": ", "=", " is ") + quote, value, quote
 
     def card() -> str:
@@ -184,7 +187,7 @@ def _sentence(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, str]]
         lambda: f"{d(2)}/{d(4)}/{d(4)}/{d(4)}", lambda: f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"{d(3)} {d(3)}-{d(3)} {d(3)}", lambda: f"{word()} (at {word()} {word()}", lambda: f"20{d(2)} 20{d(2)} 20{d(2)}", lambda: f"{d(4)}-{d(4)}-{d(4)}-{d(4)}",
         lambda: "-".join(d(4) for _ in range(int(rng.integers(3, 9)))), lambda: f"1{d(1)}:{d(2)}:{d(2)}:{d(2)}:{d(2)}:{d(2)}",
         lambda: d(16), lambda: d(int(rng.integers(12, 20))), lambda: "commit " + hexes(40), lambda: "sha256:" + hexes(64), lambda: "-".join((hexes(8), hexes(4), hexes(4), hexes(4), hexes(12))), lambda: "".join(word() for _ in range(8)), lambda: "-".join(word() for _ in range(7)), lambda: "/" + "/".join(word() for _ in range(6)),
-        lambda: f"the {pick('token', 'key', 'secret', 'password')} {word()}{word()}{word()}{word()} {word()}", lambda: f"@{word()}{word()}", lambda: f"{word()}@{word()} {word()}", lambda: f"{word()}::{word()}::{word()}", lambda: "=" * int(rng.integers(20, 40)), lambda: "-" * int(rng.integers(20, 40)), *(3 * [lambda: f"{pick('', '20' + d(2) + '-0' + d(1) + '-' + d(2) + ' ', 'at ')}{d(2)}:{d(2)}:{d(2)}"]), lambda: f"key: {word()}{word()}{word()}{word()}", lambda: mixed(22, "abcdefghijklmnopqrstuvwxyz"),
+        lambda: f"the {pick('token', 'key', 'secret', 'password')} {word()}{word()}{word()}{word()} {word()}", lambda: f"@{word()}{word()}", lambda: f"{word()}@{word()} {word()}", lambda: f"{word()}::{word()}::{word()}", lambda: "=" * int(rng.integers(20, 40)), lambda: "-" * int(rng.integers(20, 40)), *(8 * [lambda: f"{pick('', '20' + d(2) + '-0' + d(1) + '-' + d(2) + ' ', 'at ')}{d(2)}:{d(2)}:{d(2)}"]), lambda: f"key: {word()}{word()}{word()}{word()}", lambda: mixed(22, "abcdefghijklmnopqrstuvwxyz"),
     )
     text, truth = " ".join(word() for _ in range(rng.integers(1, 6))) + " ", []
     for _ in range(rng.integers(1, 4)):
@@ -228,7 +231,7 @@ def examples(sentences: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         text, truth = _sentence(rng)
         for a, b, kind in candidates(text):
             x.append(features(text, a, b, kind))
-            y.append(float(any(k == kind and min(b, d) - max(a, c) >= 0.8 * (max(b, d) - min(a, c)) for c, d, k in truth)))
+            y.append(float(any(k == kind and (min(b, d) - max(a, c) >= 0.8 * (max(b, d) - min(a, c)) or kind == "secret" and c <= a and b <= d) for c, d, k in truth)))
             number.append(n)
     return np.array(x), np.array(y), np.array(number)
 
@@ -252,7 +255,7 @@ def train(sentences: int = 8000, precision: float = 0.98, seed: int = 11) -> Det
             a, b = a - 0.05 * np.mean((p - t) * m), b - 0.2 * np.mean(p - t)
         out.slope[k], out.shift[k] = a, b
         p, t = sigmoid(a * trees.margin(x[last]) + b), y[last]
-        for cut in np.linspace(0.3, 0.99, 70):
+        for cut in np.linspace(0.5, 0.99, 50):
             if (p >= cut).any() and t[p >= cut].mean() >= precision:
                 out.least[k] = cut
                 break
@@ -264,21 +267,42 @@ def all_spans(texts: list[str], detector: Detector) -> list[tuple[list, list]]:
     base = [base_spans(t) for t in texts]
     rows, x = [], []
     for i, t in enumerate(texts):
+        taken = merged([(a, b) for a, b, _ in base[i]])
+        starts = [a for a, _ in taken]
         for a, b, kind in candidates(t):
-            if not any(a < d and c < b for c, d, _ in base[i]):
+            first, last = bisect.bisect_right(starts, a) - 1, bisect.bisect_left(starts, b)
+            met = taken[first if first >= 0 and taken[first][1] > a else first + 1 : last]
+            # a secret may hold strict spans, whole and not all of it
+            if not met or kind == "secret" and a <= met[0][0] and met[-1][1] <= b and (a, b) != met[0]:
                 rows.append((i, a, b, kind))
                 x.append(features(t, a, b, kind))
     full = [list(b) for b in base]
     if rows:
-        x = np.array(x)
-        p = detector.probability(x)
-        for k in np.argsort(-p, kind="stable"):
-            i, a, b, kind = rows[k]
-            if p[k] >= detector.least[EVERY.index(kind)] and not any(a < d and c < b for c, d, _ in full[i]):
-                full[i].append((a, b, kind))
+        p = detector.probability(np.array(x))
+        chosen = sorted((i, a, b, kind, v) for (i, a, b, kind), v in zip(rows, p.tolist()) if v >= detector.least[EVERY.index(kind)])
+        at = 0
+        while at < len(chosen):  # overlapping spans are one, of the kind that is likeliest
+            i, a, b, kind, best = chosen[at]
+            at += 1
+            while at < len(chosen) and chosen[at][0] == i and chosen[at][1] < b:
+                _, _, d, other, v = chosen[at]
+                b, (best, kind) = max(b, d), max((best, kind), (v, other), key=lambda y: y[0])
+                at += 1
+            full[i].append((a, b, kind))
     return [(b, sorted(f, key=lambda s: (s[0], EVERY.index(s[2])))) for b, f in zip(base, full)]
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def spell(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 

@@ -105,24 +105,41 @@ def test_runs_that_two_streams_share_have_a_fingerprint_in_common():
         assert a & b and not a & prints(note, 8, run) and not prints(" ".join(note.split()[1:]), 7, run)
 
 
-def test_repeats_inside_articles_go_and_unique_words_and_copies_stay(spark):
+def test_what_marked_articles_share_stays_on_any_number_of_pages(spark):
     rng = random.Random(21)
     notice, bodies = prose(rng, 40), [prose(rng, 60) for _ in range(6)]
     pages = [f"<article><p>{notice}</p><p>{b}</p></article>" for b in bodies]
-    assert H.main_texts(pages) == bodies
+    want = [f"{notice}\n\n{b}" for b in bodies]
+    assert H.main_texts(pages) == want and H.main_texts(pages[:4]) == want[:4]
     df = spark.createDataFrame([(i, f"http://one.example/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
     for size in (1, 1000, 10**6):
-        assert [r.text for r in H.extract(df, chunk_chars=size).orderBy("page_id").collect()] == bodies
+        assert [r.text for r in H.extract(df, chunk_chars=size).orderBy("page_id").collect()] == want
     # unique words next to a notice, in its block, stay
     assert H.main_texts([f"<div>{notice} uno{k} dos{k} tres{k}</div><div>{b}</div>" for k, b in enumerate(bodies)]) == [f"uno{k} dos{k} tres{k}\n\n{b}" for k, b in enumerate(bodies)]
-    assert H.main_texts([f"<main>{b} {notice}</main>" for b in bodies]) == bodies
-    # passages that a few articles share are content
-    assert H.main_texts([f"<main><p>{notice}</p><p>{b}</p></main>" for b in bodies[:4]]) == [f"{notice}\n\n{b}" for b in bodies[:4]]
     # copies of an article with some words changed stay whole
     near = [f"<article><p>{bodies[0]} {bodies[1]} word{k} {bodies[2]}</p></article>" for k in range(3)]
     assert H.main_texts(near) == [p[12:-14] for p in near]
 
 
+def test_names_of_what_is_not_the_article():
+    for mark in ('id="header"', 'class="header"', 'class="site-header"', 'class="page-header"', 'class="topbar"', 'class="newsletter-signup"', 'class="signup"', 'class="comment-body"', 'class="ad-slot-leaderboard"', 'class="related-posts"', 'class="share-this"', 'class="disclaimer"', 'id="legal"', 'class="gdpr"', 'class="copyright"', 'class="responses"'):
+        assert H.main_texts([f"<div {mark}>no</div><p>x</p>"]) == ["x"], mark
+        if "header" not in mark:
+            assert H.main_texts([f"<article><p>x</p><div {mark}>no</div></article>"]) == ["x"], mark
+    for mark in ('class="article-header"', 'class="has-sidebar"', 'class="no-comments"', 'class="content-with-sidebar"', 'class="entry-content"', 'class="lead"'):
+        assert H.main_texts([f"<div {mark}>a</div><p>x</p>"]) == ["a\n\nx"], mark
+    assert H.main_texts(['<article class="legal"><div class="header"><h1>T</h1></div><p>x</p></article>']) == ["T\n\nx"]
+
+
+def test_long_broken_pages_are_linear():
+    import time
+
+    began = time.perf_counter()
+    for part in ("<noscript>", "<svg>", "<template>", "<nav>", "<div class=ad>", "</div>", "<article>", "<b class=ad>", "<script>", "<!--", "<svg></svg", "<p>x", "<nav></b>", "<"):
+        H.blocks(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 60
+
+
 def test_nothing_of_an_article_is_lost():
     long = "İ" * 40
     for html, want in (

@@ -98,3 +98,30 @@ def test_secrets_go_and_numbers_without_a_check_digit_stay(detector):
     ((base, every),) = pii.all_spans([text], detector)
     assert base == [] and [(text[a:b], k) for a, b, k in every] == [("186661156f3f9905942d70850a01cbf23a203f82", "secret")]
     assert pii.mask(text, every) == 'on stst rely token = "[SECRET]" bletion 7086638319846192 the anen'
+
+
+def test_long_secrets_go_whole(detector):
+    rng = random.Random(6)
+    mixed = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    for value in (mixed(10_000), ".".join(mixed(n) for n in (36, 400, 70)), "$".join(mixed(n) for n in (120, 130, 119)), mixed(300) + ":" + mixed(5) + "," + mixed(300), mixed(40) + "@" + mixed(20) + ".com/" + mixed(300)):
+        text = f"an lo token = {value} and re"
+        ((_, every),) = pii.all_spans([text], detector)
+        assert pii.mask(text, every) in ("an lo token = [SECRET] and re", "an lo token = [EMAIL] and re" if "@" in value else ""), value
+
+
+def test_many_spans_and_long_texts_are_linear(detector):
+    rng = random.Random(7)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    for make in (lambda: f"a{digits(4)}@b{digits(3)}.org ", lambda: f"token: {digits(9)}aBcDeF{digits(12)}xyz ", lambda: f"+1 (017) 555-{digits(4)} ", lambda: f"[at]{digits(3)}(at)"):
+        text = "".join(make() for _ in range(20_000))
+        began = time.perf_counter()
+        ((base, every),) = pii.all_spans([text], detector)
+        assert len(text) > 150_000 and time.perf_counter() - began < 15
+    assert pii.merged([(3, 5), (0, 4), (5, 6), (9, 9)]) == [(0, 5), (5, 6), (9, 9)]
+
+
+def test_clashing_names(spark, detector):
+    from pyspark.sql import functions as F
+
+    df = frame(spark).withColumn("__spans", F.lit("x")).withColumn("n_email", F.lit(1))
+    assert pii.redact(df, detector).columns == df.columns and pii.redact(df, detector).count() == df.count()
