@@ -12,10 +12,13 @@ Guarantee: a text window that holds t shingles of a template window, and no
 template window has more than ``WINDOW``, agrees with it in a band with a
 probability of at least t / (2 * WINDOW - t); of t / WINDOW where the template
 has just these t. ``bands_for`` sets b so that an occurrence of the shortest
-template is missed with a probability of at most ``MISSED``; longer ones have
-more shingles a window, and many windows. Retrieved (document, template) pairs
-are verified by the exact share of the template's distinct shingles that the
-document holds, at least ``CONTAINED``.
+template of at least ``SHORT`` shingles is missed with a probability of at most
+``MISSED``; longer ones have more shingles a window, and many windows. A
+template of fewer shingles fills too little of a window: each of its shingles is
+a key of its own, which a text's shingles meet with certainty, so that it sets no
+price for the others. Retrieved (document, template) pairs are verified by the
+exact share of the template's distinct shingles that the document holds, at
+least ``CONTAINED``.
 
 All of it is DataFrame and SQL functions. Templates may be of any number and
 length: their tables are broadcast while they have at most
@@ -41,6 +44,8 @@ WINDOW, STRIDE = 8, 4
 #: Highest probability of missing an occurrence of a template.
 MISSED = 1e-4
 CONTAINED = 0.8
+#: Templates of fewer distinct shingles are met by their shingles.
+SHORT = 5
 #: Rows of the templates' tables up to which they are broadcast (under 100 bytes each).
 BROADCAST_ROWS = 500_000
 #: Candidate pairs up to which they are broadcast for the second pass; they are joined by a shuffle beyond.
@@ -81,17 +86,32 @@ def _windows(df: DataFrame, keep: list[str], stride: int) -> DataFrame:
     return cut.select(*keep, hashed(0).alias("s0"), *(F.when(F.size("__v") >= k + SHINGLE, hashed(k)).alias(f"s{k}") for k in range(1, WINDOW)))
 
 
-def _keyed(windows: DataFrame, keep: list[str], bands: int) -> DataFrame:
-    """``keep, band_key``: the key of each window in each band, the least value of a hash function of its own over the shingles.
+def _keyed(windows: DataFrame, keep: list[str], bands: int, own: int = 0) -> DataFrame:
+    """``keep, band_key``: the key of each window in each band, the least value of a hash function of its own over the
+    shingles; with ``own``, also the window's first so many shingles themselves, as band 0, all that it has where the text
+    ends with it.
 
     The bands' numbers are rows, not expressions, so that the generated code is as short for many bands as for few."""
-    spread = windows.select("*", F.explode(F.lit(list(range(1, bands + 1)))).alias("__j"))
+    spread = windows.select("*", F.explode(F.lit(list(range(1 - own, bands + 1)))).alias("__j"))
     value = lambda k: F.xxhash64(F.col(f"s{k}") if k == 0 else F.coalesce(f"s{k}", "s0"), "__j")
-    return spread.select(*keep, F.least(*(value(k) for k in range(WINDOW))).alias("band_key"))
+    least = F.least(*(value(k) for k in range(WINDOW)))
+    if not own:
+        return spread.select(*keep, least.alias("band_key"))
+    single = F.get(F.array(*(f"s{k}" for k in range(own))), -F.col("__j"))
+    return spread.select(*keep, F.when(F.col("__j") > 0, least).otherwise(F.xxhash64(single, F.lit(0))).alias("band_key"))
 
 
-def _template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, DataFrame, int]:
-    """``license, shingle, total`` and ``license, band_key``, and the number of bands that the shortest template needs."""
+def _last_shingles(docs: DataFrame) -> DataFrame:
+    """``doc_id, band_key``: the last shingles of each text, as many as a window has, as band 0."""
+    words = docs.select("doc_id", F.split(normal(F.col("text")), " ").alias("__w")).filter(F.size("__w") >= SHINGLE)
+    tail = words.select("doc_id", F.slice("__w", F.greatest(F.size("__w") - (WINDOW + SHINGLE - 2), F.lit(1)), WINDOW + SHINGLE - 1).alias("__v"))
+    each = F.explode(F.transform(F.sequence(F.lit(0), F.size("__v") - SHINGLE), lambda i: F.xxhash64(*(F.get("__v", i + k) for k in range(SHINGLE)))))
+    return tail.select("doc_id", each.alias("__s")).select("doc_id", F.xxhash64("__s", F.lit(0)).alias("band_key"))
+
+
+def _template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, DataFrame, int, bool]:
+    """``license, shingle, total`` and ``license, band_key``, the number of bands that the shortest template of ``SHORT``
+    shingles or more needs, and whether some have fewer."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string")
     short = rows.filter(F.size(F.split(normal(F.col("text")), " ")) < SHINGLE).select("license").limit(1).collect()
     if short:
@@ -99,18 +119,24 @@ def _template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[Da
     windows = _windows(rows, ["license"], 1)
     shingles = windows.select("license", F.explode(F.array(*(f"s{k}" for k in range(WINDOW)))).alias("shingle")).filter("shingle is not null").distinct()
     shingles = shingles.join(shingles.groupBy("license").agg(F.count(F.lit(1)).alias("total")), "license")
-    least = shingles.agg(F.min("total")).first()[0]
-    bands = bands_for(least or 1)
-    return shingles, _keyed(windows, ["license"], bands).distinct(), bands
+    least, few = shingles.agg(F.min(F.when(F.col("total") >= SHORT, F.col("total"))), F.count(F.when(F.col("total") < SHORT, 1))).first()
+    bands = bands_for(least) if least else 0
+    alone = shingles.filter(F.col("total") < SHORT)
+    keys = alone.select("license", F.xxhash64("shingle", F.lit(0)).alias("band_key"))
+    if bands:
+        keys = keys.unionByName(_keyed(windows.join(alone.select("license").distinct(), "license", "left_anti"), ["license"], bands))
+    return shingles, keys.distinct(), bands, few > 0
 
 
 def scan(documents: DataFrame, templates: dict[str, str] | None = None, contained: float = CONTAINED) -> DataFrame:
     """``doc_id, license, n_shared, n_template, containment`` for each license that a document holds."""
     spark = documents.sparkSession
-    shingles, keys, bands = _template_tables(spark, TEMPLATES if templates is None else templates)
+    shingles, keys, bands, short = _template_tables(spark, TEMPLATES if templates is None else templates)
     small = lambda df: F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
     docs = documents.select("doc_id", "text").filter(F.length("text") > 0)
-    asked = _keyed(_windows(docs, ["doc_id"], STRIDE), ["doc_id"], bands)
+    asked = _keyed(_windows(docs, ["doc_id"], STRIDE), ["doc_id"], bands, STRIDE * short)
+    if short:  # the windows' first shingles are all but the last ones of a text
+        asked = asked.unionByName(_last_shingles(docs))
     pairs = saved(asked.join(small(keys), "band_key").select("doc_id", "license").distinct(), "licenses")
     few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
     hint = F.broadcast if few else (lambda df: df)
