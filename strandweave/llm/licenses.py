@@ -77,10 +77,11 @@ def bands_for(shingles: int, missed: float = MISSED) -> int:
     return max(1, math.ceil(math.log(missed) / math.log(1 - min(shingles, WINDOW - 1) / WINDOW)))
 
 
-def _windows(df: DataFrame, keep: list[str], stride: int) -> DataFrame:
-    """A row for each window of ``text``: ``keep``, and its shingles' hashes s0, s1, ..., null where the text ends before."""
+def _windows(df: DataFrame, keep: list[str], stride: int, to_end: bool = False) -> DataFrame:
+    """A row for each window of ``text``: ``keep``, and its shingles' hashes s0, s1, ..., null where the text ends before. With
+    ``to_end`` windows start up to the last shingle, so that every shingle is among the first ``stride`` of one."""
     words = df.select(*keep, F.split(normal(F.col("text")), " ").alias("__w")).filter(F.size("__w") >= SHINGLE)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("__w") - SHINGLE - (WINDOW - stride), F.lit(0)), F.lit(stride))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("__w") - SHINGLE - (0 if to_end else WINDOW - stride), F.lit(0)), F.lit(stride))
     cut = words.select(*keep, F.explode(F.transform(starts, lambda i: F.slice("__w", i + 1, WINDOW + SHINGLE - 1))).alias("__v"))
     hashed = lambda k: F.xxhash64(*(F.get("__v", F.lit(k + i)) for i in range(SHINGLE)))
     return cut.select(*keep, hashed(0).alias("s0"), *(F.when(F.size("__v") >= k + SHINGLE, hashed(k)).alias(f"s{k}") for k in range(1, WINDOW)))
@@ -88,8 +89,7 @@ def _windows(df: DataFrame, keep: list[str], stride: int) -> DataFrame:
 
 def _keyed(windows: DataFrame, keep: list[str], bands: int, own: int = 0) -> DataFrame:
     """``keep, band_key``: the key of each window in each band, the least value of a hash function of its own over the
-    shingles; with ``own``, also the window's first so many shingles themselves, as band 0, all that it has where the text
-    ends with it.
+    shingles; with ``own``, also the window's first so many shingles themselves, as band 0.
 
     The bands' numbers are rows, not expressions, so that the generated code is as short for many bands as for few."""
     spread = windows.select("*", F.explode(F.lit(list(range(1 - own, bands + 1)))).alias("__j"))
@@ -101,14 +101,6 @@ def _keyed(windows: DataFrame, keep: list[str], bands: int, own: int = 0) -> Dat
     return spread.select(*keep, F.when(F.col("__j") > 0, least).otherwise(F.xxhash64(single, F.lit(0))).alias("band_key"))
 
 
-def _last_shingles(docs: DataFrame) -> DataFrame:
-    """``doc_id, band_key``: the last shingles of each text, as many as a window has, as band 0."""
-    words = docs.select("doc_id", F.split(normal(F.col("text")), " ").alias("__w")).filter(F.size("__w") >= SHINGLE)
-    tail = words.select("doc_id", F.slice("__w", F.greatest(F.size("__w") - (WINDOW + SHINGLE - 2), F.lit(1)), WINDOW + SHINGLE - 1).alias("__v"))
-    each = F.explode(F.transform(F.sequence(F.lit(0), F.size("__v") - SHINGLE), lambda i: F.xxhash64(*(F.get("__v", i + k) for k in range(SHINGLE)))))
-    return tail.select("doc_id", each.alias("__s")).select("doc_id", F.xxhash64("__s", F.lit(0)).alias("band_key"))
-
-
 def _template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, DataFrame, int, bool]:
     """``license, shingle, total`` and ``license, band_key``, the number of bands that the shortest template of ``SHORT``
     shingles or more needs, and whether some have fewer."""
@@ -134,9 +126,7 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, containe
     shingles, keys, bands, short = _template_tables(spark, TEMPLATES if templates is None else templates)
     small = lambda df: F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
     docs = documents.select("doc_id", "text").filter(F.length("text") > 0)
-    asked = _keyed(_windows(docs, ["doc_id"], STRIDE), ["doc_id"], bands, STRIDE * short)
-    if short:  # the windows' first shingles are all but the last ones of a text
-        asked = asked.unionByName(_last_shingles(docs))
+    asked = _keyed(_windows(docs, ["doc_id"], STRIDE, short), ["doc_id"], bands, STRIDE * short)
     pairs = saved(asked.join(small(keys), "band_key").select("doc_id", "license").distinct(), "licenses")
     few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
     hint = F.broadcast if few else (lambda df: df)
