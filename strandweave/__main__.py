@@ -6,8 +6,10 @@ import argparse
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import model
+from .operators import aligner
 from .plans import simplify
 from .sinks import export
 from .sources import text
@@ -33,6 +35,7 @@ def options() -> argparse.ArgumentParser:
     out.add_argument("--restart", help="a snapshot to go on from, in place of the files")
     out.add_argument("--output", "-o", required=True, help="a folder that isn't there yet")
     out.add_argument("--alignments", "-a", help="alignment summary lines of the graph's edges, as evidence")
+    out.add_argument("--multidbg", "-m", help="FASTA of references that edges next to sites are aligned to, as evidence")
     out.add_argument("--floor", type=within(0, 1e9), default=10.0, help="coverage up to which every edge goes")
     out.add_argument("--hops", type=within(1, 10, int), nargs=4, default=(3, 4, 5, 10), help="edges of a bulge's path, for the searches")
     out.add_argument("--stages", choices=names, nargs="*", help="only these stages")
@@ -55,7 +58,11 @@ def main(given: Sequence[str] | None = None) -> None:
         if k.k_min is None or k.k_min != k.k_max:
             raise ValueError(f"overlaps from {k.k_min} to {k.k_max}")
         graph = model.Graph(edges, k.k_min)
+    if args.alignments and args.multidbg:
+        parser.error("give --alignments or --multidbg")
     aligned = simplify.references(text.summary(spark.read.text(args.alignments))) if args.alignments else None
+    if args.multidbg:
+        aligned = aligner.references(text.read_fasta(spark, args.multidbg).select(F.split_part("header", F.lit(" "), F.lit(1)).alias("name"), "sequence"))
     plan = simplify.stages(floor=args.floor, hops=tuple(args.hops), aligned=aligned)
     if args.after:
         plan = plan[[s.name for s in plan].index(args.after) + 1 :]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import model, motifs
 from .functions import alignment
 from .functions.strand import rc_node, rc_sequence
-from .operators import bulge, contract, coverage, decouple, degree, intervals, paths, tips, walk, whirl
+from .operators import aligner, bulge, contract, coverage, decouple, degree, intervals, paths, tips, walk, whirl
 from .operators.compact import compact
 from .plans import simplify
 from .plans.tables import once, written
@@ -524,6 +524,37 @@ def alignment_scan(spark, sf_dir):
     return intervals.oriented(intervals.filtered(rec_, 0.95)).withColumn("identity", F.round("identity", 6))
 
 
+# ---- the aligner, on unitigs as queries and the documents' sequences as references
+
+_SEQUENCES = f"{UNITIGS}, sq AS MATERIALIZED (SELECT true AS asks, label AS name, sequence AS s FROM ug WHERE length >= 12 UNION ALL SELECT false, 'g' || doc_id, s FROM b)"
+_NUMBER = "list_reduce(list_transform(string_split(translate(least(w, v), 'ACGT', '0123'), ''), lambda c: CAST(c AS BIGINT)), lambda x, y: x * 4 + y)"
+_SEEDS = f"""{_SEQUENCES}, wd AS (SELECT asks, name, n, i, substr(s, i + 1, 11) AS w, {RC('substr(s, i + 1, 11)')} AS v FROM (SELECT *, length(s) AS n, unnest(range(0, length(s) - 10)) AS i FROM sq WHERE length(s) >= 11)),
+rk AS MATERIALIZED (SELECT asks, name, n, i, w <= v AS fwd, {_NUMBER} * 2654435761 % 4294967291 AS key FROM wd),
+wn AS (SELECT asks, name, i, n, min(key * 100000 + i) OVER (PARTITION BY asks, name ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS least FROM rk),
+mn AS MATERIALIZED (SELECT DISTINCT rk.asks, rk.name, rk.n, rk.key, rk.i AS pos, rk.fwd FROM wn JOIN rk ON rk.asks = wn.asks AND rk.name = wn.name AND rk.i = wn.least % 100000 WHERE wn.i <= greatest(wn.n - 14, 0)),
+pl AS (SELECT key, count(*) AS places FROM mn WHERE NOT asks GROUP BY key),
+own AS (SELECT mn.*, places, row_number() OVER (PARTITION BY name, pos // 500 ORDER BY places, pos) AS nth FROM mn JOIN pl USING (key) WHERE asks)"""
+
+
+def _sequences(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = unitigs_of(spark, sf_dir).filter("length >= 12").select(F.col("label").alias("name"), "sequence")
+    hexa = F.translate(F.concat(F.md5("text"), F.md5(F.concat("text", F.lit("x")))), "0123456789abcdef", "ACGTACGTACGTACGT")
+    return e, spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("g"), "doc_id").alias("name"), hexa.alias("sequence"))
+
+
+@query(rec(_SEEDS, "SELECT o.name AS query, r.name AS ref, o.fwd = r.fwd AS same, CAST(CASE WHEN o.fwd = r.fwd THEN o.pos ELSE o.n - 11 - o.pos END AS INTEGER) AS qpos, CAST(r.pos AS INTEGER) AS rpos FROM own o JOIN mn r ON NOT r.asks AND r.key = o.key WHERE places <= 3 OR nth <= 5"))
+def aligner_seeds(spark, sf_dir):
+    return aligner.seeds(*_sequences(spark, sf_dir), 11, 4, often=3)
+
+
+@query(rec(_SEQUENCES, f"SELECT q.name AS query, r.name AS ref, strpos(r.s, q.s) > 0 AS is_forward, CAST(greatest(strpos(r.s, q.s), strpos(r.s, {RC('q.s')})) - 1 AS BIGINT) AS ref_start, CAST(length(q.s) AS BIGINT) AS query_alignment_length FROM sq q JOIN sq r ON q.asks AND NOT r.asks WHERE contains(r.s, q.s) OR contains(r.s, {RC('q.s')})"))
+def aligner_exact(spark, sf_dir):
+    """Records of edges that a document's sequence holds whole and without an edit."""
+    e, genomes = _sequences(spark, sf_dir)
+    found = aligner.align(e, genomes, 11, 4, often=1 << 40, least=1).filter("nm = 0").join(e.select(F.col("name").alias("query_name"), F.length("sequence").alias("n")), "query_name").filter("query_alignment_length = n")
+    return found.select(F.col("query_name").alias("query"), F.col("reference_name").alias("ref"), "is_forward", "ref_start", "query_alignment_length")
+
+
 # ---- edit distance
 
 _PAIRS = f"{READS}, vs AS (SELECT a.doc_id, a.s AS a, b.s AS b, b.kind FROM one a JOIN one b USING (doc_id) WHERE a.kind = 'base' AND b.kind <> 'base')"
@@ -591,6 +622,17 @@ def edit_infix_distance(spark, sf_dir):
     return _best(edit_infix(spark, sf_dir))
 
 
+def _starts(ctes: str) -> str:
+    """The best spans' first end, and the first start for it."""
+    return f"{ctes.replace('SELECT doc_id, kind, CAST(d AS BIGINT)', ', ends AS (SELECT doc_id, kind, CAST(d AS BIGINT)')}), fs AS (SELECT doc_id, kind, min(i) AS i FROM ds JOIN be USING (doc_id, kind, d) JOIN ends USING (doc_id, kind) WHERE j = first_end + 1 GROUP BY ALL) SELECT ends.*, CAST(fs.i AS BIGINT) AS first_start FROM ends JOIN fs USING (doc_id, kind)"
+
+
+@query(_starts(f"WITH {_PAIRS}, {_SPANS.format(12, 'range(0, 65)')}"))
+def edit_infix_starts(spark, sf_dir):
+    found = edit_infix(spark, sf_dir)
+    return found.select("doc_id", "kind", *(F.col(c).cast("bigint").alias(c) for c in ("distance", "n_ends", "first_end", "first_start")))
+
+
 # ---- files
 
 
