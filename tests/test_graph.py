@@ -355,6 +355,24 @@ def test_malformed_lines_are_skipped(spark):
     assert text.summary(spark.createDataFrame([("a b c",), ("a b c d",)], "value string")).count() == 1
 
 
+def test_committed_candidates_are_those_of_a_pass_in_order(spark):
+    import random
+
+    rng = random.Random(12)
+    for nodes, count in ((200, 60), (25, 40), (8, 30)):
+        rows = [(f"k{i:03d}", [f"{rng.choice(('', '-'))}{rng.randrange(nodes)}" for _ in range(rng.randint(1, 4))], rng.randrange(5)) for i in range(count)]
+        rows += [(f"p{i:03d}", [f"n{i}", f"n{i + 1}"], 9) for i in range(12)]  # rivals in a row
+        used, want = set(), set()
+        for _, key, footprint in sorted((p, k, f) for k, f, p in rows):
+            mine = {x.lstrip("-") for x in footprint}
+            if not mine & used:
+                used |= mine
+                want.add(key)
+        df = spark.createDataFrame(rows, "key string, footprint array<string>, p int")
+        assert {r.key for r in simplify.independent(df, "footprint", [F.col("p")]).collect()} == want
+    assert simplify.independent(df.limit(0), "footprint", [F.col("p")]).count() == 0
+
+
 def test_fixpoint_ends_or_fails():
     assert simplify.fixpoint(model.Graph(None, 3), lambda g: (g, 0))[1] == 0
     with pytest.raises(RuntimeError):
