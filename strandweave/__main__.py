@@ -9,10 +9,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import model
-from .operators import aligner
+from .operators import aligner, intervals
 from .plans import simplify
 from .sinks import export
-from .sources import text
+from .sources import bam, text
 
 
 def within(low: float, high: float, kind: Callable = float) -> Callable:
@@ -34,7 +34,7 @@ def options() -> argparse.ArgumentParser:
     out.add_argument("--fasta", "-f", help="the edges' sequences")
     out.add_argument("--restart", help="a snapshot to go on from, in place of the files")
     out.add_argument("--output", "-o", required=True, help="a folder that isn't there yet")
-    out.add_argument("--alignments", "-a", help="alignment summary lines of the graph's edges, as evidence")
+    out.add_argument("--alignments", "-a", help="alignments of the graph's edges, as evidence: a .bam or .sam file, or summary lines")
     out.add_argument("--multidbg", "-m", help="FASTA of references that edges next to sites are aligned to, as evidence")
     out.add_argument("--floor", type=within(0, 1e9), default=10.0, help="coverage up to which every edge goes")
     out.add_argument("--hops", type=within(1, 10, int), nargs=4, default=(3, 4, 5, 10), help="edges of a bulge's path, for the searches")
@@ -60,7 +60,16 @@ def main(given: Sequence[str] | None = None) -> None:
         graph = model.Graph(edges, k.k_min)
     if args.alignments and args.multidbg:
         parser.error("give --alignments or --multidbg")
-    aligned = simplify.references(text.summary(spark.read.text(args.alignments))) if args.alignments else None
+    aligned = None
+    if args.alignments and args.alignments.endswith((".bam", ".sam")):
+        if not args.fasta:
+            parser.error("alignment records need --fasta, for the edges' lengths")
+        records = bam.read_bam(spark, args.alignments) if args.alignments.endswith(".bam") else bam.sam_records(spark.read.text(args.alignments))
+        merged = intervals.merge(intervals.oriented(intervals.filtered(records)))
+        wide = intervals.wide_enough(merged, intervals.contig_lengths(text.read_fasta(spark, args.fasta)))
+        aligned = simplify.references(wide.select("query", F.col("ref_id").alias("ref")).distinct())
+    elif args.alignments:
+        aligned = simplify.references(text.summary(spark.read.text(args.alignments)))
     if args.multidbg:
         aligned = aligner.references(text.read_fasta(spark, args.multidbg).select(F.split_part("header", F.lit(" "), F.lit(1)).alias("name"), "sequence"))
     plan = simplify.stages(floor=args.floor, hops=tuple(args.hops), aligned=aligned)

@@ -155,13 +155,14 @@ def _row(data: bytes, at: int, header: _Header) -> tuple:
     end, x = at + 4 + size, at + 36
     query = data[x : x + name - 1].decode()
     x += name
-    used = covered = 0
+    used = covered = unlike = 0
     for op in struct.unpack_from(f"<{cigar}I", data, x):
         kind, n = _OPERATIONS[op & 15], op >> 4
         used += n * (kind in "MI=X")
         covered += n * (kind in "MDN=X")
+        unlike += n * (kind == "X")
     x += 4 * cigar + (bases + 1) // 2 + bases
-    tags: dict[str, int] = {}
+    nm = None
     while x < end:
         tag, kind = data[x : x + 2].decode(), chr(data[x + 2])
         x += 3
@@ -170,12 +171,12 @@ def _row(data: bytes, at: int, header: _Header) -> tuple:
         elif kind == "B":
             x += 5 + _SIZES[chr(data[x])] * struct.unpack_from("<i", data, x + 1)[0]
         else:
-            if kind in _NUMBERS and tag in ("NM", "XM"):
-                tags[tag] = struct.unpack_from(_NUMBERS[kind], data, x)[0]
+            if kind in _NUMBERS and tag == "NM":
+                nm = struct.unpack_from(_NUMBERS[kind], data, x)[0]
             x += _SIZES[kind]
     unmapped = bool(flag & 4)
     where = (None, None, None, None) if ref < 0 else (header.names[ref], pos, pos + covered, header.lengths[ref])
-    return query, where[0], unmapped, not flag & 16, where[1], where[2], where[3], used, tags.get("NM"), tags.get("XM")
+    return query, where[0], unmapped, not flag & 16, where[1], where[2], where[3], used, nm, unlike
 
 
 def _open(path: str):
@@ -283,6 +284,6 @@ def sam_records(lines: DataFrame) -> DataFrame:
     start = F.when(name.isNotNull(), F.get(f, F.lit(3)).cast("bigint") - 1)
     rows = body.select(
         F.get(f, F.lit(0)).alias("query_name"), name.alias("reference_name"), (flag.bitwiseAND(4) != 0).alias("is_unmapped"), (flag.bitwiseAND(16) == 0).alias("is_forward"), start.alias("ref_start"),
-        F.when(name.isNotNull(), start + runs("MDN=X")).alias("ref_end"), runs("MI=X").alias("query_alignment_length"), tag("NM").alias("nm"), tag("XM").alias("mismatches"),
+        F.when(name.isNotNull(), start + runs("MDN=X")).alias("ref_end"), runs("MI=X").alias("query_alignment_length"), tag("NM").alias("nm"), runs("X").alias("mismatches"),
     )
     return rows.join(lengths, "reference_name", "left").select(*(c.split()[0] for c in SCHEMA.split(", ")))
