@@ -47,6 +47,79 @@ def khop(edges: DataFrame, hops: int, allow_rc: bool = False, branching_only: bo
     return found
 
 
+def _distances(steps_: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
+    """``id, away``: nodes that ``steps_(u, v)`` reach from ``roots(id)`` in at most ``hops``, with the least number of steps."""
+    known = written(roots.select("id").distinct().withColumn("away", F.lit(0)), "reached")
+    newest = known
+    for step in range(1, hops + 1):
+        newest = newest.select(F.col("id").alias("u")).join(steps_, "u").select(F.col("v").alias("id")).distinct().join(known, "id", "left_anti")
+        newest = written(newest.withColumn("away", F.lit(step)), "reached")
+        if newest.isEmpty():
+            break
+        known = known.unionByName(newest)
+    return known
+
+
+def halves(edges: DataFrame, hops: int, allow_rc: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """Halves of the paths that bulges can be made of: from a node with two or more successors to a node with two or more
+    edges in. ``start, end, ..., hop`` from the start, ``hop`` edges up to half of ``hops``; and ``mid, end, ...`` with the
+    rest of them, to the end. Also the number of edges of the longest first half.
+
+    Steps that can't be part of a path of ``hops`` edges are never walked: least distances from starts and to ends, a table
+    of nodes, tell that."""
+    e = steps(edges).filter("src <> dst")
+    if not allow_rc:
+        e = e.filter(F.col("dst") != rc_node("src"))
+    one = e.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
+    starts = edges.select("src", "dst").distinct().groupBy(F.col("src").alias("id")).count().filter("count > 1").select("id")
+    ends = edges.groupBy(F.col("dst").alias("id")).count().filter("count > 1").select("id")
+    behind = _distances(one, starts, hops).select(F.col("id").alias("src"), F.col("away").alias("behind"))
+    ahead = _distances(one.select(F.col("v").alias("u"), F.col("u").alias("v")), ends, hops).select(F.col("id").alias("dst"), F.col("away").alias("ahead"))
+    live = written(e.join(behind, "src").join(ahead, "dst").filter(F.col("behind") + 1 + F.col("ahead") <= hops), "live")
+    first = -(-hops // 2)
+    row = [F.array("src", "dst").alias("nodes"), F.array("label").alias("labels"), "length", (F.col("multiplicity") * F.col("length")).alias("weight"), F.col("usable").alias("min_cov")]
+    more = [F.col("label"), F.col("length").alias("l"), "multiplicity", "usable"]
+    grown = [(F.col("length") + F.col("l")).alias("length"), (F.col("weight") + F.col("multiplicity") * F.col("l")).alias("weight"), F.least("min_cov", "usable").alias("min_cov")]
+
+    def meets(node: str) -> Column:
+        new = ~F.array_contains("nodes", F.col(node))
+        return new if allow_rc else new & ~F.array_contains("nodes", rc_node(node))
+
+    level = written(live.filter("behind = 0").select(F.col("src").alias("start"), F.col("dst").alias("end"), *row, "ahead", F.lit(1).alias("hop")), "forward")
+    forward = level
+    for hop in range(2, first + 1):
+        met = level.drop("ahead", "hop").join(live.select(F.col("src").alias("end"), "dst", "ahead", *more), "end").filter(meets("dst") & (F.col("ahead") + hop <= hops))
+        level = written(met.select("start", F.col("dst").alias("end"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("labels", F.array("label")).alias("labels"), *grown, "ahead", F.lit(hop).alias("hop")), "forward")
+        forward = forward.unionByName(level)
+    if hops == first:
+        return forward, forward.limit(0).withColumnRenamed("start", "mid"), first
+    # a second half begins where a whole first half ends
+    mids = level.select(F.col("end").alias("mid")).distinct()
+    level = written(live.filter("ahead = 0").select(F.col("src").alias("mid"), F.col("dst").alias("end"), *row, "behind"), "backward")
+    backward = level
+    for hop in range(2, hops - first + 1):
+        met = level.drop("behind").join(live.select("src", F.col("dst").alias("mid"), "behind", *more), "mid").filter(meets("src") & (F.col("behind") + hop <= hops))
+        level = written(met.select(F.col("src").alias("mid"), "end", F.concat(F.array("src"), "nodes").alias("nodes"), F.concat(F.array("label"), "labels").alias("labels"), *grown, "behind"), "backward")
+        backward = backward.unionByName(level)
+    return forward, backward.join(mids, "mid", "left_semi"), first
+
+
+def two_ended(edges: DataFrame, hops: int, allow_rc: bool = False) -> DataFrame:
+    """Those paths of ``khop`` that bulges can be made of, whose end has two or more edges in, found from both ends: halves
+    of up to half of the edges are joined on the node in the middle, if they have no other node in common."""
+    forward, backward, first = halves(edges, hops, allow_rc)
+    columns = ["start", "end", "nodes", "labels", "length", "weight", "min_cov"]
+    short = forward.filter("ahead = 0").select(*columns)
+    back = backward.select("mid", *(F.col(c).alias(f"{c}2") for c in columns[1:]))
+    met = forward.filter(F.col("hop") == first).withColumnRenamed("end", "mid").join(back, "mid")
+    rest = F.slice("nodes2", 2, F.size("nodes2") - 1)
+    apart = ~F.arrays_overlap("nodes", rest)
+    if not allow_rc:
+        apart = apart & ~F.arrays_overlap("nodes", F.transform(rest, rc_node))
+    both = met.filter(apart).select("start", F.col("end2").alias("end"), F.concat("nodes", rest).alias("nodes"), F.concat("labels", "labels2").alias("labels"), (F.col("length") + F.col("length2")).alias("length"), (F.col("weight") + F.col("weight2")).alias("weight"), F.least("min_cov", "min_cov2").alias("min_cov"))
+    return short.unionByName(both)
+
+
 def interior(nodes: Column | str) -> Column:
     n = F.col(nodes) if isinstance(nodes, str) else nodes
     return F.slice(n, 2, F.greatest(F.size(n) - 2, F.lit(0)))

@@ -355,6 +355,43 @@ def test_malformed_lines_are_skipped(spark):
     assert text.summary(spark.createDataFrame([("a b c",), ("a b c d",)], "value string")).count() == 1
 
 
+def random_graph(spark, rng, nodes, count):
+    rows = set()
+    for _ in range(count):
+        u, v = (f"{rng.choice(('', '-'))}n{rng.randrange(nodes)}" for _ in range(2))
+        rows |= {(u, v), (motifs.rc(v), motifs.rc(u))}
+    made = [(u, v, 4 + len(u + v) % 3, 1.0 + (len(u) * 7 + len(v)) % 5, f"{u}>{v}") for u, v in sorted(rows)]
+    return spark.createDataFrame(made, "src string, dst string, length bigint, multiplicity double, label string")
+
+
+def test_search_from_both_ends_finds_the_same_pairs(spark):
+    rng = random.Random(17)
+    some = 0
+    for allow_rc in (False, True):
+        e = random_graph(spark, rng, 12, 18)
+        show = lambda p: {(r.key1, r.key2, r.length1, r.length2, r.min_cov1, r.min_cov2, round(r.weight1, 6)) for r in paths.bulge_pairs(p, 0.0, allow_rc).collect()}
+        want = show(paths.khop(e, 7, allow_rc))
+        assert show(paths.two_ended(e, 7, allow_rc)) == want
+        some += len(want)
+    assert some > 20
+
+
+def test_search_from_both_ends_walks_no_dead_ends(spark):
+    """A node from which all ways part, each step in three, and two of them meet again after eight steps."""
+    rows, level = [], ["r"]
+    for depth in range(4):
+        below = [f"{n}{c}" for n in level for c in "abc"]
+        rows += [(n[:-1], n) for n in below]
+        level = below
+    chain = lambda a, z, name: [(x, y) for x, y in zip([a, *(f"{name}{i}" for i in range(3))], [*(f"{name}{i}" for i in range(3)), z])]
+    rows += chain(level[0], "end", "x") + chain(level[-1], "end", "y")
+    e = spark.createDataFrame([(u, v, 5, 2.0, f"{u}>{v}") for u, v in rows], "src string, dst string, length bigint, multiplicity double, label string")
+    forward, backward, first = paths.halves(e, 10)
+    assert first == 5 and forward.count() <= 40 and backward.count() <= 10 and paths.khop(e, 10).count() > 300
+    (pair,) = paths.bulge_pairs(paths.two_ended(e, 10), 0.0).collect()
+    assert (pair.start, pair.end, pair.n_edges) == ("r", "end", 16)
+
+
 def test_committed_candidates_are_those_of_a_pass_in_order(spark):
     import random
 
