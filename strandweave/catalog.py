@@ -69,8 +69,9 @@ def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.walk(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
-def motif(spark: SparkSession, name: str) -> DataFrame:
-    return model.labelled(motifs.edges(spark, name), motifs.K).withColumn("ref_ids", F.array().cast("array<string>"))
+def sites_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small patterns, one for each part."""
+    return once(spark, ("sites", sf_dir), lambda: model.labelled(fixtures.part_sites(spark, sf_dir), motifs.K), f"{sf_dir}/part.parquet")
 
 
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
@@ -359,22 +360,22 @@ def reverse_paths(spark, sf_dir):
 # ---- whirls, tips, broken bulges
 
 
-def _whirls(spark) -> DataFrame:
-    e = motif(spark, "whirls")
+def _whirls(spark, sf_dir) -> DataFrame:
+    e = sites_of(spark, sf_dir)
     return whirl.classified(whirl.cycles(e), e)
 
 
-_WHIRLS = f"{motifs.sql('whirls')}, {deg('d', 'mg')}"
+_WHIRLS = f"{fixtures.part_sites_sql()}, {deg('d', 'mg')}"
 
 
 @query(rec(f"{_WHIRLS}, one AS (SELECT src FROM mg GROUP BY src HAVING count(*) = 1), two AS (SELECT a.src AS start, a.label AS l1, b.label AS l2, a.length + b.length AS length, least(a.multiplicity, b.multiplicity) AS min_cov, a.multiplicity AS m1, b.multiplicity AS m2, a.dst AS mid FROM mg a JOIN mg b ON a.dst = b.src AND b.dst = a.src WHERE a.src <> a.dst AND b.src IN (SELECT src FROM one))", "SELECT start, l1 || ',' || l2 AS labels, length, min_cov, NOT (m1 - 0.1 < min_cov AND d.legs_in = 1 OR m2 - 0.1 < min_cov AND d.legs_out = 1) AS safe FROM two JOIN d ON d.id = mid"))
 def whirl_2cycle(spark, sf_dir):
-    return _whirls(spark).filter(F.size("labels") == 2).select("start", F.array_join("labels", ",").alias("labels"), "length", "min_cov", "safe")
+    return _whirls(spark, sf_dir).filter(F.size("labels") == 2).select("start", F.array_join("labels", ",").alias("labels"), "length", "min_cov", "safe")
 
 
 @query(rec(f"{_WHIRLS}, onl AS (SELECT src FROM mg GROUP BY src HAVING count(*) = 1), wk AS (SELECT src AS start, dst AS here, [src, dst] AS nodes, [label] AS labels, length, CASE WHEN src = {RN('dst')} THEN multiplicity / 2 ELSE multiplicity END AS min_cov, false AS done FROM mg WHERE src <> dst UNION ALL SELECT w.start, e.dst, list_append(w.nodes, e.dst), list_append(w.labels, e.label), w.length + e.length, least(w.min_cov, CASE WHEN e.src = {RN('e.dst')} THEN e.multiplicity / 2 ELSE e.multiplicity END), e.dst = w.start FROM wk w JOIN mg e ON e.src = w.here AND e.src IN (SELECT src FROM onl) WHERE NOT w.done AND e.src <> e.dst AND (e.dst = w.start OR NOT list_contains(w.nodes, e.dst))), wd AS (SELECT *, array_to_string(labels, ',') AS key, len(labels) AS n FROM wk WHERE done), st AS (SELECT key, min_cov, n, i, labels[i] AS label FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM wd)), bad AS (SELECT key FROM st JOIN mg USING (label) JOIN d ON d.id = mg.dst WHERE i < n AND mg.multiplicity - 0.1 < min_cov AND d.legs_in = 1 UNION SELECT key FROM st JOIN mg USING (label) JOIN d ON d.id = mg.src WHERE i > 1 AND mg.multiplicity - 0.1 < min_cov AND d.legs_out = 1)", "SELECT start, array_to_string(nodes, ',') AS nodes, length, min_cov, key NOT IN (SELECT key FROM bad) AS safe FROM wd"))
 def whirl_cycles(spark, sf_dir):
-    return _whirls(spark).select("start", F.array_join("nodes", ",").alias("nodes"), "length", "min_cov", "safe")
+    return _whirls(spark, sf_dir).select("start", F.array_join("nodes", ",").alias("nodes"), "length", "min_cov", "safe")
 
 
 _NEXT = "fn AS (SELECT CAST(p_partkey AS VARCHAR) AS src, CAST((p_partkey * 7919 + p_size * 104729) % (SELECT count(*) FROM part) AS VARCHAR) AS dst, CAST(1 + p_size AS BIGINT) AS length, p_retailprice AS multiplicity FROM part)"
@@ -479,9 +480,9 @@ def unary_chain_2x2(spark, sf_dir):
     return decouple.unary_chains(unitigs_of(spark, sf_dir)).select("head", "tail")
 
 
-@query(rec(f"{motifs.sql('strands')}, wi AS (SELECT dst AS head, list_sort(list(DISTINCT src)) AS i FROM mg GROUP BY dst), wo AS (SELECT src AS tail, list_sort(list(DISTINCT dst)) AS o FROM mg GROUP BY src), mt AS (SELECT DISTINCT head, tail, i, o FROM mg JOIN wi ON head = src JOIN wo ON tail = dst WHERE len(i) = 2 AND len(o) = 2 AND (SELECT count(DISTINCT dst) FROM mg x WHERE x.src = head) = 1 AND (SELECT count(DISTINCT src) FROM mg y WHERE y.dst = tail) = 1), f AS (SELECT *, i[1] = {RN('o[1]')} OR i[2] = {RN('o[2]')} AS direct, i[1] = {RN('o[2]')} OR i[2] = {RN('o[1]')} AS crossed FROM mt WHERE NOT list_contains(i, {RN('head')}) AND NOT list_contains(o, {RN('tail')}))", "SELECT head, tail, i[1] AS in0, i[2] AS in1, CASE WHEN direct THEN o[1] ELSE o[2] END AS out0, CASE WHEN direct THEN o[2] ELSE o[1] END AS out1 FROM f WHERE direct OR crossed"))
+@query(rec(f"{fixtures.part_sites_sql()}, wi AS (SELECT dst AS head, list_sort(list(DISTINCT src)) AS i FROM mg GROUP BY dst), wo AS (SELECT src AS tail, list_sort(list(DISTINCT dst)) AS o FROM mg GROUP BY src), mt AS (SELECT DISTINCT head, tail, i, o FROM mg JOIN wi ON head = src JOIN wo ON tail = dst WHERE len(i) = 2 AND len(o) = 2 AND (SELECT count(DISTINCT dst) FROM mg x WHERE x.src = head) = 1 AND (SELECT count(DISTINCT src) FROM mg y WHERE y.dst = tail) = 1), f AS (SELECT *, i[1] = {RN('o[1]')} OR i[2] = {RN('o[2]')} AS direct, i[1] = {RN('o[2]')} OR i[2] = {RN('o[1]')} AS crossed FROM mt WHERE NOT list_contains(i, {RN('head')}) AND NOT list_contains(o, {RN('tail')}))", "SELECT head, tail, i[1] AS in0, i[2] AS in1, CASE WHEN direct THEN o[1] ELSE o[2] END AS out0, CASE WHEN direct THEN o[2] ELSE o[1] END AS out1 FROM f WHERE direct OR crossed"))
 def rc_decouple_candidates(spark, sf_dir):
-    e = motif(spark, "strands")
+    e = sites_of(spark, sf_dir)
     return decouple.strand_sites(e, decouple.unary_chains(e))
 
 
@@ -793,6 +794,9 @@ def bulge_parts(spark, sf_dir):
     return found.select("start", "end", "key1", "key2", *(F.array_join(F.transform(f"parts{i}", lambda x: F.array_join(x, ">")), ",").alias(f"parts{i}") for i in (1, 2)))
 
 
+from . import rounds  # noqa: E402, F401  registers the rounds of rewriting
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

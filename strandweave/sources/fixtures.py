@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import motifs
 from ..functions.strand import kmer_node, rc_sequence
 
 K = 13
@@ -60,6 +61,26 @@ def raw_edges(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     return kmer_edges(reads(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), k)
 
 
+#: Patterns of small graphs, dealt out to the parts.
+SITES = ("whirl_safe", "whirl_unsafe", "whirls", "strands", "strands_both", "complex_both", "complex_one", "complex_none", "site_many")
+
+
+def part_sites(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = SITES) -> DataFrame:
+    """``src, dst, sequence, length, multiplicity``: for each part one of the patterns, by its key, with nodes of its own and
+    coverages by its size."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_partkey") % len(names)).alias("which"), (1 + F.col("p_size") % 3).alias("times"))
+    patterns = spark.createDataFrame([(n, *r) for n, name in enumerate(names) for r in motifs.rows(name)], "which bigint, src string, dst string, length bigint, multiplicity double, sequence string")
+    return part.join(F.broadcast(patterns), "which").select(F.concat("src", "p_partkey").alias("src"), F.concat("dst", "p_partkey").alias("dst"), "sequence", "length", (F.col("multiplicity") * F.col("times")).alias("multiplicity"))
+
+
+def part_sites_sql(names: tuple[str, ...] = SITES) -> str:
+    """The same edges, labelled, as a common table expression ``mg``."""
+    values = ", ".join(f"({n}, '{u}', '{v}', {size}, {float(m)}, '{q}')" for n, name in enumerate(names) for u, v, size, m, q in motifs.rows(name))
+    return f"""mv(which, src, dst, length, multiplicity, sequence) AS (VALUES {values}),
+mp AS (SELECT mv.src || p_partkey AS src, mv.dst || p_partkey AS dst, CAST(length AS BIGINT) AS length, CAST(multiplicity * (1 + p_size % 3) AS DOUBLE) AS multiplicity, sequence FROM part JOIN mv ON which = p_partkey % {len(names)}),
+mg AS MATERIALIZED (SELECT *, src || '.' || row_number() OVER (PARTITION BY src ORDER BY dst, sequence) AS label FROM mp)"""
+
+
 def walk(lineitem: DataFrame) -> DataFrame:
     """``walk, pos, node``: the parts of an order, in the order of all its columns, as a walk over nodes."""
     every = [c for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")]
