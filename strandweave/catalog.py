@@ -470,7 +470,15 @@ def ref_dedupe(spark, sf_dir):
     return decouple.unique_refs(e.join(sites, "dst", "left_semi").select(F.col("dst").alias("id"), "label", F.explode("ref_ids").alias("ref")))
 
 
-@query()
+_GREEDY = f"""{_REFS}, rw AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY support DESC, in_label, out_label, ci, co) AS n FROM mx WHERE support > 0),
+gr AS (SELECT id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(i VARCHAR, o VARCHAR, c DOUBLE, ti DOUBLE, tu DOUBLE)[]) AS done FROM rw WHERE n = 1
+  UNION ALL SELECT id, n, CASE WHEN least(a, b) > 0.1 THEN list_append(done, CAST({{'i': in_label, 'o': out_label, 'c': (ta + tb) / 2, 'ti': ta, 'tu': tb}} AS STRUCT(i VARCHAR, o VARCHAR, c DOUBLE, ti DOUBLE, tu DOUBLE))) ELSE done END
+  FROM (SELECT *, CASE WHEN greatest(a, b) <= least(a, b) * 1.5 THEN a ELSE least(a, b) END AS ta, CASE WHEN greatest(a, b) <= least(a, b) * 1.5 THEN b ELSE least(a, b) END AS tb
+    FROM (SELECT rw.*, g.done, rw.ci - coalesce(list_sum(list_transform(list_filter(g.done, lambda x: x.i = rw.in_label), lambda x: x.ti)), 0) AS a, rw.co - coalesce(list_sum(list_transform(list_filter(g.done, lambda x: x.o = rw.out_label), lambda x: x.tu)), 0) AS b FROM gr g JOIN rw ON rw.id = g.id AND rw.n = g.n + 1))),
+gl AS (SELECT id, unnest(arg_max(done, n)) AS x FROM gr GROUP BY id)"""
+
+
+@query(rec(_GREEDY, "SELECT id, x.i AS in_label, x.o AS out_label, round(x.c, 6) AS coverage FROM gl"))
 def evidence_greedy_matching(spark, sf_dir):
     return decouple.greedy_matching(_matrix(spark, sf_dir)).select("id", "in_label", "out_label", F.round("coverage", 6).alias("coverage"))
 
@@ -668,6 +676,13 @@ def fasta_parse(spark, sf_dir):
     return text.edge_sequences(parts)
 
 
+@query(rec(f"{UNITIGS}, {_TWIN}", "SELECT q AS query, CAST(max(n) AS BIGINT) AS contig_length FROM (SELECT label AS q, length(sequence) AS n FROM tw UNION ALL SELECT rc_label, length(sequence) FROM tw) GROUP BY q"))
+def contig_lengths(spark, sf_dir):
+    """Both halves of records' names with their lengths."""
+    records = unitigs_of(spark, sf_dir).select(F.concat_ws("_", "label", "rc_label").alias("header"), "sequence")
+    return intervals.contig_lengths(records).groupBy("query").agg(F.max("contig_length").cast("bigint").alias("contig_length"))
+
+
 @query(rec(f"{UNITIGS}, kp AS (SELECT id FROM (SELECT src AS id FROM ug UNION SELECT dst FROM ug) WHERE id LIKE 'A%')", "SELECT src, dst, label FROM ug WHERE src IN (SELECT id FROM kp) OR dst IN (SELECT id FROM kp)"))
 def retained_export(spark, sf_dir):
     e = unitigs_of(spark, sf_dir)

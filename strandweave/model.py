@@ -42,13 +42,17 @@ def with_lineage(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"path_nodes": F.array("src", "dst"), "path_edges": one("label"), "path_back": one("rc_label")})
 
 
+def lineage_of(parts: Column, edges: DataFrame) -> dict[str, Column]:
+    """The lineage, if edges have one, of an array of edges that follow one another, as columns by name."""
+    if "path_nodes" not in edges.columns:
+        return {}
+    nodes = F.transform(parts["path_nodes"], lambda x, i: F.when(i == 0, x).otherwise(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0)))))
+    return {"path_nodes": F.flatten(nodes), "path_edges": F.flatten(parts["path_edges"]), "path_back": F.flatten(parts["path_back"])}
+
+
 def chained(parts: Column, k: int, edges: DataFrame) -> dict[str, Column]:
     """The sequence and the lineage of an array of edges that follow one another, as columns by name."""
-    out = {"sequence": joined(parts["sequence"], k)}
-    if "path_nodes" in edges.columns:
-        nodes = F.transform(parts["path_nodes"], lambda x, i: F.when(i == 0, x).otherwise(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0)))))
-        out |= {"path_nodes": F.flatten(nodes), "path_edges": F.flatten(parts["path_edges"]), "path_back": F.flatten(parts["path_back"])}
-    return out
+    return {"sequence": joined(parts["sequence"], k)} | lineage_of(parts, edges)
 
 
 def mirrored(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import chained, core
+from ..model import CORE, core, lineage_of
 from ..plans.tables import written
 from .degree import degrees, non_branching
 
@@ -74,9 +74,12 @@ def compact(edges: DataFrame, k: int) -> DataFrame:
     own = core(edges)
     named = written(edges.select(*own, F.md5(F.concat_ws("|", "src", "dst", "sequence")).alias("key")).withColumn("id", F.monotonically_increasing_id()), "edges")
     placed = named.drop("key").join(chains(named.select("id", "src", "dst", "multiplicity", "key")), "id")
-    parts = F.sort_array(F.collect_list(F.struct("pos", *own)))
-    grouped = placed.groupBy("head").agg(parts.alias("p"))
+    # what is collected of an edge is what it adds to its chain: not its overlap, nor its ends
+    more = [c for c in own if c not in CORE]
+    parts = F.sort_array(F.collect_list(F.struct("pos", F.substr("sequence", F.lit(k + 1)).alias("added"), "length", "multiplicity", *more)))
+    first = F.min_by(F.struct("src", F.substr("sequence", F.lit(1), F.lit(k)).alias("begin")), "pos")
+    grouped = placed.groupBy("head").agg(parts.alias("p"), first.alias("first"), F.max_by("dst", "pos").alias("dst"))
     total = F.aggregate("p", F.lit(0).cast("bigint"), lambda s, x: s + x["length"])
     weight = F.aggregate("p", F.lit(0.0), lambda s, x: s + x["multiplicity"] * x["length"])
-    whole = chained(F.col("p"), k, edges)
-    return grouped.select(F.get("p.src", F.lit(0)).alias("src"), F.element_at("p.dst", -1).alias("dst"), whole.pop("sequence").alias("sequence"), total.alias("length"), (weight / total).alias("multiplicity"), F.size("p").cast("bigint").alias("n_merged"), *(c.alias(n) for n, c in whole.items()))
+    whole = lineage_of(F.col("p"), edges)
+    return grouped.select("first.src", "dst", F.concat("first.begin", F.array_join("p.added", "")).alias("sequence"), total.alias("length"), (weight / total).alias("multiplicity"), F.size("p").cast("bigint").alias("n_merged"), *(c.alias(n) for n, c in whole.items()))

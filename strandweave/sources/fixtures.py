@@ -62,7 +62,7 @@ def raw_edges(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
 
 
 #: Patterns of small graphs, dealt out to the parts.
-SITES = ("whirl_safe", "whirl_unsafe", "whirls", "strands", "strands_both", "complex_both", "complex_one", "complex_none", "site_many")
+SITES = ("whirl_safe", "whirl_unsafe", "whirls", "strands", "strands_both", "complex_both", "complex_one", "complex_none", "site_many", "loop", "loop_first")
 
 
 def part_sites(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = SITES) -> DataFrame:
