@@ -801,7 +801,12 @@ def simplified_paths(spark, sf_dir):
     return export.path_lines(simplified_of(spark, sf_dir))
 
 
-@query()
+_PARTS_OF = lambda i: f"""il{i} AS MATERIALIZED (SELECT key1, key2, i AS at, nodes{i}[i] AS id FROM (SELECT key1, key2, nodes{i}, unnest(range(2, len(nodes{i}))) AS i FROM best)),
+pt{i} AS (SELECT b.key1, b.key2, string_agg(array_to_string(nodes{i}[x.at - 1 : y.at + 1], '>'), ',' ORDER BY x.at, y.at) AS parts FROM best b JOIN il{i} x USING (key1, key2) JOIN d e ON e.id = x.id JOIN il{i} y ON y.key1 = b.key1 AND y.key2 = b.key2 AND y.at >= x.at JOIN d f ON f.id = y.id
+  WHERE e.n_in - CASE WHEN e.self_loops > 0 THEN 1 ELSE 0 END > 1 AND (f.n_out > 2 OR f.n_out = 2 AND f.self_loops = 0) GROUP BY b.key1, b.key2)"""
+
+
+@query(rec(f"{_pairs(3, 0.8)}, {deg('d', 'cg')}, {_PARTS_OF(1)}, {_PARTS_OF(2)}", "SELECT s AS start, e AS \"end\", best.key1, best.key2, coalesce(pt1.parts, '') AS parts1, coalesce(pt2.parts, '') AS parts2 FROM best LEFT JOIN pt1 USING (key1, key2) LEFT JOIN pt2 USING (key1, key2)"))
 def bulge_parts(spark, sf_dir):
     """The 2-in-2-out sub-paths inside the legs of the best bulges."""
     e = collapsed_of(spark, sf_dir)

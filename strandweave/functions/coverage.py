@@ -21,10 +21,6 @@ def step_coverage(multiplicity: Column | str, src: Column | str, dst: Column | s
     return F.when(palindromic(src, dst), col(multiplicity) / 2).otherwise(col(multiplicity))
 
 
-def subtract(multiplicity: Column | str, amount: Column | str) -> Column:
-    return F.greatest(col(multiplicity) - col(amount), F.lit(0.0))
-
-
 def ratio(a: Column | str, b: Column | str) -> Column:
     """The shorter over the longer."""
     return F.least(col(a), col(b)) / F.greatest(col(a), col(b))

@@ -124,11 +124,3 @@ def unary_chains(edges: DataFrame, hops: int | None = None) -> DataFrame:
         if level.isEmpty():
             break
     return found
-
-
-def strand_links(sites: DataFrame, edges: DataFrame) -> DataFrame:
-    """``src, dst, multiplicity``: in0 to out1 and in1 to out0, with the length-weighted mean of the first and the last edge."""
-    pairs = sites.select("head", "tail", F.explode(F.array(F.struct(F.col("in0").alias("src"), F.col("out1").alias("dst")), F.struct(F.col("in1").alias("src"), F.col("out0").alias("dst")))).alias("p")).select("head", "tail", "p.*")
-    first = edges.select("src", F.col("dst").alias("head"), F.col("length").alias("l1"), F.col("multiplicity").alias("m1"))
-    last = edges.select(F.col("src").alias("tail"), "dst", F.col("length").alias("l2"), F.col("multiplicity").alias("m2"))
-    return pairs.join(first, ["src", "head"]).join(last, ["tail", "dst"]).groupBy("src", "dst").agg(((F.sum(F.col("m1") * F.col("l1")) + F.sum(F.col("m2") * F.col("l2"))) / F.sum(F.col("l1") + F.col("l2"))).alias("multiplicity"))
