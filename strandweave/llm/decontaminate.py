@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, tune
+from .common import saved, trimmed, tune
 
 WORDS = 10
 #: Words of the benchmark that one automaton holds, about; a word takes up to ten nodes of about 50 bytes.
@@ -152,7 +152,7 @@ def scanned(documents: DataFrame, benchmark: DataFrame, n: int = WORDS, max_word
                     names,
                 )
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(trimmed(run), schema)
         if not last:
             out = saved(out, "scanned")
             shared.unpersist()

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, hash_slices, pack_counts, pack_hashes, pack_texts, saved, stable, text_batches, tune, unpack_counts, unpack_hashes, unpack_texts
+from .common import drop_table, hash_slices, pack_counts, pack_hashes, pack_texts, saved, stable, text_batches, trimmed, tune, unpack_counts, unpack_hashes, unpack_texts
 from .components import components
 from .hashing import run_hashes, word_hashes
 
@@ -94,7 +94,7 @@ def sets_of(documents: DataFrame, kind: str, n: int = WORDS) -> DataFrame:
             sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary())], ["doc_id", "n", "mark"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, mark binary")
+    return documents.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, n long, mark binary")
 
 
 def postings(documents: DataFrame, tokens: int, share: int = SHARE, n: int = WORDS, batch_chars: int = BATCH_CHARS, part_tokens: int = PART_TOKENS) -> DataFrame:
@@ -172,11 +172,11 @@ def postings(documents: DataFrame, tokens: int, share: int = SHARE, n: int = WOR
                         numbers = (size[at:to], pos[at:to], reach(size[at:to], pos[at:to], share), own_[at:to])
                         yield pa.RecordBatch.from_arrays([pa.array(tok[at:to]), pa.array(ids[at:to], pa.binary()), *(pa.array(c.astype(np.int32)) for c in numbers)], ["tok", "id", "n", "pos", "reach", "held"])
 
-    asked = docs.mapInArrow(ask, "batch string, part int, tokens binary, counts binary")
+    asked = docs.mapInArrow(trimmed(ask), "batch string, part int, tokens binary, counts binary")
     answers = asked.repartition(parts, "part").groupBy("part").applyInArrow(answer, "batch string, part int, levels binary")
     lists = answers.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("part", "levels"))).alias("answers"))
-    met = docs.mapInArrow(packed, "batch string, n long, texts binary").join(lists, "batch", "left")
-    return met.select("batch", "n", "texts", "answers").mapInArrow(place, "tok long, id binary, n int, pos int, reach int, held int")
+    met = docs.mapInArrow(trimmed(packed), "batch string, n long, texts binary").join(lists, "batch", "left")
+    return met.select("batch", "n", "texts", "answers").mapInArrow(trimmed(place), "tok long, id binary, n int, pos int, reach int, held int")
 
 
 def overlaps(documents: DataFrame, table: DataFrame, pairs: DataFrame, kind: str, n: int = WORDS) -> DataFrame:
@@ -192,7 +192,7 @@ def overlaps(documents: DataFrame, table: DataFrame, pairs: DataFrame, kind: str
             yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
 
     texts = documents.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
-    sets = saved(texts.mapInArrow(to_sets, "id binary, set binary").dropDuplicates(["id"]), "sets")
+    sets = saved(texts.mapInArrow(trimmed(to_sets), "id binary, set binary").dropDuplicates(["id"]), "sets")
 
     def compare(batches):
         for batch in batches:
@@ -210,7 +210,7 @@ def overlaps(documents: DataFrame, table: DataFrame, pairs: DataFrame, kind: str
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")).join(shares, "a").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
     dealt = pairs.select("a", "b").join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")).drop("shares")
     met = dealt.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(left, ["a", "share"])
-    return met.select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary, na long, nb long, o long")
+    return met.select("a", "b", "sa", "sb").mapInArrow(trimmed(compare), "a binary, b binary, na long, nb long, o long")
 
 
 def _reach(share: int, na, nb, o):

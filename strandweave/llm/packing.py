@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved, tune
+from .common import saved, trimmed, tune
 
 WINDOW = 2048
 END_ID = 1
@@ -257,7 +257,7 @@ def tokenised(documents: DataFrame, tokenizer: str | None = None, max_queues: in
                 ["doc_id", "part", "queue", "start", "n", "ids"],
             )
 
-    return documents.select("doc_id", "text", queue.alias("queue")).mapInArrow(run, f"doc_id {kind}, part int, queue string, start long, n long, ids binary")
+    return documents.select("doc_id", "text", queue.alias("queue")).mapInArrow(trimmed(run), f"doc_id {kind}, part int, queue string, start long, n long, ids binary")
 
 
 _encoder: tuple[str, Encoder] | None = None
@@ -330,4 +330,4 @@ def pack(documents: DataFrame, tokenizer: str | None = None, window: int = WINDO
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), *(pa.array(c, pa.int64()) for c in out[1:7]), pa.array(out[7], pa.string())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"])
 
-    return joined.select("doc_id", "queue", "start", "n", "before", "ids").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string")
+    return joined.select("doc_id", "queue", "start", "n", "before", "ids").mapInArrow(trimmed(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string")

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import tune
+from .common import trimmed, tune
 from .trees import Boosted, boost, sigmoid
 
 KINDS = ("email", "ip", "card", "phone")
@@ -321,7 +321,7 @@ def find(documents: DataFrame, detector: Detector | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digests, pa.string()), pa.array([spell(f) for _, f in found], pa.string()), pa.array([len(f) - len(b) for b, f in found], pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
     tune(documents.sparkSession)
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return documents.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def mask(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
@@ -351,4 +351,4 @@ def redact(documents: DataFrame, detector: Detector | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([values[c] for c in columns], columns)
 
     tune(documents.sparkSession)
-    return documents.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+    return documents.mapInArrow(trimmed(run), ", ".join(f"`{c}` {kinds[c]}" for c in columns))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, tune
+from .common import bounded_sample, fold, trimmed, tune
 from .trees import boost, sigmoid
 
 #: Labelled rows that train the rules.
@@ -93,7 +93,7 @@ def with_statistics(documents: DataFrame, keep: list[str]) -> DataFrame:
 
     tune(documents.sparkSession)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{stat(s)} double" for s in STATISTICS)])
-    return documents.select(*keep, "text").mapInArrow(run, schema)
+    return documents.select(*keep, "text").mapInArrow(trimmed(run), schema)
 
 
 @dataclass
