@@ -157,6 +157,18 @@ def test_intervals_against_the_sequential_rule(spark):
     assert sorted(round(r.identity, 9) for r in got) == sorted(round(w[4] / w[3], 9) for w in want)
 
 
+def test_intervals_of_a_hot_query_are_merged_by_ranges(spark):
+    rng = random.Random(14)
+    rows = [("hot" if rng.random() < 0.8 else f"q{rng.randrange(5)}", f"r{rng.randrange(2)}", a := rng.randrange(10**7), a + rng.randrange(1, 60_000), rng.randrange(1, 900), rng.random()) for _ in range(900)]
+    rows += rows[:40] + [("hot", "r0", 5, 9_000_000, 7, 0.5)]  # one interval reaches over most ranges
+    df = spark.createDataFrame(rows, "query string, ref_id string, ref_start bigint, ref_end bigint, length bigint, identity double")
+    show = lambda d: sorted((r["query"], r.ref_id, r.ref_start, r.ref_end, r.length, round(r.identity, 9)) for r in d.collect())
+    for d in (df, df.filter("length <> 7")):
+        want = show(intervals.merge(d, gap=3000))
+        assert show(intervals.merge(d, gap=3000, hot=50)) == want and len(want) > 5
+    assert intervals.merge(df.limit(0), hot=0).count() == 0
+
+
 def test_walks(spark):
     w = spark.createDataFrame([(1, i, n) for i, n in enumerate("abcabc")], "walk int, pos int, node string")
     assert {(r.src, r.dst): r.positions for r in walk.edge_orders(w).collect()}[("a", "b")] == "1:0,1:3"
