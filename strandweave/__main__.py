@@ -40,6 +40,7 @@ def options() -> argparse.ArgumentParser:
     out.add_argument("--hops", type=within(1, 10, int), nargs=4, default=(3, 4, 5, 10), help="edges of a bulge's path, for the searches")
     out.add_argument("--stages", choices=names, nargs="*", help="only these stages")
     out.add_argument("--after", choices=names, help="only the stages after this one")
+    out.add_argument("--contracted", type=int, help="also write a DOT file in which edges up to this length are contracted")
     out.add_argument("--snapshots", help="a folder for a snapshot after each stage")
     return out
 
@@ -78,7 +79,10 @@ def main(given: Sequence[str] | None = None) -> None:
     plan = [s for s in plan if args.stages is None or s.name in args.stages]
     count = iter(range(1, 1000))
     snapshot = (lambda name, g, n: export.save_snapshot(g, f"{args.snapshots}/{next(count):02d}-{name}")) if args.snapshots else None
-    export.write_graph(simplify.simplify(graph, plan, snapshot).edges, args.output)
+    edges = simplify.simplify(graph, plan, snapshot).edges
+    export.write_graph(edges, args.output)
+    if args.contracted is not None:
+        export.write_view(edges, f"{args.output}/contracted", args.contracted)
 
 
 if __name__ == "__main__":

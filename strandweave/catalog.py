@@ -713,6 +713,29 @@ def contract_short_edges(spark, sf_dir):
 def contracted_view(spark, sf_dir):
     return contract.contracted_edges(unitigs_of(spark, sf_dir), 12).select("label", "src", "dst")
 
+_GROUPS = f"sh AS MATERIALIZED (SELECT * FROM ug WHERE length <= 12 AND src <> dst AND dst <> {RN('src')}), ln AS MATERIALIZED (SELECT src AS a, dst AS b FROM sh UNION SELECT dst, src FROM sh), cc AS (SELECT DISTINCT a AS id, a AS c FROM ln UNION SELECT l.b, cc.c FROM cc JOIN ln l ON l.a = cc.id), cm AS MATERIALIZED (SELECT id, min(c) AS comp FROM cc GROUP BY id)"
+_NAMED = f"{UNITIGS}, {_GROUPS}, sz AS (SELECT comp, count(*) AS n, sum(length) AS l FROM sh JOIN cm ON cm.id = src GROUP BY comp), nm AS MATERIALIZED (SELECT comp, min(id) || '_' || max(id) || '_N' || any_value(n) || '_L' || any_value(l) AS name FROM cm JOIN sz USING (comp) GROUP BY comp), na AS MATERIALIZED (SELECT id, name FROM cm JOIN nm USING (comp))"
+_LINE = "'\"' || {0} || '\" -> \"' || {1} || '\" [label=\"' || label || ' ' || substr(sequence, 14, 1) || ' ' || length || '(' || CAST(round(multiplicity) AS BIGINT) || ')' || {2} || '\" color=\"' || {3} || '\"]'"
+
+
+@query(rec(_NAMED, f"SELECT {_LINE.format('coalesce(x.name, src)', 'coalesce(y.name, dst)', chr(39) * 2, chr(39) + 'black' + chr(39))} AS value FROM ug LEFT JOIN na x ON x.id = src LEFT JOIN na y ON y.id = dst WHERE label NOT IN (SELECT label FROM sh) UNION ALL SELECT '\"' || id || '\" [style=filled fillcolor=\"white\"]' FROM (SELECT DISTINCT coalesce(name, e.id) AS id FROM (SELECT src AS id FROM ug UNION SELECT dst FROM ug) e LEFT JOIN na ON na.id = e.id)"))
+def dot_contracted(spark, sf_dir):
+    """The lines of the contracted view's file."""
+    nodes, edges = contract.contracted_graph(unitigs_of(spark, sf_dir), 12)
+    return export.dot_lines(edges, rounded=True).union(export.node_lines(nodes))
+
+
+_TINTS = "CASE split_part(ltrim(refs[1], '-'), ' ', 1) WHEN '1A' THEN '#325527' WHEN '2B' THEN '#628DCF' WHEN '3M' THEN '#41496B' ELSE '' END"
+
+
+@query(rec(f"{UNITIGS}, rf AS (SELECT label, list_sort([['1A 9', '-2B 7', '3M', 'other'][1 + length % 4], ['3M', '1A 9'][1 + length % 2]]) AS two, length FROM ug WHERE length > 20), rl AS (SELECT label, list_sort(list_distinct(two)) AS refs FROM rf)", f"SELECT {_LINE.format('src', 'dst', 'CASE WHEN refs IS NULL THEN chr(32)[1:0] ELSE chr(92) || chr(110) || array_to_string(refs, chr(92) || chr(110)) END', 'CASE WHEN refs IS NULL THEN chr(98) || chr(108) || chr(97) || chr(99) || chr(107) ELSE ' + _TINTS + ' END')} AS value FROM ug LEFT JOIN rl USING (label)"))
+def dot_coloured(spark, sf_dir):
+    """The lines of the file that colours edges by the references aligned to them."""
+    e = unitigs_of(spark, sf_dir).withColumn("ref_ids", F.array().cast("array<string>"))
+    pick = lambda n, *names: F.get(F.array(*map(F.lit, names)), (F.col("length") % n).cast("int"))
+    summary = e.filter("length > 20").select(F.col("label").alias("query"), F.explode(F.array(pick(4, "1A 9", "-2B 7", "3M", "other"), pick(2, "3M", "1A 9"))).alias("ref"))
+    return export.coloured_lines(intervals.annotated(e, summary))
+
 
 @query(rec(f"{UNITIGS}, gn AS (SELECT 'g' || doc_id AS genome, s FROM b)", f"SELECT DISTINCT label, genome FROM ug JOIN gn ON contains(s, sequence) OR contains(s, {RC('sequence')})"))
 def contains_join(spark, sf_dir):

@@ -184,6 +184,18 @@ def test_contraction(spark):
     assert empty.count() == 0
 
 
+def test_views_as_files(spark, tmp_path):
+    g = graph(spark, "complex_both")
+    edges = g.edges.withColumn("ref_ids", F.when(F.col("src") == "A", F.array(F.lit("-2B 9"), F.lit("x"))))
+    export.write_view(edges, str(tmp_path / "c"), 100)
+    assert {r.value for r in spark.read.text(str(tmp_path / "c/dot")).collect()} == {'"A_Y_N6_L30" [style=filled fillcolor="white"]', '"-A_-Y_N6_L30" [style=filled fillcolor="white"]'}
+    export.write_view(edges, str(tmp_path / "d"), coloured=True)
+    lines = [r.value for r in spark.read.text(str(tmp_path / "d/dot")).collect() if "->" in r.value]
+    assert len(lines) == 12 and sum("#628DCF" in x and "\\n-2B 9\\nx" in x for x in lines) == 2 and sum('color="black"' in x for x in lines) == 10
+    with pytest.raises(Exception, match="exist"):
+        export.write_view(edges, str(tmp_path / "d"))
+
+
 def test_files_round_trip(spark, tmp_path):
     g = graph(spark, "complex_both")
     export.write_graph(g.edges, str(tmp_path / "g"))
