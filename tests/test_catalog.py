@@ -12,7 +12,7 @@ import __spark_entry__
 from strandweave import catalog
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ("rc_sequences", "dbg_edges", "degree_table", "unitigs", "edge_labels", "bulge_collapse", "bulge_collapse_fold", "khop_paths_2", "bulge_best_pair", "safe_to_extract", "whirl_2cycle", "whirl_cycles", "tip_best_sibling", "broken_bulge_candidates", "edit_prefix_distance", "edit_infix_distance", "contracted_view", "colour_map", "interval_filtered", "walk_find_steps", "evidence_support_matrix", "evidence_accept", "unary_chain_2x2", "rc_decouple_candidates", "interval_merge", "alignment_scan", "levenshtein_pairs", "dot_export", "fasta_parse", "contains_join", "walk_find_path", "aligner_exact", "edit_infix_starts", "whirl_round", "strand_round_strict", "complex_bulge_round_2", "self_loop_round", "evidence_greedy_matching", "bulge_parts", "contig_lengths", "dot_contracted", "dot_coloured")
+NAMES = ("rc_sequences", "dbg_edges", "degree_table", "unitigs", "edge_labels", "bulge_collapse", "bulge_collapse_fold", "khop_paths_2", "bulge_best_pair", "safe_to_extract", "whirl_2cycle", "whirl_cycles", "tip_best_sibling", "broken_bulge_candidates", "edit_prefix_distance", "edit_infix_distance", "contracted_view", "colour_map", "interval_filtered", "walk_find_steps", "evidence_support_matrix", "evidence_accept", "unary_chain_2x2", "rc_decouple_candidates", "interval_merge", "alignment_scan", "levenshtein_pairs", "dot_export", "fasta_parse", "contains_join", "walk_find_path", "aligner_exact", "strand_round_strict", "complex_bulge_round_2", "bulge_parts", "dot_coloured")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables here")
 

@@ -175,6 +175,27 @@ def test_walks(spark):
     assert sorted(r.pos for r in walk.find_path(w, ["a", "b", "c"]).collect()) == [0, 3]
 
 
+def test_long_walks_are_cut_into_blocks(spark):
+    rng = random.Random(19)
+    walks = {1: [rng.choice("ab") for _ in range(700)], 2: list("abc"), 3: list("aaaaaaa")}
+    w = spark.createDataFrame([(k, 2 * i, n) for k, nodes in walks.items() for i, n in enumerate(nodes)], "walk int, pos int, node string")
+    for path in (list("aba"), list("aa"), ["b"]):
+        every = {(k, 2 * i) for k, nodes in walks.items() for i in range(len(nodes) - len(path) + 1) if nodes[i : i + len(path)] == path}
+        kept, step = set(), max(len(path) - 1, 1)
+        for k, nodes in walks.items():
+            i = 0
+            while i <= len(nodes) - len(path):
+                if nodes[i : i + len(path)] == path:
+                    kept.add((k, 2 * i))
+                    i += step
+                else:
+                    i += 1
+        for hot in (0, 10**6):
+            assert {tuple(r) for r in walk.find_path(w, path, hot=hot, block=9).collect()} == every
+            assert {tuple(r) for r in walk.find_path(w, path, True, hot=hot, block=9).collect()} == kept
+    assert walk.steps(w, 0, 5).count() == 707 and {tuple(r) for r in walk.steps(w, 0, 5).collect()} == {tuple(r) for r in walk.steps(w).collect()}
+
+
 def test_contraction(spark):
     e = motifs.edges(spark, "complex_both")
     got = contract.contracted_nodes(e, 100).collect()
