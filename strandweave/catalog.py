@@ -787,12 +787,6 @@ def walk_graph(spark, sf_dir):
 # ---- whole plans
 
 
-@query()
-def complex_bulge_round(spark, sf_dir):
-    graph, _ = simplify.complex_bulges(model.Graph(collapsed_of(spark, sf_dir), K), 3, 0.8, 3)
-    return shown(graph.edges)
-
-
 @query()
 def evidence_decoupled(spark, sf_dir):
     """One round of parting ways by the documents that edges share."""
