@@ -787,14 +787,6 @@ def walk_graph(spark, sf_dir):
 # ---- whole plans
 
 
-@query()
-def evidence_decoupled(spark, sf_dir):
-    """One round of parting ways by the documents that edges share."""
-    refs = lineage(spark, sf_dir).select(F.col("label").alias("query"), F.explode("ref_ids").alias("ref"))
-    graph, _ = simplify.evidence(model.Graph(unitigs_of(spark, sf_dir), K), lambda _: refs)
-    return shown(graph.edges)
-
-
 def simplified_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, with the documents that edges share as evidence, and coverage thresholds for inputs in which a document gives one read."""
     path = f"{sf_dir}/documents.parquet"
