@@ -74,3 +74,10 @@ def test_degrees_take_one_shuffle(spark):
     got = {r.id: (r.n_in, r.n_out, r.legs_in, r.legs_out, r.cov_in, r.cov_out, r.self_loops) for r in d.collect()}
     assert got == {"a": (0, 1, 0, 2, 0.0, 3.0, 0), "b": (2, 2, 3, 2, 7.0, 5.0, 1), "-a": (1, 0, 1, 0, 1.0, 0.0, 0)}
     assert d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
+
+
+def test_pairs_at_the_bound_are_pairs(spark):
+    """Lengths 8 and 10 are alike by 0.8, though 1 - 0.8 isn't 0.2."""
+    p = spark.createDataFrame([("A", "D", ["A", x, "D"], [f"A.{x}", f"{x}.D"], n, 1.0, 1.0) for x, n in (("B", 8), ("C", 10), ("E", 7))], "start string, end string, nodes array<string>, labels array<string>, length bigint, weight double, min_cov double")
+    got = paths.bulge_pairs(p, 0.8).select("key1", "key2").collect()
+    assert sorted(map(tuple, got)) == [("A.B,B.D", "A.C,C.D"), ("A.B,B.D", "A.E,E.D")]
