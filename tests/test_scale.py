@@ -81,3 +81,9 @@ def test_pairs_at_the_bound_are_pairs(spark):
     p = spark.createDataFrame([("A", "D", ["A", x, "D"], [f"A.{x}", f"{x}.D"], n, 1.0, 1.0) for x, n in (("B", 8), ("C", 10), ("E", 7))], "start string, end string, nodes array<string>, labels array<string>, length bigint, weight double, min_cov double")
     got = paths.bulge_pairs(p, 0.8).select("key1", "key2").collect()
     assert sorted(map(tuple, got)) == [("A.B,B.D", "A.C,C.D"), ("A.B,B.D", "A.E,E.D")]
+
+
+def test_paths_without_a_reverse_have_no_row(spark):
+    e = spark.createDataFrame([("a.1", "r.1"), ("b.1", None)], "label string, rc_label string")
+    p = spark.createDataFrame([("x", ["a.1", "b.1"]), ("y", ["b.1"])], "key string, labels array<string>")
+    assert rows(paths.reverse_labels(p, e)) == [("x", "['r.1']")]
