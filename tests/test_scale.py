@@ -87,3 +87,13 @@ def test_paths_without_a_reverse_have_no_row(spark):
     e = spark.createDataFrame([("a.1", "r.1"), ("b.1", None)], "label string, rc_label string")
     p = spark.createDataFrame([("x", ["a.1", "b.1"]), ("y", ["b.1"])], "key string, labels array<string>")
     assert rows(paths.reverse_labels(p, e)) == [("x", "['r.1']")]
+
+
+def test_long_cycles_take_few_tables(spark, sizes):
+    """A ring of 300 edges: by walks of six steps a table these were 50 tables of whole walks."""
+    n = 300
+    e = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % n}", f"n{i}.1", 1, float(i + 1)) for i in range(n)] + [("t", "n5", "t.1", 1, 9.0)], "src string, dst string, label string, length bigint, multiplicity double")
+    got = whirl.cycles(e).collect()
+    assert len(got) == n and {(r.length, r.min_cov) for r in got} == {(n, 1.0)}
+    assert all(r.nodes == [f"n{(int(r.start[1:]) + j) % n}" for j in range(n + 1)] and r.labels == [f"{x}.1" for x in r.nodes[:-1]] for r in got)
+    assert sum(map(len, sizes.values())) < 60 and len(sizes["whirls"]) == 1
