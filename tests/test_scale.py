@@ -5,11 +5,11 @@ from __future__ import annotations
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from strandweave import catalog, model
 from strandweave.operators import bulge, compact, degree, paths, whirl
 from strandweave.plans import tables
+from strandweave.sinks import export
 from strandweave.sources import fixtures
 
 DIR = "/root/testdata/sf0.001"
@@ -97,3 +97,9 @@ def test_long_cycles_take_few_tables(spark, sizes):
     assert len(got) == n and {(r.length, r.min_cov) for r in got} == {(n, 1.0)}
     assert all(r.nodes == [f"n{(int(r.start[1:]) + j) % n}" for j in range(n + 1)] and r.labels == [f"{x}.1" for x in r.nodes[:-1]] for r in got)
     assert sum(map(len, sizes.values())) < 60 and len(sizes["whirls"]) == 1
+
+
+def test_identities_are_rounded_by_their_exact_value(spark):
+    values = [k / 1000 for k in range(1001)] + [0.125, 0.375, 1.005, 7.995, 0.974999999, 0.0049999, 9.876, -0.5]
+    got = spark.createDataFrame(list(enumerate(values)), "i int, v double").orderBy("i").select(export.two_places("v")).collect()
+    assert [r[0] for r in got] == [f"{v:.2f}" for v in values]
