@@ -7,6 +7,7 @@ import os
 import pytest
 
 from strandweave import catalog, model
+from strandweave.functions.strand import kmer_number, kmer_text
 from strandweave.operators import bulge, compact, degree, paths, whirl
 from strandweave.plans import tables
 from strandweave.sinks import export
@@ -64,6 +65,35 @@ def test_kmer_rings_are_cut_as_others(spark):
     assert rows(got) == rows(compact.compact(fixtures.with_nodes(counts, 3), 3)) and got.count() > 0
 
 
+def test_kmers_are_counted_as_numbers_on_one_strand(spark):
+    """Longer and shorter reads than a stretch of 31 bases, repeats, and (k+1)-mers that are their own reverse complement."""
+    forward = spark.createDataFrame([("ACGT" * 20,), ("GATTACAGATTACATTTGCCCGGGAATTCCAAGTCGATCGATTTA",), ("ACGTA",), ("ACG",), (None,)], "s string")
+    got = fixtures.kmer_tally(forward, 3)
+    both = [(r[0],) for r in forward.collect() if r[0] and len(r[0]) > 3] + [(model_rc(r[0]),) for r in forward.collect() if r[0] and len(r[0]) > 3]
+    want = fixtures.kmer_counts(spark.createDataFrame(both, "s string"), 3)
+    assert rows(got.select(kmer_text("id", 4).alias("sequence"), "multiplicity")) == rows(want)
+    shuffled = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "string" not in shuffled.split("Aggregate")[1].split("\n")[0]
+
+
+def test_degrees_of_numbers(spark):
+    reads = spark.createDataFrame([("AAAAACCCTTGAAAC",), (model_rc("AAAAACCCTTGAAAC"),), ("TTGACGTCAATTC",), (model_rc("TTGACGTCAATTC"),)], "s string")
+    counts = fixtures.kmer_counts(reads, 3)
+    got = degree.kmer_degrees(counts.select(kmer_number("sequence").alias("id"), "multiplicity"), 3)
+    want = degree.degrees(fixtures.with_nodes(counts, 3))
+    assert rows(got) == rows(want) and got.dtypes == want.dtypes
+
+
+@needs_tables
+def test_references_are_gathered_for_edges_at_sites_only(spark):
+    e, sites = catalog.around_sites(spark, DIR)
+    whole = catalog.lineage(spark, DIR)
+    at = {r.id for r in sites.collect()}
+    want = sorted((r.label, r.ref_ids) for r in whole.collect() if r.src in at or r.dst in at)
+    assert sorted((r.label, r.ref_ids) for r in e.collect()) == want
+    assert e.count() < whole.count()
+
+
 def model_rc(s):
     return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
 
