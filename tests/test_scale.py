@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandweave import catalog, model
 from strandweave.functions.strand import kmer_number, kmer_text
@@ -106,6 +107,22 @@ def test_degrees_take_one_shuffle(spark):
     assert d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
 
 
+def test_hops_are_walked_once(spark):
+    """Paths of three edges: the second hop is read from its table, and the steps from a node take one shuffle."""
+    e = spark.createDataFrame([("a", "b", "AC", 1, 2.0), ("a", "c", "AG", 1, 1.0), ("b", "d", "CC", 1, 4.0), ("c", "d", "CT", 1, 1.0), ("d", "f", "CA", 2, 1.0)], EDGE)
+    e = e.withColumn("label", F.concat("src", F.lit("."), "dst"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = paths.khop(e, 3)
+        assert sorted("".join(r.nodes) for r in found.collect()) == ["ab", "abd", "abdf", "ac", "acd", "acdf"]
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") + plan.count("BroadcastHashJoin") == 1
+        one = paths.khop(e, 1)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert one.count("Exchange ") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_pairs_at_the_bound_are_pairs(spark):
     """Lengths 8 and 10 are alike by 0.8, though 1 - 0.8 isn't 0.2."""
     p = spark.createDataFrame([("A", "D", ["A", x, "D"], [f"A.{x}", f"{x}.D"], n, 1.0, 1.0) for x, n in (("B", 8), ("C", 10), ("E", 7))], "start string, end string, nodes array<string>, labels array<string>, length bigint, weight double, min_cov double")
