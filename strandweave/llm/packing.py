@@ -41,6 +41,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,13 +75,17 @@ class Encoder:
 
     A byte-level tokenizer splits a text at spaces before it merges anything: a
     space belongs to the word after it. So a text's ids are the ids of its
-    words, each with its leading space. Only a run of spaces is split
-    otherwise; a text that has one goes to the tokenizer whole, and so does one
-    with the string of a special token. Words that the cache lacks are encoded
-    in one call, by the same vocabulary and merges in a faster library, and
-    parted by the tokens' byte lengths.
+    words, each with its leading space. Only a space between white space, or
+    after it at the end, is split otherwise; a text that has one goes to the
+    tokenizer whole, and so does one with the string of a special token. The
+    texts of a batch are split together, and each of their distinct words is
+    looked up once. Those that the cache lacks are encoded in one call, by the
+    same vocabulary and merges in a faster library, and parted by the tokens'
+    byte lengths.
     """
 
+    SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    WHOLE = f"{SPACE} {SPACE}| $"
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
     def __init__(self, path: str | None = None, cache_words: int = CACHE_WORDS):
@@ -89,8 +94,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
         self.kind = packed_kind(self.tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
         self.limit = cache_words
+        self.known, self.known_ids, self.known_sizes = pa.array([], pa.string()), np.empty(0, self.kind), np.empty(0, np.int64)
         self.words = self._word_encoder()
 
     def _word_encoder(self):
@@ -117,28 +122,65 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        """Packed ids of words, each with its leading space."""
-        ids = np.array(self.words.encode_ordinary(" " + " ".join(words)), self.kind)
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
-        stops = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * ids.itemsize
-        raw, at, out = ids.tobytes(), 0, {}
-        for word, stop in zip(words, stops.tolist()):
-            out[word] = raw[at:stop]
-            at = stop
-        return out
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, list[int]]:
+        """Ids of words, each with its leading space, one word after the other; and how many each has."""
+        if not len(words):
+            return np.empty(0, self.kind), []
+        one = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py()
+        ids = self.words.encode_to_numpy(" " + one, disallowed_special=())
+        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+        return ids.astype(self.kind), np.diff(np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1, prepend=0)
+
+    def _found(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct words, each with its leading space, the entry in a list of entries; the ids of these, and how many each has."""
+        at = pc.index_in(words, value_set=self.known)
+        missing = pc.is_null(at)
+        # side by side, words with white space at their ends would be split as one
+        edged = pc.and_(missing, pc.match_substring_regex(words, f"^{self.SPACE}|{self.SPACE}$"))
+        plain = pc.and_not(missing, edged)
+        parts = [self._new(words.filter(plain)), *(self._new(words.slice(i, 1)) for i in np.flatnonzero(edged).tolist())]
+        where = np.concatenate([np.flatnonzero(plain), np.flatnonzero(edged)])
+        entry = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        entry[where] = len(self.known) + np.arange(len(where))
+        ids, sizes = (np.concatenate([held, *(x[i] for x in parts)]) for i, held in enumerate((self.known_ids, self.known_sizes)))
+        if len(self.known) < self.limit:
+            self.known, self.known_ids, self.known_sizes = pa.concat_arrays([self.known, words.filter(plain), words.filter(edged)]), ids, sizes.astype(np.int64)
+        return entry, ids, sizes.astype(np.int64)
+
+    def encode_all(self, texts: pa.Array, last: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, each with ``last`` after it; and where each ends."""
+        texts = pc.fill_null(texts, "")
+        n = len(texts)
+        whole = pa.array(np.full(n, self.words is None))
+        if self.words is not None:
+            whole = pc.match_substring_regex(texts, self.WHOLE)
+            for special in self.special:
+                whole = pc.or_(whole, pc.match_substring(texts, special))
+        split = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        bounds, flat, each = split.offsets.to_numpy().astype(np.int64), split.values, np.arange(n)
+        bounds = bounds - bounds[0]
+        # a text's first word has no space before it; it, or a text that goes whole, is an entry of its own
+        follows = np.ones(len(flat), bool)
+        follows[bounds[:-1]] = False
+        words = flat.filter(pa.array(follows)).dictionary_encode()
+        firsts = pc.if_else(whole, texts, flat.take(pa.array(bounds[:-1]))).to_numpy(zero_copy_only=False).tolist()
+        entry, ids, sizes = self._found(words.dictionary)
+        own = [np.frombuffer(self._whole(t), self.kind) if t else np.empty(0, self.kind) for t in firsts] + [np.array(last, self.kind)]
+        ids, sizes, known = np.concatenate([ids, *own]), np.concatenate([sizes, np.fromiter(map(len, own), np.int64, n + 1)]), len(sizes)
+        starts = np.cumsum(sizes) - sizes
+        # the entries in the texts' order, with a place for the last ids of each
+        first, end = bounds[:-1] + each, bounds[1:] + each
+        rest = np.ones(len(flat) + n, bool)
+        rest[first] = rest[end] = False
+        order = np.empty(len(flat) + n, np.int64)
+        order[rest], order[first], order[end] = entry[words.indices.to_numpy()], known + each, known + n
+        lengths = sizes[order]
+        stops = np.cumsum(lengths)
+        places = np.repeat(starts[order] - stops + lengths, lengths) + np.arange(stops[-1] if n else 0)
+        return ids[places], stops[end]
 
     def encode(self, text: str) -> bytes:
-        if self.words is None or "  " in text or any(s in text for s in self.special):
-            return self._whole(text)
-        first, *words = text.split(" ")
-        got = list(map(self.cache.get, words))
-        if None in got:
-            new = self._new([w for w, g in zip(dict.fromkeys(words), map(self.cache.get, dict.fromkeys(words))) if g is None])
-            got = [new[w] if g is None else g for w, g in zip(words, got)]
-            if len(self.cache) < self.limit:
-                self.cache |= new
-        return (self._whole(first) if first else b"") + b"".join(got)
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
 
 
 def packed_kind(tokenizer) -> str:
@@ -243,17 +285,19 @@ def tokenised(documents: DataFrame, tokenizer: str | None = None, max_queues: in
         if _encoder is None or _encoder[0] != tokenizer:
             _encoder = (tokenizer, Encoder(tokenizer))
         encoder = _encoder[1]
-        end = np.array([END_ID], encoder.kind).tobytes()
         width = np.dtype(encoder.kind).itemsize
         part, reached = TaskContext.get().partitionId(), {}
         for batch in batches:
-            ids = [encoder.encode(t or "") + end for t in batch.column(1).to_pylist()]
+            ids, ends = encoder.encode_all(batch.column(1), (END_ID,))
+            counts = np.diff(ends, prepend=0)
             starts, queues = [], batch.column(2).to_pylist()
-            for q, i in zip(queues, ids):
+            for q, n in zip(queues, counts.tolist()):
                 starts.append(reached.get(q, 0))
-                reached[q] = starts[-1] + len(i) // width
+                reached[q] = starts[-1] + n
+            offsets = np.concatenate([[0], ends * width]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([part] * len(ids), pa.int32()), batch.column(2), pa.array(starts, pa.int64()), pa.array([len(i) // width for i in ids], pa.int64()), pa.array(ids, pa.binary())],
+                [batch.column(0), pa.array([part] * len(ends), pa.int32()), batch.column(2), pa.array(starts, pa.int64()), pa.array(counts), packed],
                 ["doc_id", "part", "queue", "start", "n", "ids"],
             )
 

@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -20,6 +21,20 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(e.encode(t), e.kind).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_a_batch_encodes_its_words_in_one_call(monkeypatch):
+    """Texts of a batch together, known words or not, with white space at words' ends; each has its end after it."""
+    e = P.Encoder(cache_words=20)
+    calls = []
+    new = e._new
+    monkeypatch.setattr(e, "_new", lambda words: calls.append(len(words)) or new(words))
+    for start in (0, 500):
+        texts = [f"row {i} of word{i} and word{i + 1}" for i in range(start, start + 500)] + [None, "", " ", "a\n \nb", "x \n \n y ", "bar\n k", "\nfoo", "p \nfoo bar\n w", "two  spaces", "<|endoftext|> z", "e\x1c \x1cf", "日本 語 é"]
+        ids, ends = e.encode_all(pa.array(texts), (P.END_ID,))
+        want = [e.tokenizer.encode(t or "", add_special_tokens=False).ids + [P.END_ID] for t in texts]
+        assert [x.tolist() for x in np.split(ids, ends)[:-1]] == want and ends[-1] == len(ids)
+    assert sum(n > 1 for n in calls) == 2
+
+
 @pytest.mark.parametrize("totals,segments", [([1000, 5000, 3, 0, 77], 3), ([1], 1), ([4096], 2), ([7] * 300, 5)])
 def test_schedule_follows_the_mixture(totals, segments):
     totals = [t for t in totals if t]
