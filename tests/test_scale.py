@@ -146,6 +146,20 @@ def test_long_cycles_take_few_tables(spark, sizes):
     assert sum(map(len, sizes.values())) < 60 and len(sizes["whirls"]) == 1
 
 
+def test_forced_whirls_meet_edges_by_equal_nodes(spark):
+    """No whirl is compared with every edge; one with other edges around, one with none."""
+    e = spark.createDataFrame([("a", "b", "a.1", 1, 5.0), ("b", "a", "b.1", 1, 6.0), ("x", "b", "x.1", 9, 2.0), ("a", "y", "a.2", 9, 3.0), ("a", "a", "a.3", 4, 7.0), ("y", "a", "y.1", 99, 8.0), ("c", "d", "c.1", 1, 5.0), ("d", "c", "d.1", 1, 6.0)], "src string, dst string, label string, length bigint, multiplicity double")
+    found = spark.createDataFrame([("a", ["a", "b", "a"], ["a.1", "b.1"], 2, 5.0, False), ("c", ["c", "d", "c"], ["c.1", "d.1"], 2, 5.0, False), ("q", ["q", "r", "q"], ["q.1", "r.1"], 2, 1.0, True)], "start string, nodes array<string>, labels array<string>, length bigint, min_cov double, safe boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        drop, reset, loops = whirl.forced(found, e)
+        assert "NestedLoop" not in reset._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in reset._jdf.queryExecution().executedPlan().toString()
+        assert rows(drop) == [("a.1",), ("c.1",)] and rows(reset, ["label", "multiplicity"]) == [("b.1", "2.0"), ("d.1", "None")] and loops.count() == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_identities_are_rounded_by_their_exact_value(spark):
     values = [k / 1000 for k in range(1001)] + [0.125, 0.375, 1.005, 7.995, 0.974999999, 0.0049999, 9.876, -0.5]
     got = spark.createDataFrame(list(enumerate(values)), "i int, v double").orderBy("i").select(export.two_places("v")).collect()
