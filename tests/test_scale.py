@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandweave import catalog, model
 from strandweave.functions.strand import kmer_number, kmer_text
-from strandweave.operators import bulge, compact, degree, paths, whirl
+from strandweave.operators import bulge, compact, contract, degree, paths, whirl
 from strandweave.plans import tables
 from strandweave.sinks import export
 from strandweave.sources import fixtures
@@ -160,6 +161,20 @@ def test_forced_whirls_meet_edges_by_equal_nodes(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_words_of_genomes_are_made_for_bands_of_lengths(spark):
+    """Edges of 14 to 24 bases: 140 words of a genome of 64 bases, where a set of its words for each length has 506."""
+    assert contract.bands(list(range(14, 25))) == [(14, 17), (18, 22), (23, 24)] and contract.bands([1, 2, 3, 24]) == [(1, 1), (2, 2), (3, 3), (24, 24)]
+    rng = random.Random(3)
+    genomes = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (64, 64, 90, 15, 7, 24)]
+    held = [g[a : a + n] for g in genomes for n in (2, 5, 14, 15, 17, 18, 22, 23, 24, 25, 47, 64) for a in (0, len(g) - n, 3) if 0 <= a <= len(g) - n]
+    e = spark.createDataFrame([(f"e{i}", x if i % 2 else model_rc(x)) for i, x in enumerate(held + ["ACGTACGTACGTACGTAAA", "", None])], "label string, sequence string")
+    g = spark.createDataFrame([(f"g{i}", x) for i, x in enumerate(genomes)], "name string, sequence string")
+    assert contract.places(g.filter("name = 'g0'"), contract.bands(list(range(14, 25))), 24).count() == 140
+    want = sorted((r.label, f"g{i}") for r in e.collect() for i, x in enumerate(genomes) if r.sequence and (r.sequence in x or model_rc(r.sequence) in x))
+    for piece in (1 << 16, 20):
+        assert rows(contract.holders(e, g, piece=piece), ["label", "genome"]) == want
+
+
 def test_identities_are_rounded_by_their_exact_value(spark):
     values = [k / 1000 for k in range(1001)] + [0.125, 0.375, 1.005, 7.995, 0.974999999, 0.0049999, 9.876, -0.5]
     got = spark.createDataFrame(list(enumerate(values)), "i int, v double").orderBy("i").select(export.two_places("v")).collect()
