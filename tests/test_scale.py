@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandweave import catalog, model
-from strandweave.functions.strand import kmer_number, kmer_text
+from strandweave.functions.strand import kmer_number, kmer_text, node_number, node_text
 from strandweave.operators import bulge, compact, contract, degree, paths, whirl
 from strandweave.plans import tables
 from strandweave.sinks import export
@@ -179,3 +179,33 @@ def test_identities_are_rounded_by_their_exact_value(spark):
     values = [k / 1000 for k in range(1001)] + [0.125, 0.375, 1.005, 7.995, 0.974999999, 0.0049999, 9.876, -0.5]
     got = spark.createDataFrame(list(enumerate(values)), "i int, v double").orderBy("i").select(export.two_places("v")).collect()
     assert [r[0] for r in got] == [f"{v:.2f}" for v in values]
+
+
+def test_components_move_numbers_and_write_resting_pointers_once(spark, monkeypatch):
+    """Nodes of k-mer graphs are numbers that sort as their names; pointers at a root leave the rounds."""
+    names = ["ACG", "-ACG", "TTA", "-AAA", "CCC"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = {r.n: r for r in df.select("n", node_number("n", 3).alias("x"), node_text(node_number("n", 3), 3).alias("t")).collect()}
+    assert all(got[n].t == n for n in names) and sorted(names) == sorted(names, key=lambda n: got[n].x)
+    sizes: dict[str, list[int]] = {}
+
+    def counted(t, name):
+        out = tables.written(t, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(contract, "written", counted)
+    # a way of 40 nodes whose numbers rise, 100 pairs, and nodes that meet only through roots
+    links = [(i, i + 1) for i in range(1, 40)] + [(1000 + 2 * i, 1001 + 2 * i) for i in range(100)] + [(5000, 5009), (5001, 5009), (5001, 5008), (5002, 5008)]
+    comps = {r.id: r.comp for r in contract.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    want = {i: 1 for i in range(1, 41)} | {1000 + i: 1000 + i // 2 * 2 for i in range(200)} | {i: 5000 for i in (5000, 5001, 5002, 5008, 5009)}
+    assert comps == want
+    assert sizes["parents"][:3] == [141, 141, 38]
+
+
+@needs_tables
+def test_contracted_views_share_their_groups(spark):
+    for name in ("contract_short_edges", "contracted_view", "dot_contracted"):
+        catalog.queries()[name](spark, DIR).count()
+    comps = catalog.groups_of(spark, DIR)
+    assert comps is catalog.groups_of(spark, DIR) and comps.dtypes == [("id", "bigint"), ("comp", "bigint")]
