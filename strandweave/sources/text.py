@@ -45,10 +45,14 @@ def edge_sequences(records: DataFrame) -> DataFrame:
 
 
 def dot_edges(lines: DataFrame) -> DataFrame:
-    """``src, dst, label, start_base, length, multiplicity`` of the edge lines."""
-    part = lambda i: F.regexp_extract("value", _EDGE, i)
+    """``src, dst, label, start_base, length, multiplicity`` of the edge lines. A line is matched once: its parts are made one
+    text, which is split."""
     rows = lines.filter(F.contains("value", F.lit("[")) & F.contains("value", F.lit("->")))
-    return rows.select(part(1).alias("src"), part(2).alias("dst"), part(3).alias("label"), part(4).alias("start_base"), F.try_to_number(F.nullif(part(5), F.lit("")), F.lit("999999999999999999")).cast("bigint").alias("length"), F.expr(f"try_cast(regexp_extract(value, r'{_EDGE}', 6) as double)").alias("multiplicity")).filter("src <> ''")
+    parts = F.split(F.regexp_replace("value", f"(?s){_EDGE}.*", "$1\n$2\n$3\n$4\n$5\n$6"), "\n")
+    # made inside the array, the parts are made once, not again for each column
+    p = rows.select(F.explode(F.array(parts)).alias("p")).filter(F.size("p") == 6)
+    part = lambda i: F.get("p", F.lit(i))
+    return p.select(part(0).alias("src"), part(1).alias("dst"), part(2).alias("label"), part(3).alias("start_base"), F.try_to_number(part(4), F.lit("999999999999999999")).cast("bigint").alias("length"), part(5).try_cast("double").alias("multiplicity"))
 
 
 def dot_nodes(lines: DataFrame) -> DataFrame:

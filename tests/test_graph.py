@@ -517,3 +517,10 @@ def test_whirls_of_random_successors(spark, seed):
     got = {(r.start, tuple(r.labels), r.length, r.min_cov) for r in whirl.cycles(e).collect()}
     assert got == want and (want or seed == 3)
     assert {(r.start, tuple(r.labels)) for r in whirl.cycles(e, 3).collect()} == {w[:2] for w in want if w[2] <= 3}
+
+
+def test_a_line_of_a_dot_file_is_matched_once(spark):
+    lines = spark.createDataFrame([('"A" -> "-B" [label="A.1 C 5(2.5)" color="black"]',), ('"A" -> [label="x"]',), ('  "A" -> "B" [label="q" x]',), ('"a -> b" [',), (None,)], "value string")
+    got = text.dot_edges(lines)
+    assert [tuple(r) for r in got.collect()] == [("A", "-B", "A.1", "C", 5, 2.5)]
+    assert got._jdf.queryExecution().executedPlan().toString().count("regexp_replace") == 1
