@@ -209,3 +209,16 @@ def test_contracted_views_share_their_groups(spark):
         catalog.queries()[name](spark, DIR).count()
     comps = catalog.groups_of(spark, DIR)
     assert comps is catalog.groups_of(spark, DIR) and comps.dtypes == [("id", "bigint"), ("comp", "bigint")]
+
+
+@needs_tables
+def test_only_paths_that_share_their_ends_are_fetched(spark):
+    """Bulges are made of few of the paths, and the pairs are those of all of them; all queries about bulges share them."""
+    e, s = catalog.collapsed_of(spark, DIR), catalog.steps_of(spark, DIR)
+    every, few = paths.khop(e, 3), paths.sharing_ends(s, 3, catalog.K)
+    columns = ["key1", "key2", "length1", "length2", "weight1", "weight2", "min_cov1", "min_cov2", "nodes1", "nodes2", "identity"]
+    pairs = rows(paths.bulge_pairs(few, 0.8), columns)
+    assert pairs and pairs == rows(paths.bulge_pairs(every, 0.8), columns)
+    assert few.count() < every.count() and few.groupBy("start", "end").count().filter("count = 1").isEmpty()
+    files = lambda name: {f.rsplit("/", 2)[-2] for f in catalog.queries()[name](spark, DIR).inputFiles()}
+    assert files("bulge_pairs") == files("bulge_best_pair") == files("bulge_conflicts")
