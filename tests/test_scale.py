@@ -222,3 +222,21 @@ def test_only_paths_that_share_their_ends_are_fetched(spark):
     assert few.count() < every.count() and few.groupBy("start", "end").count().filter("count = 1").isEmpty()
     files = lambda name: {f.rsplit("/", 2)[-2] for f in catalog.queries()[name](spark, DIR).inputFiles()}
     assert files("bulge_pairs") == files("bulge_best_pair") == files("bulge_conflicts")
+
+
+@needs_tables
+def test_safety_is_kept_along_the_way(spark):
+    e, s = catalog.collapsed_of(spark, DIR), catalog.steps_of(spark, DIR)
+    p = paths.khop(e, 3).withColumn("key", F.array_join("labels", ","))
+    bad = {r.key for r in paths.unsafe_steps(p, e, degree.degrees(e)).collect()}
+    got = {",".join(r.labels): r.safe for r in paths.named(paths.safe_numbers(s, 3, catalog.K), catalog.K).collect()}
+    assert bad and got == {r.key: r.key not in bad for r in p.collect()}
+
+
+def test_safety_next_to_self_loops_and_single_ways(spark):
+    """Numbers of 2-mers; from node 1: past 2 (a self-loop), past 3 (spent, only way in), past 4 (as 3, with coverage left)."""
+    mirror = 1 << 4
+    ways = [(1, 2, 5.0), (2, 2, 1.0), (2, 6, 1.0), (1, 3, 1.0), (3, 6, 2.0), (1, 4, 9.0), (4, 6, 2.0), (4, 7, 2.0)]
+    s = spark.createDataFrame([(a + mirror, b + mirror, ((a + mirror) << paths.BITS) + n, None, 1, m, m) for n, (a, b, m) in enumerate(ways, 0)], "src bigint, dst bigint, step bigint, back bigint, length bigint, multiplicity double, usable double")
+    got = {(r.step1 & 7, r.step2 & 7): r.safe for r in paths.safe_numbers(s, 2, 2).filter("step2 is not null").collect()}
+    assert got == {(0, 2): False, (3, 4): False, (5, 6): True, (5, 7): True, **{k: v for k, v in got.items() if k[0] not in (0, 3, 5)}}
