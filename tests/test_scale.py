@@ -211,6 +211,25 @@ def test_contracted_views_share_their_groups(spark):
     assert comps is catalog.groups_of(spark, DIR) and comps.dtypes == [("id", "bigint"), ("comp", "bigint")]
 
 
+@needs_tables
+def test_paths_move_as_numbers(spark, monkeypatch):
+    """Names are made when no row moves any more: work tables hold numbers, and the same paths come out."""
+    seen: dict[str, list] = {}
+
+    def kept(df, name):
+        found = tables.written(df, name)
+        seen.setdefault(name, []).append(found)
+        return found
+
+    monkeypatch.setattr(paths, "written", kept)
+    assert catalog.queries()["khop_paths_3"](spark, DIR).count() > 0
+    assert seen["paths"] and all(t in ("bigint", "double") for df in seen["paths"] for _, t in df.dtypes)
+    e, s = catalog.collapsed_of(spark, DIR), catalog.steps_of(spark, DIR)
+    columns = ["start", "end", "nodes", "labels", "length", "weight", "min_cov"]
+    for hops in (1, 2, 3):
+        assert rows(paths.named(paths.khop_numbers(s, hops, catalog.K, paths.MEASURES), catalog.K), columns) == rows(paths.khop(e, hops), columns)
+
+
 @needs_tables
 def test_only_paths_that_share_their_ends_are_fetched(spark):
     """Bulges are made of few of the paths, and the pairs are those of all of them; all queries about bulges share them."""
