@@ -259,3 +259,14 @@ def test_safety_next_to_self_loops_and_single_ways(spark):
     s = spark.createDataFrame([(a + mirror, b + mirror, ((a + mirror) << paths.BITS) + n, None, 1, m, m) for n, (a, b, m) in enumerate(ways, 0)], "src bigint, dst bigint, step bigint, back bigint, length bigint, multiplicity double, usable double")
     got = {(r.step1 & 7, r.step2 & 7): r.safe for r in paths.safe_numbers(s, 2, 2).filter("step2 is not null").collect()}
     assert got == {(0, 2): False, (3, 4): False, (5, 6): True, (5, 7): True, **{k: v for k, v in got.items() if k[0] not in (0, 3, 5)}}
+
+
+@needs_tables
+def test_reverses_of_paths_are_made_from_their_nodes(spark):
+    e, s = catalog.collapsed_of(spark, DIR), catalog.steps_of(spark, DIR)
+    p = paths.khop(e, 2).withColumn("key", F.array_join("labels", ","))
+    want = {r.key: list(r.rc_labels) for r in paths.reverse_labels(p, e).collect()}
+    assert want and {",".join(r.labels): list(r.rc_labels) for r in paths.reverse_numbers(s, 2, catalog.K).collect()} == want
+    # steps without a reverse complement have none, and paths of only such no row
+    gone = s.withColumn("back", F.lit(None).cast("bigint"))
+    assert paths.reverse_numbers(gone, 2, catalog.K).isEmpty()
