@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandweave import catalog, model
 from strandweave.functions.strand import kmer_number, kmer_text, node_number, node_text
 from strandweave.operators import bulge, compact, contract, degree, paths, whirl
-from strandweave.plans import tables
+from strandweave.plans import simplify, tables
 from strandweave.sinks import export
 from strandweave.sources import fixtures
 
@@ -270,3 +270,15 @@ def test_reverses_of_paths_are_made_from_their_nodes(spark):
     # steps without a reverse complement have none, and paths of only such no row
     gone = s.withColumn("back", F.lit(None).cast("bigint"))
     assert paths.reverse_numbers(gone, 2, catalog.K).isEmpty()
+
+
+@needs_tables
+def test_rounds_of_bulges_take_known_pairs(spark, monkeypatch):
+    """Where the pairs are known, no path is searched again, and the round is the same."""
+    e, shown = catalog.collapsed_of(spark, DIR), ["src", "dst", "sequence", "length", "multiplicity"]
+    want, n = simplify.complex_bulges(model.Graph(e, catalog.K), 3, 0.8, 3)
+    pairs = catalog._bulges(spark, DIR, False)
+    monkeypatch.setattr(paths, "khop", lambda *_: pytest.fail("searched again"))
+    got, m = simplify.complex_bulges(model.Graph(e, catalog.K), 3, 0.8, 3, pairs=pairs)
+    assert n == m > 0 and rows(got.edges, shown) == rows(want.edges, shown)
+    assert catalog.queries()["complex_bulge_round"](spark, DIR).count() == want.edges.count()
