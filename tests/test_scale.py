@@ -282,3 +282,17 @@ def test_rounds_of_bulges_take_known_pairs(spark, monkeypatch):
     got, m = simplify.complex_bulges(model.Graph(e, catalog.K), 3, 0.8, 3, pairs=pairs)
     assert n == m > 0 and rows(got.edges, shown) == rows(want.edges, shown)
     assert catalog.queries()["complex_bulge_round"](spark, DIR).count() == want.edges.count()
+
+
+@needs_tables
+def test_evidence_moves_edges_next_to_sites_without_their_sequences(spark, monkeypatch):
+    seen: dict[str, object] = {}
+
+    def kept(df, name):
+        seen[name] = tables.written(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(simplify, "written", kept)
+    assert catalog.queries()["evidence_decoupled"](spark, DIR).count() > 0
+    assert "sequence" not in seen["evidence"].columns
+    assert seen["evidence"].count() == seen["around"].count() < catalog.unitigs_of(spark, DIR).count()
